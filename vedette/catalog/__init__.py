@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("dashboards",)
+MODULES = ("dashboards", "windows", "scalars")
 
 
 def load() -> None:
