@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("dashboards", "windows", "scalars")
+MODULES = ("dashboards", "windows", "scalars", "joins")
 
 
 def load() -> None:
