@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("dashboards", "windows", "scalars", "joins")
+MODULES = ("dashboards", "windows", "scalars", "joins", "risk", "audit")
 
 
 def load() -> None:

@@ -19,3 +19,98 @@ def resolve_google_asset(events: DataFrame, batch: Sequence[str], actor: str, pa
                                        .alias("_external"))
     return (events.join(flags, list(batch), "left")
             .withColumn("target_asset", google_asset(actor, parameter, "_external")).drop("_external"))
+
+
+def profile_paths(flat: DataFrame, fields: str = "fields") -> DataFrame:
+    """Per path of a flat-map column: rows, non-null values, mean length, number and IPv4 shares, maximum."""
+    v = F.col("value")
+    number = v.try_cast("double")
+    return flat.select(F.explode(fields).alias("path", "value")).groupBy("path").agg(
+        F.count("*").alias("rows"), F.count("value").alias("filled"),
+        (F.sum(F.length("value")) / F.nullif(F.count("value"), F.lit(0))).alias("mean_length"),
+        (F.count(number) / F.nullif(F.count("value"), F.lit(0))).alias("number_share"),
+        (F.count_if(v.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")) / F.nullif(F.count("value"), F.lit(0))).alias("ipv4_share"),
+        F.max(number).alias("max_number"))
+
+
+def _ranked(profile: DataFrame, names: Sequence[str], key) -> DataFrame:
+    """Paths whose name is in the list, with their place in it (a literal array of at most 26 names)."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), key)
+    return profile.withColumn("_place", place).where("_place > 0")
+
+
+def discover_asset_column(profile: DataFrame) -> DataFrame:
+    """The path that names the asset: best listed name with short values, else a path with addresses."""
+    name = F.replace(F.lower("path"), F.lit("-"), F.lit("_"))
+    listed = _ranked(profile.where(f"filled > 0 and mean_length <= {rules.MAX_IDENTIFIER_LENGTH}"), rules.ASSET_COLUMNS, name)
+    other = profile.where("ipv4_share > 0").withColumn("_place", F.lit(1000))
+    return listed.unionByName(other, allowMissingColumns=True).agg(
+        F.min_by("path", F.struct("_place", "path")).alias("asset_column"))
+
+
+def discover_time_column(profile: DataFrame) -> DataFrame:
+    """The first path (by name) that hints at a time, and its unit: ms, s or text."""
+    hinted = profile.where(F.lower("path").rlike("|".join(rules.TIME_HINTS)))
+    unit = F.when((F.col("number_share") == 1.0) & (F.col("max_number") > 4_102_444_800), "ms").when(
+        F.col("number_share") == 1.0, "s").otherwise("text")
+    return hinted.agg(F.min(F.struct("path", unit.alias("unit"))).alias("x")).select(
+        F.col("x.path").alias("time_column"), F.col("x.unit").alias("unit"))
+
+
+def discover_event_column(profile: DataFrame) -> DataFrame:
+    listed = _ranked(profile, rules.EVENT_COLUMNS, F.lower("path"))
+    return listed.agg(F.min_by("path", F.struct("_place", "path")).alias("event_column"))
+
+
+def numeric_vector(fields, paths: Sequence[str], numeric: Sequence[str]) -> list:
+    """One number per path: numbers as they are, texts hashed to 0..999, missing 0."""
+    out = []
+    for p in paths:
+        v = F.try_element_at(fields, F.lit(p))
+        n = v.try_cast("double") if p in numeric else F.pmod(F.xxhash64(v), F.lit(1000)).cast("double")
+        out.append(F.coalesce(F.when(v.isNotNull(), n), F.lit(0.0)).alias(f"v_{p}"))
+    return out
+
+
+def extract_entities(leaves) -> dict:
+    """Attacker and victim address, asset and event text from the text leaves of an event.
+
+    Each leaf scores by its key and the key above; the best score wins, the earlier leaf on
+    ties. Without an attacker the first other address in the texts is taken.
+    """
+    ips = F.transform(leaves, lambda x: F.struct(
+        x["pos"].alias("pos"), x["parent"].alias("parent"), x["key"].alias("key"),
+        F.regexp_extract(x["value"], rules.IPV4, 0).alias("ip")))
+    ips = F.filter(ips, lambda x: x["ip"] != "")
+
+    def role(x):
+        return (
+            F.when(x["key"].isin(*rules.SOURCE_IP_KEYS), F.struct(F.lit("s").alias("r"), F.lit(1.8).alias("w")))
+            .when((x["key"] == "ip") & x["parent"].isin(*rules.AGENT_PARENTS), F.struct(F.lit("v").alias("r"), F.lit(1.8).alias("w")))
+            .when(x["key"].isin(*rules.VICTIM_IP_KEYS), F.struct(F.lit("v").alias("r"), F.lit(1.5).alias("w")))
+            .when(x["parent"].isin(*rules.AGENT_PARENTS), F.struct(F.lit("v").alias("r"), F.lit(1.0).alias("w")))
+            .when(x["parent"].isin(*rules.FORENSIC_PARENTS), F.struct(F.lit("s").alias("r"), F.lit(1.0).alias("w")))
+            .otherwise(F.struct(F.lit("s").alias("r"), F.lit(0.5).alias("w"))))
+
+    scored = F.transform(ips, lambda x: F.struct(role(x).alias("role"), (-x["pos"]).alias("o"), x["ip"].alias("ip")))
+
+    def best_ip(r: str):
+        mine = F.filter(scored, lambda x: x["role"]["r"] == r)
+        return F.array_max(F.transform(mine, lambda x: F.struct(x["role"]["w"].alias("w"), x["o"].alias("o"), x["ip"].alias("ip"))))["ip"]
+
+    def best_text(keep, weight):
+        mine = F.filter(leaves, keep)
+        return F.array_max(F.transform(mine, lambda x: F.struct(weight(x).alias("w"), (-x["pos"]).alias("o"), x["value"].alias("t"))))["t"]
+
+    victim, source = best_ip("v"), best_ip("s")
+    other = F.try_element_at(F.filter(ips, lambda x: x["ip"] != victim), F.lit(1))["ip"]
+    asset = best_text(
+        lambda x: x["key"].isin(*rules.ASSET_KEYS) & F.length(x["value"]).between(3, 63),
+        lambda x: F.when(x["key"].contains("agent") | x["key"].contains("name"), 1.5).otherwise(1.0))
+    event = best_text(
+        lambda x: x["key"].isin(*rules.EVENT_KEYS) & (F.length(x["value"]) > 5) & x["value"].rlike("|".join(rules.EVENT_MARKERS)),
+        lambda x: F.lit(1.5))
+    return {
+        "src_ip": F.coalesce(source, F.when(victim.isNotNull(), other)), "victim_ip": victim,
+        "asset_id": F.coalesce(asset, F.lit("unknown")), "event_type": F.coalesce(event, F.lit("Security Event")),
+    }

@@ -51,6 +51,42 @@ _SPEC: dict[str, tuple[str, str]] = {
   concat('client-', CAST(user_id % 3 AS STRING)) AS client_id,
   concat('198.51.100.', CAST(user_id % 2 AS STRING)) AS src_ip,
   CASE WHEN user_id % 2 = 0 THEN CAST((event_id * 7919) % 65536 AS INT) ELSE CAST(event_id % 4 AS INT) END AS dst_port"""),
+    "burst_events": ("events", """
+  event_id,
+  1704067200000000 + (US(ts) - 1704067200000000) DIV 20 AS ts_us,
+  concat('client-', CAST(user_id % 3 AS STRING)) AS client_id,
+  concat('asset-', CAST(event_id % 5 AS STRING)) AS asset_id,
+  CASE WHEN event_id % 41 = 0 THEN NULL ELSE concat('203.0.113.', CAST(user_id % 4 AS STRING)) END AS src_ip,
+  event_type,
+  CASE event_type WHEN 'error' THEN 'brute_force_attempt' WHEN 'signup' THEN 'lateral_movement' WHEN 'click' THEN 'port_scan' WHEN 'purchase' THEN 'data_exfiltration' ELSE 'odd_pattern' END AS pattern,
+  least(CAST(1 AS DOUBLE), value / CAST(100 AS DOUBLE)) AS anomaly_score,
+  CAST((event_id * 13) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS river_score,
+  CAST((event_id * 29) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS nmap_score,
+  CAST((event_id * 31) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS combined_score,
+  CASE WHEN event_id % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(event_id % 17 AS DOUBLE) END AS aro,
+  CASE WHEN event_id % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS ale,
+  md5(CAST(event_id AS STRING)) AS raw_hash"""),
+    "decisions": ("supplier", """
+  concat('client-', CAST(s_suppkey % 3 AS STRING)) AS client_id,
+  concat('asset-', CAST(s_suppkey % 5 AS STRING)) AS asset_id,
+  concat('203.0.113.', CAST(s_suppkey % 4 AS STRING)) AS src_ip,
+  CASE s_suppkey % 2 WHEN 0 THEN 'brute_force_attempt' ELSE 'port_scan' END AS pattern,
+  1704067200000000 + ((s_suppkey * 7919) % 129600) * 1000000 AS reviewed_us"""),
+    "messy_assets": ("part", """
+  p_partkey AS id,
+  CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN NULL ELSE concat(' ', p_name, ' ') END AS `Nombre del Activo`,
+  concat('host-', CAST(p_partkey AS STRING)) AS `Nombre del equipo`,
+  concat('10.1.', CAST(p_partkey % 250 AS STRING), '.7') AS `Dirección IP`,
+  CASE p_partkey % 5 WHEN 0 THEN '1.500,00' WHEN 1 THEN concat('$1,', CAST(100 + p_partkey % 900 AS STRING), '.00') WHEN 2 THEN CAST(p_partkey AS STRING) WHEN 3 THEN 'n/a' ELSE NULL END AS `Valor`,
+  CASE p_partkey % 6 WHEN 0 THEN '3.0' WHEN 1 THEN '9' WHEN 2 THEN '0' WHEN 3 THEN 'alto' WHEN 4 THEN NULL ELSE '2' END AS `Confidencialidad`,
+  CASE p_partkey % 4 WHEN 0 THEN 'sí' WHEN 1 THEN 'No' WHEN 2 THEN 'X' ELSE NULL END AS `PII`,
+  CASE p_partkey % 3 WHEN 0 THEN 'Medio (pci, phi)' WHEN 1 THEN 'Alto' ELSE NULL END AS `Clasificación`"""),
+    "asset_changes": ("lineitem", """
+  concat('client-', CAST(l_partkey % 3 AS STRING)) AS client_id, l_partkey AS id,
+  l_orderkey * 10 + l_linenumber AS seq,
+  CASE WHEN l_quantity > 47 THEN 'D' ELSE 'U' END AS op,
+  CASE WHEN l_linenumber % 2 = 0 THEN concat('owner-', CAST(l_suppkey AS STRING)) END AS nombre_activo,
+  CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice END AS valor_activo"""),
     "assets": ("part", """
   p_partkey AS id,
   concat('client-', CAST(p_partkey % 3 AS STRING)) AS client_id,
@@ -114,7 +150,7 @@ def _spark_text(text: str) -> str:
 
 
 def _duck_text(text: str) -> str:
-    return text.replace("US(", "epoch_us(").replace(" DIV ", " // ").replace("AS STRING)", "AS VARCHAR)")
+    return text.replace("US(", "epoch_us(").replace(" DIV ", " // ").replace("AS STRING)", "AS VARCHAR)").replace("`", '"')
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
