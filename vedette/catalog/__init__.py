@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("dashboards", "windows", "scalars", "joins", "risk", "audit")
+MODULES = ("dashboards", "windows", "scalars", "joins", "risk", "audit", "models")
 
 
 def load() -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import in_utc
+from ..session import in_utc, ship_package
 from ..sources.views import duck_ctes, view
 
 
@@ -15,6 +15,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = in_utc(spark), sf_dir
+        ship_package(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)

@@ -214,7 +214,7 @@ def _(v):
 
 
 _SESS_COLS = "client_id, asset_id, src_ip, pattern"
-_GAP = table_sql("pattern", rules.CONSOLIDATION_MINUTES, 120) + " * 60000000"
+_GAP = table_sql("pattern", rules.CONSOLIDATION_MINUTES, 120) + " * 60000000::BIGINT"
 
 
 def _sessions(marks: bool) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsontree import canonical_json, json_string
 from ..functions.numeric import div_us
+from ..session import spread
 from .chunked import previous_value
 
 GENESIS = "GENESIS"
@@ -46,7 +47,7 @@ def build_hash_chain(events: DataFrame, chain: str = "chain") -> DataFrame:
         return pdf[names].assign(previous_hash=before, current_hash=after)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return rows.groupBy(chain).applyInPandas(link, f"{schema}, previous_hash string, current_hash string")
+    return spread(rows, chain).groupBy(chain).applyInPandas(link, f"{schema}, previous_hash string, current_hash string")
 
 
 def chain_heads(chained: DataFrame, chain: str = "chain") -> DataFrame:

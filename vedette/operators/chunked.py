@@ -105,6 +105,6 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
                            *[c for c in right.columns if c not in keys])
     test = None
     for i, k in enumerate(keys):
-        same = left[k].eqNullSafe(renamed[f"_k{i}"])
+        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         test = same if test is None else test & same
     return left.join(renamed, test, "left").drop(*[f"_k{i}" for i in range(len(keys))])

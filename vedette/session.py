@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,23 @@ def local_session(cpus: str = "8", app: str = "vedette") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of the session, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vedette_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="vedette-"), "vedette_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._vedette_shipped = True
+
+
 def in_utc(spark: SparkSession) -> SparkSession:
     """All event times are UTC microseconds; pin the session zone once."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -43,3 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vedette-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions for Python groups, one per configured shuffle partition.
+
+    Group work in Python costs far more than its bytes suggest, so these partitions must
+    not be merged by size afterwards; a partition count that is named is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
