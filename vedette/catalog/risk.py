@@ -232,12 +232,12 @@ SELECT sha256(concat_ws('|', client_id, asset_id, coalesce(src_ip, ''), pattern,
 
 @query("incident_sessions", "burst_events", _sessions(False))
 def _(v):
-    return incidents.consolidate(v.burst_events)
+    return incidents.consolidate(v.burst_events).drop("opener_id")
 
 
 @query("consolidate_incidents", "burst_events decisions", _sessions(True))
 def _(v):
-    return incidents.consolidate(v.burst_events, v.decisions)
+    return incidents.consolidate(v.burst_events, v.decisions).drop("opener_id")
 
 
 @query("review_incident", "incidents reviews", """

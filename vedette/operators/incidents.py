@@ -52,8 +52,6 @@ def consolidate(events: DataFrame, reviews: DataFrame | None = None, gaps=None)
     time span, not by the events.
     """
     table = gaps or rules.CONSOLIDATION_MINUTES
-    chunk_us = max([*table.values(), rules.CONSOLIDATION_DEFAULT_MINUTES]) * MINUTE_US
-    gap = gap_minutes("pattern", table).cast("bigint") * F.lit(MINUTE_US)
     at = [F.col("ts_us"), F.col("event_id")]
 
     def have(c: str) -> Column:
@@ -68,32 +66,69 @@ def consolidate(events: DataFrame, reviews: DataFrame | None = None, gaps=None)
         F.struct(*at, F.col("event_type"), F.col("raw_hash")).alias("opener"),
         F.struct(*at, *[have(c).alias(c) for c in LATEST]).alias("latest"),
         have("anomaly_score").alias("peak"), first_nonzero("aro").alias("aro"), first_nonzero("ale").alias("ale"))
-    marks = None
-    if reviews is not None:
-        marks = reviews.select(*KEY, F.lit(0).alias("_side"), F.col("reviewed_us").alias("_start"),
-                               F.lit(0).cast("bigint").alias("_tie"))
-
-    def with_marks(df: DataFrame) -> DataFrame:
-        return df if marks is None else df.unionByName(marks, allowMissingColumns=True)
-
-    def fold(df: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
-        return df.groupBy(*keys, "_island").agg(
-            F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min("_tie").alias("_tie"),
-            F.min("opener").alias("opener"), F.max("latest").alias("latest"), F.max("peak").alias("peak"),
-            F.min("aro").alias("aro"), F.min("ale").alias("ale"), F.sum(n).alias("n"))
-
-    local = _islands(with_marks(rows).withColumn("_chunk", div_us("_start", chunk_us)), [*KEY, "_chunk"], gap)
-    folded = fold(local, [*KEY, "_chunk"], F.lit(1)).drop("_island", "_chunk").withColumn("_side", F.lit(1))
-    whole = fold(_islands(with_marks(folded), KEY, gap), KEY, F.col("n"))
+    marks = _marks(reviews)
+    gap, chunk_us = _gap(table)
+    local = _islands(_with(rows, marks).withColumn("_chunk", div_us("_start", chunk_us)), [*KEY, "_chunk"], gap)
+    folded = _fold(local, [*KEY, "_chunk"], F.lit(1).cast("bigint")).drop("_island", "_chunk").withColumn("_side", F.lit(1))
+    return _finish(_fold(_islands(_with(folded, marks), KEY, gap), KEY, F.col("n")))
+
+
+def _gap(table) -> tuple[Column, int]:
+    longest = max([*table.values(), rules.CONSOLIDATION_DEFAULT_MINUTES]) * MINUTE_US
+    return gap_minutes("pattern", table).cast("bigint") * F.lit(MINUTE_US), longest
+
+
+def _marks(reviews: DataFrame | None) -> DataFrame | None:
+    if reviews is None:
+        return None
+    return reviews.select(*KEY, F.lit(0).alias("_side"), F.col("reviewed_us").alias("_start"),
+                          F.lit(0).cast("bigint").alias("_tie"))
+
+
+def _with(rows: DataFrame, marks: DataFrame | None) -> DataFrame:
+    return rows if marks is None else rows.unionByName(marks, allowMissingColumns=True)
+
+
+def _fold(df: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+    return df.groupBy(*keys, "_island").agg(
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min("_tie").alias("_tie"),
+        F.min("opener").alias("opener"), F.max("latest").alias("latest"), F.max("peak").alias("peak"),
+        F.min("aro").alias("aro"), F.min("ale").alias("ale"), F.sum(n).alias("n"))
+
+
+def _finish(whole: DataFrame) -> DataFrame:
     return whole.select(
         F.sha2(F.concat_ws("|", *[F.coalesce(k, F.lit("")) for k in KEY], F.col("_start").cast("string"),
                            F.col("opener.event_id").cast("string")), 256).alias("incident_id"),
-        *KEY, F.col("opener.event_type").alias("event_type"), F.col("opener.raw_hash").alias("raw_hash"),
-        F.col("n").alias("event_count"), F.col("_start").alias("first_seen_us"), F.col("_end").alias("last_seen_us"),
+        *KEY, F.col("opener.event_id").alias("opener_id"), F.col("opener.event_type").alias("event_type"),
+        F.col("opener.raw_hash").alias("raw_hash"), F.col("n").alias("event_count"),
+        F.col("_start").alias("first_seen_us"), F.col("_end").alias("last_seen_us"),
         F.col("peak").alias("peak_anomaly_score"), *[F.col(f"latest.{c}").alias(c) for c in LATEST],
         F.coalesce("aro.x", F.lit(0.0)).alias("aro"), F.coalesce("ale.x", F.lit(0.0)).alias("ale"))
 
 
+def merge_incidents(stored: DataFrame, new: DataFrame, reviews: DataFrame | None = None, gaps=None) -> DataFrame:
+    """Joins newly found incidents to stored open ones of the same key within the gap.
+
+    Both are incident rows already, so their number per key is bounded by the time span.
+    """
+    first, last = F.col("first_seen_us"), F.col("last_seen_us")
+
+    def rows(df: DataFrame) -> DataFrame:
+        def money(c: str) -> Column:
+            return F.when(F.col(c) != 0, F.struct(first.alias("ts_us"), F.col("opener_id").alias("event_id"), F.col(c).alias("x"))).alias(c)
+
+        return df.select(
+            *KEY, F.lit(1).alias("_side"), first.alias("_start"), last.alias("_end"), F.col("opener_id").alias("_tie"),
+            F.struct(first.alias("ts_us"), F.col("opener_id").alias("event_id"), "event_type", "raw_hash").alias("opener"),
+            F.struct(last.alias("ts_us"), F.col("opener_id").alias("event_id"), *LATEST).alias("latest"),
+            F.col("peak_anomaly_score").alias("peak"), money("aro"), money("ale"), F.col("event_count").alias("n"))
+
+    gap, _ = _gap(gaps or rules.CONSOLIDATION_MINUTES)
+    both = _with(rows(stored).unionByName(rows(new)), _marks(reviews))
+    return _finish(_fold(_islands(both, KEY, gap), KEY, F.col("n")))
+
+
 def review_incidents(incidents: DataFrame, reviews: DataFrame) -> DataFrame:
     """Applies decisions (id, action, note, reviewed_us) to PENDING incidents; the newest decision wins."""
     last = reviews.groupBy("id").agg(
