@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("dashboards", "windows", "scalars", "joins", "risk", "audit", "models", "pipelines")
+MODULES = ("dashboards", "windows", "scalars", "joins", "risk", "audit", "models", "pipelines", "streams")
 
 
 def load() -> None:

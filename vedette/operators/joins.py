@@ -111,14 +111,16 @@ def threat_intel_enrich(events: DataFrame, intel: DataFrame, ts: str = "ts_us")
         "_pub", "_at_hour", "_hour", "_ip", "_from", "_until")
 
 
-def drop_known(events: DataFrame, known: DataFrame, key: str = "raw_hash") -> DataFrame:
+def drop_known(events: DataFrame, known: DataFrame | None = None, key: str = "raw_hash") -> DataFrame:
     """One event per hash, none whose hash is already stored. The earliest event stays.
 
     The narrow pass finds the surviving ids, so wide rows are not sorted or shuffled by hash
     when the join side is small.
     """
     first = events.groupBy(key).agg(F.min(F.struct("ts_us", "event_id")).alias("_first"))
-    fresh = first.join(known.select(key).distinct(), key, "left_anti").select(F.col("_first.event_id").alias("event_id"))
+    if known is not None:
+        first = first.join(known.select(key), key, "left_anti")
+    fresh = first.select(F.col("_first.event_id").alias("event_id"))
     return events.join(fresh, "event_id", "left_semi")
 
 

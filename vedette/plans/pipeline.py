@@ -74,7 +74,7 @@ def escalate_batch(events: DataFrame, assets: DataFrame, history: DataFrame, mod
     is the feature store for the yearly rate.
     """
     e = events.where("route = 'escalated'")
-    e = joins.drop_known(e, known) if known is not None else e.dropDuplicates(["raw_hash"])
+    e = joins.drop_known(e, known)
     e = e.withColumn("pattern", t.effective_pattern("correlation_pattern", "pattern_hint"))
     e = joins.fetch_asset_meta(e, assets)
     if model is None:

@@ -153,12 +153,28 @@ def _duck_text(text: str) -> str:
     return text.replace("US(", "epoch_us(").replace(" DIV ", " // ").replace("AS STRING)", "AS VARCHAR)").replace("`", '"')
 
 
+def derive(base: DataFrame, name: str) -> DataFrame:
+    """The view's projection over any frame of its source's shape, also a stream."""
+    text = _spark_text(_SPEC[name][1]).replace("{", "{{").replace("}", "}}")
+    return base.sparkSession.sql("SELECT " + text + " FROM {base}", base=base)
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+    """A view whose root table arrives as a file stream."""
+    source = _SPEC[name][0]
+    if source in _SPEC:
+        return derive(stream_view(spark, sf_dir, source, max_files), name)
+    schema = table(spark, sf_dir, source).schema
+    files = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+             .option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir))
+    return derive(files, name)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view as a DataFrame."""
-    source, select = _SPEC[name]
+    source = _SPEC[name][0]
     base = view(spark, sf_dir, source) if source in _SPEC else table(spark, sf_dir, source)
-    text = _spark_text(select).replace("{", "{{").replace("}", "}}")
-    return spark.sql("SELECT " + text + " FROM {base}", base=base)
+    return derive(base, name)
 
 
 def duck_ctes(names: str) -> str:
