@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import jsontree as j
 from ..operators import audit, discovery
+from ..session import widen
 from ..sources import raw as raw_sources
 from .registry import query
 
@@ -80,7 +81,7 @@ profile AS (SELECT path, count(*) AS rows, count(value) AS filled, sum(length(va
 
 
 def _flat(v):
-    return v.raw_logs.select("event_id", "client_id", "raw", j.flatten_json("raw").alias("fields"))
+    return widen(v.raw_logs).select("event_id", "client_id", "raw", j.flatten_json("raw").alias("fields"))
 
 
 @query("flatten_json", "raw_logs", f"WITH {_FLAT} SELECT event_id, path, value FROM kv")

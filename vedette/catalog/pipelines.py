@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import features, filters, sweep
+from ..session import widen
 from ..plans import forensic, normalize, pipeline, train
 from ..sources import store
 from .registry import query
@@ -54,13 +55,13 @@ WITH {_NORM} SELECT event_id, client_id, source, src_ip, asset_id, event_type, s
   CASE WHEN sev3 >= 0.85 THEN 'critical' WHEN sev3 >= 0.65 THEN 'high' WHEN sev3 >= 0.4 THEN 'medium' ELSE 'low' END AS severity,
   coalesce(best.p, CASE WHEN sev >= 0.8 THEN 'high_severity_event' ELSE 'none' END) AS pattern_hint, coalesce(CAST(best.c AS DOUBLE), CASE WHEN sev >= 0.8 THEN 0.5 ELSE 0.0 END::DOUBLE) AS pattern_confidence FROM n3""")
 def _(v):
-    return normalize.normalize_events(v.raw_logs, severity=F.col("severity_score"), received_us=F.col("ts_us")).select(
+    return normalize.normalize_events(widen(v.raw_logs), severity=F.col("severity_score"), received_us=F.col("ts_us")).select(
         "event_id", "client_id", "source", "src_ip", "asset_id", "event_type", "severity_score", "severity", "pattern_hint", "pattern_confidence")
 
 
 @query("gateway_batch", "", None)
 def _(v):
-    e = pipeline.gateway_batch(v.raw_logs, v.assets, v.intel, severity=F.col("severity_score"), received_us=F.col("ts_us"))
+    e = pipeline.gateway_batch(widen(v.raw_logs), v.assets, v.intel, severity=F.col("severity_score"), received_us=F.col("ts_us"))
     return e.select("event_id", "client_id", "source", "src_ip", "asset_id", "threat_intel", "correlation_pattern",
                     "correlation_count", F.col("asset.id").alias("asset_row"), "passed", "risk_level", "action", "label_pattern")
 
@@ -147,10 +148,10 @@ def _(v):
 
 @query("forensic_scan", "", None)
 def _(v):
-    return forensic.forensic_scan(v.raw_logs)["assets"]
+    return forensic.forensic_scan(widen(v.raw_logs))["assets"]
 
 
 @query("explain_asset", "", None)
 def _(v):
-    prepared, _, _ = forensic.prepare(v.raw_logs)
+    prepared, _, _ = forensic.prepare(widen(v.raw_logs))
     return forensic.explain_assets(prepared.withColumn("is_anomaly", F.col("danger_score") >= 0.5))

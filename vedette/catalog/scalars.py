@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as t
 from ..operators import filters
+from ..session import widen
 from .registry import query
 from .windows import r
 
@@ -29,14 +30,14 @@ def _sanitize_sql(table: str, key: str, col: str) -> str:
 @query("sanitize_text", "", _sanitize_sql("pages", "page_id", "html"))
 def _(v):
     full = t.sanitize_text("html", limit=2**30)
-    return v.table("pages").select("page_id", t.sanitize_text("html").alias("clean"),
+    return widen(v.table("pages")).select("page_id", t.sanitize_text("html").alias("clean"),
                                    full.contains("[REDACTED]").alias("redacted"))
 
 
 @query("sanitize_documents", "", _sanitize_sql("documents", "doc_id", "text"))
 def _(v):
     full = t.sanitize_text("text", limit=2**30)
-    return v.table("documents").select("doc_id", t.sanitize_text("text").alias("clean"),
+    return widen(v.table("documents")).select("doc_id", t.sanitize_text("text").alias("clean"),
                                        full.contains("[REDACTED]").alias("redacted"))
 
 
@@ -85,13 +86,13 @@ SELECT {key}, coalesce(best.p, CASE WHEN sev >= 0.8 THEN 'high_severity_event' E
 
 @query("classify_pattern", "raw_logs", _classify_query("raw_logs", "event_id", "raw", "severity_score"))
 def _(v):
-    return v.raw_logs.select("event_id", t.classify_pattern("raw", "severity_score").alias("c")).select("event_id", "c.*")
+    return widen(v.raw_logs).select("event_id", t.classify_pattern("raw", "severity_score").alias("c")).select("event_id", "c.*")
 
 
 @query("classify_documents", "", _classify_query("documents", "doc_id", "text", "CAST(doc_id % 10 AS DOUBLE) / 10"))
 def _(v):
     sev = F.col("doc_id") % 10 / F.lit(10.0)
-    return v.table("documents").select("doc_id", t.classify_pattern("text", sev).alias("c")).select("doc_id", "c.*")
+    return widen(v.table("documents")).select("doc_id", t.classify_pattern("text", sev).alias("c")).select("doc_id", "c.*")
 
 
 @query("normalize_timestamp", "sec_events", """
@@ -140,7 +141,7 @@ def _tier_sql(x, tiers, default):
 
 @query("command_feature", "", f"SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE {_tier_sql('lower(text)', rules.COMMAND_TIERS, 0.1)} END::DOUBLE AS command_risk FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", t.command_feature("text").alias("command_risk"))
+    return widen(v.table("documents")).select("doc_id", t.command_feature("text").alias("command_risk"))
 
 
 @query("calendar_features", "month_events", f"""

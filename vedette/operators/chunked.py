@@ -1,19 +1,39 @@
 """Previous row, running count and last value for keys of any size.
 
 A window keyed by tenant, asset or chain alone runs a hot key in one task. Here the key
-is cut into chunks along its order; a small table with one row per (key, chunk) carries
-what the next chunk needs to know.
+is cut into chunks along its order. A small table with one row per (key, chunk), summed
+up before it is shuffled, tells each chunk what came before it. That row is put in front
+of the chunk's own rows, so the wide rows are shuffled once and never joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import div_us
 
 CHUNK = "_chunk"
+FRONT = "_front"  # 0 for the carried row, 1 for the key's own rows
+
+
+def _own(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], **values: Column) -> DataFrame:
+    return df.select(
+        *keys, chunk.alias(CHUNK), F.lit(1).alias(FRONT), F.struct(*order).alias("_order"),
+        *[c.alias(n) for n, c in values.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def _before(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _within(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys, CHUNK).orderBy(FRONT, "_order")
+
+
+def _with_front(own: DataFrame, front: DataFrame) -> DataFrame:
+    return own.unionByName(front.withColumn(FRONT, F.lit(0)), allowMissingColumns=True)
 
 
 def previous_within(df: DataFrame, keys: Sequence[str], ts: str, tie: str, lookback_us: int,
@@ -24,87 +44,46 @@ def previous_within(df: DataFrame, keys: Sequence[str], ts: str, tie: str, lookb
     chunk must know.
     """
     chunk = div_us(ts, lookback_us)
-    kept = [F.col(k) for k in keys]
-    rows = df.select(*kept, chunk.alias(CHUNK), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"),
-                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
-    border = df.groupBy(*kept, chunk.alias(CHUNK)).agg(F.max(ts).alias("_ts")).select(
-        *keys, (F.col(CHUNK) + 1).alias(CHUNK), "_ts")
-    both = rows.unionByName(border, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, CHUNK).orderBy("_ts", F.col("_tie").asc_nulls_first())
-    prev = F.lag("_ts").over(w)
-    return (
-        both.withColumn(out, prev).where(F.col("_row").isNotNull())
-        .withColumn(out, F.when(F.col("_ts") - F.col(out) <= lookback_us, F.col(out)))
-        .select("_row.*", out)
-    )
-
-
-def _chunk_prefix(parts: DataFrame, keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    own = _own(df, keys, chunk, [ts, tie], _ts=F.col(ts))
+    front = df.groupBy(*keys, chunk.alias(CHUNK)).agg(F.max(ts).alias("_ts")).withColumn(CHUNK, F.col(CHUNK) + 1)
+    rows = _with_front(own, front).withColumn(out, F.lag("_ts").over(_within(keys))).where("_row is not null")
+    return rows.withColumn(out, F.when(F.col("_ts") - F.col(out) <= lookback_us, F.col(out))).select("_row.*", out)
 
 
 def earlier_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                 out: str = "earlier", what: Column | None = None) -> DataFrame:
-    """Adds how many rows of the key come before this one (only those where ``what`` holds).
+                 out: str | Mapping[str, Column] = "earlier") -> DataFrame:
+    """Adds how many rows of the key come before this one, or sums over them.
 
-    ``chunk`` must not decrease along ``order``. Per-chunk totals are summed over the
-    small chunk table; within the chunk a running count finishes the job.
+    ``out`` names the count, or maps names to BIGINT columns to sum. ``chunk`` must not
+    decrease along ``order``.
     """
-    one = F.lit(1).cast("bigint") if what is None else F.coalesce(what.cast("bigint"), F.lit(0).cast("bigint"))
-    rows = df.withColumn(CHUNK, chunk)
-    totals = rows.groupBy(*keys, CHUNK).agg(F.sum(one).alias("_sum"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(_chunk_prefix(totals, keys)), F.lit(0))).drop("_sum")
-    inside = (Window.partitionBy(*keys, CHUNK).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    counted = rows.withColumn("_in", F.coalesce(F.sum(one).over(inside), F.lit(0)))
-    return (
-        _join_on(counted, base, [*keys, CHUNK])
-        .withColumn(out, (F.col("_in") + F.coalesce("_base", F.lit(0))).cast("bigint"))
-        .drop("_in", "_base", CHUNK)
-    )
+    one = F.lit(1).cast("bigint")
+    sums = {out: one} if isinstance(out, str) else {n: F.coalesce(c.cast("bigint"), F.lit(0)) for n, c in out.items()}
+    parts = {n: f"_w{i}" for i, n in enumerate(sums)}
+    own = _own(df, keys, chunk, order, **{parts[n]: c for n, c in sums.items()})
+    totals = df.groupBy(*keys, chunk.alias(CHUNK)).agg(*[F.sum(c).alias(parts[n]) for n, c in sums.items()])
+    front = totals.withColumns({w: F.sum(w).over(_before(keys)) for w in parts.values()})
+    earlier = _within(keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with_front(own, front).withColumns({n: F.coalesce(F.sum(w).over(earlier), F.lit(0)) for n, w in parts.items()})
+    return rows.where("_row is not null").select("_row.*", *sums)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, chunk: Column, value: str,
                    out: str = "previous") -> DataFrame:
     """Adds ``value`` of the key's previous row in ``order`` (unique within the key)."""
-    rows = df.withColumn(CHUNK, chunk)
-    lasts = rows.groupBy(*keys, CHUNK).agg(F.max_by(value, order).alias("_last"))
-    w = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = lasts.withColumn("_carry", F.lag("_last").over(w)).drop("_last")
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(order)
-    shifted = rows.withColumns({"_in": F.lag(value).over(inside), "_first": F.row_number().over(inside) == 1})
-    return (
-        _join_on(shifted, carry, [*keys, CHUNK])
-        .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in")))
-        .drop("_in", "_first", "_carry", CHUNK)
-    )
+    own = _own(df, keys, chunk, [order], _v=F.col(value))
+    lasts = df.groupBy(*keys, chunk.alias(CHUNK)).agg(F.max_by(value, order).alias("_v"))
+    front = lasts.withColumn("_v", F.lag("_v").over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    return _with_front(own, front).withColumn(out, F.lag("_v").over(_within(keys))).where("_row is not null").select("_row.*", out)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str,
                out: str) -> DataFrame:
     """Adds the latest non-null ``value`` among the key's rows up to this one."""
-    rows = df.withColumn(CHUNK, chunk)
-    position = F.struct(*order)
-    lasts = rows.where(F.col(value).isNotNull()).groupBy(*keys, CHUNK).agg(F.max_by(value, position).alias("_last"))
-    # every chunk that has rows needs a carry, not only those with values
-    spine = rows.groupBy(*keys, CHUNK).agg(F.lit(1).alias("_1")).drop("_1")
-    spine = _join_on(spine, lasts, [*keys, CHUNK])
-    carry = spine.withColumn("_carry", F.last("_last", ignorenulls=True).over(_chunk_prefix(spine, keys))).drop("_last")
-    inside = (Window.partitionBy(*keys, CHUNK).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    known = rows.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
-    return (
-        _join_on(known, carry, [*keys, CHUNK])
-        .withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry", CHUNK)
-    )
-
-
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be NULL."""
-    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                           *[c for c in right.columns if c not in keys])
-    test = None
-    for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        test = same if test is None else test & same
-    return left.join(renamed, test, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    own = _own(df, keys, chunk, order, _v=F.col(value))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    lasts = df.groupBy(*keys, chunk.alias(CHUNK)).agg(F.max_by(value, known).alias("_v"))
+    front = lasts.withColumn("_v", F.last("_v", ignorenulls=True).over(_before(keys)))
+    upto = _within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _with_front(own, front).withColumn(out, F.last("_v", ignorenulls=True).over(upto))
+    return rows.where("_row is not null").select("_row.*", out)

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import rules
 from ..functions import text as t
 from ..functions.numeric import US
-from .chunked import previous_within
 from .joins import train_asset_join
-from .sweep import live_counts
+from .sweep import activity
 
 KEYS = ["client_id", "asset_id"]
 
@@ -19,14 +18,13 @@ def temporal_features(events: DataFrame) -> DataFrame:
 
     The delta feature is 1.0 from one hour on, so a one-hour look-back is exact.
     """
-    e = previous_within(events, KEYS, "ts_us", "event_id", 3600 * US)
-    e = live_counts(e.withColumn("_one", F.lit(1).cast("bigint")), KEYS, "ts_us", 60 * US, {"_n": "_one"})
+    e = activity(events, KEYS, "ts_us", "event_id", count_as="_n")
     return e.withColumns({
         "timestamp_delta": t.delta_feature((F.col("ts_us") - F.col("prev_us")) / F.lit(float(US))),
         "events_per_minute": t.rate_feature("_n"),
         "hour_of_day": t.hour_of_day("ts_us"),
         "day_of_week": t.day_of_week("ts_us"),
-    }).drop("prev_us", "_n", "_one")
+    }).drop("prev_us", "_n")
 
 
 def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 50) -> DataFrame:
@@ -48,9 +46,8 @@ def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 50)
 
 def history_at_event(events: DataFrame, assets: DataFrame) -> DataFrame:
     """Events of the last minute, gap to the previous event within 24 h and asset value, per event."""
-    e = previous_within(events, KEYS, "ts_us", "event_id", 86_400 * US, out="last_us")
-    e = live_counts(e.withColumn("_one", F.lit(1).cast("bigint")), KEYS, "ts_us", 60 * US, {"epm_count": "_one"})
-    return train_asset_join(e.drop("_one"), assets)
+    e = activity(events, KEYS, "ts_us", "event_id", lookback_us=86_400 * US, count_as="epm_count", prev_as="last_us")
+    return train_asset_join(e, assets)
 
 
 def contamination(events: DataFrame) -> DataFrame:

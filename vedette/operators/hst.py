@@ -99,7 +99,7 @@ def sequence(events: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
     e = earlier_rows(e, KEYS, order, div_us("ts_us", chunk_us), "_seq")
     e = e.withColumn("seq", F.col("_seq") + 1).drop("_seq")
     e = e.withColumn("_weight", F.when(F.col("learned"), F.when(F.col("seq") < rules.WARMUP_EVENTS, 2).otherwise(1)).otherwise(0))
-    e = earlier_rows(e, KEYS, order, div_us("ts_us", chunk_us), "learned_before", F.col("_weight"))
+    e = earlier_rows(e, KEYS, order, div_us("ts_us", chunk_us), {"learned_before": F.col("_weight")})
     return burn_in(e)
 
 
@@ -172,5 +172,5 @@ def flags(scored: DataFrame) -> DataFrame:
 
 def half_space_trees(features: DataFrame) -> DataFrame:
     """Raw density, score and flags per event. ``features`` holds the nine features and danger_score."""
-    s = cut_lineage(sequence(features))
+    s = cut_lineage(sequence(cut_lineage(features)))
     return flags(s.join(raw_density(s), [*KEYS, "event_id"]))

@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting, Zhou 2008) fitted and applied per key on Spark.
 
-Fit: each tree sees at most 256 rows of its key, chosen by hash, so what is shuffled and
-grouped is bounded whatever the key's size. Score: keys are cut into groups of about
+Fit: each tree sees at most 256 rows of its key, and what is shuffled and grouped for a
+key is bounded whatever its size. Score: keys are cut into groups of about
 50 000 rows and each group meets a copy of its key's trees.
 """
 
@@ -79,44 +79,58 @@ def _typed(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def tree_samples(features: DataFrame, keys: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
-    """(row, tree) pairs: the ``sample`` rows with the smallest hash per key and tree.
+def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """Rows from which the trees of each (key, block of trees) draw their samples.
 
-    A row first passes a hash threshold that lets about twice the sample through, so the
-    pairs that reach the shuffle number about 2 * sample * trees per key, not rows * trees.
+    A key of up to trees * (2 * sample + 64) rows sends all its rows to each block (to one
+    block when it is tiny). A larger key hashes each row once: the hash decides whether
+    the row is a candidate and for which tree, about 2 * sample per tree. Either way a
+    group is bounded and nothing is multiplied by the number of trees.
     """
+    most = trees * (2 * sample + 64)
+    blocks = -(-trees // BLOCK)
+    n = F.col("_rows")
     sizes = features.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    bar = F.least(F.lit(1.0), F.lit(2.0 * sample + 64.0) / F.col("_rows"))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.xxhash64(as_col(row_id), t, F.lit(seed)).alias("draw")))
-    limit = (bar - F.lit(0.5)) * F.lit(float(2**64))
-    picked = F.filter(draws, lambda d: (F.col("_bar") >= 1.0) | (d["draw"].cast("double") <= F.col("_limit")))
-    pairs = (
-        features.join(sizes, list(keys)).withColumns({"_bar": bar, "_limit": limit})
-        .withColumn("_d", F.explode(picked)).select("*", "_d.tree", "_d.draw").drop("_d", "_bar", "_limit", "_rows")
+    u = F.xxhash64(as_col(row_id), F.lit(seed)).cast("double") / F.lit(float(2**64)) + F.lit(0.5)
+    tree = F.when(n > most, F.floor(F.col("_u") * n / F.lit(float(most)) * trees).cast("int"))
+    where = (
+        F.when(n <= 4096, F.array(F.lit(-1)))
+        .when(n <= most, F.sequence(F.lit(0), F.lit(blocks - 1)))
+        .otherwise(F.array(F.floor(tree / BLOCK).cast("int")))
+    )
+    return (
+        features.join(sizes, list(keys)).withColumn("_u", u)
+        .where((n <= most) | (F.col("_u") * n < F.lit(float(most))))
+        .withColumns({"_tree": tree, "_block": F.explode(where)}).drop("_rows")
     )
-    w = Window.partitionBy(*keys, "tree").orderBy("draw", row_id)
-    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample).drop("_n", "draw")
 
 
 def fit(features: DataFrame, keys: Sequence[str], row_id: str, columns: Sequence[str] = rules.FEATURES,
         trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """Trees table: one row per (key, tree) with node arrays."""
     keys, columns = list(keys), list(columns)
-    pairs = tree_samples(features.select(*keys, row_id, *columns), keys, row_id, trees, sample, seed)
-    pairs = pairs.withColumn("_block", F.floor(F.col("tree") / BLOCK))
+    rows = candidates(features.select(*keys, row_id, *columns), keys, row_id, trees, sample, seed)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_u", row_id], kind="stable")
+        x, block = pdf[columns].to_numpy(dtype=float), int(pdf["_block"].iloc[0])
+        shared = pdf["_tree"].isna().to_numpy()
+        own = pdf["_tree"].fillna(-1).to_numpy(dtype=int)
+        wanted = range(trees) if block < 0 else range(block * BLOCK, min(trees, (block + 1) * BLOCK))
         out = []
-        for tree, part in pdf.groupby("tree", sort=True):
-            part = part.sort_values(row_id, kind="stable")
-            nodes = grow(part[columns].to_numpy(dtype=float), np.random.default_rng(seed * 100_003 + int(tree)))
-            out.append([part[k].iloc[0] for k in keys] + [int(tree), len(part), *nodes])
+        for tree in wanted:
+            rng = np.random.default_rng(seed * 100_003 + tree)
+            if shared.all():
+                picked = x if len(x) <= sample else x[rng.choice(len(x), sample, replace=False)]
+            else:
+                picked = x[own == tree][:sample]
+            if len(picked):
+                out.append([pdf[k].iloc[0] for k in keys] + [tree, len(picked), *grow(picked, rng)])
         return pd.DataFrame(out, columns=[*keys, "tree", "sample", "feature", "threshold", "left", "right", "rows"])
 
     schema = (_typed(features, keys) + ", tree int, sample int, feature array<int>, threshold array<double>, "
               "left array<int>, right array<int>, rows array<int>")
-    return spread(pairs, *keys, "_block").groupBy(*keys, "_block").applyInPandas(build, schema)
+    return spread(rows, *keys, "_block").groupBy(*keys, "_block").applyInPandas(build, schema)
 
 
 def packed(model: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -134,9 +134,9 @@ def last_feature_vector(incidents: DataFrame, features: DataFrame, vector: str =
 
     left = incidents.select("client_id", "asset_id", F.col("created_us").alias("_t"), F.lit(1).alias("_side"),
                             F.col("id").alias("_tie"),
-                            F.struct(*[F.col(c) for c in incidents.columns]).alias("_row"))
+                            F.struct(*[F.col(c) for c in incidents.columns]).alias("_rec"))
     right = features.select("client_id", "asset_id", F.col("ts_us").alias("_t"), F.lit(0).alias("_side"),
                             F.col("event_id").alias("_tie"), F.col(vector).alias("_v"))
     line = left.unionByName(right, allowMissingColumns=True)
     known = last_known(line, ["client_id", "asset_id"], ["_t", "_side", "_tie"], div_us("_t", chunk_us), "_v", vector)
-    return known.where("_side = 1").select("_row.*", vector)
+    return known.where("_side = 1").select("_rec.*", vector)

@@ -77,6 +77,28 @@ def live_counts(df: DataFrame, keys: Sequence[str], ts: str, width_us: int, meas
     return rows.withColumns(sums).where(EVENT).select(f"{ROW}.*", *measures)
 
 
+def activity(df: DataFrame, keys: Sequence[str], ts: str, tie: str, width_us: int = 60 * US,
+             lookback_us: int = 3600 * US, count_as: str = "per_minute", prev_as: str = "prev_us") -> DataFrame:
+    """Events in (t - width, t] and the time of the previous event within the look-back.
+
+    Both come from one shuffle: chunks are as long as the look-back, and each chunk is
+    told the last time of the chunk before by one extra row.
+    """
+    keys = list(keys)
+    size = max(lookback_us, width_us + 2)
+    tied = df.withColumn("_tie", F.col(tie))
+    rows = live_rows(tied, [*keys, "_tie"], ts, width_us, chunk_us=size)
+    border = df.groupBy(*keys, div_us(F.col(ts), size).alias(CHUNK)).agg(F.max(ts).alias(AT)).select(
+        *keys, (F.col(CHUNK) + 1).alias(CHUNK), AT, F.lit(0).cast("bigint").alias(SIGN), F.lit(False).alias(EVENT))
+    rows = rows.unionByName(border, allowMissingColumns=True).repartition(*keys, CHUNK)
+    past = (Window.partitionBy(*keys, CHUNK).orderBy(AT, F.col("_tie").asc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.last(F.when(F.col(SIGN) >= 0, F.col(AT)), ignorenulls=True).over(past)
+    out = rows.withColumns({count_as: F.sum(SIGN).over(so_far(*keys)), prev_as: seen}).where(EVENT)
+    near = F.when(F.col(AT) - F.col(prev_as) <= lookback_us, F.col(prev_as))
+    return out.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns], count_as, near.alias(prev_as))
+
+
 def correlate(events: DataFrame, client: str = "client_id", window_s: int = rules.CORRELATION_WINDOW_S) -> DataFrame:
     """Attack pattern of each event from its (client, src_ip) history of six minutes.
 

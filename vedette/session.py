@@ -76,3 +76,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     not be merged by size afterwards; a partition count that is named is left alone.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the session has cores.
+
+    For CPU-heavy work straight on a small file; a large input has its splits and is
+    returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
