@@ -86,3 +86,21 @@ def test_density_parts_and_warmup(spark, monkeypatch):
     assert out.groupBy("asset_id").agg(F.count_if("river_warmup").alias("w")).where("w <> 29").count() == 0
     assert out.where("raw_score > 0").count() > 0 and out.where("raw_score < 0 or raw_score > 1").count() == 0
     assert out.where("not learned").count() == len([i for i in range(2600) if i % 13 == 0])
+
+
+def test_large_keys_draw_candidates_by_hash(spark):
+    df = planted(spark)
+    rows = iforest.candidates(df, ["k"], "id", trees=4, sample=16, seed=1)
+    big = rows.where("k = 'big'")
+    assert big.where("_tree is null").count() == 0 and 250 < big.count() <= 541
+    assert big.groupBy("id").count().where("count > 1").count() == 0
+    model = iforest.fit(df, ["k"], "id", COLS, trees=4, sample=16, seed=1)
+    assert model.groupBy("k").count().where("count <> 4").count() == 0
+    assert model.agg(F.max("sample")).first()[0] == 16
+
+
+def test_one_external_actor_turns_the_batch(spark):
+    from vedette.operators.discovery import resolve_google_asset
+    rows = [("a@corp.example", "p1"), ("x@gmail.com", "p2"), ("b@corp.example", None)]
+    df = spark.createDataFrame(rows, "actor string, parameter string")
+    assert [r["target_asset"] for r in resolve_google_asset(df, [], "actor", "parameter").collect()] == ["p1", "p2", "b@corp.example"]

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import google_asset
+from ..session import small_side
 
 
 def resolve_google_asset(events: DataFrame, batch: Sequence[str], actor: str, parameter: str) -> DataFrame:
     """Adds ``target_asset``. If any actor of the batch is external the whole batch uses the parameter.
 
-    One flag per batch, aggregated before the join back.
+    One flag per batch, aggregated before the join back; without batch keys the whole frame is one.
     """
-    flags = events.groupBy(*batch).agg(F.bool_or(F.coalesce(F.col(actor).rlike(rules.EXTERNAL_ACTOR), F.lit(False)))
-                                       .alias("_external"))
+    external = F.bool_or(F.coalesce(F.col(actor).rlike(rules.EXTERNAL_ACTOR), F.lit(False)))
+    if not batch:
+        found = events.agg(external).scalar()
+        return events.withColumn("target_asset", google_asset(actor, parameter, found))
+    flags = small_side(events.groupBy(*batch).agg(external.alias("_external")))
     return (events.join(flags, list(batch), "left")
             .withColumn("target_asset", google_asset(actor, parameter, "_external")).drop("_external"))
 

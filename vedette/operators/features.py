@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import rules
 from ..functions import text as t
 from ..functions.numeric import US
+from ..session import small_side
 from .joins import train_asset_join
 from .sweep import activity
 
@@ -32,7 +33,7 @@ def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 50)
 
     An unregistered asset takes its activity level as its value.
     """
-    sizes = events.groupBy("client_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
+    sizes = small_side(events.groupBy("client_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows).drop("_n"))
     e = train_asset_join(temporal_features(events.join(sizes, "client_id", "left_semi")), assets)
     value = F.least(F.col("valor_activo") / F.lit(rules.ASSET_VALUE_CEILING), F.lit(1.0))
     numeric = F.col("numeric_anomaly") if "numeric_anomaly" in events.columns else t.numeric_feature("numeric_value")
@@ -71,7 +72,10 @@ def scaler(features: DataFrame, columns=rules.FEATURES) -> DataFrame:
 
 def standard_scaler(features: DataFrame, columns=rules.FEATURES) -> DataFrame:
     """z-scores per tenant. The statistics are one row per tenant."""
-    stats = scaler(features, columns)
+    return scale(features, small_side(scaler(features, columns)), columns)
+
+
+def scale(features: DataFrame, stats: DataFrame, columns=rules.FEATURES) -> DataFrame:
     joined = features.join(stats, "client_id")
     z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale")).alias(c) for c in columns]
     return joined.select(*[c for c in features.columns if c not in columns], *z)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions.numeric import as_col
-from ..session import spread
+from ..session import small_side, spread
 
 SAMPLE = 256
 TREES = 100
@@ -90,7 +90,7 @@ def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int
     most = trees * (2 * sample + 64)
     blocks = -(-trees // BLOCK)
     n = F.col("_rows")
-    sizes = features.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    sizes = small_side(features.groupBy(*keys).agg(F.count("*").alias("_rows")))
     u = F.xxhash64(as_col(row_id), F.lit(seed)).cast("double") / F.lit(float(2**64)) + F.lit(0.5)
     tree = F.when(n > most, F.floor(F.col("_u") * n / F.lit(float(most)) * trees).cast("int"))
     where = (
@@ -143,7 +143,7 @@ def with_model(features: DataFrame, model: DataFrame, keys: Sequence[str], row_i
                group_rows: int = GROUP_ROWS) -> DataFrame:
     """Runs ``apply(pdf, trees) -> pdf`` on groups of about ``group_rows`` rows of one key."""
     keys = list(keys)
-    sizes = features.groupBy(*keys).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_groups"))
+    sizes = small_side(features.groupBy(*keys).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_groups")))
     left = features.join(sizes, keys).withColumn("_group", F.pmod(F.xxhash64(row_id), F.col("_groups")).cast("int"))
     right = (packed(model, keys).join(sizes, keys)
              .withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups"))

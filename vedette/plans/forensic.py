@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import text as t
@@ -11,8 +11,9 @@ from ..functions.numeric import exact_sum, round_to
 from ..operators import discovery, iforest
 from ..operators.ranking import first_per_key
 from ..operators.risk import sandbox_asset_score
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
+MAX_PATHS = 5000
 ANOMALY_AT = 0.5  # isolation above one half, the forest's automatic contamination
 
 
@@ -26,6 +27,8 @@ def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tupl
     profile = cut_lineage(discovery.profile_paths(flat))
     asset = discovery.discover_asset_column(profile).first()["asset_column"]
     event = discovery.discover_event_column(profile).first()["event_column"]
+    if profile.count() > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} distinct fields: the logs use data as field names")
     kinds = profile.select("path", (F.col("number_share") == 1.0).alias("numeric")).orderBy("path").collect()
     numeric = [r["path"] for r in kinds if r["numeric"]]
 
@@ -35,8 +38,8 @@ def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tupl
     scored = flat.withColumn("actor", field(asset))
     if asset == "actor_email":
         parameter = next((r["path"] for r in kinds if "parameters" in r["path"].lower() and "value" in r["path"].lower()), None)
-        scored = scored.withColumns({"_all": F.lit(0), "parameter": field(parameter)})
-        scored = discovery.resolve_google_asset(scored, ["_all"], "actor", "parameter").drop("_all", "parameter")
+        scored = scored.withColumn("parameter", field(parameter))
+        scored = discovery.resolve_google_asset(scored, [], "actor", "parameter").drop("parameter")
     else:
         scored = scored.withColumn("target_asset", F.col("actor"))
     value = field("val").try_cast("double")
@@ -56,7 +59,7 @@ def flag_anomalies(prepared: DataFrame, paths: list[str], numeric: list[str], ro
     x = prepared.select(row_id, *keys, F.col("danger_score").alias("danger"), F.coalesce("iot_danger", F.lit(0.0)).alias("iot"),
                         sandbox_asset_score("target_asset").alias("asset_value"),
                         *discovery.numeric_vector(F.col("fields"), paths, numeric))
-    sizes = x.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
+    sizes = small_side(x.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n"))
     x = cut_lineage(x.join(sizes, keys, "left_semi"))
     names = ["danger", "iot", "asset_value", *columns]
     model = cut_lineage(iforest.fit(x, keys, row_id, names))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .. import rules
 from ..operators import features as feat, iforest
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 KEYS = ["client_id"]
 
@@ -30,24 +29,18 @@ def train(features: DataFrame, contamination: DataFrame, row_id: str = "event_id
     once instead of being computed again by every step.
     """
     features = cut_lineage(features)
-    stats = cut_lineage(feat.scaler(features))
-    scaled = scale(features, stats)
+    stats = small_side(feat.scaler(features))
+    scaled = feat.scale(features, stats)
     model = cut_lineage(iforest.fit(scaled, KEYS, row_id))
     scores = cut_lineage(iforest.raw_scores(scaled, model, KEYS, row_id))
-    offset = cut_lineage(iforest.offsets(scores, contamination, KEYS))
+    offset = small_side(iforest.offsets(scores, contamination, KEYS))
     decided = iforest.decide(scores, offset, KEYS)
     return Trained(scaled, stats, model, offset, decided, iforest.stability(decided, contamination, KEYS))
 
 
-def scale(features: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = features.join(stats, KEYS)
-    z = [((F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale")).alias(c) for c in rules.FEATURES]
-    return joined.select(*[c for c in features.columns if c not in rules.FEATURES], *z)
-
-
 def score(features: DataFrame, trained: Trained, row_id: str = "event_id") -> DataFrame:
     """decision, anomaly_score and confidence of new rows; tenants without a model drop out."""
-    scaled = scale(features, trained.stats)
+    scaled = feat.scale(features, trained.stats)
     scores = iforest.raw_scores(scaled, trained.model, KEYS, row_id)
     return iforest.decide(scores, trained.offset, KEYS)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: str = "8", app: str = "vedette") -> SparkSession:
@@ -86,3 +86,13 @@ def widen(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Join side that should be small: computed once, counted, broadcast only within the limit.
+
+    The planner cannot know that an aggregate over a huge table has few rows and would
+    shuffle the huge table for the join. Above the limit it stays an ordinary join.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
