@@ -1,15 +1,21 @@
 """Store, composite-job and forensic queries."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from .. import rules
-from ..operators import features, filters, sweep
+from ..operators import dashboards, features, incidents, sweep
+from ..session import shared_folder
+from ..sources.raw import read_inventory
 from ..session import widen
 from ..plans import forensic, normalize, pipeline, train
 from ..sources import store
 from .registry import query
+from .risk import _sessions
 from .scalars import _classify_sql, _detect_sql
-from .windows import r
+from .joins import INTEL_SQL
+from .windows import CORR, r
 
 
 @query("scan_features", "month_events", """
@@ -28,6 +34,57 @@ def _(v):
     return rows.groupBy("client_id", F.col("created_date").cast("string").alias("created_date")).agg(F.count("*").alias("rows"))
 
 
+@query("sink_escalated_features", "sec_events", """
+SELECT client_id, escalated, count(*) AS rows, max(river_score) AS top_score FROM (SELECT *, command_risk >= 0.4 AS escalated, severity_score AS river_score FROM (
+  SELECT * REPLACE (concat(raw_hash, '-', event_id) AS raw_hash) FROM sec_events)) GROUP BY 1, 2""")
+def _(v):
+    base = os.path.join(shared_folder(v.spark), f"features-{uuid.uuid4().hex}")
+    e = v.sec_events.withColumns({"raw_hash": F.concat("raw_hash", F.lit("-"), F.col("event_id").cast("string")),
+                                  "river_score": F.col("severity_score"), "escalated": F.col("command_risk") >= 0.4})
+    store.sink_features(e.where("not escalated"), base)
+    store.sink_features(e.where("escalated"), base)
+    store.sink_features(e.where("escalated"), base)  # a second delivery changes nothing
+    return v.spark.read.parquet(base).groupBy("client_id", "escalated").agg(
+        F.count("*").alias("rows"), F.max("river_score").alias("top_score"))
+
+
+@query("upsert_incidents", "burst_events decisions", _sessions(True))
+def _(v):
+    early = F.col("ts_us") < F.lit(1704067200000000 + 64_800_000_000)
+    stored = incidents.consolidate(v.burst_events.where(early), v.decisions)
+    new = incidents.consolidate(v.burst_events.where(~early), v.decisions)
+    return incidents.merge_incidents(stored, new, v.decisions).drop("opener_id")
+
+
+@query("read_inventory", "messy_assets", """
+SELECT count(*) AS assets, count(CASE WHEN trim("Nombre del Activo") <> '' THEN 1 END) AS named, count("Valor") AS valued FROM messy_assets""")
+def _(v):
+    base = os.path.join(shared_folder(v.spark), f"inventory-{uuid.uuid4().hex}")
+    v.messy_assets.write.csv(base, header=True)
+    df = read_inventory(v.spark, base)
+    return df.agg(F.count("*").alias("assets"), F.count(F.when(F.trim("`Nombre del Activo`") != "", 1)).alias("named"),
+                  F.count("Valor").alias("valued"))
+
+
+@query("dashboard", "incidents", """
+WITH d AS (SELECT *, (SELECT max(created_us) FROM incidents) AS now FROM incidents)
+SELECT 'summary' AS frame, count(DISTINCT client_id) AS rows FROM d WHERE created_us >= now - 7 * 86400000000 UNION ALL
+SELECT 'trends', count(DISTINCT (client_id, created_us // 3600000000)) FROM d WHERE created_us >= now - 7 * 86400000000 UNION ALL
+SELECT 'top_attackers', count(*) FROM (SELECT client_id, src_ip, row_number() OVER (PARTITION BY client_id) AS p FROM d WHERE src_ip IS NOT NULL GROUP BY 1, 2) WHERE p <= 5 UNION ALL
+SELECT 'top_assets', count(*) FROM (SELECT client_id, asset_id, row_number() OVER (PARTITION BY client_id) AS p FROM d GROUP BY 1, 2) WHERE p <= 5 UNION ALL
+SELECT 'latest_explanation', count(DISTINCT client_id) FROM d WHERE explanation IS NOT NULL UNION ALL
+SELECT 'executive_metrics', count(DISTINCT client_id) FROM d WHERE created_us >= now - 30 * 86400000000 UNION ALL
+SELECT 'risk_by_asset', count(DISTINCT (client_id, asset_id, clasificacion_criticidad)) FROM d WHERE created_us >= now - 30 * 86400000000""")
+def _(v):
+    frames = dashboards.dashboard(v.incidents)
+    names = ["summary", "trends", "top_attackers", "top_assets", "latest_explanation", "executive_metrics", "risk_by_asset"]
+    counts = [frames[n].agg(F.lit(n).alias("frame"), F.count("*").alias("rows")) for n in names]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 @query("retention", "incidents", "SELECT id, created_us FROM incidents WHERE created_us >= (SELECT max(created_us) FROM incidents) - 90 * 86400000000")
 def _(v):
     return store.retention(v.incidents, v.incidents.agg(F.max("created_us")).scalar(), 90, "created_us").select("id", "created_us")
@@ -59,7 +116,22 @@ def _(v):
         "event_id", "client_id", "source", "src_ip", "asset_id", "event_type", "severity_score", "severity", "pattern_hint", "pattern_confidence")
 
 
-@query("gateway_batch", "", None)
+_GATE = f"""{_NORM}, norm AS (SELECT event_id, client_id, ts_us, source, src_ip, asset_id, event_type, sev3, coalesce(best.p, CASE WHEN sev >= 0.8 THEN 'high_severity_event' ELSE 'none' END) AS hint FROM n3),
+{INTEL_SQL.replace('FROM sec_events e', 'FROM norm e')}, {CORR.replace('FROM sec_events', 'FROM norm')},
+g AS (SELECT c.event_id, c.client_id, c.source, c.src_ip, c.asset_id, c.sev3, c.hint, c.event_type, coalesce(i.x IS NOT NULL AND i.ts_us < i.x.u AND i.src_ip NOT LIKE '10.%' AND (i.x.b OR i.x.c >= 25), false) AS threat_intel,
+  c.correlation_pattern AS p0, c.correlation_count AS n0, c.is_outbound FROM correlated c JOIN intel_at i USING (event_id)),
+h AS (SELECT *, CASE WHEN threat_intel THEN 'c2_beacon' WHEN src_ip IS NULL THEN CASE WHEN is_outbound THEN 'suspicious_outbound' ELSE 'none' END ELSE p0 END AS correlation_pattern,
+  CASE WHEN threat_intel THEN 1 WHEN src_ip IS NULL THEN CASE WHEN is_outbound THEN 1 ELSE 0 END ELSE n0 END AS correlation_count FROM g),
+l AS (SELECT *, CASE WHEN threat_intel THEN greatest(sev3, 0.8) ELSE sev3 END AS s, CASE WHEN correlation_pattern <> 'none' THEN correlation_pattern ELSE hint END AS q0 FROM h),
+z AS (SELECT *, CASE WHEN correlation_count >= 5 AND q0 IN ('none', 'brute_force_attempt') THEN 'brute_force' ELSE q0 END AS label_pattern FROM l),
+y AS (SELECT *, CASE WHEN s >= 0.75 OR label_pattern IN ('lateral_movement', 'brute_force_success', 'c2_beacon') THEN 'high' WHEN s >= 0.45 OR label_pattern IN ('brute_force', 'port_scan', 'suspicious_outbound') THEN 'medium' ELSE 'low' END AS risk_level FROM z)
+SELECT event_id, client_id, source, src_ip, asset_id, threat_intel, correlation_pattern, correlation_count,
+  coalesce((SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND a.hostname = y.asset_id), (SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND lower(a.nombre_activo) = lower(y.asset_id))) AS asset_row,
+  NOT (sev3 < 0.05 OR lower(event_type) IN ('health_check', 'ping', 'keepalive', 'heartbeat', 'metrics_collection', 'log_rotation')) AS passed, risk_level,
+  CASE risk_level WHEN 'high' THEN 'escalate' WHEN 'medium' THEN 'review' ELSE 'ignore' END AS action, label_pattern FROM y"""
+
+
+@query("gateway_batch", "raw_logs intel assets", f"WITH {_GATE}")
 def _(v):
     e = pipeline.gateway_batch(widen(v.raw_logs), v.assets, v.intel, severity=F.col("severity_score"), received_us=F.col("ts_us"))
     return e.select("event_id", "client_id", "source", "src_ip", "asset_id", "threat_intel", "correlation_pattern",

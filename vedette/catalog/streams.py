@@ -10,7 +10,7 @@ from ..session import shared_folder
 from ..sources.views import stream_view
 from ..streaming import density, jobs
 from .registry import query
-from .risk import _sessions
+from .risk import _GAP, _sessions
 from .windows import CORR, r
 
 
@@ -36,7 +36,9 @@ def _(v):
     return jobs.run_to_folder(jobs.trend(_stream(v, "burst_events")), "trend")
 
 
-@query("stream_incidents", "burst_events", None)
+@query("stream_incidents", "burst_events", f"""
+SELECT client_id, asset_id, src_ip, pattern, event_count, first_seen_us, last_seen_us, peak_anomaly_score, anomaly_score FROM ({_sessions(False).replace('WITH g AS', 'WITH g AS', 1)})
+WHERE last_seen_us + {_GAP} <= (SELECT max(ts_us) // 1000 * 1000 FROM burst_events) - 360000000""")
 def _(v):
     return jobs.run_to_folder(jobs.sessions(_stream(v, "burst_events")), "sessions")
 
