@@ -5,11 +5,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..operators import dashboards, features, incidents, sweep
 from ..session import shared_folder
 from ..sources.raw import read_inventory
 from ..session import widen
-from ..plans import forensic, normalize, pipeline, train
+from ..plans import explain, forensic, normalize, pipeline, train
 from ..sources import store
 from .registry import query
 from .risk import _sessions
@@ -227,3 +228,31 @@ def _(v):
 def _(v):
     prepared, _, _ = forensic.prepare(widen(v.raw_logs))
     return forensic.explain_assets(prepared.withColumn("is_anomaly", F.col("danger_score") >= 0.5))
+
+
+def _shifted(v):
+    created = F.lit(1704067200000000) + F.col("created_us") % F.lit(2592000000000)
+    return v.incidents.withColumn("created_us", created)
+
+
+def _vectors(v):
+    e = v.month_events.withColumns({"timestamp_delta": F.col("command_risk") * 4000.0})
+    return e.select("client_id", "asset_id", "event_id", "ts_us", *[
+        (F.col(f) if f in e.columns else F.lit(0.5)).cast("double").alias(f) for f in rules.FEATURES])
+
+
+@query("explain_incidents", "month_events incidents", f"""
+WITH s AS (SELECT id, client_id, asset_id, 1704067200000000 + (created_us % 2592000000000) AS t, anomaly_score FROM incidents),
+j AS (SELECT s.id, s.client_id, coalesce(f.severity_score, s.anomaly_score) AS sev, coalesce(f.command_risk * 4000.0, 300.0) AS d FROM s ASOF LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, asset_id, ts_us ORDER BY event_id DESC) AS rn FROM month_events) WHERE rn = 1) f
+ ON s.client_id = f.client_id AND s.asset_id = f.asset_id AND s.t >= f.ts_us)
+SELECT id, client_id, CASE WHEN abs(a) >= abs(b) THEN '{rules.EXPLANATIONS["severity_score"]}' ELSE '{rules.EXPLANATIONS["timestamp_delta"]}' END AS explanation
+FROM (SELECT *, {r('(sev - 0.5) * 0.6', 4)} AS a, {r('-d / 10000.0', 4)} AS b FROM j)""")
+def _(v):
+    return explain.explain_incidents(_shifted(v), _vectors(v)).select("id", "client_id", "explanation")
+
+
+@query("explain_incidents_model", "", None)
+def _(v):
+    trained = train.train(features.training_features(v.sec_events, v.assets), features.contamination(v.sec_events))
+    return explain.explain_incidents(_shifted(v), _vectors(v), trained).select("id", "client_id", "explanation")

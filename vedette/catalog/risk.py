@@ -176,7 +176,7 @@ def _quick(v):
 WITH {_QUICK} SELECT event_id, {r('av', 3)} AS asset_value_score, {r('usd', 2)} AS asset_value_usd, {r('ef', 3)} AS exposure_factor, {r('sle', 2)} AS sle_usd, {r('aro', 2)} AS aro, {r('ale', 2)} AS ale_usd,
  lvl AS risk_level, CASE lvl WHEN 'critical' THEN 'contain' WHEN 'high' THEN 'escalate' WHEN 'medium' THEN 'review' ELSE 'ignore' END AS action, {_ISO('pat')} AS iso_control, {r('ratio', 3)} AS anomaly_ratio FROM quick""")
 def _(v):
-    return _quick(v).drop("cia_impact")
+    return _quick(v).drop("cia_impact", "asset_info")
 
 
 def _pick(col, sql, name):
@@ -253,6 +253,27 @@ def _(v):
     return ranking.page(v.assets.where("client_id = 'client-1'"), [F.desc("id")], 50, 100).select("id", "client_id", "hostname")
 
 
+@query("asset_by_id", "assets", "SELECT id, client_id, hostname, valor_activo FROM assets WHERE client_id = 'client-1' AND id = (SELECT max(p_partkey) FROM part WHERE p_partkey % 3 = 1)")
+def _(v):
+    wanted = v.table("part").where("p_partkey % 3 = 1").agg(F.max("p_partkey")).scalar()
+    return inventory.asset_by_id(v.assets, wanted, "client-1").select("id", "client_id", "hostname", "valor_activo")
+
+
+@query("asset_info", "sec_events", f"""
+WITH {_QUICK} SELECT event_id, CASE WHEN reg THEN NULL ELSE host END AS nombre, CASE WHEN reg THEN coalesce(aval, 0) END AS valor_usd, CASE WHEN reg THEN event_id % 8 = 0 END AS contiene_pii, NOT reg AS noted FROM quick""")
+def _(v):
+    i = F.col("asset_info")
+    return _quick(v).select("event_id", i["nombre"].alias("nombre"), i["valor_usd"].alias("valor_usd"),
+                            i["contiene_pii"].alias("contiene_pii"), i["nota"].isNotNull().alias("noted"))
+
+
+@query("review_audit", "incidents reviews", """
+SELECT CAST(i.id AS VARCHAR) AS entity_id, i.client_id AS actor, concat('RECOMMENDATION_', r.action) AS event_type, concat('{"action":"', r.action, '","note":"', r.note, '"}') AS payload
+FROM incidents i JOIN reviews r ON r.id = i.id WHERE i.status = 'PENDING'""")
+def _(v):
+    return incidents.review_audit(v.incidents, v.reviews).drop("reviewed_us")
+
+
 @query("asset_changes", "assets asset_changes", """
 WITH l AS (SELECT client_id, id, arg_max(op, seq) AS op, arg_max(nombre_activo, seq) FILTER (op = 'U' AND nombre_activo IS NOT NULL) AS nm, arg_max(valor_activo, seq) FILTER (op = 'U' AND valor_activo IS NOT NULL) AS vv FROM asset_changes GROUP BY 1, 2)
 SELECT a.id, a.client_id, coalesce(nm, nombre_activo) AS nombre_activo, coalesce(vv, valor_activo) AS valor_activo FROM assets a LEFT JOIN l ON l.client_id = a.client_id AND l.id = a.id WHERE coalesce(l.op, '') <> 'D'""")

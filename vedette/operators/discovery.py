@@ -61,6 +61,14 @@ def discover_time_column(profile: DataFrame) -> DataFrame:
         F.col("x.path").alias("time_column"), F.col("x.unit").alias("unit"))
 
 
+def parsed_time(value, unit: str):
+    """Microseconds of the discovered time column; NULL where it cannot be read."""
+    number = value.try_cast("double")
+    if unit == "ms":
+        return (number * 1e3).cast("bigint")
+    return (number * 1e6).cast("bigint") if unit == "s" else F.unix_micros(F.try_to_timestamp(value))
+
+
 def discover_event_column(profile: DataFrame) -> DataFrame:
     listed = _ranked(profile, rules.EVENT_COLUMNS, F.lower("path"))
     return listed.agg(F.min_by("path", F.struct("_place", "path")).alias("event_column"))

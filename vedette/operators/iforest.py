@@ -267,36 +267,55 @@ def _leaves(tree) -> list:
     return out
 
 
+def _leaf_games(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Shapley values of leaves with m path conditions, for every subset a row may meet.
+
+    A leaf's game is a product over its features: factor 1 or 0 when the feature is known,
+    its share of rows when it is not. The values follow from the polynomial in the number
+    of known features. Result [leaf, c] belongs to rows whose met conditions are the bits
+    of c.
+    """
+    leaves, m = weights.shape
+    met = ((np.arange(2**m)[:, None] >> np.arange(m)) & 1).astype(float)
+    out = np.zeros((leaves, 2**m, m))
+    for j in range(m):
+        poly = [np.ones((leaves, 2**m))]  # poly[s] = sum over sets of s known features without j
+        for k in range(m):
+            if k == j:
+                continue
+            grown = [c * weights[:, k, None] for c in poly] + [np.zeros((leaves, 2**m))]
+            for s, c in enumerate(poly):
+                grown[s + 1] = grown[s + 1] + c * met[:, k]
+            poly = grown
+        total, share = np.zeros((leaves, 2**m)), 1.0 / m  # share = s!(m-s-1)!/m!
+        for s, c in enumerate(poly):
+            total += share * c
+            if s + 1 < m:
+                share *= (s + 1) / (m - s - 1)
+        out[:, :, j] = values[:, None] * (met[:, j] - weights[:, j, None]) * total
+    return out
+
+
 def shapley(x: np.ndarray, trees, n_features: int) -> np.ndarray:
     """Path-dependent Shapley values of the mean path length (Lundberg et al. 2018).
 
-    Along one leaf the game is a product over its features, each factor 1 or 0 when the
-    feature is known and its share of rows when it is not. The product's Shapley values
-    follow from the polynomial in the number of known features, for all rows at once.
+    A leaf has at most eight path conditions, so its values are tabulated per subset of
+    met conditions and every row just looks its subset up.
     """
     phi = np.zeros((len(x), n_features))
     for tree in trees:
+        by_size: dict[int, list] = {}
         for value, path in _leaves(tree):
-            names, m = list(path), len(path)
+            by_size.setdefault(len(path), []).append((value, path))
+        for m, leaves in by_size.items():
             if not m:
                 continue
-            known = {f: ((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in names}
-            for j in names:
-                poly = [np.ones(len(x))]  # poly[s] = sum over sets of s known features without j
-                for k in names:
-                    if k == j:
-                        continue
-                    new = [c * path[k][2] for c in poly] + [np.zeros(len(x))]
-                    for s, c in enumerate(poly):
-                        new[s + 1] = new[s + 1] + c * known[k]
-                    poly = new
-                total = np.zeros(len(x))
-                weight = 1.0 / m  # s!(m-s-1)!/m!
-                for s, c in enumerate(poly):
-                    total += weight * c
-                    if s + 1 < m:
-                        weight *= (s + 1) / (m - s - 1)
-                phi[:, j] += value * (known[j] - path[j][2]) * total
+            tables = _leaf_games(np.array([v for v, _ in leaves]), np.array([[p[2] for p in path.values()] for _, path in leaves]))
+            for (_, path), table in zip(leaves, tables):
+                code = np.zeros(len(x), dtype=np.int64)
+                for i, (f, (low, high, _)) in enumerate(path.items()):
+                    code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << i
+                phi[:, list(path)] += table[code]
     return phi / len(trees)
 
 

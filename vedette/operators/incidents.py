@@ -129,10 +129,24 @@ def merge_incidents(stored: DataFrame, new: DataFrame, reviews: DataFrame | None
     return _finish(_fold(_islands(both, KEY, gap), KEY, F.col("n")))
 
 
+def _last_review(reviews: DataFrame) -> DataFrame:
+    return reviews.groupBy("id").agg(
+        F.max_by(F.struct("action", "note", "reviewed_us"), F.struct("reviewed_us", "action")).alias("_r"))
+
+
+def review_audit(incidents: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Audit records (to be chained) of the decisions that take effect."""
+    return (
+        incidents.where("status = 'PENDING'").join(_last_review(reviews), "id")
+        .select(F.col("id").cast("string").alias("entity_id"), F.col("client_id").alias("actor"),
+                F.concat(F.lit("RECOMMENDATION_"), F.col("_r.action")).alias("event_type"),
+                F.to_json(F.struct("_r.action", "_r.note")).alias("payload"), F.col("_r.reviewed_us").alias("reviewed_us"))
+    )
+
+
 def review_incidents(incidents: DataFrame, reviews: DataFrame) -> DataFrame:
     """Applies decisions (id, action, note, reviewed_us) to PENDING incidents; the newest decision wins."""
-    last = reviews.groupBy("id").agg(
-        F.max_by(F.struct("action", "note", "reviewed_us"), F.struct("reviewed_us", "action")).alias("_r"))
+    last = _last_review(reviews)
     hit = (F.col("status") == "PENDING") & F.col("_r").isNotNull()
     return incidents.join(last, "id", "left").withColumns({
         "review_note": F.when(hit, F.col("_r.note")),

@@ -27,6 +27,10 @@ def apply_changes(assets: DataFrame, changes: DataFrame, keys: Sequence[str] = (
     return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in assets.columns])
 
 
+def asset_by_id(assets: DataFrame, asset_id, client_id: str) -> DataFrame:
+    return assets.where((F.col("id") == asset_id) & (F.col("client_id") == client_id))
+
+
 def bulk_load(assets: DataFrame, new: DataFrame, client_id: str, key: Sequence[str] = ("client_id", "hostname")) -> DataFrame:
     """Inventory after an insert that ignores rows whose key exists; equal new rows keep the smallest id."""
     key = list(key)

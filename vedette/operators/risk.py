@@ -214,6 +214,28 @@ def cia_impact(pattern: str | Column, asset: Column) -> Column:
     return F.struct(*fields)
 
 
+UNREGISTERED = "Activo no registrado. Carga tu inventario"
+
+
+def asset_info(events: DataFrame, asset: str, asset_id: Column) -> Column:
+    """Descriptive fields of the matched asset; name and a note when it is not registered."""
+    present = events.schema[asset].dataType.fieldNames()
+    a = F.col(asset)
+
+    def get(name: str, kind: str = "string") -> Column:
+        return a[name] if name in present else F.lit(None).cast(kind)
+
+    known = a.isNotNull()
+    flags = [F.when(known, F.coalesce(get(f, "boolean"), F.lit(False))).alias(f) for f in rules.SENSITIVE_UPLIFT]
+    return F.struct(
+        get("id", "bigint").alias("id"), F.when(known, get("nombre_activo")).otherwise(asset_id).alias("nombre"),
+        get("tipo_activo").alias("tipo"), get("hostname").alias("hostname"), get("ip_address").alias("ip_address"),
+        get("clasificacion_criticidad").alias("clasificacion"), get("departamento").alias("departamento"),
+        get("propietario").alias("propietario"),
+        F.when(known, F.coalesce(get("valor_activo", "double"), F.lit(0.0))).alias("valor_usd"), *flags,
+        F.when(~known, UNREGISTERED).alias("nota"))
+
+
 def quick_risk(events: DataFrame, asset: str = "asset") -> DataFrame:
     """Adds the struct ``risk``. ``asset`` is a struct column from match_asset, NULL when unregistered.
 
@@ -253,6 +275,7 @@ def quick_risk(events: DataFrame, asset: str = "asset") -> DataFrame:
         round_to("_aro", 2).alias("aro"), round_to("_ale", 2).alias("ale_usd"), F.col("_level").alias("risk_level"),
         by_key("_level", ACTIONS, "ignore").alias("action"), iso_control("_pat").alias("iso_control"),
         round_to("_ratio", 3).alias("anomaly_ratio"), cia_impact("_pat", a).alias("cia_impact"),
+        asset_info(events, asset, have("asset_id", "unknown")).alias("asset_info"),
     )).drop("_av", "_sev", "_pat", "_usd", "_ef", "_ratio", "_sle", "_aro", "_ale", "_level")
 
 

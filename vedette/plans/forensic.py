@@ -27,6 +27,7 @@ def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tupl
     profile = cut_lineage(discovery.profile_paths(flat))
     asset = discovery.discover_asset_column(profile).first()["asset_column"]
     event = discovery.discover_event_column(profile).first()["event_column"]
+    time = discovery.discover_time_column(profile).first()
     if profile.count() > MAX_PATHS:
         raise ValueError(f"more than {MAX_PATHS} distinct fields: the logs use data as field names")
     kinds = profile.select("path", (F.col("number_share") == 1.0).alias("numeric")).orderBy("path").collect()
@@ -46,6 +47,7 @@ def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tupl
     scored = scored.withColumns({
         "target_asset": F.coalesce("target_asset", F.lit("unknown_asset" if asset is None else "nan")),
         "event_name": field(event),
+        "event_us": discovery.parsed_time(field(time["time_column"]), time["unit"] or "text"),
         "danger_score": t.danger_score(field(event)) if event else F.lit(rules.DANGER_DEFAULT),
         "iot_danger": F.when(field("topic").isNotNull(), t.sensor_danger(F.coalesce(field("topic"), F.lit("")), F.coalesce(value, F.lit(0.0)))),
     }).drop("actor")

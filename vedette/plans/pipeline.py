@@ -56,7 +56,8 @@ def ingest_batch(events: DataFrame) -> DataFrame:
         "event_id", "river_score", "river_warmup", "is_anomaly", "learned")
     if "dst_port" in known.columns:
         scans = sweep.port_scan_score(known.where("src_ip is not null and dst_port is not null")
-                                      .select("event_id", "ts_us", "src_ip", "dst_port"))
+                                      .select("event_id", "ts_us", "client_id", "src_ip", "dst_port"),
+                                      ["client_id", "src_ip"])
         known = known.join(scans.select("event_id", "nmap_score", "is_scan", "unique_ports", "rate_per_min"), "event_id", "left")
         known = known.withColumns({"nmap_score": F.coalesce("nmap_score", F.lit(0.0)), "is_scan": F.coalesce("is_scan", F.lit(False))})
     else:
