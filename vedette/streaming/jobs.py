@@ -103,6 +103,7 @@ class Windowed:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read by the late, result and history outputs
         new = batch.withColumn("_new", F.lit(True))
         if batch_id > 0:
             old = spark.read.parquet(f"{self.folder}/history/{batch_id - 1}").withColumn("_new", F.lit(False))
@@ -116,6 +117,7 @@ class Windowed:
         newest = both.agg(F.max(self.ts)).scalar()
         both.where(F.col(self.ts) >= newest - F.lit(self.horizon_us)).drop("_new").write.mode("overwrite").parquet(
             f"{self.folder}/history/{batch_id}")
+        batch.unpersist()
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint")
@@ -147,15 +149,19 @@ class IncidentStore:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         found = inc.consolidate(batch, self.reviews, self.gaps)
         if batch_id > 0:
             found = inc.merge_incidents(spark.read.parquet(f"{self.folder}/open/{batch_id - 1}"), found, self.reviews, self.gaps)
         _, longest = inc._gap(self.gaps or inc.rules.CONSOLIDATION_MINUTES)
+        found = found.persist()  # split into the open and the closed output
         seen = batch.agg(F.max("ts_us")).scalar()
         is_open = F.coalesce(F.col("last_seen_us") >= seen - F.lit(longest), F.lit(True))
         found.where(is_open).write.mode("overwrite").parquet(f"{self.folder}/open/{batch_id}")
         found.where(~is_open).write.mode("overwrite").parquet(f"{self.folder}/closed/batch={batch_id}")
         self.last = batch_id
+        found.unpersist()
+        batch.unpersist()
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return (stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint")
