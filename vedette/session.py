@@ -41,6 +41,9 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(target)
+    # the driver-side process of a stateful stream does not read added files
+    known = sc.environment.get("PYTHONPATH")
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, os.path.dirname(root)]))
     sc._vedette_shipped = True
 
 
