@@ -19,8 +19,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from .common import whole_text
 from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceTable, read_model
 
-#: Entries and length of texts that a worker remembers; a full memory is emptied.
-MEMORY, MEMORY_CHARS = 200_000, 48
+#: Entries of a worker's memory, of which it has two in turn, and length of texts that it keeps.
+MEMORY, MEMORY_CHARS = 400_000, 48
 
 
 class Encoder:
@@ -32,11 +32,12 @@ class Encoder:
         self.valid = {p for p in self.score if self.merged(p) == [p]}
         self.matches = ahocorasick.Automaton()
         for p in self.valid:
-            self.matches.add_word(p, len(p))
+            self.matches.add_word(p, len(p) - 1)
         self.matches.make_automaton()
         self.prefix: dict[str, str] = {}
         self.agreed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merges a short text: the best-scored pair first, the leftmost of equal ones."""
@@ -73,34 +74,38 @@ class Encoder:
         """Tokens of a text, as merging all of it would give them."""
         size = len(text)
         longest = [1] * size
-        for end, length in self.matches.iter(text):
-            start = end - length + 1
-            if length > longest[start]:
-                longest[start] = length
+        for end, back in self.matches.iter(text):  # ends ascend, so the longest comes last
+            longest[end - back] = back + 1
         if longest[0] == size:
             return [text]
-        open_at = bytearray(b"\xff" * (size // 8 + 1))
+        failed = bytearray()
+        agreed, prefix = self.agreed, self.prefix
         tokens: list[str] = []
-        at = 0
+        at, last = 0, ""
         token = text[:longest[0]]
         while True:
-            last = tokens[-1] if tokens else ""
+            fits = not last or agreed.get((last, token))
+            if fits is None:
+                fits = self.agree(last, token)
             end = at + len(token)
-            if open_at[end >> 3] >> (end & 7) & 1 and (not last or self.agree(last, token)):
-                tokens.append(token)
-                at = end
-                if at == size:
+            if fits and not (failed and failed[end >> 3] >> (end & 7) & 1):
+                if end == size:
+                    tokens.append(token)
                     return tokens
+                tokens.append(token)
+                last, at = token, end
                 token = text[at:at + longest[at]]
                 continue
-            token = self.shorter(token)
-            while not token:  # no token fits here: close the place and step back
-                open_at[at >> 3] &= ~(1 << (at & 7))
+            token = prefix[token] if token in prefix else self.shorter(token)
+            while not token:  # no token fits here: mark the place and step back
                 if not tokens:
                     raise ValueError("no sequence of agreeing tokens")
-                last = tokens.pop()
-                at -= len(last)
-                token = self.shorter(last)
+                failed = failed or bytearray(size // 8 + 1)
+                failed[at >> 3] |= 1 << (at & 7)
+                undone = tokens.pop()
+                at -= len(undone)
+                last = tokens[-1] if tokens else ""
+                token = self.shorter(undone)
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         words, ids = self.table.words, []
@@ -115,18 +120,32 @@ class Encoder:
         return tuple(ids)
 
     def ids(self, text: str) -> list[int]:
-        known, out = self.known, []
+        out = []
         for chunk in self.table.chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                found = self.chunk_ids(chunk)
-                if len(chunk) <= MEMORY_CHARS:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[chunk] = found
-            out += found
+            out += self.known.get(chunk) or self.recalled(chunk, self.parts_ids)
         return out
 
+    def parts_ids(self, chunk: str) -> tuple[int, ...]:
+        """As ``chunk_ids``, cut where no piece holds the two neighbouring characters."""
+        pairs, start, out = self.table.pairs, 0, []
+        for i in range(1, len(chunk)):
+            if chunk[i - 1:i + 1] not in pairs:
+                out += self.recalled(chunk[start:i], self.chunk_ids)
+                start = i
+        if not start:
+            return self.chunk_ids(chunk)
+        out += self.recalled(chunk[start:], self.chunk_ids)
+        return tuple(out)
+
+    def recalled(self, chunk: str, work) -> tuple[int, ...]:
+        """From memory, or worked out and remembered; what was not used for long is forgotten."""
+        ids = self.known.get(chunk) or self.before.get(chunk) or work(chunk)
+        if len(chunk) <= MEMORY_CHARS:
+            if len(self.known) >= MEMORY:
+                self.before, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
+
 
 def _bytes_text(raw: bytearray) -> str:
     """UTF-8 text; each byte that is part of no character becomes U+FFFD."""

@@ -51,6 +51,7 @@ class PieceTable:
 
     def __post_init__(self):
         self.words: dict[str, int] = {}
+        self.pairs: set[str] = set()  # neighbouring characters inside pieces
         self.byte_ids = [0] * 256
         self.unknown = 0
         self.crossing = False
@@ -59,6 +60,7 @@ class PieceTable:
         for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)):
             if kind == NORMAL:
                 self.words[piece] = i
+                self.pairs.update(piece[k:k + 2] for k in range(len(piece) - 1))
                 self.crossing |= SPACE in piece.lstrip(SPACE)
             elif kind == BYTE:
                 self.byte_ids[int(piece[1:-1], 16)] = i

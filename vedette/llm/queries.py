@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, secrets, unigram, urlfilter
+from . import bpe, fingerprints, lm, secrets, toxicity, unigram, urlfilter
 from .common import hex_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,32 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan_secrets(docs).drop("text"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fingerprints.fingerprint_documents(docs).withColumn("edited_sha256", hex_digest(F.col("edited_text")))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+#: A document is called toxic from this score on.
+TOXIC_FROM = 0.3
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "offending")
+
+
+@query
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs)
