@@ -146,7 +146,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
     blocks = max(1, -(-size // BLOCK_CHARS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
 
-    def counted(key, block: pa.Table) -> pa.Table:
+    def counted(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
         keys, counts = block_counts(block["text"], order)
         return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py()), pa.int64()),
                          "gram": pa.array(keys.view(np.int64)), "n": pa.array(counts)})

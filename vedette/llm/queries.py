@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, lm, secrets, toxicity, unigram, urlfilter
+from . import bpe, decontam, fingerprints, lines, lm, secrets, toxicity, unigram, urlfilter
 from .common import hex_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,20 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document under the counts of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score_documents(docs)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated passages: what was cut, and what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = lines.dedup_lines(docs)
+    cut = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return cleaned.select("doc_id", "runs", cut.cast("long").alias("n_words_in_runs"),
+                          F.length("text").cast("long").alias("n_chars_left"), hex_digest(F.col("text")).alias("text_sha256"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, exactly or within a fifth of their length in edits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))

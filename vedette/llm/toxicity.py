@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: documents are labelled, sentences are scored.
 
 A sentence's probability is a logistic function of the features of its words (the word and
-its inner letter groups). A document is toxic if any of its sentences is: its probability is
+its groups of five letters). A document is toxic if any of its sentences is: its probability is
 the noisy-or 1 - (1 - leak) * product(1 - p), so only document labels are needed to train the
 sentence scores, and these then point at the offending sentences.
 
@@ -12,12 +12,13 @@ of at most ``features`` entries.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -26,67 +27,84 @@ from .common import free_name, whole_text
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 MEMORY = 300_000
+BUCKETS = 1 << 20
+HASH = xxhash.xxh32_intdigest
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
     leak: float
 
 
-def word_features(word: str) -> list[str]:
-    """The word itself and the starts, ends and inner groups of 4 to 6 letters."""
+def word_features(word: str) -> list[int]:
+    """Hashed features of a word: itself and its groups of five letters, ends marked."""
     marked = f"<{word}>"
-    return [f"={word}", *{marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}]
-
-
-def _selected(bags: list[set[str]], toxic: np.ndarray, features: int, least: int) -> list[str]:
-    """Features whose share among toxic documents differs most, in standard errors."""
-    with_it, among = Counter(), Counter()
-    for bag, y in zip(bags, toxic, strict=True):
-        with_it.update(bag)
-        if y:
-            among.update(bag)
-    n, pos = len(bags), int(toxic.sum())
-    base = pos / n
-    scored = []
-    for f, c in with_it.items():
-        if c >= least:
-            z = (among[f] - c * base) / np.sqrt(c * base * (1 - base) * (1 - c / n) + 1.0)
-            if z > 3.0:
-                scored.append((-z, f))
-    return [f for _, f in sorted(scored)[:features]]
-
-
-def fit(texts: list[str], toxic: list[int], features: int = 2_000, least: int = 4, steps: int = 300,
-        decay: float = 2e-4) -> Model:
+    groups = [f"={word}", *[marked[i:i + 5] for i in range(len(marked) - 4)]]
+    return sorted({HASH(g) % BUCKETS for g in groups})
+
+
+class Bags:
+    """Labelled documents as sentences of word numbers."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.features: list[np.ndarray] = []  # of each word
+        self.docs: list[list[np.ndarray]] = []  # of each document, its sentences
+        self.toxic: list[int] = []
+
+    def add(self, text: str, toxic: int) -> None:
+        sentences = []
+        for s in SENTENCE.findall(text.lower()):
+            words = set(WORD.findall(s))
+            for w in words:
+                if w not in self.numbers:
+                    self.numbers[w] = len(self.features)
+                    self.features.append(np.array(word_features(w), np.int32))
+            if words:
+                sentences.append(np.array(sorted(self.numbers[w] for w in words), np.int32))
+        self.docs.append(sentences)
+        self.toxic.append(toxic)
+
+
+def _selected(bags: Bags, toxic: np.ndarray, features: int, least: int) -> np.ndarray:
+    """Features whose share among toxic documents is above the others' by the most standard errors."""
+    count, among = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for doc, y in zip(bags.docs, toxic, strict=True):
+        if doc:
+            found = np.unique(np.concatenate([bags.features[w] for w in np.unique(np.concatenate(doc))]))
+            count[found] += 1
+            among[found] += y
+    n, base = len(toxic), toxic.mean()
+    z = (among - count * base) / np.sqrt(count * base * (1 - base) * (1 - count / n) + 1.0)
+    order = np.lexsort((np.arange(BUCKETS), -z))
+    return order[(z[order] > 3.0) & (count[order] >= least)][:features]
+
+
+def fit(bags: Bags, features: int = 2_000, least: int = 4, steps: int = 300, decay: float = 2e-4) -> Model:
     """Sentence weights from document labels, by gradient descent on the noisy-or likelihood.
 
     Without labels of both kinds the model gives every document the share of toxic ones.
     """
-    y = np.array(toxic, dtype=np.float64)
+    y = np.array(bags.toxic, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, -50.0, float(y.mean()) if len(y) else 0.0)
-    split = [[[*WORD.findall(s)] for s in SENTENCE.findall(t.lower())] for t in texts]
-    bags = [{f for s in doc for w in set(s) for f in word_features(w)} for doc in split]
-    chosen = {f: i for i, f in enumerate(_selected(bags, y, features, least))}
-    del bags
-    of_word: dict[str, list[int]] = {}
-    docs, rows, cols, sentences = [], [], [], 0
-    for d, doc in enumerate(split):
+    chosen = _selected(bags, y, features, least)
+    column = np.full(BUCKETS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    mine = [c[c >= 0] for c in (column[f] for f in bags.features)]
+    docs, rows, cols = [], [], []
+    for d, doc in enumerate(bags.docs):
         for s in doc:
-            found = set()
-            for w in s:
-                if w not in of_word:
-                    of_word[w] = [chosen[f] for f in word_features(w) if f in chosen]
-                found.update(of_word[w])
-            if found:  # a sentence without features is part of the leak
-                rows += [sentences] * len(found)
-                cols += sorted(found)
+            parts = [mine[w] for w in s if len(mine[w])]
+            if parts:  # a sentence without features is part of the leak
+                found = np.unique(np.concatenate(parts))
+                rows.append(np.full(len(found), len(docs)))
+                cols.append(found)
                 docs.append(d)
-                sentences += 1
-    docs, rows, cols = (np.array(x, dtype=np.int64) for x in (docs, rows, cols))
+    sentences, docs = len(docs), np.array(docs, dtype=np.int64)
+    rows, cols = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (rows, cols))
     w, bias, leak = np.zeros(len(chosen)), -2.0, -4.0
     m = [np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)]
     for t in range(1, steps + 1):
@@ -95,7 +113,7 @@ def fit(texts: list[str], toxic: list[int], features: int = 2_000, least: int =
         q = 1 / (1 + np.exp(-leak))
         clean = np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + np.log1p(-q)
         whole = np.maximum(-np.expm1(clean), 1e-9)
-        pull = 1 - y / whole  # d(loss)/d(log clean), negated
+        pull = 1 - y / whole  # of the loss, by minus the logarithm of the clean probability
         gz = pull[docs] * p
         grad = np.concatenate([np.bincount(cols, gz[rows], len(chosen)), [gz.sum(), (pull * q).sum()]]) / len(y)
         grad[:-2] += decay * w
@@ -103,12 +121,12 @@ def fit(texts: list[str], toxic: list[int], features: int = 2_000, least: int =
         m[1] = 0.99 * m[1] + 0.01 * grad * grad
         move = 0.1 * (m[0] / (1 - 0.9 ** t)) / (np.sqrt(m[1] / (1 - 0.99 ** t)) + 1e-8)
         w, bias, leak = w - move[:-2], bias - move[-2], leak - move[-1]
-    kept = {f: float(w[i]) for f, i in chosen.items() if abs(w[i]) > 1e-4}
+    kept = {int(f): float(v) for f, v in zip(chosen, w, strict=True) if abs(v) > 1e-4}
     return Model(kept, float(bias), float(1 / (1 + np.exp(-leak))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, doc: str, text: str, label: str) -> tuple[list, list]:
-    """Texts and labels of at most ``sample`` labelled documents, those of lowest hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, doc: str, text: str, label: str) -> Bags:
+    """Words and labels of at most ``sample`` labelled documents, those of lowest hash.
 
     A document with several labels is toxic if one says so; null labels and ids are no labels.
     """
@@ -118,44 +136,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, doc: str, t
     # at most ``sample`` ids, so the documents are not shuffled to meet them
     found = docs.select(F.col(doc).alias("_id"), whole_text(text).alias("_t")).join(F.broadcast(known), "_id")
     rows = found.groupBy("_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"), F.first("_y").alias("_y"))
-    got = sorted((r["_id"], r["_t"], int(r["_y"] > 0)) for r in rows.toLocalIterator())
-    return [t for _, t, _ in got], [y for _, _, y in got]
+    bags = Bags()
+    for r in rows.orderBy("_id").toLocalIterator():
+        bags.add(r["_t"], int(r["_y"] > 0))
+    return bags
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doc: str = "doc_id", text: str = "text",
           label: str = "toxic", **options) -> Model:
-    return fit(*labelled_sample(docs, labels, sample, doc, text, label), **options)
+    return fit(labelled_sample(docs, labels, sample, doc, text, label), **options)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.before = model, {}, {}
 
-    def word(self, word: str) -> float | None:
-        """Sum of the weights of a word; None without any."""
-        found = [self.model.weights[f] for f in word_features(word) if f in self.model.weights]
+    def word(self, word: str) -> tuple[int, ...]:
+        """Features of a word that have a weight; remembered, what was not used for long forgotten."""
+        found = self.before.get(word)
+        if found is None:
+            found = tuple(f for f in word_features(word) if f in self.model.weights)
         if len(self.known) >= MEMORY:
-            self.known.clear()
-        self.known[word] = out = sum(found) if found else None
-        return out
+            self.before, self.known = self.known, {}
+        self.known[word] = found
+        return found
 
     def score(self, text: str, offending: float) -> tuple[float, list[tuple[int, int, float]]]:
-        known, weights, bias = self.known, self.model.weights, self.model.bias
+        weights, bias = self.model.weights, self.model.bias
         clean, places = 1.0 - self.model.leak, []
         lower = text.lower()
         if len(lower) != len(text):  # a few capitals become two characters
             lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         for m in SENTENCE.finditer(lower):
-            words = WORD.findall(m[0])
-            hit = [w for w in words if (known[w] if w in known else self.word(w)) is not None]
-            if not hit:
+            features = set()
+            for w in WORD.findall(m[0]):
+                found = self.known.get(w)
+                features.update(self.word(w) if found is None else found)
+            if not features:
                 continue
-            features = {f for w in hit for f in word_features(w) if f in weights}
             z = bias + sum(weights[f] for f in sorted(features))
-            p = 1 / (1 + np.exp(-z))
+            p = 1 / (1 + math.exp(-max(-700.0, z)))
             clean *= 1 - p
             if p >= offending:
-                places.append((m.start(), m.end(), float(p)))
+                places.append((m.start(), m.end(), p))
         return float(min(1.0, max(0.0, 1 - clean))), places
 
 
