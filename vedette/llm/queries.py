@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, fingerprints, lines, lm, secrets, toxicity, unigram, urlfilter
+from . import bpe, decontam, fingerprints, jaccard, lines, lm, secrets, toxicity, unigram, urlfilter
 from .common import hex_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, exactly or within a fifth of their length in edits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of 0.8 or more on five-word shingles connect."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_groups(docs)
