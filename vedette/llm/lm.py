@@ -3,7 +3,7 @@
 Every character of the corpus starts one gram of ``order`` characters (padded at a text's
 end), so the counts of all shorter grams are sums over the grams they begin, and one sort per
 block of documents gives all of them. The count tables are relations keyed by a 64-bit hash of
-the gram and partitioned by it; a block's distinct grams are joined with them, and the totals
+the gram and partitioned by it; a block's distinct grams meet their totals there, and these
 travel back to the block, where each document sums the logarithms of its characters' scores.
 What is shuffled is one row per distinct gram and block, not one per occurrence.
 
@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import free_name, whole_text
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, RUN_CHARS = 12_000_000, 1_000_000
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 EMPTY = 0  # key of the empty gram, whose count is the number of characters
 
@@ -54,18 +54,25 @@ def _starts(lengths: np.ndarray, pad: int) -> np.ndarray:
     return keep
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
+
+
 def block_counts(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of all orders in a block and how often they start; padded ones included."""
     codes, lengths = _codes(texts, order - 1)
-    keep = _starts(lengths, order - 1)[:len(codes) - order + 1]
-    grams = [g[keep] for g in _grams(codes, order)] if keep.any() else [np.zeros(0, np.uint64)] * order
-    _, first, counts = np.unique(grams[-1], return_index=True, return_counts=True)
-    keys, sums = [np.array([EMPTY], np.uint64)], [np.array([keep.sum()], np.int64)]
-    for g in grams:
-        k, inverse = np.unique(g[first], return_inverse=True)
-        keys.append(k)
-        sums.append(np.bincount(inverse, counts, len(k)).astype(np.int64))
-    return np.concatenate(keys), np.concatenate(sums)
+    keep = _starts(lengths, order - 1)
+    keys, sums = [np.array([EMPTY], np.uint64)], [np.array([lengths.sum()], np.int64)]
+    for a in range(0, max(0, len(codes) - order + 1), RUN_CHARS):
+        grams = _grams(codes[a:a + RUN_CHARS + order - 1], order)
+        here = keep[a:a + len(grams[-1])]
+        _, first, counts = np.unique(grams[-1][here], return_index=True, return_counts=True)
+        for g in grams:
+            k, n = _merged([g[here][first]], [counts])
+            keys.append(k)
+            sums.append(n)
+    return _merged(keys, sums)
 
 
 class Lookup:
@@ -104,7 +111,7 @@ def block_scores(texts: pa.ChunkedArray, keys: np.ndarray, counts: np.ndarray, o
     at = np.cumsum(lengths + order - 1) - lengths - (order - 1)
     low = 0
     while low < len(lengths):  # by runs of texts, so that arrays stay small
-        high = max(low + 1, int(np.searchsorted(at, at[low] + 1_000_000)))
+        high = max(low + 1, int(np.searchsorted(at, at[low] + RUN_CHARS)))
         _score_run(codes, at, lengths, low, high, table, total, order, backoff, sums)
         low = high
     return lengths, sums
@@ -139,7 +146,7 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
 
     Counts are over all rows, the scored one included; repeated rows count and score alike.
     Null and empty texts have no characters and score 0. Rows are dealt into blocks of about
-    four million characters by a hash of id and text; a longer text is a block of its own.
+    twelve million characters by a hash of id and text; a longer text is a block of its own.
     """
     rows = docs.select(F.col(doc).alias("doc_id"), whole_text(text).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -152,9 +159,9 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
                          "gram": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
     grams = dealt.select("block", "text").groupBy("block").applyInArrow(counted, "block long, gram long, n long")
-    totals = grams.groupBy("gram").agg(F.sum("n").alias("total")).where(
-        (F.col("total") >= least) | (F.col("gram") == EMPTY))
-    tables = grams.select("block", "gram").join(totals, "gram").select("block", "gram", "total")
+    # a gram has one row per block at most, so its rows can meet in one task
+    totals = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
+    tables = totals.where((F.col("total") >= least) | (F.col("gram") == EMPTY)).select("block", "gram", "total")
 
     def scored(block: pa.Table, table: pa.Table) -> pa.Table:
         n, s = block_scores(block["text"], table["gram"].to_numpy().view(np.uint64), table["total"].to_numpy(), order, backoff)
