@@ -23,7 +23,8 @@ def test_control_characters_and_length(spark):
     assert one(spark, "hello\x00world", t.sanitize_text("x")) == "helloworld"
     assert one(spark, "test\x1fbuzz", t.sanitize_text("x")) == "testbuzz"
     assert one(spark, "a\n\tb", t.sanitize_text("x")) == "a\n\tb"
-    long = one(spark, "A" * 3000, t.sanitize_text("x"))
+    assert one(spark, "A" * 3000, t.sanitize_text("x")) == "A" * 3000
+    long = one(spark, "A" * 3000, t.sanitize_text("x", 2000))
     assert len(long) == 2005 and long.endswith("[...]")
 
 
@@ -31,12 +32,15 @@ def test_nested_json(spark):
     deep = "1"
     for _ in range(12):
         deep = '{"a":' + deep + "}"
-    assert rules.TOO_DEEP in one(spark, deep, j.sanitize_json("x"))
+    assert one(spark, deep, j.sanitize_json("x")) == deep.replace(":", ": ")
+    assert rules.TOO_DEEP in one(spark, deep, j.sanitize_json("x", depth=10))
     assert one(spark, '{"d": "{\\"Role\\":\\"Admin\\"}"}', j.sanitize_json("x")) == '{"d": {"Role": "Admin"}}'
     assert one(spark, '{"d": "{broken"}', j.sanitize_json("x")) == '{"d": "{broken"}'
     assert one(spark, "{broken", j.sanitize_json("x")) is None
     many = "{" + ",".join(f'"k{i}":1' for i in range(300)) + "}"
-    assert one(spark, many, j.sanitize_json("x")).count(":") == 200
+    assert one(spark, many, j.sanitize_json("x")).count(":") == 300
+    assert one(spark, many, j.sanitize_json("x", entries=200)).count(":") == 200
+    assert len(one(spark, '{"a": "' + "b" * 9000 + '"}', j.sanitize_json("x"))) == 9009
 
 
 def test_payload_size(spark):
@@ -53,7 +57,18 @@ def test_json_lines(spark):
 
 def test_flatten(spark):
     got = one(spark, '{"user":{"name":"a"},"events":[{"name":"login"},{"name":"x"}],"a":{"b":{"c":{"d":{"e":1}}}}}', j.flatten_json("x"))
-    assert got["user_name"] == "a" and got["events_0_name"] == "login" and got["a_b_c_d"] == '{"e": 1}'
+    assert got == {"user_name": "a", "events_0_name": '["login", "x"]', "a_b_c_d_e": "1"}
+
+
+def test_whole_events_are_analysed(spark):
+    from vedette.plans.normalize import normalize_events
+    deep = '{"data":{"srcip":"198.51.100.7"}}'
+    for _ in range(15):
+        deep = '{"x":[' + deep + "]}"
+    rows = [('{"log":"' + "y" * 5000 + ' mimikatz from 203.0.113.5"}',), (deep,), ("{broken",)]
+    got = {r["raw"]: r for r in normalize_events(spark.createDataFrame(rows, "raw string")).collect()}
+    assert got[rows[0][0]]["pattern_hint"] == "credential_theft" and got[rows[0][0]]["src_ip"] == "203.0.113.5"
+    assert got[deep]["src_ip"] == "198.51.100.7" and got["{broken"]["event_type"] == "parse_error"
 
 
 @pytest.mark.parametrize("name,score", [("DeleteDBInstance", 1.0), ("CreateUser", 0.5), ("ListBuckets", 0.1), ("SomeUnknown", 0.3)])

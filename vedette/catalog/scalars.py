@@ -23,22 +23,20 @@ def _duck_sanitize(col: str) -> str:
 
 
 def _sanitize_sql(table: str, key: str, col: str) -> str:
-    return f"""SELECT {key}, CASE WHEN length(s) > 2000 THEN concat(substr(s, 1, 2000), '[...]') ELSE s END AS clean,
+    return f"""SELECT {key}, s AS clean,
   contains(s, '[REDACTED]') AS redacted FROM (SELECT {key}, {_duck_sanitize(col)} AS s FROM {table})"""
 
 
 @query("sanitize_text", "", _sanitize_sql("pages", "page_id", "html"))
 def _(v):
-    full = t.sanitize_text("html", limit=2**30)
-    return widen(v.table("pages")).select("page_id", t.sanitize_text("html").alias("clean"),
-                                   full.contains("[REDACTED]").alias("redacted"))
+    clean = widen(v.table("pages")).select("page_id", t.sanitize_text("html").alias("clean"))
+    return clean.withColumn("redacted", F.col("clean").contains("[REDACTED]"))
 
 
 @query("sanitize_documents", "", _sanitize_sql("documents", "doc_id", "text"))
 def _(v):
-    full = t.sanitize_text("text", limit=2**30)
-    return widen(v.table("documents")).select("doc_id", t.sanitize_text("text").alias("clean"),
-                                       full.contains("[REDACTED]").alias("redacted"))
+    clean = widen(v.table("documents")).select("doc_id", t.sanitize_text("text").alias("clean"))
+    return clean.withColumn("redacted", F.col("clean").contains("[REDACTED]"))
 
 
 @query("payload_checks", "", """

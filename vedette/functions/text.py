@@ -49,8 +49,8 @@ def _inline(pattern: str) -> str:
     return f"(?{flags.group(1)}:{pattern[flags.end():]})" if flags else f"(?:{pattern})"
 
 
-def sanitize_text(c: str | Column, limit: int = rules.MAX_TEXT) -> Column:
-    """Drop control characters, redact injection attempts, cut long text.
+def sanitize_text(c: str | Column, limit: int | None = None) -> Column:
+    """Drop control characters, redact injection attempts; cut for display only if a limit is given.
 
     One combined test guards the chain of replacements: most texts hold no attempt.
     """
@@ -60,6 +60,8 @@ def sanitize_text(c: str | Column, limit: int = rules.MAX_TEXT) -> Column:
         redacted = F.regexp_replace(redacted, pattern, rules.REDACTED)
     suspicious = clean.rlike("|".join(_inline(p) for p in rules.INJECTION_PATTERNS))
     safe = F.when(suspicious, redacted).otherwise(clean)
+    if limit is None:
+        return safe
     return F.when(F.length(safe) > limit, F.concat(F.substring(safe, 1, limit), F.lit("[...]"))).otherwise(safe)
 
 

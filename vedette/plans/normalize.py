@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as t
-from ..functions.jsontree import canonical_json, sanitize_json, text_leaves
+from ..functions.jsontree import analyse_json
 from ..functions.numeric import round_to
 from ..operators.discovery import extract_entities
 
@@ -29,8 +29,9 @@ def normalize_events(raw: DataFrame, severity: Column | None = None, command: Co
     staged = raw.select(
         *kept, severity.alias("_sev"), command.alias("_cmd"), numeric_value.alias("_num"), stamp.alias("_ts"),
         received.alias("_received"), (F.lit(1.0) if parse_confidence is None else parse_confidence).alias("_conf"),
-        sanitize_json("raw").alias("_clean"), canonical_json("raw").alias("_canon"))
-    staged = staged.withColumn("_leaves", text_leaves("_clean"))
+        analyse_json("raw").alias("_json"))
+    staged = staged.withColumns({"_clean": F.col("_json.clean"), "_canon": F.col("_json.canonical"),
+                                 "_leaves": F.col("_json.leaves")})
     entities = F.struct(*[c.alias(n) for n, c in extract_entities(F.col("_leaves")).items()])
     staged = staged.withColumns({"_e": entities, "_ok": F.col("_clean").isNotNull(),
                                  "_score": F.when(F.col("_clean").isNotNull(), round_to("_sev", 3)).otherwise(0.1)})

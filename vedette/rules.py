@@ -23,11 +23,6 @@ CORRELATION_WINDOW_S = 360
 # --- text sanitising (fixed values; Java regex) ---
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 REDACTED = "[REDACTED]"
-MAX_TEXT = 2000
-MAX_KEY = 200
-MAX_DEPTH = 10
-MAX_KEYS = 200
-MAX_ITEMS = 10_000
 TOO_DEEP = "[truncado: demasiado anidado]"
 MAX_PAYLOAD_BYTES = 10_485_760
 INJECTION_PATTERNS = (
