@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import in_utc, ship_package
+from ..session import in_utc, shared_folder, ship_package
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -33,3 +36,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"{wanted}_"
     return wanted
+
+
+@contextmanager
+def stored(df: DataFrame):
+    """The rows written to the shared folder and read again; the files go when the block ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(files, True)

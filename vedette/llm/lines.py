@@ -23,9 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import free_name, whole_text
+from ..session import cut_lineage
+from .common import free_name, stored, whole_text
 
-LINE, WINDOW, LEAST = 20, 15, 50
+LINE, WINDOW, LEAST = 10, 20, 50
 WORD = re.compile(r"\S+")
 MEMORY = 500_000
 BASE = 0x9E3779B97F4A7C15
@@ -138,25 +139,26 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
                   least: int = LEAST) -> DataFrame:
     """(doc, runs): word spans [start, end) of a text that occurred before, for texts that have any.
 
-    ``docs`` must have no null ids. Rows with the same id count as one occurrence. Every run
+    ``docs`` must have no null ids; null texts count as empty. Rows with the same id count as one occurrence. Every run
     of at least ``max(least, line + 2 * window - 1)`` words that an earlier text has as well
     is found; order is by id, then by position, so a text can repeat itself.
     """
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    every = rows.select("doc", F.inline(_links_of(F.col("text"), line, window)))
-    firsts = (every.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
-              .where("n > 1"))
-    later = every.join(firsts, "key").where(F.struct("doc", "start") > F.col("first"))
-    later = later.select("doc", "start", "end", F.col("first.doc").alias("fdoc"), F.col("first.start").alias("fstart"))
+    found = docs.select(F.col(doc).alias("doc"), F.inline(_links_of(whole_text(text), line, window)))
+    with stored(found) as every:
+        # most links occur once: numbers alone tell which do not, then the first of the others
+        often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
+        again = cut_lineage(every.join(often, "key").select("key", "doc", "start", "end", "fdoc"))
+    firsts = again.where("doc = fdoc").groupBy("key").agg(F.min("start").alias("fstart"))
+    later = again.join(firsts, "key").where((F.col("doc") != F.col("fdoc")) | (F.col("start") != F.col("fstart")))
     order = Window.partitionBy("doc").orderBy("start", "end")
     chained = later.withColumn("gap", F.coalesce(
         F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     chained = chained.withColumn("chain", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = chained.groupBy("doc", "chain").agg(
+    chains = cut_lineage(chained.groupBy("doc", "chain").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.min_by(F.struct("fdoc", F.col("fstart").alias("at")), F.struct("start", "end")).alias("left"),
         F.max_by(F.struct("fdoc", (F.col("fstart") + F.col("end") - F.col("start")).alias("at")),
-                 F.struct("end", "start")).alias("right"))
+                 F.struct("end", "start")).alias("right")))
     # the words around the chains and around their first occurrences, read from the texts
     ends = chains.select(F.inline(F.array(
         F.struct(F.col("doc").alias("d"), F.lit(-1).alias("side"), F.col("start").alias("at")),
@@ -164,9 +166,9 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
         F.struct(F.col("doc").alias("d"), F.lit(1).alias("side"), F.col("end").alias("at")),
         F.struct(F.col("right.fdoc").alias("d"), F.lit(1).alias("side"), F.col("right.at").alias("at")))))
     asked = ends.groupBy("d").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
-    around = (rows.join(asked, rows["doc"] == asked["d"])
-              .select("d", F.inline(_context(window)(F.col("text"), F.col("asked"))))
-              .groupBy("d", "side", "at").agg(F.any_value("words").alias("words")))  # repeated ids once
+    around = cut_lineage(docs.join(asked, docs[doc] == asked["d"])
+                         .select("d", F.inline(_context(window)(whole_text(text), F.col("asked"))))
+                         .groupBy("d", "side", "at").agg(F.any_value("words").alias("words")))  # repeated ids once
 
     def with_words(df: DataFrame, side: int, d: str, at: str, name: str) -> DataFrame:
         w = around.where(F.col("side") == side).select(F.col("d").alias("_d"), F.col("at").alias("_at"),
@@ -210,7 +212,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", runs:
     """
     docs = docs.drop(runs)
     known = docs.where(F.col(doc).isNotNull())
-    found = repeated_runs(known.withColumn(text, whole_text(text)), doc, text, **options)
+    found = repeated_runs(known, doc, text, **options)
     key = free_name(docs, "_doc")
     found = found.withColumnsRenamed({"doc": key, "runs": runs})
     kind = found.schema[runs].dataType
