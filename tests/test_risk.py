@@ -77,13 +77,16 @@ def test_content_mapping(spark):
 def test_threat_intel(spark):
     intel = spark.createDataFrame(
         [("8.8.8.8", 10, "local_blocklist", 0, 100), ("1.1.1.1", 24, "feed", 0, 100), ("2.2.2.2", 25, "feed", 0, 100),
-         ("10.0.0.1", 99, "feed", 0, 100), ("3.3.3.3", 99, "feed", 0, 10), ("4.4.4.4", 99, "feed", 0, 100), ("4.4.4.4", 1, "feed", 40, 100)],
+         ("10.0.0.1", 99, "feed", 0, 100), ("3.3.3.3", 99, "feed", 0, 10), ("4.4.4.4", 99, "feed", 0, 100), ("4.4.4.4", 1, "feed", 40, 100),
+         ("5.5.5.5", 0, "local_blocklist", 0, None), ("5.5.5.5", 0, "feed", 40, None), ("6.6.6.6", 80, "feed", 3, None),
+         ("7.7.7.7", 0, "local_blocklist", 0, 10), ("7.7.7.7", 0, "local_blocklist", 5, 90), ("7.7.7.7", 0, "local_blocklist", 6, 7)],
         "ip string, confidence int, source string, valid_from_us long, valid_to_us long")
     events = spark.createDataFrame([(i, 50, ip) for i, ip in enumerate(
-        ["8.8.8.8", "1.1.1.1", "2.2.2.2", "10.0.0.1", "3.3.3.3", "4.4.4.4", None, "x"])], "event_id long, ts_us long, src_ip string")
+        ["8.8.8.8", "1.1.1.1", "2.2.2.2", "10.0.0.1", "3.3.3.3", "4.4.4.4", None, "x", "5.5.5.5", "6.6.6.6", "7.7.7.7"])], "event_id long, ts_us long, src_ip string")
     got = {r["event_id"]: (r["threat_intel"], r["ti_details"]["confidence"] if r["ti_details"] else None)
            for r in joins.threat_intel_enrich(events, intel).collect()}
-    assert got == {0: (True, 90), 1: (False, 24), 2: (True, 25), 3: (False, None), 4: (False, None), 5: (False, 1), 6: (False, None), 7: (False, None)}
+    assert got == {0: (True, 90), 1: (False, 24), 2: (True, 25), 3: (False, None), 4: (False, None), 5: (False, 1), 6: (False, None), 7: (False, None),
+                   8: (True, 90), 9: (True, 80), 10: (True, 90)}
 
 
 def test_match_priority(spark):
@@ -93,3 +96,24 @@ def test_match_priority(spark):
                                    "event_id long, client_id string, tid string, host string, ip string")
     got = {r["event_id"]: r["asset"]["id"] if r["asset"] else None for r in joins.match_asset(events, assets, "tid", "host", "ip").collect()}
     assert got == {1: 3, 2: 1, 3: 3, 4: 2, 5: None}
+
+
+def test_dedupe_keeps_tenants_and_events_without_hash(spark, tmp_path):
+    from vedette.sources import store
+    rows = [(1, "a", "h", 5), (2, "a", "h", 3), (3, "b", "h", 9), (4, "a", None, 1), (5, "a", None, 1)]
+    events = spark.createDataFrame(rows, "event_id long, client_id string, raw_hash string, ts_us long")
+    assert sorted(r["event_id"] for r in joins.drop_known(events).collect()) == [2, 3, 4, 5]
+    known = spark.createDataFrame([("b", "h")], "client_id string, raw_hash string")
+    assert sorted(r["event_id"] for r in joins.drop_known(events, known).collect()) == [2, 4, 5]
+    path = str(tmp_path / "store")
+    for _ in range(2):
+        store.sink_features(events, path)
+    store.sink_features(events.withColumn("ts_us", events["ts_us"] + 10**11), path)
+    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [2, 3, 4, 5]
+
+
+def test_few_events_are_scored_too(spark, views):
+    from vedette.operators import features
+    few = views.sec_events.limit(3)
+    assert features.training_features(few, views.assets).count() == 3
+    assert features.training_features(few, views.assets, features.MIN_TRAINING_ROWS).count() == 0

@@ -50,8 +50,9 @@ def _(v):
                     F.col(m + "contiene_pii").alias("pii"))
 
 
-INTEL_SQL = """intel_at AS (SELECT e.*, (SELECT {'f': i.valid_from_us, 'u': i.valid_to_us, 'b': i.source = 'local_blocklist', 'c': CASE WHEN i.source = 'local_blocklist' THEN 90 ELSE i.confidence END, 's': i.source}
-  FROM intel i WHERE i.ip = e.src_ip AND i.valid_from_us <= e.ts_us ORDER BY i.valid_from_us DESC LIMIT 1) AS x FROM sec_events e)"""
+INTEL_SQL = """intel_at AS (SELECT e.*, (SELECT {'f': i.valid_from_us, 'u': coalesce(i.valid_to_us, 9223372036854775807), 'b': i.source = 'local_blocklist', 'c': CASE WHEN i.source = 'local_blocklist' THEN 90 ELSE i.confidence END, 's': i.source}
+  FROM intel i WHERE i.ip = e.src_ip AND i.valid_from_us <= e.ts_us AND (i.source <> 'local_blocklist' OR e.ts_us < coalesce(i.valid_to_us, 9223372036854775807))
+  ORDER BY i.source = 'local_blocklist' DESC, i.valid_from_us DESC, i.confidence DESC LIMIT 1) AS x FROM sec_events e)"""
 
 
 @query("threat_intel_enrich", "sec_events intel", f"""
@@ -63,12 +64,19 @@ def _(v):
         F.col("ti_details.confidence").alias("ti_confidence"))
 
 
+def shared_hashes(events):
+    """Some events without a hash, and hashes that tenants share."""
+    return events.withColumn("raw_hash", F.expr("CASE WHEN event_id % 17 = 0 THEN NULL ELSE md5(concat('e', event_id DIV 8)) END"))
+
+
 @query("dup_check", "sec_events incidents", """
-SELECT min(event_id) AS event_id, raw_hash FROM (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY ts_us, event_id) AS rn FROM sec_events) WHERE rn = 1
- AND raw_hash NOT IN (SELECT md5(concat('e', id)) FROM incidents WHERE status = 'APPROVED') GROUP BY raw_hash""")
+WITH h AS (SELECT * REPLACE (CASE WHEN event_id % 17 = 0 THEN NULL ELSE md5(concat('e', event_id // 8)) END AS raw_hash) FROM sec_events)
+SELECT event_id, client_id, raw_hash FROM (SELECT *, row_number() OVER (PARTITION BY client_id, raw_hash ORDER BY ts_us, event_id) AS rn FROM h) h
+ WHERE raw_hash IS NULL OR rn = 1 AND NOT EXISTS (SELECT 1 FROM incidents i WHERE i.status = 'APPROVED' AND i.client_id = h.client_id AND md5(concat('e', i.id)) = h.raw_hash)""")
 def _(v):
-    known = v.incidents.where("status = 'APPROVED'").select(F.md5(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("raw_hash"))
-    return joins.drop_known(v.sec_events, known).select("event_id", "raw_hash")
+    known = v.incidents.where("status = 'APPROVED'").select(
+        "client_id", F.md5(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("raw_hash"))
+    return joins.drop_known(shared_hashes(v.sec_events), known).select("event_id", "client_id", "raw_hash")
 
 
 @query("last_feature_vector", "month_events incidents", """
@@ -109,7 +117,7 @@ train AS (SELECT * EXCLUDE (av), coalesce(av, events_per_minute) AS asset_value
 
 @query("train_features", "sec_events assets", f"WITH {TRAIN} SELECT * FROM train")
 def _(v):
-    return features.training_features(v.sec_events, v.assets)
+    return features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS)
 
 
 def _z(c):
@@ -118,7 +126,7 @@ def _z(c):
 
 @query("standard_scaler", "sec_events assets", f"WITH {TRAIN} SELECT event_id, client_id, {', '.join(_z(c) for c in rules.FEATURES)} FROM train WINDOW w AS (PARTITION BY client_id)")
 def _(v):
-    z = features.standard_scaler(features.training_features(v.sec_events, v.assets))
+    z = features.standard_scaler(features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS))
     return z.select("event_id", "client_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in rules.FEATURES])
 
 

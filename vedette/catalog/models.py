@@ -12,7 +12,7 @@ KEYS = ["client_id"]
 
 
 def _train(v):
-    return features.training_features(v.sec_events, v.assets)
+    return features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS)
 
 
 def _trained(v):

@@ -15,7 +15,7 @@ from ..sources import store
 from .registry import query
 from .risk import _sessions
 from .scalars import _classify_sql, _detect_sql
-from .joins import INTEL_SQL
+from .joins import INTEL_SQL, shared_hashes
 from .windows import CORR, r
 
 
@@ -28,11 +28,16 @@ def _(v):
 
 
 @query("sink_features", "sec_events", """
-SELECT client_id, created_date, count(*) AS rows FROM (SELECT raw_hash, any_value(strftime(make_timestamp(ts_us), '%Y-%m-%d')) AS created_date, count(DISTINCT client_id) AS c, min(client_id) AS client_id
- FROM (SELECT * REPLACE (concat(raw_hash, client_id) AS raw_hash) FROM sec_events) GROUP BY 1) GROUP BY 1, 2""")
+WITH h AS (SELECT * REPLACE (CASE WHEN event_id % 17 = 0 THEN NULL ELSE md5(concat('e', event_id // 8)) END AS raw_hash) FROM sec_events),
+k AS (SELECT *, coalesce(raw_hash, concat('row:', event_id)) AS row_key FROM h)
+SELECT client_id, row_key, event_id, strftime(make_timestamp(ts_us), '%Y-%m-%d') AS created_date
+FROM (SELECT *, row_number() OVER (PARTITION BY client_id, row_key ORDER BY ts_us, event_id) AS rn FROM k) WHERE rn = 1""")
 def _(v):
-    rows = store.feature_rows(v.sec_events.withColumn("raw_hash", F.concat("raw_hash", "client_id")))
-    return rows.groupBy("client_id", F.col("created_date").cast("string").alias("created_date")).agg(F.count("*").alias("rows"))
+    base = os.path.join(shared_folder(v.spark), f"store-{uuid.uuid4().hex}")
+    e = shared_hashes(v.sec_events)
+    store.sink_features(e, base)
+    store.sink_features(e.withColumn("ts_us", F.col("ts_us") + 90_000_000_000), base)  # again, a day later: adds nothing
+    return v.spark.read.parquet(base).select("client_id", "row_key", "event_id", F.col("created_date").cast("string").alias("created_date"))
 
 
 @query("sink_escalated_features", "sec_events", """
@@ -146,7 +151,7 @@ def _(v):
 
 
 _ESC = f"""c1 AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'brute_force_success' ELSE 'none' END AS cpat FROM sec_events WHERE command_risk >= 0.4),
-d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY ts_us, event_id) AS rn FROM c1) WHERE rn = 1 AND raw_hash NOT IN (SELECT md5(concat('e', id)) FROM incidents WHERE status = 'APPROVED')),
+d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, raw_hash ORDER BY ts_us, event_id) AS rn FROM c1) k WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM incidents i WHERE i.status = 'APPROVED' AND i.client_id = k.client_id AND md5(concat('e', i.id)) = k.raw_hash)),
 e1 AS (SELECT *, CASE WHEN cpat <> 'none' THEN cpat ELSE pattern_hint END AS pattern, severity_score AS score FROM d1),
 g1 AS (SELECT *, lag(ts_us) OVER (PARTITION BY client_id, asset_id, src_ip, pattern ORDER BY ts_us, event_id) AS p FROM e1),
 b1 AS (SELECT *, CASE WHEN p IS NULL OR ts_us - p > (CASE pattern WHEN 'port_scan' THEN 120 WHEN 'brute_force_attempt' THEN 60 WHEN 'none' THEN 60 WHEN 'brute_force_success' THEN 15 WHEN 'lateral_movement' THEN 10 WHEN 'data_exfiltration' THEN 5 ELSE 120 END) * 60000000::BIGINT THEN 1 ELSE 0 END AS o FROM g1),
@@ -161,7 +166,7 @@ def _(v):
         "route": F.when(F.col("command_risk") >= 0.4, "escalated").otherwise("normal"),
         "correlation_pattern": F.when(F.col("event_id") % 2 == 0, "brute_force_success").otherwise("none"),
     })
-    known = v.incidents.where("status = 'APPROVED'").select(F.md5(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("raw_hash"))
+    known = v.incidents.where("status = 'APPROVED'").select("client_id", F.md5(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("raw_hash"))
     out = pipeline.escalate_batch(e, v.assets, v.month_events, known=known)
     return out.select("client_id", "asset_id", "src_ip", "pattern", "event_count", "first_seen_us", "last_seen_us",
                       "peak_anomaly_score", "anomaly_score", "opener_id", "status")
@@ -169,7 +174,7 @@ def _(v):
 
 @query("escalate_batch_model", "", None)
 def _(v):
-    trained = train.train(features.training_features(v.sec_events, v.assets), features.contamination(v.sec_events))
+    trained = train.train(features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS), features.contamination(v.sec_events))
     e = v.sec_events.withColumns({
         "route": F.when(F.col("command_risk") >= 0.4, "escalated").otherwise("normal"),
         "correlation_pattern": F.lit("none"),
@@ -254,5 +259,5 @@ def _(v):
 
 @query("explain_incidents_model", "", None)
 def _(v):
-    trained = train.train(features.training_features(v.sec_events, v.assets), features.contamination(v.sec_events))
+    trained = train.train(features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS), features.contamination(v.sec_events))
     return explain.explain_incidents(_shifted(v), _vectors(v), trained).select("id", "client_id", "explanation")

@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..session import shared_folder
 from ..sources.views import stream_view
 from ..streaming import density, jobs
+from .joins import shared_hashes
 from .registry import query
 from .risk import _GAP, _sessions
 from .windows import CORR, r
@@ -58,10 +59,12 @@ def _(v):
     return job.results(v.spark).select("event_id", "correlation_pattern", "correlation_count")
 
 
-@query("stream_dedup", "sec_events", "SELECT raw_hash, count(DISTINCT raw_hash) AS kept FROM sec_events GROUP BY 1")
+@query("stream_dedup", "sec_events", """
+SELECT client_id, raw_hash, count(DISTINCT coalesce(raw_hash, CAST(event_id AS VARCHAR))) AS kept
+FROM (SELECT client_id, event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE md5(concat('e', event_id // 8)) END AS raw_hash FROM sec_events) GROUP BY 1, 2""")
 def _(v):
-    kept = jobs.run_to_folder(jobs.dedup(_stream(v, "sec_events")).select("raw_hash", "event_id"), "dedup")
-    return kept.groupBy("raw_hash").agg(F.count("*").alias("kept"))
+    kept = jobs.run_to_folder(jobs.dedup(shared_hashes(_stream(v, "sec_events"))).select("client_id", "raw_hash", "event_id"), "dedup")
+    return kept.groupBy("client_id", "raw_hash").agg(F.count("*").alias("kept"))
 
 
 def hst_input(events):

@@ -28,13 +28,21 @@ def temporal_features(events: DataFrame) -> DataFrame:
     }).drop("prev_us", "_n")
 
 
-def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 50) -> DataFrame:
-    """The nine model features of every event; tenants with fewer than ``min_rows`` are left out.
+MIN_TRAINING_ROWS = 50
+
+
+def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 0) -> DataFrame:
+    """The nine model features of every event.
+
+    ``min_rows`` leaves out tenants with fewer events: for training (``MIN_TRAINING_ROWS``),
+    never for scoring.
 
     An unregistered asset takes its activity level as its value.
     """
-    sizes = small_side(events.groupBy("client_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows).drop("_n"))
-    e = train_asset_join(temporal_features(events.join(sizes, "client_id", "left_semi")), assets)
+    if min_rows:
+        sizes = events.groupBy("client_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+        events = events.join(small_side(sizes.drop("_n")), "client_id", "left_semi")
+    e = train_asset_join(temporal_features(events), assets)
     value = F.least(F.col("valor_activo") / F.lit(rules.ASSET_VALUE_CEILING), F.lit(1.0))
     numeric = F.col("numeric_anomaly") if "numeric_anomaly" in events.columns else t.numeric_feature("numeric_value")
     return e.withColumns({

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules
 from ..functions.numeric import as_col
 from ..functions.text import effective_pattern
-from .sweep import live_counts
+from .sweep import IP, address_key, live_counts
 
 
 def _noise(severity: Column, event_type: Column) -> Column:
@@ -39,13 +39,13 @@ def ip_rate_limit(events: DataFrame, per_minute: int = rules.MAX_EVENTS_PER_IP_P
     """Strict filter, then at most ``per_minute`` low-severity events per address in (t-60 s, t].
 
     Every event that reaches this step counts, also those it drops. Above the limit one
-    in ten is kept by hash of ``raw_hash`` (``keep`` overrides the choice).
+    in ten is kept by hash of the event's id (``keep`` overrides the choice).
     """
-    keep = keep if keep is not None else F.pmod(F.xxhash64("raw_hash"), F.lit(10)) == 0
+    keep = keep if keep is not None else F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
     judged = strict_filter(events)
     reached = F.col("passed") & (F.coalesce(F.col("src_ip"), F.lit("")) != "")
-    counted = live_counts(judged.withColumn("_one", reached.cast("bigint")), ["src_ip"], "ts_us", 60_000_000,
-                          {"ip_per_minute": "_one"}).drop("_one")
+    counted = live_counts(judged.withColumns({"_one": reached.cast("bigint"), IP: address_key("src_ip", "ts_us")}), [IP],
+                          "ts_us", 60_000_000, {"ip_per_minute": "_one"}).drop("_one", IP)
     severity = F.coalesce("severity_score", F.lit(0.3))
     flood = reached & (severity < rules.HIGH_SEVERITY) & (F.col("ip_per_minute") > per_minute)
     return counted.withColumns({

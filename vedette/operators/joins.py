@@ -79,48 +79,79 @@ def train_asset_join(features: DataFrame, assets: DataFrame) -> DataFrame:
     return features.join(dim, ["client_id", "asset_id"], "left")
 
 
+FOREVER = 2**62
+LONG_US = 2 * DAY_US
+
+
+def _blocked_times(intel: DataFrame) -> DataFrame:
+    """Per address, the disjoint times in which some blocklist entry holds."""
+    order = Window.partitionBy("ip").orderBy("valid_from_us", "_until")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = intel.where("source = 'local_blocklist'")
+    starts = F.coalesce(F.col("valid_from_us") > F.max("_until").over(so_far), F.lit(True)).cast("int")
+    rows = rows.withColumn("_start", starts).withColumn("_island", F.sum("_start").over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy("ip", "_island").agg(F.min("valid_from_us").alias("f"), F.max("_until").alias("u"))
+    return islands.groupBy(F.col("ip").alias("_bip")).agg(F.collect_list(F.struct("f", "u")).alias("_blocked"))
+
+
 def threat_intel_enrich(events: DataFrame, intel: DataFrame, ts: str = "ts_us") -> DataFrame:
     """Adds ``threat_intel`` and ``ti_details`` for public addresses.
 
-    A lookup is valid from ``valid_from_us`` until it expires or a newer one replaces it;
-    made disjoint per address like this, at most one lookup can match an event. Several
-    lookups of one instant: a blocklist entry, then the higher confidence. A blocklist
-    entry is malicious with confidence 90, any other from a score of 25. The join runs per
-    (address, hour), so a busy address meets only the lookups of that hour.
+    An entry holds from ``valid_from_us`` until ``valid_to_us`` (NULL: for good). While a
+    blocklist entry of the address holds, it decides: malicious with confidence 90. Else the
+    newest feed entry so far counts if it still holds (of one instant the higher
+    confidence), malicious from a score of 25. Equi joins only, so streams can use it: feed
+    entries of up to two days meet events per (address, hour), longer ones and the
+    blocklist, of which an address has few once disjoint, come as one list per address.
     """
-    block = F.col("source") == "local_blocklist"
-    confidence = F.when(block, F.lit(rules.BLOCKLIST_CONFIDENCE)).otherwise(F.col("confidence"))
+    intel = intel.withColumn("_until", F.coalesce("valid_to_us", F.lit(FOREVER)))
     w = Window.partitionBy("ip").orderBy("valid_from_us")
-    lookups = (
-        intel.groupBy("ip", "valid_from_us")
-        .agg(F.max(F.struct(block.alias("block"), confidence.alias("confidence"), "source", "valid_to_us")).alias("_x"))
-        .select("ip", "valid_from_us", "_x.*")
-        .withColumn("_until", F.least("valid_to_us", F.coalesce(F.lead("valid_from_us").over(w), F.col("valid_to_us"))))
-        .select(F.col("ip").alias("_ip"), F.col("valid_from_us").alias("_from"), "_until",
-                F.struct((F.col("block") | (F.col("confidence") >= rules.INTEL_MALICIOUS_SCORE)).alias("malicious"),
-                         "source", "confidence").alias("ti_details"))
+    feed = (
+        intel.where("source != 'local_blocklist'").groupBy("ip", "valid_from_us")
+        .agg(F.max(F.struct("confidence", "source", "_until")).alias("_x")).select("ip", "valid_from_us", "_x.*")
+        .withColumn("_until", F.least("_until", F.coalesce(F.lead("valid_from_us").over(w), F.lit(FOREVER))))
+        .where("_until > valid_from_us")
+        .select("ip", F.col("valid_from_us").alias("f"), F.col("_until").alias("u"), F.struct(
+            (F.col("confidence") >= rules.INTEL_MALICIOUS_SCORE).alias("malicious"), "source", "confidence").alias("d"))
     )
+    is_long = F.col("u") - F.col("f") > LONG_US
+    long = feed.where(is_long).groupBy(F.col("ip").alias("_lip")).agg(F.collect_list(F.struct("f", "u", "d")).alias("_long"))
+    short = feed.where(~is_long).select(F.col("ip").alias("_ip"), F.col("f").alias("_from"), F.col("u").alias("_until"),
+                                        F.col("d").alias("_short"), F.explode(F.sequence(
+                                            div_us("f", HOUR_US), div_us(F.col("u") - 1, HOUR_US))).alias("_hour"))
     t = F.col(ts)
-    lookups = lookups.where(F.col("_until") > F.col("_from")).withColumn(
-        "_hour", F.explode(F.sequence(div_us("_from", HOUR_US), div_us(F.col("_until") - 1, HOUR_US))))
     key = F.when(~is_private_ip("src_ip"), F.col("src_ip"))
-    joined = events.withColumns({"_pub": key, "_at_hour": div_us(t, HOUR_US)}).join(
-        lookups, (F.col("_pub") == F.col("_ip")) & (F.col("_at_hour") == F.col("_hour"))
-        & (t >= F.col("_from")) & (t < F.col("_until")), "left")
-    return joined.withColumn("threat_intel", F.coalesce("ti_details.malicious", F.lit(False))).drop(
-        "_pub", "_at_hour", "_hour", "_ip", "_from", "_until")
+    blocked = _blocked_times(intel)
+    joined = (
+        events.withColumns({"_pub": key, "_at_hour": div_us(t, HOUR_US)})
+        .join(blocked, F.col("_pub") == F.col("_bip"), "left")
+        .join(long, F.col("_pub") == F.col("_lip"), "left")
+        .join(short, (F.col("_pub") == F.col("_ip")) & (F.col("_at_hour") == F.col("_hour"))
+              & (t >= F.col("_from")) & (t < F.col("_until")), "left")
+    )
+    on_list = F.exists("_blocked", lambda x: (x["f"] <= t) & (t < x["u"]))
+    lasting = F.get(F.filter("_long", lambda x: (x["f"] <= t) & (t < x["u"])), F.lit(0))["d"]
+    verdict = F.struct(F.lit(True).alias("malicious"), F.lit("local_blocklist").alias("source"),
+                       F.lit(rules.BLOCKLIST_CONFIDENCE).cast("int").alias("confidence"))
+    details = F.when(on_list, verdict).otherwise(F.coalesce("_short", lasting))
+    return (joined.withColumn("ti_details", details)
+            .withColumn("threat_intel", F.coalesce("ti_details.malicious", F.lit(False)))
+            .drop("_pub", "_at_hour", "_hour", "_ip", "_from", "_until", "_short", "_long", "_lip", "_blocked", "_bip"))
 
 
-def drop_known(events: DataFrame, known: DataFrame | None = None, key: str = "raw_hash") -> DataFrame:
-    """One event per hash, none whose hash is already stored. The earliest event stays.
+def drop_known(events: DataFrame, known: DataFrame | None = None, key: str = "raw_hash", tenant: str = "client_id") -> DataFrame:
+    """One event per tenant and hash, none whose hash the tenant has stored; the earliest stays.
 
-    The narrow pass finds the surviving ids, so wide rows are not sorted or shuffled by hash
-    when the join side is small.
+    Events without a hash cannot be repeats and all stay. The narrow pass finds the surviving
+    ids, so wide rows are not sorted or shuffled by hash when the join side is small.
     """
-    first = events.groupBy(key).agg(F.min(F.struct("ts_us", "event_id")).alias("_first"))
+    first = (events.where(F.col(key).isNotNull()).groupBy(tenant, key)
+             .agg(F.min(F.struct("ts_us", "event_id")).alias("_first")))
     if known is not None:
-        first = first.join(known.select(key), key, "left_anti")
-    fresh = first.select(F.col("_first.event_id").alias("event_id"))
+        first = first.join(known.select(tenant, key), [tenant, key], "left_anti")
+    fresh = first.select(F.col("_first.event_id").alias("event_id")).union(
+        events.where(F.col(key).isNull()).select("event_id"))
     return events.join(fresh, "event_id", "left_semi")
 
 

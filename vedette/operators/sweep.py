@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions.numeric import US, div_us, round_to
@@ -99,6 +99,15 @@ def activity(df: DataFrame, keys: Sequence[str], ts: str, tie: str, width_us: in
     return out.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns], count_as, near.alias(prev_as))
 
 
+IP = "_ip"
+
+
+def address_key(ip: str, ts: str) -> Column:
+    """The address as a window key. Rows without one need no window: each instant is a key of its own."""
+    return F.when(F.coalesce(F.col(ip), F.lit("")) != "", F.col(ip)).otherwise(
+        F.concat(F.lit("\0"), F.col(ts).cast("string")))
+
+
 def correlate(events: DataFrame, client: str = "client_id", window_s: int = rules.CORRELATION_WINDOW_S) -> DataFrame:
     """Attack pattern of each event from its (client, src_ip) history of six minutes.
 
@@ -109,12 +118,12 @@ def correlate(events: DataFrame, client: str = "client_id", window_s: int = rule
     window is a running sum as well: each per-asset counter reports when it becomes or
     stops being positive.
     """
-    flagged = events.withColumns(auth_flags("event_type"))
-    keep = [client, "src_ip", "asset_id", "event_id", "is_failure", "is_success", "is_blocked"]
-    rows = live_rows(flagged, keep, "ts_us", window_s * US, inclusive=True).repartition(client, "src_ip", CHUNK)
+    flagged = events.withColumns(auth_flags("event_type")).withColumn(IP, address_key("src_ip", "ts_us"))
+    keep = [client, IP, "asset_id", "event_id", "is_failure", "is_success", "is_blocked"]
+    rows = live_rows(flagged, keep, "ts_us", window_s * US, inclusive=True).repartition(client, IP, CHUNK)
     sign = F.col(SIGN)
     fail, succ = sign * F.col("is_failure").cast("bigint"), sign * F.col("is_success").cast("bigint")
-    here, run = so_far(client, "src_ip", "asset_id"), step_by_step(client, "src_ip", "asset_id")
+    here, run = so_far(client, IP, "asset_id"), step_by_step(client, IP, "asset_id")
     rows = rows.withColumns({
         "_f": F.sum(fail).over(here), "_s": F.sum(succ).over(here),
         "_fa": F.sum(fail).over(run), "_sa": F.sum(succ).over(run),
@@ -124,8 +133,8 @@ def correlate(events: DataFrame, client: str = "client_id", window_s: int = rule
         return after.cast("bigint") - before.cast("bigint")
 
     fa, fb, sa, sb = (F.col(c) for c in ("_fa", "_fb", "_sa", "_sb"))
-    ip = so_far(client, "src_ip")
-    before = (Window.partitionBy(client, "src_ip", CHUNK).orderBy(AT, "event_id")
+    ip = so_far(client, IP)
+    before = (Window.partitionBy(client, IP, CHUNK).orderBy(AT, "event_id")
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({
         "_nf": F.sum(turned(fa > 0, fb > 0)).over(ip),
@@ -135,7 +144,7 @@ def correlate(events: DataFrame, client: str = "client_id", window_s: int = rule
         "_n": F.sum(sign).over(ip),
         "_prev": F.last(F.when(sign > 0, F.col(AT)), ignorenulls=True).over(before),
     }).where(EVENT)
-    known = F.col("src_ip").isNotNull() & (F.col("src_ip") != "")
+    known = F.coalesce(F.col(f"{ROW}.src_ip"), F.lit("")) != ""
     intel = F.coalesce(F.col(f"{ROW}.threat_intel"), F.lit(False)) if "threat_intel" in events.columns else F.lit(False)
     f = F.col("_f")
     gap = F.col(AT) - F.col("_prev")
@@ -214,14 +223,14 @@ def lateral_movement_history(events: DataFrame, window_s: int = 300, min_severit
     assets = all successes of the address minus those of the event's own asset.
     """
     hit = F.lower("event_type").rlike("ssh.*success").cast("bigint")
-    keep = ["client_id", "src_ip", "asset_id", "_hit"]
-    rows = live_rows(events.withColumn("_hit", hit), keep, "ts_us", window_s * US, delay_us=1)
-    rows = rows.repartition("client_id", "src_ip", CHUNK)
+    keep = ["client_id", IP, "asset_id", "_hit"]
+    rows = live_rows(events.withColumns({"_hit": hit, IP: address_key("src_ip", "ts_us")}), keep, "ts_us", window_s * US, delay_us=1)
+    rows = rows.repartition("client_id", IP, CHUNK)
     change = F.col(SIGN) * F.col("_hit")
     rows = rows.withColumns({
-        "_own": F.sum(change).over(so_far("client_id", "src_ip", "asset_id")),
-        "_any": F.sum(change).over(so_far("client_id", "src_ip")),
+        "_own": F.sum(change).over(so_far("client_id", IP, "asset_id")),
+        "_any": F.sum(change).over(so_far("client_id", IP)),
     }).where(EVENT)
     severe = F.coalesce(F.col(f"{ROW}.severity_score"), F.lit(0.0)) >= min_severity
-    found = severe & (F.col("_any") > F.col("_own")) & (F.coalesce(F.col("src_ip"), F.lit("")) != "")
+    found = severe & (F.col("_any") > F.col("_own")) & (F.coalesce(F.col(f"{ROW}.src_ip"), F.lit("")) != "")
     return rows.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in events.columns], found.alias("lateral_history"))

@@ -81,7 +81,9 @@ def escalate_batch(events: DataFrame, assets: DataFrame, history: DataFrame, mod
     if model is None:
         e = e.withColumn("_model", F.lit(None).cast("double"))
     else:
-        scored = train.score(feat.training_features(events, assets), model)
+        # gaps and rates need all events, the model only those that are scored
+        rows = feat.training_features(events, assets).join(e.select("event_id"), "event_id", "left_semi")
+        scored = train.score(rows, model)
         e = e.join(scored.select("event_id", F.col("anomaly_score").alias("_model")), "event_id", "left")
     fallback = iforest.fallback_score("severity_score", F.lit(mode), F.col("_model").isNotNull(), F.col("_model"))
     e = e.withColumns({"anomaly_score": fallback["anomaly_score"], "model_mode": fallback["model_used"],

@@ -55,9 +55,13 @@ def in_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); on one machine, as in tests, a local one if none is set."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or tempfile.mkdtemp(prefix="vedette-")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="vedette-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

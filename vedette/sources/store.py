@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import DAY_US, HOUR_US
 from ..functions.text import asset_value_norm
@@ -15,18 +15,24 @@ def _date(us: str | Column) -> Column:
     return F.to_date(F.timestamp_micros(c))
 
 
+KEY = ("client_id", "row_key")
+
+
 def feature_rows(events: DataFrame) -> DataFrame:
-    """Store rows: one per raw_hash (rows without a hash all stay), asset value in [0, 1], day column."""
+    """Store rows with ``row_key``: one per tenant and hash (else event), the earliest; asset value in [0, 1], day column."""
     rows = events.withColumn("asset_value", asset_value_norm("asset_value")) if "asset_value" in events.columns else events
-    keyed = F.coalesce("raw_hash", F.concat(F.lit("row:"), F.col("event_id").cast("string")))
-    return (rows.withColumn("_key", keyed).dropDuplicates(["_key"]).drop("_key")
-            .withColumn(DATE, _date("ts_us")))
+    rows = rows.withColumn("row_key", F.coalesce("raw_hash", F.concat(F.lit("row:"), F.col("event_id").cast("string"))))
+    first = rows.groupBy(*KEY).agg(F.min(F.struct("ts_us", "event_id")).alias("_first"))
+    first = first.select(*KEY, F.col("_first.event_id").alias("event_id"), F.col("_first.ts_us").alias("ts_us"))
+    kept = rows.join(first, [*KEY, "event_id", "ts_us"], "left_semi").dropDuplicates([*KEY])
+    return kept.withColumn(DATE, _date("ts_us"))
 
 
 def sink_features(events: DataFrame, path: str) -> None:
-    """Appends normal or escalated events that the store does not hold yet, partitioned by day.
+    """Appends events whose (tenant, ``row_key``) the store does not hold yet, partitioned by day.
 
-    Known hashes are looked up only in the days that the new rows touch.
+    A redelivered event adds nothing, whatever its hash, day or order of arrival: keys are
+    looked up over all days, which reads two narrow columns.
     """
     spark = events.sparkSession
     rows = feature_rows(events)
@@ -37,10 +43,7 @@ def sink_features(events: DataFrame, path: str) -> None:
             raise
         stored = None
     if stored is not None:
-        span = rows.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b")).first()
-        if span["a"] is not None:
-            known = stored.where(F.col(DATE).between(span["a"], span["b"])).select("raw_hash")
-            rows = rows.join(known, "raw_hash", "left_anti")
+        rows = rows.join(stored.select(*KEY), [*KEY], "left_anti")
     rows.write.mode("append").partitionBy(DATE).parquet(path)
 
 
@@ -68,7 +71,3 @@ def retention(store: DataFrame, as_of: int | Column, days: int = 90, ts: str = "
 def expire_reports(reports: DataFrame, as_of: int | Column, hours: int = 24) -> DataFrame:
     now = F.lit(as_of) if isinstance(as_of, int) else as_of
     return reports.where(F.col("created_us") > now - F.lit(hours * HOUR_US))
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -135,7 +135,7 @@ _SPEC: dict[str, tuple[str, str]] = {
   CAST((s_suppkey * 37) % 101 AS INT) AS confidence,
   CASE s_suppkey % 4 WHEN 0 THEN 'local_blocklist' ELSE 'feed' END AS source,
   1704067200000000 + s_suppkey * 97000000 AS valid_from_us,
-  1704067200000000 + s_suppkey * 97000000 + 3600000000 AS valid_to_us"""),
+  CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 1704067200000000 + s_suppkey * 97000000 + CASE s_suppkey % 5 WHEN 0 THEN 604800000000 ELSE 3600000000 END END AS valid_to_us"""),
     "reviews": ("orders", """
   o_orderkey AS id,
   CASE WHEN o_custkey % 2 = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS action,

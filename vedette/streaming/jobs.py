@@ -70,8 +70,10 @@ def sessions(stream: DataFrame, gaps=None) -> DataFrame:
 
 
 def dedup(stream: DataFrame, key: str = "raw_hash", delay: str = "1 hour") -> DataFrame:
-    """First arrival of each hash within the delay."""
-    return event_time(stream, delay=delay).dropDuplicatesWithinWatermark([key])
+    """First arrival of each tenant's hash within the delay; events without a hash all pass."""
+    own = F.coalesce(key, F.concat(F.lit("row:"), F.col("event_id").cast("string")))
+    return event_time(stream, delay=delay).withColumn("_key", own).dropDuplicatesWithinWatermark(
+        ["client_id", "_key"]).drop("_key")
 
 
 def enrich(stream: DataFrame, assets: DataFrame, intel: DataFrame) -> DataFrame:
