@@ -27,7 +27,7 @@ def test_correlate_over_batches(spark, tmp_path):
     job = jobs.correlate(spark, str(tmp_path / "job"))
     job.start(files(df, tmp_path / "in")).awaitTermination()
     got = job.results(spark).select(*sweep.correlate(df).columns)
-    assert len(list((tmp_path / "job" / "history").iterdir())) == 4
+    assert len(list((tmp_path / "job" / "history").glob("[0-9]*"))) == 2  # older ones are gone
     assert got.exceptAll(sweep.correlate(df)).count() == 0 and got.count() == 400
 
 
@@ -44,6 +44,21 @@ def test_incidents_over_batches(spark, tmp_path):
     store = jobs.IncidentStore(str(tmp_path / "store"))
     store.start(files(spark.createDataFrame(rows, INC), tmp_path / "in")).awaitTermination()
     assert as_tuples(store.table(spark)) == sessions_by_hand(rows)
+    again = jobs.IncidentStore(str(tmp_path / "store"))  # as after a restart
+    assert as_tuples(again.table(spark)) == sessions_by_hand(rows)
+
+
+def test_late_rows_within_the_lateness_change_what_came_before(spark, tmp_path):
+    rows = sorted(make(300), key=lambda r: r[1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    job = jobs.correlate(spark, str(tmp_path / "job"))
+    early, late = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if not i % 3]
+    job.lateness_us = 10**12
+    for k, part in enumerate((early[:100], late[:40], early[100:], late[40:])):
+        job(spark.createDataFrame(part, SCHEMA), k)
+    want = sweep.correlate(df)
+    got = job.results(spark).select(*want.columns)
+    assert got.count() == 300 and got.exceptAll(want).count() == 0
 
 
 def test_late_rows_are_set_aside(spark, tmp_path):

@@ -64,6 +64,23 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="vedette-")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    files, at = _folder(spark, path)
+    files.delete(at, True)
+
+
+def newest_number(spark: SparkSession, path: str) -> int:
+    """The largest number among the names in a folder of the shared store."""
+    files, at = _folder(spark, path)
+    return max(int(f.getPath().getName()) for f in files.listStatus(at) if f.getPath().getName().isdigit())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.numeric import exact_avg
 from ..operators import filters, incidents as inc, joins, sweep
 from ..plans.normalize import normalize_events
-from ..session import shared_folder
+from ..session import drop_folder, newest_number, shared_folder
 
 DELAY = "6 minutes"
 
@@ -94,31 +94,40 @@ def run_to_folder(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 class Windowed:
     """A batch window operator applied to each micro-batch with the history it needs.
 
-    The history (rows younger than ``horizon_us``) is a small table written per batch in
-    the shared folder. The operator itself cuts hot keys by time, which a keyed state
-    store cannot: there one key lives in one task. Every folder is named by its batch, so
-    a batch that runs again after a failure overwrites what it left.
+    A row may come up to ``lateness_us`` after a newer one; older ones are set aside in
+    ``late``. The history, a small table written per batch in the shared folder, reaches
+    back by horizon and lateness, so an accepted late row sees its whole window, and the
+    rows after it, whose windows it entered, are computed and written again; ``results``
+    takes each row's last version. The operator itself cuts hot keys by time, which a
+    keyed state store cannot: there one key lives in one task. Every folder is named by
+    its batch, so a batch that runs again after a failure overwrites what it left.
     """
 
-    def __init__(self, op: Callable[[DataFrame], DataFrame], horizon_us: int, folder: str, ts: str = "ts_us"):
-        self.op, self.horizon_us, self.folder, self.ts = op, horizon_us, folder, ts
+    def __init__(self, op: Callable[[DataFrame], DataFrame], horizon_us: int, folder: str, ts: str = "ts_us",
+                 lateness_us: int | None = None, row_id: str = "event_id"):
+        self.op, self.horizon_us, self.folder, self.ts, self.row_id = op, horizon_us, folder, ts, row_id
+        self.lateness_us = horizon_us if lateness_us is None else lateness_us
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # read by the late, result and history outputs
-        new = batch.withColumn("_new", F.lit(True))
+        new, at = batch.withColumn("_new", F.lit(True)), F.col(self.ts)
         if batch_id > 0:
             old = spark.read.parquet(f"{self.folder}/history/{batch_id - 1}").withColumn("_new", F.lit(False))
-            floor = F.coalesce(old.agg(F.max(self.ts)).scalar() - F.lit(self.horizon_us), F.lit(-(2**62)))
-            late = new.where(F.col(self.ts) < floor).drop("_new")
-            late.write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
-            both = old.unionByName(new.where(F.col(self.ts) >= floor))
+            newest = old.agg(F.max(self.ts)).first()[0]
+            floor = -(2**62) if newest is None else newest - self.lateness_us
+            new.where(at < floor).drop("_new").write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+            new = new.where(at >= floor)
+            both = old.unionByName(new)
         else:
             both = new
-        self.op(both).where("_new").drop("_new").write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+        since = new.agg(F.min(self.ts)).first()[0]
+        again = F.col("_new") | (at >= since) if since is not None else F.col("_new")
+        self.op(both).where(again).drop("_new").write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
         newest = both.agg(F.max(self.ts)).scalar()
-        both.where(F.col(self.ts) >= newest - F.lit(self.horizon_us)).drop("_new").write.mode("overwrite").parquet(
+        both.where(at >= newest - F.lit(self.horizon_us + self.lateness_us)).drop("_new").write.mode("overwrite").parquet(
             f"{self.folder}/history/{batch_id}")
+        drop_folder(spark, f"{self.folder}/history/{batch_id - 2}")
         batch.unpersist()
 
     def start(self, stream: DataFrame) -> StreamingQuery:
@@ -126,7 +135,10 @@ class Windowed:
                 .trigger(availableNow=True).start())
 
     def results(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/out")
+        """Each row once, as the last batch that wrote it left it."""
+        rows = spark.read.parquet(f"{self.folder}/out")
+        last = rows.groupBy(self.row_id).agg(F.max("batch").alias("batch"))
+        return rows.join(last, [self.row_id, "batch"], "left_semi").drop("batch")
 
 
 def correlate(spark: SparkSession, folder: str | None = None) -> Windowed:
@@ -161,7 +173,7 @@ class IncidentStore:
         is_open = F.coalesce(F.col("last_seen_us") >= seen - F.lit(longest), F.lit(True))
         found.where(is_open).write.mode("overwrite").parquet(f"{self.folder}/open/{batch_id}")
         found.where(~is_open).write.mode("overwrite").parquet(f"{self.folder}/closed/batch={batch_id}")
-        self.last = batch_id
+        drop_folder(spark, f"{self.folder}/open/{batch_id - 2}")
         found.unpersist()
         batch.unpersist()
 
@@ -170,6 +182,6 @@ class IncidentStore:
                 .trigger(availableNow=True).start())
 
     def table(self, spark: SparkSession) -> DataFrame:
-        now_open = spark.read.parquet(f"{self.folder}/open/{self.last}")
+        now_open = spark.read.parquet(f"{self.folder}/open/{newest_number(spark, f'{self.folder}/open')}")
         closed = spark.read.schema(now_open.schema).parquet(f"{self.folder}/closed").select(*now_open.columns)
         return closed.unionByName(now_open)
