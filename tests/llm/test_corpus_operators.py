@@ -101,12 +101,12 @@ def near_copies(seed):
     return texts + ["", None, "   ", "one two", "ONE\ttwo", "É é é é é é", "a" * 20_000, "the " * 3_000, texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("seed,small", [(1, 64), (2, 2), (3, 4)])
-def test_groups_are_brute_force(spark, seed, small):
+@pytest.mark.parametrize("seed,small,medium", [(1, 64, 8_000), (2, 2, 8_000), (3, 2, 3)])
+def test_groups_are_brute_force(spark, seed, small, medium):
     texts = near_copies(seed)
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)],
                                  "doc_id long, text string, sig string, n long, component_id long")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs, small=small).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs, small=small, medium=medium).collect()}
     assert [got[i] for i in range(len(texts))] == grouped(texts)
     kept = {r["doc_id"] for r in jaccard.one_of_each(docs).collect()}
     assert kept == {c for _, c in got.values()}
