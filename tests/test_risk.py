@@ -117,3 +117,22 @@ def test_few_events_are_scored_too(spark, views):
     few = views.sec_events.limit(3)
     assert features.training_features(few, views.assets).count() == 3
     assert features.training_features(few, views.assets, features.MIN_TRAINING_ROWS).count() == 0
+
+
+def test_old_days_are_dropped(spark, tmp_path):
+    from vedette.sources import store
+    day = 86_400_000_000
+    events = spark.createDataFrame([(i, "a", None, i * 10 * day) for i in range(12)], "event_id long, client_id string, raw_hash string, ts_us long")
+    path = str(tmp_path / "store")
+    store.sink_features(events, path)
+    gone = store.drop_expired_days(spark, path, 110 * day, 90)
+    assert gone == ["created_date=1970-01-01", "created_date=1970-01-11"]
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_rejected_lines_are_kept(spark):
+    from vedette.sources import raw
+    texts = spark.createDataFrame([("f", '{"a":1}\nnope\n\n{"a":2}\n{x'), ("g", '{"a":1}'), ("h", None)], "file string, value string")
+    assert raw.read_json_lines(texts).count() == 3
+    assert sorted(tuple(r) for r in raw.rejected_lines(texts).collect()) == [("f", "nope", 2), ("f", "{x", 5)]
+    assert raw.queue_rejects(texts).count() == 2

@@ -10,19 +10,21 @@ from ..sources import raw as raw_sources
 from .registry import query
 
 _PREFIX = """concat('{"actor": "', actor, '", "entity_id": "', entity_id, '", "event_type": "', event_type, '", "payload": ', replace(payload, ':', ': '), ', "previous_hash": "')"""
-CHAIN = f"""a AS (SELECT *, {_PREFIX} AS px, row_number() OVER (PARTITION BY chain ORDER BY id) AS k FROM audit_log),
+BLOCK_IDS = 500
+CHAIN = f"""a AS (SELECT *, {_PREFIX} AS px, row_number() OVER (PARTITION BY chain ORDER BY id) AS k
+  FROM (SELECT * REPLACE (concat(chain, '/', id // {BLOCK_IDS}) AS chain) FROM audit_log)),
 c AS (SELECT id, chain, k, px, 'GENESIS' AS ph, sha256(px || 'GENESIS' || '"}}') AS ch FROM a WHERE k = 1
  UNION ALL SELECT a.id, a.chain, a.k, a.px, c.ch, sha256(a.px || c.ch || '"}}') FROM c JOIN a ON a.chain = c.chain AND a.k = c.k + 1)"""
 
 
 @query("build_hash_chain", "audit_log", f"WITH {CHAIN} SELECT chain, count(*) AS records, arg_max(ch, id) AS head FROM c GROUP BY chain")
 def _(v):
-    return audit.chain_heads(audit.build_hash_chain(v.audit_log))
+    return audit.chain_heads(audit.build_hash_chain(v.audit_log, block_ids=BLOCK_IDS))
 
 
 def _tampered(v):
     """Built chains in which every 997th record had its actor changed afterwards."""
-    built = audit.build_hash_chain(v.audit_log)
+    built = audit.build_hash_chain(v.audit_log, block_ids=BLOCK_IDS)
     return built.withColumn("actor", F.when(F.col("id") % 997 == 5, F.lit("mallory")).otherwise(F.col("actor")))
 
 
@@ -40,7 +42,7 @@ WITH {CHAIN}, t AS (SELECT *, CASE WHEN id % 991 = 7 THEN sha256('x') ELSE ch EN
 SELECT chain, count(*) FILTER (id % 991 = 7) AS content_changed, count(*) FILTER (id % 991 <> 7 AND ph <> l) AS link_broken, min(id) FILTER (id % 991 = 7) AS first_changed
 FROM (SELECT *, coalesce(lag(stored) OVER (PARTITION BY chain ORDER BY id), 'GENESIS') AS l FROM t) GROUP BY chain""")
 def _(v):
-    built = audit.build_hash_chain(v.audit_log).withColumn(
+    built = audit.build_hash_chain(v.audit_log, block_ids=BLOCK_IDS).withColumn(
         "current_hash", F.when(F.col("id") % 991 == 7, F.sha2(F.lit("x"), 256)).otherwise(F.col("current_hash")))
     return audit.tamper_report(built)
 

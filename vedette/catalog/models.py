@@ -53,7 +53,7 @@ def _(v):
 @query("half_space_trees", "", None)
 def _(v):
     x = _train(v).join(v.sec_events.select("event_id", "danger_score"), "event_id")
-    return hst.half_space_trees(x).select("event_id", "client_id", "asset_id", "seq", "raw_score", "river_score",
+    return hst.half_space_trees(x, window=100).select("event_id", "client_id", "asset_id", "seq", "raw_score", "river_score",
                                           "river_warmup", "is_anomaly", "river_escalates", "learned")
 
 

@@ -147,7 +147,7 @@ def _(v):
 @query("ingest_batch", "", None)
 def _(v):
     e = sweep.correlate(v.sec_events).withColumn("dst_port", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 1000).cast("int")))
-    return pipeline.ingest_batch(e).select("event_id", "client_id", "river_score", "nmap_score", "combined_score", "via", "route")
+    return pipeline.ingest_batch(e, window=100).select("event_id", "client_id", "river_score", "nmap_score", "combined_score", "via", "route")
 
 
 _ESC = f"""c1 AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'brute_force_success' ELSE 'none' END AS cpat FROM sec_events WHERE command_risk >= 0.4),

@@ -28,13 +28,14 @@ def record_hash(prefix: Column, previous: Column) -> Column:
     return F.sha2(F.concat(prefix, previous, F.lit('"}')).cast("binary"), 256)
 
 
-def build_hash_chain(events: DataFrame, chain: str = "chain") -> DataFrame:
+def build_hash_chain(events: DataFrame, chain: str = "chain", block_ids: int = 50_000) -> DataFrame:
     """Adds previous_hash and current_hash along ``id`` within each chain.
 
-    A chain is serial by nature, so a log is kept as many chains of bounded length (tenant
-    and id block, say), each built in one group.
+    A chain is serial by nature, so each is kept as one chain per block of ids, of bounded
+    length, and built in one group; ``chain`` becomes ``<chain>/<block>``.
     """
-    rows = events.withColumn("_prefix", content_prefix())
+    block = F.floor(F.col("id") / F.lit(block_ids)).cast("string")
+    rows = events.withColumn(chain, F.concat_ws("/", F.col(chain), block)).withColumn("_prefix", content_prefix())
     names = events.columns
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:

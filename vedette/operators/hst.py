@@ -170,7 +170,7 @@ def flags(scored: DataFrame) -> DataFrame:
     )
 
 
-def half_space_trees(features: DataFrame) -> DataFrame:
+def half_space_trees(features: DataFrame, window: int = rules.HST_WINDOW) -> DataFrame:
     """Raw density, score and flags per event. ``features`` holds the nine features and danger_score."""
     s = cut_lineage(sequence(cut_lineage(features)))
-    return flags(s.join(raw_density(s), [*KEYS, "event_id"]))
+    return flags(s.join(raw_density(s, window=window), [*KEYS, "event_id"]))

@@ -45,14 +45,14 @@ def event_features(events: DataFrame) -> DataFrame:
     })
 
 
-def ingest_batch(events: DataFrame) -> DataFrame:
+def ingest_batch(events: DataFrame, window: int = rules.HST_WINDOW) -> DataFrame:
     """Density score, port-scan score, combined score, escalation and route per event.
 
     ``events`` are correlated events; ``dst_port`` is optional. Events without a tenant
     are not scored.
     """
     known = cut_lineage(events.where(F.coalesce("client_id", F.lit("")) != ""))
-    dens = hst.half_space_trees(event_features(known)).select(
+    dens = hst.half_space_trees(event_features(known), window).select(
         "event_id", "river_score", "river_warmup", "is_anomaly", "learned")
     if "dst_port" in known.columns:
         scans = sweep.port_scan_score(known.where("src_ip is not null and dst_port is not null")

@@ -75,10 +75,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    files, at = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)]
+
+
 def newest_number(spark: SparkSession, path: str) -> int:
     """The largest number among the names in a folder of the shared store."""
-    files, at = _folder(spark, path)
-    return max(int(f.getPath().getName()) for f in files.listStatus(at) if f.getPath().getName().isdigit())
+    return max(int(n) for n in names_in(spark, path) if n.isdigit())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

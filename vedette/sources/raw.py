@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.jsontree import records_of
 
@@ -11,17 +11,25 @@ def read_json_lines(texts: DataFrame, column: str = "value") -> DataFrame:
     """Explodes texts (one file or one line per row) into JSON records.
 
     A text may be one object, an array, or an object with a single key that holds the
-    records. Text that is no JSON as a whole is read line by line, and lines that are no
-    JSON are dropped; count them with ``json_quality``.
+    records. Text that is no JSON as a whole is read line by line; lines that are no JSON
+    are what ``rejected_lines`` returns.
     """
+    good = F.filter(_lines(column), lambda x: F.try_parse_json(x).isNotNull())
     whole = texts.withColumn("_records", records_of(column))
-    good = whole.where(F.col("_records").isNotNull()).withColumn("raw", F.explode("_records"))
-    lines = (
-        whole.where(F.col("_records").isNull() & F.col(column).isNotNull())
-        .withColumn("raw", F.explode(F.split(column, "\n"))).withColumn("raw", F.trim("raw"))
-        .where(F.try_parse_json("raw").isNotNull() & (F.col("raw") != ""))
-    )
-    return good.drop("_records").unionByName(lines.drop("_records"))
+    return whole.withColumn("raw", F.explode(F.coalesce("_records", good))).drop("_records")
+
+
+def _lines(column: str) -> Column:
+    """Trimmed lines of a text that are not empty."""
+    return F.filter(F.transform(F.split(column, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def rejected_lines(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that ``read_json_lines`` leaves out, as ``line`` with ``line_number`` and the text's other columns."""
+    numbered = F.transform(F.split(column, "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), (i + 1).alias("line_number")))
+    bad = F.filter(numbered, lambda x: (x["line"] != "") & F.try_parse_json(x["line"]).isNull())
+    broken = texts.where(F.col(column).isNotNull() & records_of(column).isNull())
+    return broken.select(*[c for c in texts.columns if c != column], F.inline(bad))
 
 
 def json_quality(texts: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
@@ -50,7 +58,7 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def queue_stream(spark: SparkSession, path: str, schema: str, max_files: int = 10) -> DataFrame:
-    """Event queue as a stream of JSON text files; records that do not parse are skipped."""
+    """Event queue as a stream of JSON text files; records that do not parse are left to ``queue_rejects``."""
     texts = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
     return parse_queue(texts, schema)
 
@@ -65,3 +73,8 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, per
 def parse_queue(texts: DataFrame, schema: str) -> DataFrame:
     event = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     return texts.where(F.try_parse_json("value").isNotNull()).select(event.alias("e")).select("e.*")
+
+
+def queue_rejects(texts: DataFrame) -> DataFrame:
+    """Queue records that do not parse, as they came; works on tables and streams."""
+    return texts.where(F.col("value").isNull() | F.try_parse_json("value").isNull())

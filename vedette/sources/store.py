@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import DAY_US, HOUR_US
 from ..functions.text import asset_value_norm
+from ..session import drop_folder, names_in
 
 DATE = "created_date"
 
@@ -68,6 +71,15 @@ def retention(store: DataFrame, as_of: int | Column, days: int = 90, ts: str = "
     return kept.where(F.col(DATE) >= _date(now - F.lit(days * DAY_US))) if DATE in store.columns else kept
 
 
+def drop_expired_days(spark: SparkSession, path: str, as_of_us: int, days: int = 90) -> list[str]:
+    """Deletes the day folders of a store that lie wholly outside the window; returns their names."""
+    first = datetime.fromtimestamp((as_of_us - days * DAY_US) / 1e6, UTC).date().isoformat()
+    gone = sorted(n for n in names_in(spark, path) if n.startswith(f"{DATE}=") and n.removeprefix(f"{DATE}=") < first)
+    for name in gone:
+        drop_folder(spark, f"{path}/{name}")
+    return gone
+
+
 def expire_reports(reports: DataFrame, as_of: int | Column, hours: int = 24) -> DataFrame:
     now = F.lit(as_of) if isinstance(as_of, int) else as_of
     return reports.where(F.col("created_us") > now - F.lit(hours * HOUR_US))

@@ -128,7 +128,7 @@ _SPEC: dict[str, tuple[str, str]] = {
  WHEN 3 THEN concat('{"topic":"factory/boiler/temp","d_id":"', asset_id, '","val":', CAST(event_id % 140 AS STRING), '}')
  ELSE concat('{"device":"fw1","dst_port":', CAST(event_id % 1024 AS STRING), ',"description":"<script>alert(1)</script> failed","src_ip":"', src_ip, '"}') END AS raw"""),
     "audit_log": ("sec_events", """
-  event_id AS id, concat(client_id, '/', CAST(event_id DIV 500 AS STRING)) AS chain,
+  event_id AS id, client_id AS chain,
   event_type, asset_id AS entity_id, client_id AS actor, concat('{"n":', CAST(event_id AS STRING), '}') AS payload"""),
     "intel": ("supplier", """
   concat('203.0.113.', CAST(s_suppkey % 50 AS STRING)) AS ip,
