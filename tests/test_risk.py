@@ -132,7 +132,7 @@ def test_old_days_are_dropped(spark, tmp_path):
 
 def test_rejected_lines_are_kept(spark):
     from vedette.sources import raw
-    texts = spark.createDataFrame([("f", '{"a":1}\nnope\n\n{"a":2}\n{x'), ("g", '{"a":1}'), ("h", None)], "file string, value string")
+    texts = spark.createDataFrame([("f", '{"a":1}\nnope\n\n{"a":2}\n{x'), ("g", '{"a":1}'), ("h", None), ("i", "nope")], "file string, value string")
     assert raw.read_json_lines(texts).count() == 3
-    assert sorted(tuple(r) for r in raw.rejected_lines(texts).collect()) == [("f", "nope", 2), ("f", "{x", 5)]
+    assert sorted(tuple(r) for r in raw.rejected_lines(texts).collect()) == [("f", "nope", 2), ("f", "{x", 5), ("i", "nope", 1)]
     assert raw.queue_rejects(texts).count() == 2
