@@ -20,7 +20,7 @@ from .common import whole_text
 from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceTable, read_model
 
 #: Entries of a worker's memory, of which it has two in turn, and length of texts that it keeps.
-MEMORY, MEMORY_CHARS = 400_000, 48
+MEMORY, MEMORY_CHARS = 250_000, 48
 
 
 class Encoder:
