@@ -220,3 +220,13 @@ def test_leaks_planted_and_clean(spark):
     left = {r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()}
     assert left == {i for i, _ in rows} - {i for i, _ in found}
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_thinned_edges_connect_the_same(spark):
+    rng = random.Random(8)
+    pairs = [(min(p), max(p)) for p in ((rng.randrange(300), rng.randrange(300)) for _ in range(900)) if p[0] != p[1]]
+    edges = spark.createDataFrame(pairs + [(900, 901)], "a long, b long").repartition(40)
+    thin = jaccard.thinned(edges)
+    assert thin.count() < 700
+    want = {tuple(r) for r in jaccard.components(edges).collect()}
+    assert {tuple(r) for r in jaccard.components(thin).collect()} == want
