@@ -28,7 +28,7 @@ from .common import free_name, stored, whole_text
 
 LINE, WINDOW, LEAST = 10, 20, 50
 WORD = re.compile(r"\S+")
-MEMORY = 500_000
+MEMORY = 100_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 

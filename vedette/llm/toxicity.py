@@ -26,7 +26,7 @@ from .common import free_name, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-MEMORY = 300_000
+MEMORY = 120_000
 BUCKETS = 1 << 20
 HASH = xxhash.xxh32_intdigest
 
