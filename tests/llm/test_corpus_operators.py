@@ -230,3 +230,28 @@ def test_thinned_edges_connect_the_same(spark):
     assert thin.count() < 700
     want = {tuple(r) for r in jaccard.components(edges).collect()}
     assert {tuple(r) for r in jaccard.components(thin).collect()} == want
+
+
+def test_passages_whose_parts_occur_earlier_on_their_own(spark):
+    """The whole passage goes from the later text, whichever earlier texts hold its middle or an end."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for k in range(40):
+        n = rng.choice((50, 52, 60, 90))
+        passage, base = words(n), 10 * k
+        for j in range(rng.randint(1, 3)):  # parts with other surroundings, before the whole
+            a = rng.choice((0, 11, n - 30))
+            rows.append((base + j, " ".join([*words(20), *passage[a:a + 30], *words(20)])))
+        rows.append((base + 5, " ".join([*words(20), *passage, *words(20)])))
+        rows.append((base + 6, " ".join([*words(20), *passage[11:41], *words(20)])))
+        around = words(20), words(20)
+        rows.append((base + 7, " ".join([*around[0], *passage, *around[1]])))
+        want[base + 7] = around[0] + around[1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"].split() for r in lines.dedup_lines(docs).collect()}
+    assert {i: left[i] for i in want} == want
+    assert all(left[i] == t.split() for i, t in rows if i not in want)

@@ -7,10 +7,13 @@ hashes the smallest is selected. Two texts that share a run of at least
 share the span from one selected line to the end of the next: a link.
 
 Links are joined on the hash of their span: the first occurrence (lowest id, then position)
-against each later one, a star and not all pairs. Later links that overlap are one chain; a
-chain is extended both ways, word by word, against the first occurrence of its outer links
-(selection leaves less than ``window`` words uncovered on either side). Runs of ``least`` words
-or more are deleted from the later text; the first occurrence stays.
+against each later one, a star and not all pairs. Later links that overlap are one chain. Of
+each link less than ``window`` words from an end of its chain, the words beyond it are compared
+with those beyond every earlier occurrence, and the longest run that an earlier occurrence has
+as well extends the chain (selection leaves less than ``window`` words of a run uncovered on
+either side). Occurrences whose next links lie as around the first occurrence, or as around
+another, have the same words beyond them, so the earliest stands for these. Runs of ``least`` words or more are deleted
+from the later text; the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -107,32 +110,74 @@ def _links_of(column: Column, line: int, window: int) -> Column:
 
 
 def _context(reach: int):
-    """Hashes of the ``reach`` words before (-1) or after (1) a word position, nearest first."""
+    """Per place (side, at, key): hashes of the key with the next 1, 2, .. ``reach`` words before (-1) or after (1) it.
+
+    Of places that are no ``edge`` and have the same key and words beyond them in a text, the first is returned.
+    """
     kind = ArrayType(StructType([StructField("side", IntegerType()), StructField("at", IntegerType()),
-                                 StructField("words", ArrayType(LongType()))]))
+                                 StructField("beyond", ArrayType(LongType()))]))
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array, asked: pa.Array) -> pa.Array:
-        out = []
+        offsets, sides, ats, sizes, parts = [0], [], [], [], [np.zeros(0, np.uint64)]
         for text, places in zip(texts, asked, strict=True):
-            words = word_hashes(text.as_py() or "").view(np.int64)
-            rows = []
-            for place in places.as_py() or []:
-                side, at = place["side"], place["at"]
-                near = words[at:at + reach] if side > 0 else words[max(0, at - reach):at][::-1]
-                rows.append({"side": side, "at": at, "words": near.tolist()})
-            out.append(rows)
-        arrow = pa.list_(pa.struct([("side", pa.int32()), ("at", pa.int32()), ("words", pa.list_(pa.int64()))]))
-        return pa.array(out, arrow)
+            places = places.as_py() or []
+            offsets.append(offsets[-1] + len(places))
+            if not places:
+                continue
+            words = word_hashes(text.as_py() or "")
+            side, at, key = (np.array([p[c] for p in places], np.int64) for c in ("side", "at", "key"))
+            step = np.arange(reach)
+            where = np.where(side[:, None] > 0, at[:, None] + step, at[:, None] - 1 - step)
+            inside = (where >= 0) & (where < len(words))
+            near = words[np.clip(where, 0, len(words) - 1)] if len(words) else np.zeros(where.shape, np.uint64)
+            h = key.view(np.uint64) ^ side.view(np.uint64)
+            out = np.zeros(where.shape, np.uint64)
+            for k in range(reach):
+                h = (h ^ (h >> np.uint64(31))) * MIX + near[:, k]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(BASE)
+                out[:, k] = h
+            size = inside.sum(axis=1)
+            edge = np.array([p["edge"] for p in places])
+            other = np.flatnonzero((size == reach) & ~edge)
+            other = other[np.argsort(at[other])]
+            keep = (size < reach) | edge
+            keep[other[np.unique(out[other, -1], return_index=True)[1]]] = True
+            offsets[-1] = offsets[-2] + int(keep.sum())
+            sides.append(side[keep])
+            ats.append(at[keep])
+            sizes.append(size[keep])
+            parts.append(out[keep][inside[keep]])
+        side, at, size = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32) for x in (sides, ats, sizes))
+        beyond = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)),
+                                          pa.array(np.concatenate(parts).view(np.int64)))
+        rows = pa.StructArray.from_arrays([pa.array(side), pa.array(at), beyond], ["side", "at", "beyond"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return found
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+def _furthest(batches):
+    """Per place, how many words beyond it an earlier one has as well; rows come sorted by first hash, then text and place."""
+    group, seen, last, waiting = None, set(), None, []
+    for batch in batches:
+        more = np.zeros(len(batch), np.int32)
+        first = batch["h"].to_numpy()
+        new = np.append(True, first[1:] != first[:-1])
+        rows = np.flatnonzero(~new | np.append(~new[1:], True) | (np.arange(len(first)) == 0))  # a hash by itself meets none
+        part = batch.take(pa.array(rows))
+        for i, h, d, at, beyond in zip(rows.tolist(), *(part[c].to_pylist() for c in ("h", "d", "at", "beyond")), strict=True):
+            if h != group:
+                group, seen, last, waiting = h, set(), None, []
+            if (d, at) != last:  # rows of one place count once
+                seen.update(waiting)
+                last, waiting = (d, at), []
+            k = 0
+            while k < len(beyond) and beyond[k] in seen:
+                k += 1
+            more[i] = k
+            waiting += beyond[k:]
+        yield pa.RecordBatch.from_arrays([batch["d"], batch["side"], batch["at"], pa.array(more)], ["doc", "side", "at", "more"])
 
 
 def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW,
@@ -141,7 +186,8 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
 
     ``docs`` must have no null ids; null texts count as empty. Rows with the same id count as one occurrence. Every run
     of at least ``max(least, line + 2 * window - 1)`` words that an earlier text has as well
-    is found; order is by id, then by position, so a text can repeat itself.
+    is found, whatever other texts hold of it; order is by id, then by position, so a text
+    can repeat itself.
     """
     found = docs.select(F.col(doc).alias("doc"), F.inline(_links_of(whole_text(text), line, window)))
     with stored(found) as every:
@@ -149,39 +195,66 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
         often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
         again = cut_lineage(every.join(often, "key").select("key", "doc", "start", "end", "fdoc"))
     firsts = again.where("doc = fdoc").groupBy("key").agg(F.min("start").alias("fstart"))
-    later = again.join(firsts, "key").where((F.col("doc") != F.col("fdoc")) | (F.col("start") != F.col("fstart")))
     order = Window.partitionBy("doc").orderBy("start", "end")
+    here = F.struct(((F.col("doc") != F.col("fdoc")) | (F.col("start") != F.col("fstart"))).alias("later"), "key",
+                    "fdoc", (F.col("fstart") - F.col("start")).alias("offset"), "start", "end")
+
+    def alike(side: int) -> Column:
+        """Of a later link with ``window`` words beyond it in later links: what these are, 0 if they lie so around its first occurrence."""
+        inner, chained, as_first, names, out = F.col("here"), F.col("here.later"), F.lit(True), [F.lit(side)], F.lit(None)
+        for i in range(1, 4):
+            outer = F.lead("here", i).over(order) if side > 0 else F.lag("here", i).over(order)
+            reach = outer["end"] - F.col("end") if side > 0 else F.col("start") - outer["start"]
+            meet = outer["start"] <= inner["end"] if side > 0 else outer["end"] >= inner["start"]
+            chained = chained & outer["later"] & meet
+            as_first = as_first & (outer["fdoc"] == F.col("fdoc")) & (outer["offset"] == F.col("here.offset"))
+            names = [*names, outer["key"], outer["start"] - F.col("start")]
+            out = F.coalesce(out, F.when(chained & (reach >= window), F.when(as_first, F.lit(0)).otherwise(F.xxhash64(*names))))
+            inner = outer
+        return out
+
+    marked = again.join(firsts, "key").withColumn("here", here).select(
+        "doc", "key", "start", "end", F.col("here.later").alias("later"), alike(-1).alias("before"), alike(1).alias("after"))
+    with stored(marked) as marked:
+        return _runs(docs, marked, doc, text, window, least)
+
+
+def _runs(docs: DataFrame, marked: DataFrame, doc: str, text: str, window: int, least: int) -> DataFrame:
+    """The result of ``repeated_runs`` from the occurrences of all links that repeat."""
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    later = marked.where("later").select("doc", "key", "start", "end")
     chained = later.withColumn("gap", F.coalesce(
         F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     chained = chained.withColumn("chain", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = cut_lineage(chained.groupBy("doc", "chain").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        F.min_by(F.struct("fdoc", F.col("fstart").alias("at")), F.struct("start", "end")).alias("left"),
-        F.max_by(F.struct("fdoc", (F.col("fstart") + F.col("end") - F.col("start")).alias("at")),
-                 F.struct("end", "start")).alias("right")))
-    # the words around the chains and around their first occurrences, read from the texts
-    ends = chains.select(F.inline(F.array(
-        F.struct(F.col("doc").alias("d"), F.lit(-1).alias("side"), F.col("start").alias("at")),
-        F.struct(F.col("left.fdoc").alias("d"), F.lit(-1).alias("side"), F.col("left.at").alias("at")),
-        F.struct(F.col("doc").alias("d"), F.lit(1).alias("side"), F.col("end").alias("at")),
-        F.struct(F.col("right.fdoc").alias("d"), F.lit(1).alias("side"), F.col("right.at").alias("at")))))
-    asked = ends.groupBy("d").agg(F.collect_set(F.struct("side", "at")).alias("asked"))
-    around = cut_lineage(docs.join(asked, docs[doc] == asked["d"])
-                         .select("d", F.inline(_context(window)(whole_text(text), F.col("asked"))))
-                         .groupBy("d", "side", "at").agg(F.any_value("words").alias("words")))  # repeated ids once
-
-    def with_words(df: DataFrame, side: int, d: str, at: str, name: str) -> DataFrame:
-        w = around.where(F.col("side") == side).select(F.col("d").alias("_d"), F.col("at").alias("_at"),
-                                                       F.col("words").alias(name))
-        return df.join(w, (F.col(d) == F.col("_d")) & (F.col(at) == F.col("_at"))).drop("_d", "_at")
-
-    full = chains
-    for side, d, at, name in ((-1, "doc", "start", "l1"), (-1, "left.fdoc", "left.at", "l2"),
-                              (1, "doc", "end", "r1"), (1, "right.fdoc", "right.at", "r2")):
-        full = with_words(full, side, d, at, name)
-    runs = full.select("doc", (F.col("start") - _common(F.col("l1"), F.col("l2"))).alias("start"),
-                       (F.col("end") + _common(F.col("r1"), F.col("r2"))).alias("end"))
-    return (runs.where(F.col("end") - F.col("start") >= least).groupBy("doc")
+    whole = Window.partitionBy("doc", "chain")
+    chained = cut_lineage(chained.select("doc", "chain", "key", "start", "end", F.min("start").over(whole).alias("first"),
+                                         F.max("end").over(whole).alias("last")))
+    # where a run can end less than ``window`` words beyond a link, and the occurrences of such links
+    before, after = F.lit(-1).alias("side"), F.lit(1).alias("side")
+    edges = (chained.where(F.col("start") - F.col("first") < window).select("doc", "chain", before, F.col("start").alias("at"), "key")
+             .union(chained.where(F.col("last") - F.col("end") < window)
+                    .select("doc", "chain", after, F.col("end").alias("at"), "key")))
+    places = (marked.select("doc", "key", before, F.col("start").alias("at"), F.col("before").alias("alike"))
+              .union(marked.select("doc", "key", after, F.col("end").alias("at"), F.col("after").alias("alike")))
+              .where("alike IS NULL OR alike != 0").join(edges.select("key", "side").distinct(), ["key", "side"], "left_semi"))
+    alone = places.where("alike IS NULL").select("doc", "side", "at", "key")
+    places = alone.union(places.where("alike IS NOT NULL").groupBy("key", "side", "alike").agg(F.min(F.struct("doc", "at")).alias("p"))
+                         .select("p.doc", "side", "p.at", "key")).withColumn("edge", F.lit(False))
+    places = places.union(edges.select("doc", "side", "at", "key", F.lit(True)))
+    asked = places.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("side", "at", "key", "edge")).alias("asked"))
+    around = (docs.join(asked, docs[doc] == asked["d"])
+              .select("d", F.inline(_context(window)(whole_text(text), F.col("asked")))).where(F.size("beyond") > 0)
+              .withColumn("h", F.col("beyond")[0]))
+    id_type = docs.schema[doc].dataType.simpleString()
+    longer = cut_lineage(around.repartition("h").sortWithinPartitions("h", "d", "at")
+                         .mapInArrow(_furthest, f"doc {id_type}, side int, at int, more int").where("more > 0"))
+    further = (edges.join(longer, ["doc", "side", "at"]).groupBy("doc", "chain")
+               .agg(F.min(F.when(F.col("side") < 0, F.col("at") - F.col("more"))).alias("low"),
+                    F.max(F.when(F.col("side") > 0, F.col("at") + F.col("more"))).alias("high")))
+    chains = chained.groupBy("doc", "chain").agg(F.first("first").alias("first"), F.first("last").alias("last"))
+    runs = chains.join(further, ["doc", "chain"], "left").select(
+        "doc", F.least("first", "low").alias("start"), F.greatest("last", "high").alias("end"))
+    return cut_lineage(runs.where(F.col("end") - F.col("start") >= least).groupBy("doc")
             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")))
 
 
