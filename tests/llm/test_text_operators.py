@@ -244,3 +244,11 @@ def test_lm_scores_are_brute_force(spark, edges):
     for i, t in enumerate(EDGES):
         assert all(abs(s - want(t)) < 1e-6 * max(1, len(t)) for s in by_id[i])
     assert lm.score_documents(edges.limit(0)).count() == 0
+
+
+def test_lm_scores_count_rare_grams(spark):
+    """By default a gram seen once scores by its count, not as an unknown character."""
+    docs = spark.createDataFrame([(1, "abcde"), (2, "abcdx")], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_score"] for r in lm.score_documents(docs).collect()}
+    start = math.log(2 / 10) + 3 * math.log(1) + math.log(0.4) * (4 + 3 + 2 + 1)
+    assert all(abs(s - (start + math.log(1 / 2))) < 1e-9 for s in got.values())

@@ -140,7 +140,7 @@ def _score_run(codes, at, lengths, low, high, table, total, order, backoff, sums
     sums[low:high] = np.add.reduceat(np.append(score, 0.0), np.minimum(np.cumsum(size) - size, len(score))) * (size > 0)
 
 
-def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 5, least: int = 5,
+def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", order: int = 5, least: int = 1,
                     backoff: float = 0.4) -> DataFrame:
     """Returns doc_id, n_chars, log_score (natural logarithm, summed) and mean_log_score.
 
@@ -161,7 +161,8 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", or
     grams = dealt.select("block", "text").groupBy("block").applyInArrow(counted, "block long, gram long, n long")
     # a gram has one row per block at most, so its rows can meet in one task
     totals = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
-    tables = totals.where((F.col("total") >= least) | (F.col("gram") == EMPTY)).select("block", "gram", "total")
+    kept = totals if least <= 1 else totals.where((F.col("total") >= least) | (F.col("gram") == EMPTY))
+    tables = kept.select("block", "gram", "total")
 
     def scored(block: pa.Table, table: pa.Table) -> pa.Table:
         n, s = block_scores(block["text"], table["gram"].to_numpy().view(np.uint64), table["total"].to_numpy(), order, backoff)
