@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vedette.llm import bpe, decontam, jaccard, lines, toxicity
 from vedette.llm.common import prepared, table
-from vedette.llm.queries import piece_model
+from vedette.llm.queries import TOXIC_FROM, piece_model
 from vedette.session import shared_folder
 
 #: Documents go from this toxicity score on.
-REJECT_FROM = 0.5
+REJECT_FROM = TOXIC_FROM
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,19 @@ def test_columns_between_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).dtypes == docs.dtypes
+
+
+def test_toxic_rows_go(spark, tmp_path):
+    """The stage drops what op8 calls toxic, planted rows among it, and no clean row."""
+    toxic, clean = "you are a vile stupid creature. ", "the river runs past the old mill. "
+    rows = [(i, clean * 3 + (toxic if i % 2 else clean)) for i in range(400)]
+    rows += [(1_000 + n, p) for n, p in enumerate(("a mill", "you mill", "vile", "stupid mill", "river mill", "new words only here"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    called = {r["doc_id"]: (r["predicted"], r["score"]) for r in queries()["op8_toxicity"](spark, str(tmp_path)).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert any(0.3 <= s < 0.5 for _, s in called.values())
+    assert kept == {i for i, (p, _) in called.items() if not p}
+    assert all((i in kept) == (i % 2 == 0) for i in range(400))
