@@ -12,6 +12,7 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 
 from vedette.llm import bpe, fingerprints, lm, secrets, toxicity, unigram
+from vedette.llm.queries import QUERIES
 from vedette.llm.pieces import read_model
 
 with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
@@ -252,3 +253,12 @@ def test_lm_scores_count_rare_grams(spark):
     got = {r["doc_id"]: r["log_score"] for r in lm.score_documents(docs).collect()}
     start = math.log(2 / 10) + 3 * math.log(1) + math.log(0.4) * (4 + 3 + 2 + 1)
     assert all(abs(s - (start + math.log(1 / 2))) < 1e-9 for s in got.values())
+
+
+def test_secret_query_finds_company_anywhere_in_a_block(spark, tmp_path):
+    identifier, key = "ASIA" + "A" * 16, "k" * 39 + "K"
+    far = "\n".join(["x = 1"] * 300)
+    rows = [(1, f"{identifier}\n{far}\n{key}"), (2, f"{key}\n{far}\n{identifier}"), (3, f"{identifier}\n{far}\n\n{key}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in QUERIES["op6_secret_scan"](spark, str(tmp_path)).collect()}
+    assert got == {1: ["id", "key"], 2: ["key", "id"], 3: []}

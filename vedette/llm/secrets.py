@@ -3,7 +3,7 @@
 Base spans stand on their own. Weak candidates (an access identifier of another issuer, a
 bare 40-character key, a service address) are too common alone; the scopes of a text
 (blocks between blank lines) are interval-joined with the parts in them, and a weak
-candidate is reported only where a complementary part lies in the same scope within reach:
+candidate is reported only where a complementary part lies in the same scope (within reach, if one is given):
 an identifier with a secret, a key with an identifier or an address, an address with a
 secret. Texts with nothing found take no part in any of this.
 
@@ -46,12 +46,12 @@ def _found(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         F.length(m).alias("size"), (F.length(F.get(part, i)) >= least).alias("ok"))))
 
 
-def secret_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach: int = 400) -> DataFrame:
+def secret_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach: int | None = 400) -> DataFrame:
     """Per distinct (doc, text): ``spans``, an array of (start, order, end, kind) by start then kind.
 
     Starts and ends are code points, the end exclusive. Base matches are found leftmost and
     without overlap per kind; a match that is too short is dropped but its characters stay
-    used. Only rows with a span are returned, keyed by ``doc`` and ``text_sha``; repeated
+    used. Without a ``reach`` the scope alone decides. Only rows with a span are returned, keyed by ``doc`` and ``text_sha``; repeated
     rows give one. Null texts count as empty. Work per text is linear in its matches.
     """
     body = whole_text(text)
@@ -78,6 +78,8 @@ def secret_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach
         mine = F.col("kind").isin([ORDER[n] for n in names])
         last = F.max(F.when(mine, F.col("end"))).over(before)
         following = F.min(F.when(mine, F.col("start"))).over(after)
+        if reach is None:
+            return last.isNotNull() | following.isNotNull()
         return (F.coalesce(F.col("start") - last <= reach, F.lit(False))
                 | F.coalesce(following - F.col("end") <= reach, F.lit(False)))
 
@@ -95,7 +97,7 @@ def secret_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach
             .withColumnRenamed("doc", doc))
 
 
-def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach: int = 400) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", reach: int | None = 400) -> DataFrame:
     """Adds ``spans`` to every row, an empty array where nothing was found.
 
     Rows keep their order of columns; an existing ``spans`` is replaced; repeated rows and
