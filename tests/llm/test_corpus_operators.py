@@ -255,3 +255,11 @@ def test_passages_whose_parts_occur_earlier_on_their_own(spark):
     left = {r["doc_id"]: r["text"].split() for r in lines.dedup_lines(docs).collect()}
     assert {i: left[i] for i in want} == want
     assert all(left[i] == t.split() for i, t in rows if i not in want)
+
+
+def test_leaks_take_no_clean_row_of_their_id(spark):
+    item = " ".join(f"b{i}{i * 7919}" for i in range(30))
+    rows = [(None, f"x {item} y"), (None, "clean one"), (7, f"z {item}"), (7, "clean two"), (7, None), (8, "clean one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontam.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect() if item not in (r["text"] or ""))
