@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, fingerprints, jaccard, lines, lm, secrets, toxicity, unigram, urlfilter
+from . import bpe, decontam, fingerprints, jaccard, lines, lm, runs, secrets, toxicity, unigram, urlfilter
 from .common import hex_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,19 @@ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.
 links AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, y FROM reach JOIN links ON r = x)
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, the one with the greatest exponent, and the text with runs collapsed."""
+    docs = runs.with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines_of = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                       hex_digest(F.array_join(lines_of, "")).alias("runs_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+                      "runs_sha256", hex_digest(F.col("collapsed")).alias("collapsed_sha256"))
