@@ -227,7 +227,7 @@ def _pairs(percent: int, small: int):
 
 
 def _forest(batches):
-    """Of this task's edges those that connect what was not connected yet."""
+    """Of what this task's edges connect, each node with the smallest one."""
     root: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -239,22 +239,24 @@ def _forest(batches):
         return top
 
     for batch in batches:
-        kept = []
-        for k, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                kept.append(k)
-        yield batch.take(pa.array(kept, pa.int64()))
+    nodes = list(root)  # smallest ones are not among them
+    for i in range(0, len(nodes), 10_000):
+        part = nodes[i:i + 10_000]
+        yield pa.record_batch({"a": pa.array([find(k) for k in part], pa.int64()), "b": pa.array(part, pa.int64())})
 
 
-def thinned(edges: DataFrame) -> DataFrame:
+def thinned(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Edges (a, b) that connect the same nodes: a dense group keeps about as many as it has nodes.
 
-    Partitions are taken sixteen at a time, so that edges of a group meet.
+    Partitions (``parts`` of them; counting those of a plan that is not stored yet runs it) are
+    taken sixteen at a time, so that edges of a group meet.
     """
-    parts = max(1, edges.rdd.getNumPartitions() // 16)
-    return edges.coalesce(parts).mapInArrow(_forest, "a long, b long")
+    parts = edges.rdd.getNumPartitions() if parts is None else parts
+    return edges.coalesce(max(1, parts // 16)).mapInArrow(_forest, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

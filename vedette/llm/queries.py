@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, fingerprints, jaccard, lines, lm, negatives, runs, secrets, toxicity, unigram, urlfilter
+from . import bpe, decontam, fingerprints, forest, jaccard, lines, lm, negatives, runs, secrets, toxicity, unigram, urlfilter
 from .common import hex_digest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,18 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, y F
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
 
 
+@query
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies that links of 0.85 or more on five-word shingles connect; the smallest id stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return forest.near_copies(docs)
+
+
+ORACLES["op11_lsh_forest"] = ORACLES["op10_jaccard_join"].replace("100 * k >= 80 *", "100 * k >= 85 *").replace(
+    "component_id FROM n JOIN", "component_id, doc_id = component_id AS kept FROM n JOIN")
+
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, the one with the greatest exponent, and the text with runs collapsed."""
