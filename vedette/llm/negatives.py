@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage, widen
+from ..session import cut_lineage, spread, widen
 from .common import stored
 
 #: Bytes of numbers in a pack, and anchors in a chunk.
@@ -201,7 +201,8 @@ def _join(packs: DataFrame, groups: int, anchors: DataFrame, most: int, low: int
     asked = anchors.select("anchor", F.col("id").alias("a_id"), F.col("label").alias("a_label"), "floor", "ceilings", "vector")
     chunks = asked.mapInArrow(_packed(0), kind).withColumnsRenamed({"width": "a_width", "bytes": "a_bytes", "numbers": "a_numbers"})
     chunks = chunks.drop("pack").withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    blocks = packs.withColumn("_g", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int")).join(chunks, "_g").drop("_g")
+    packs = packs.withColumn("_g", F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int"))
+    blocks = spread(packs, "_g").join(spread(chunks, "_g"), "_g").drop("_g")  # few bytes, much work: not to be merged
     found = blocks.mapInArrow(_search(most, low, high), "anchor long, ceiling long, score long, id long")
     first = Window.partitionBy("anchor", "ceiling").orderBy(F.desc("score"), "id")
     return cut_lineage(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most))
