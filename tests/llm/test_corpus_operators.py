@@ -112,6 +112,27 @@ def test_groups_are_brute_force(spark, seed, small, medium):
     assert kept == {c for _, c in got.values()}
 
 
+@pytest.mark.parametrize("medium", [8_000, 50])
+def test_links_between_what_two_pivots_reach(spark, medium):
+    running = [f"t{i}" for i in range(60)]
+    texts = [" ".join(running[:45]), " ".join(running[9:54])]  # too far from each other
+    texts += [" ".join(running[:45] + [f"p{k}"]) for k in range(109)] + [" ".join(running[9:54] + [f"q{k}"]) for k in range(109)]
+    texts += [" ".join(running[4:49]), " ".join(running[5:50])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(docs, medium=medium).collect()}
+    expected = grouped(texts)
+    assert len({g for _, g in expected}) == 1 and grouped(texts[:-1])[1][1] == 1
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_repeated_ids_go_by_their_own_text(spark):
+    copy, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, copy), (7, copy), (7, other), (7, other), (8, other + " c"), (None, copy), (9, None)]
+    docs = spark.createDataFrame([(i, t, "x", b"y") for i, t in rows], "doc_id long, text string, _gone string, _md5 binary")
+    left = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.one_of_each(docs).collect())
+    assert left == sorted([("1", copy), ("7", other), ("7", other), ("None", copy), ("9", "")])
+
+
 def test_groups_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (0, "a b c d e f")],
                                  "doc_id long, text string")

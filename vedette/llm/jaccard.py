@@ -14,9 +14,10 @@ already connects need no comparison of their own.
    that are frequent in some task's share of the texts come last in that order, so passages
    that many texts share do not gather them.
 3. Within the cell of a shingle, points of like size are paired (cells of up to ``small``
-   points). In larger cells pivots are drawn one after the other; each is compared with the
-   whole cell by sketch, takes the points within reach into its region, and points in nobody's
-   region are left for the next pivot, until all are taken.
+   points). In larger cells pivots are drawn one after the other; each is compared by sketch
+   with the points that nothing connects to it yet and connects those within reach. In cells too
+   large for a task it takes the points within reach out of the next rounds, and connects
+   those within two reaches, where partners of the points it took must lie.
 4. Connected by pairs that pass the sketches, points form regions that no link leaves. In each,
    distances to pivots are computed exactly and kept: a later pivot is compared only with the
    points whose known distances differ from its own by at most t (triangle inequality), and not
@@ -25,6 +26,8 @@ already connects need no comparison of their own.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,7 +115,8 @@ def _points(text: pa.Array, doc_id: pa.Array, words: int):
     return pa.record_batch({
         "doc_id": doc_id, "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),
         "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) for s in sets], pa.binary()),
-        "frequent": pa.array([None] * len(sets), pa.int64()), "times": pa.array([None] * len(sets), pa.int64())}), sets
+        "frequent": pa.array([None] * len(sets), pa.int64()), "times": pa.array([None] * len(sets), pa.int64()),
+        "md5": pa.array([hashlib.md5(t.as_py() or b"").digest() for t in text.cast(pa.binary())], pa.binary())}), sets
 
 
 def _describe(words: int, percent: int, id_type: pa.DataType):
@@ -151,7 +155,7 @@ def _describe(words: int, percent: int, id_type: pa.DataType):
         yield pa.record_batch({
             "doc_id": pa.array([None] * len(keys), id_type), "sig": none, "n": none,
             "sketch": pa.array([None] * len(keys), pa.binary()), "frequent": pa.array(keys.view(np.int64)),
-            "times": pa.array(times)})
+            "times": pa.array(times), "md5": pa.array([None] * len(keys), pa.binary())})
 
     return run
 
@@ -279,19 +283,26 @@ def components(edges: DataFrame) -> DataFrame:
         roots = moved.select("node", F.col("next").alias("root"))
 
 
-def _passes(percent: int):
+def _passes(percent: int, between: bool = False):
+    """Whether sketches leave room for a link; ``between``: for links of both to a third point."""
     limit = Threshold(percent)
 
+    def fits(x: int, y: int) -> int:
+        if not between:
+            return limit.may_differ(x, y) if 100 * min(x, y) >= percent * max(x, y) else -1
+        third = 100 * min(x, y) // percent  # the largest that links with both
+        return limit.may_differ(x, third) + limit.may_differ(third, y) if 100 * third >= percent * max(x, y) else -1
+
     @F.arrow_udf("boolean")
     def ok(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([100 * min(x, y) >= percent * max(x, y) and sketch_distance(p, q) <= limit.may_differ(x, y)
+        return pa.array([(most := fits(x, y)) >= 0 and sketch_distance(p, q) <= most
                          for x, p, y, q in zip(n.to_pylist(), a.to_pylist(), m.to_pylist(), b.to_pylist(), strict=True)])
 
     return ok
 
 
 def _cell(percent: int):
-    """Pairs that connect what lies within sketch reach in one cell, by pivots; see ``_large_cells``."""
+    """Pairs that connect what lies within sketch reach in one cell; each point is a pivot for those not connected to it yet."""
     limit = Threshold(percent)
 
     def fold(m: np.ndarray) -> np.ndarray:
@@ -307,25 +318,28 @@ def _cell(percent: int):
             place[mine] = np.arange(len(mine))
             own = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint8).reshape(len(mine), m).astype(np.int32)
             level[m] = (mine, own, fold(own))
-        free = np.ones(len(sig), bool)
+        group = np.arange(len(sig))
         left, right = [], []
         for p in np.argsort(_mixed(sig.view(np.uint64))).tolist():
-            if not free[p]:
-                continue
             m = int(size[p])
             own = level[m][1][place[p]]
             for other, points, pivot in ((m, 1, own), (2 * m, 2, own), (m // 2, 1, fold(own[None])[0])):
                 if other not in level:
                     continue
                 mine = level[other][0]
-                near = np.abs(level[other][points] - pivot).sum(axis=1)
-                ok = ((100 * np.minimum(n[mine], n[p]) >= percent * np.maximum(n[mine], n[p]))
-                      & (near <= (100 - limit.percent) * (n[mine] + n[p]) // (100 + limit.percent)))
-                reached = mine[ok]
-                free[reached] = False
-                reached = reached[reached != p]
+                todo = np.flatnonzero((group[mine] != group[p]) & (100 * np.minimum(n[mine], n[p]) >= percent * np.maximum(n[mine], n[p])))
+                if len(todo) == 0:
+                    continue
+                mine = mine[todo]
+                near = np.abs(level[other][points][todo] - pivot).sum(axis=1)
+                reached = mine[near <= (100 - limit.percent) * (n[mine] + n[p]) // (100 + limit.percent)]
+                if len(reached) == 0:
+                    continue
+                group[np.isin(group, group[reached])] = group[p]
                 left.append(np.minimum(sig[reached], sig[p]))
                 right.append(np.maximum(sig[reached], sig[p]))
+        if not left:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         return pa.table({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
 
     return run
@@ -334,23 +348,24 @@ def _cell(percent: int):
 def _large_cells(members: DataFrame, points: DataFrame, percent: int, medium: int) -> DataFrame:
     """Pairs (a, b) that connect what lies within sketch reach in cells (cell, sig) of any size.
 
-    A pivot is compared with every point of its cell; points in nobody's reach become pivots
-    in turn. Cells of up to ``medium`` points are one group each. In larger ones a round
-    draws one pivot per cell, and the join meets the cell's points with that one row, so
-    the cell is spread over tasks.
+    Cells of up to ``medium`` points are one group each. In larger ones a round draws one pivot
+    per cell, and the join meets the cell's points with that one row, so the cell is spread over
+    tasks; points in nobody's reach become pivots in turn. A point that links with one in a
+    pivot's reach lies within two reaches of the pivot (triangle inequality) and is connected
+    with it too, so no link leaves a region.
     """
     members = cut_lineage(members.distinct())
     huge = cut_lineage(members.groupBy("cell").count().where(F.col("count") > medium).select("cell"))
     usual = members.join(huge, "cell", "left_anti").join(points, "sig")
     out = usual.groupBy("cell").applyInArrow(_cell(percent), "a long, b long").distinct()
     every = cut_lineage(members.join(huge, "cell").join(points, "sig"))
-    left, ok = every, _passes(percent)
+    left, ok, may = every, _passes(percent), _passes(percent, between=True)
     while left.limit(1).count():
         pivots = left.groupBy("cell").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "sketch")).alias("p"))
-        reached = cut_lineage(every.join(pivots, "cell").where(
-            ok(F.col("n"), F.col("sketch"), F.col("p.n"), F.col("p.sketch"))).select("cell", "sig", F.col("p.sig").alias("pivot")))
-        out = out.union(reached.where("sig != pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")))
-        left = cut_lineage(left.join(reached.select("cell", "sig"), ["cell", "sig"], "left_anti"))
+        sides = [F.col("n"), F.col("sketch"), F.col("p.n"), F.col("p.sketch")]
+        near = cut_lineage(every.join(pivots, "cell").where(may(*sides)).select("cell", "sig", F.col("p.sig").alias("pivot"), ok(*sides).alias("taken")))
+        out = out.union(near.where("sig != pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")))
+        left = cut_lineage(left.join(near.where("taken").select("cell", "sig"), ["cell", "sig"], "left_anti"))
     return out
 
 
@@ -407,10 +422,15 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     component of their text, whose id is null only if no row of it has one. Shingles are
     told apart by 64-bit hashes.
     """
+    return _groups(docs, doc, text, words, percent, small, medium).drop("md5")
+
+
+def _groups(docs: DataFrame, doc: str, text: str, words: int = 5, percent: int = 80, small: int = 64, medium: int = 8_000) -> DataFrame:
+    """The rows of ``near_groups``, with the MD5 of their text."""
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    kind = "doc_id long, sig long, n long, sketch binary, frequent long, times long"
+    kind = "doc_id long, sig long, n long, sketch binary, frequent long, times long, md5 binary"
     described = cut_lineage(rows.mapInArrow(_describe(words, percent, pa.int64()), kind))
-    texts = described.where("n is not null").select("doc_id", "sig", "n", "sketch")
+    texts = described.where("n is not null").select("doc_id", "sig", "n", "sketch", "md5")
     often = (described.where("frequent is not null").groupBy("frequent").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "frequent").limit(DEMOTED))
     last = np.sort(np.array([r[0] for r in often.select("frequent").collect()], dtype=np.int64).view(np.uint64))
@@ -437,16 +457,21 @@ def near_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words:
     members = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"])).select("region", "sig", "text")
     linked = members.groupBy("region").applyInArrow(_region(words, percent), "sig long, root long")
     labelled = texts.join(linked.withColumnsRenamed({"sig": "_sig"}), F.col("sig") == F.col("_sig"), "left")
-    labelled = labelled.select("doc_id", "sig", "n", F.coalesce("root", "sig").alias("root"))
+    labelled = labelled.select("doc_id", "n", "md5", F.coalesce("root", "sig").alias("root"))
     labelled = cut_lineage(labelled)
     smallest = labelled.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(smallest, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                      F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "md5")
 
 
 def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; rows without an id stay."""
-    groups = near_groups(docs.where(F.col(doc).isNotNull()), doc, text, **options)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that are the smallest id of their component; rows without an id stay.
+
+    Rows are told apart by id and text: of rows that share an id, those go whose own text is a
+    near copy of a smaller id's. Columns of any name stay as they are.
+    """
+    groups = _groups(docs.where(F.col(doc).isNotNull()), doc, text, **options)
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("md5").alias("_md5")).distinct()
+    same = (docs[doc].cast("long") == gone["_gone"]) & (F.unhex(F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"))) == gone["_md5"])
+    return docs.join(gone, same, "left_anti")
