@@ -47,6 +47,42 @@ def _(v):
     return audit.tamper_report(built)
 
 
+#: Small here, so that a few blocks make several levels.
+FAN_OUT, LEVELS = 4, 2
+
+
+def _levels() -> str:
+    """The tree over the blocks as CTEs t0 (leaves) to the root."""
+    out = ["""t0 AS (SELECT log, 0 AS level, pos, records, first_id, last_id, sha256(concat_ws('|', log, pos, records, first_id, last_id, head)) AS hash
+ FROM (SELECT split_part(chain, '/', 1) AS log, CAST(split_part(chain, '/', 2) AS BIGINT) AS pos, count(*) AS records, min(id) AS first_id, max(id) AS last_id, arg_max(ch, id) AS head FROM c GROUP BY chain))"""]
+    for k in range(1, LEVELS + 2):
+        place = f"pos // {FAN_OUT}" if k <= LEVELS else "0"
+        out.append(f"""t{k} AS (SELECT log, {k} AS level, {place} AS pos, CAST(sum(records) AS BIGINT) AS records, min(first_id) AS first_id, max(last_id) AS last_id,
+ sha256(string_agg(pos || ':' || hash, ',' ORDER BY pos)) AS hash FROM t{k - 1} GROUP BY ALL)""")
+    return ",\n".join(out)
+
+
+@query("hash_tree", "audit_log", f"WITH {CHAIN}, {_levels()} " + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(LEVELS + 2)))
+def _(v):
+    return audit.hash_tree(audit.build_hash_chain(v.audit_log, block_ids=BLOCK_IDS), fan_out=FAN_OUT, levels=LEVELS)
+
+
+#: Blocks that vanish from the log, and one record changed in another.
+_GONE, _CHANGED = "id // 500 % 5 = 2", "id % 2500 = 1700"
+
+
+@query("verify_log", "audit_log", f"""
+SELECT chain AS log, count(*) FILTER (NOT ({_GONE})) AS records, count(*) AS sealed_records, CAST(0 AS BIGINT) AS unsealed_records,
+  min(id) FILTER ({_GONE} OR {_CHANGED}) AS broken_at, CASE WHEN min(id) FILTER ({_CHANGED}) < coalesce(min(id) FILTER ({_GONE}), 1e18) THEN 'record' WHEN min(id) FILTER ({_GONE}) IS NOT NULL THEN 'block' END AS reason,
+  CASE WHEN count(*) FILTER ({_GONE} OR {_CHANGED}) > 0 THEN 'COMPROMISED' ELSE 'INTACT' END AS status FROM audit_log GROUP BY chain""")
+def _(v):
+    built = audit.build_hash_chain(v.audit_log, block_ids=BLOCK_IDS)
+    tree = audit.hash_tree(built, fan_out=FAN_OUT, levels=LEVELS)
+    now = built.where(F.floor(F.col("id") / BLOCK_IDS) % 5 != 2).withColumn(
+        "actor", F.when(F.col("id") % 2500 == 1700, F.lit("mallory")).otherwise(F.col("actor")))
+    return audit.verify_log(now, tree, audit.tree_roots(tree), fan_out=FAN_OUT)
+
+
 @query("event_hash_json", "raw_logs", """
 SELECT event_id, sha256(CASE event_id % 5 WHEN 2 THEN concat('{"_time": "', json_extract_string(raw, '$._time'), '", "event_type": "', json_extract_string(raw, '$.event_type'), '", "host": "', json_extract_string(raw, '$.host'), '", "sourcetype": "syslog"}')
   WHEN 3 THEN concat('{"d_id": "', json_extract_string(raw, '$.d_id'), '", "topic": "factory/boiler/temp", "val": ', json_extract_string(raw, '$.val'), '}')
