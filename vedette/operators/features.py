@@ -14,12 +14,18 @@ from .sweep import activity
 KEYS = ["client_id", "asset_id"]
 
 
-def temporal_features(events: DataFrame) -> DataFrame:
+def temporal_features(events: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     """Adds timestamp_delta, events_per_minute, hour_of_day and day_of_week per (client, asset).
 
-    The delta feature is 1.0 from one hour on, so a one-hour look-back is exact.
+    The delta feature is 1.0 from one hour on, so a one-hour look-back is exact. ``recent``
+    holds earlier events that count but are not returned.
     """
+    if recent is not None:
+        events = events.withColumn("_old", F.lit(False)).unionByName(
+            recent.select(*KEYS, "ts_us", "event_id").withColumn("_old", F.lit(True)), allowMissingColumns=True)
     e = activity(events, KEYS, "ts_us", "event_id", count_as="_n")
+    if recent is not None:
+        e = e.where(~F.col("_old")).drop("_old")
     return e.withColumns({
         "timestamp_delta": t.delta_feature((F.col("ts_us") - F.col("prev_us")) / F.lit(float(US))),
         "events_per_minute": t.rate_feature("_n"),

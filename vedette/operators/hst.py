@@ -19,6 +19,7 @@ from ..functions.numeric import HOUR_US, div_us, round_to
 from ..functions.text import density_sigmoid
 from ..session import cut_lineage, spread
 from .chunked import earlier_rows
+from .detector import State
 
 KEYS = ["client_id", "asset_id"]
 PART_ROWS = 4096
@@ -89,32 +90,44 @@ def density(x: np.ndarray, learned: np.ndarray, window: int = rules.HST_WINDOW,
     return 1.0 - total / (trees * window * float(2 ** (height + 1) - 1))
 
 
-def sequence(events: DataFrame, chunk_us: int = HOUR_US) -> DataFrame:
+def sequence(events: DataFrame, chunk_us: int = HOUR_US, state: State | None = None) -> DataFrame:
     """Adds seq (place of the event in its key), in_burn_in and learned.
 
-    Learned events before this one number the blocks. Warm-up events are learned twice.
+    Learned events before this one number the blocks. Warm-up events are learned twice. A
+    ``state`` says how many came before the batch.
     """
     order = ["ts_us", "event_id"]
     e = events.withColumn("learned", F.coalesce("danger_score", F.lit(0.3)) < rules.FORCED_DANGER)
     e = earlier_rows(e, KEYS, order, div_us("ts_us", chunk_us), "_seq")
+    if state is not None:
+        before = state.counters.select(*KEYS, F.col("seen").alias("_seen"), F.col("learned").alias("_learned"))
+        e = e.join(before, KEYS, "left").fillna(0, ["_seen", "_learned"]).withColumn("_seq", F.col("_seq") + F.col("_seen")).drop("_seen")
     e = e.withColumn("seq", F.col("_seq") + 1).drop("_seq")
     e = e.withColumn("_weight", F.when(F.col("learned"), F.when(F.col("seq") < rules.WARMUP_EVENTS, 2).otherwise(1)).otherwise(0))
     e = earlier_rows(e, KEYS, order, div_us("ts_us", chunk_us), {"learned_before": F.col("_weight")})
+    if state is not None:
+        e = e.withColumn("learned_before", F.col("learned_before") + F.col("_learned")).drop("_learned")
+        row = state.total.first()
+        return burn_in(e, already=row[0] if row else 0)
     return burn_in(e)
 
 
-def burn_in(events: DataFrame, events_needed: int = rules.BURN_IN_EVENTS) -> DataFrame:
-    """Adds ``in_burn_in``: the event is among the first 499 of the whole stream.
+def burn_in(events: DataFrame, events_needed: int = rules.BURN_IN_EVENTS, already: int = 0) -> DataFrame:
+    """Adds ``in_burn_in``: the event is among the first 499 of the whole stream, of which ``already`` came before.
 
     Only the place of event 499 is needed, a top-k that keeps 499 rows per task.
     """
     place = F.struct("ts_us", "event_id")
-    first = events.select(place.alias("p")).orderBy("p").limit(events_needed - 1)
-    return events.withColumn("in_burn_in", place <= first.agg(F.max("p")).scalar())
+    first = events.select(place.alias("p")).orderBy("p").limit(max(0, events_needed - 1 - already))
+    return events.withColumn("in_burn_in", F.coalesce(place <= first.agg(F.max("p")).scalar(), F.lit(False)))
 
 
-def raw_density(sequenced: DataFrame, columns=rules.FEATURES, window: int = rules.HST_WINDOW) -> DataFrame:
-    """(key, event_id, raw_score); 0 in the first block, which has no reference masses."""
+def raw_density(sequenced: DataFrame, columns=rules.FEATURES, window: int = rules.HST_WINDOW,
+                earlier: DataFrame | None = None) -> DataFrame:
+    """(key, event_id, raw_score); 0 in the first block, which has no reference masses.
+
+    ``earlier`` holds learned rows from before the batch, see ``detector.State``.
+    """
     columns = list(columns)
     block = F.floor(F.col("learned_before") / window)
     rows = sequenced.select(*KEYS, "event_id", "seq", "learned", "_weight", *columns, "learned_before", block.alias("block"))
@@ -123,8 +136,11 @@ def raw_density(sequenced: DataFrame, columns=rules.FEATURES, window: int = rule
     scored = rows.join(parts.select(*KEYS, "block", "_first"), [*KEYS, "block"]).withColumn(
         "part", F.floor((F.col("seq") - F.col("_first")) / PART_ROWS).cast("int")).drop("_first")
     # an event whose two warm-up copies straddle a border counts in the block of its first copy
+    known = rows.where("learned")
+    if earlier is not None:
+        known = known.unionByName(earlier.withColumn("block", block).select(*rows.columns))
     masses = (
-        rows.where("learned").withColumn("block", F.col("block") + 1)
+        known.withColumn("block", F.col("block") + 1)
         .join(parts.select(*KEYS, "block", "_parts"), [*KEYS, "block"])
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     )
@@ -172,5 +188,11 @@ def flags(scored: DataFrame) -> DataFrame:
 
 def half_space_trees(features: DataFrame, window: int = rules.HST_WINDOW) -> DataFrame:
     """Raw density, score and flags per event. ``features`` holds the nine features and danger_score."""
-    s = cut_lineage(sequence(cut_lineage(features)))
-    return flags(s.join(raw_density(s, window=window), [*KEYS, "event_id"]))
+    return half_space_trees_after(features, None, window)[0]
+
+
+def half_space_trees_after(features: DataFrame, state: State | None, window: int = rules.HST_WINDOW) -> tuple[DataFrame, DataFrame]:
+    """``half_space_trees`` of a batch that comes after ``state``, and its sequenced rows, with which the state grows."""
+    s = cut_lineage(sequence(cut_lineage(features), state=state))
+    raw = raw_density(s, window=window, earlier=None if state is None else state.learned)
+    return flags(s.join(raw, [*KEYS, "event_id"])), s

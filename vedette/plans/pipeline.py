@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import rules
 from ..functions import text as t
-from ..operators import features as feat, filters, hst, incidents, iforest, joins, risk, sweep
+from ..operators import detector, features as feat, filters, hst, incidents, iforest, joins, risk, sweep
 from ..session import cut_lineage
 from . import normalize, train
 
@@ -29,9 +29,9 @@ def gateway_batch(raw: DataFrame, assets: DataFrame, intel: DataFrame, **columns
     return filters.result_label(filters.siem_noise_filter(e))
 
 
-def event_features(events: DataFrame) -> DataFrame:
-    """The detector's nine features per event, from columns with defaults of 0."""
-    e = feat.temporal_features(events)
+def event_features(events: DataFrame, recent: DataFrame | None = None) -> DataFrame:
+    """The detector's nine features per event, from columns with defaults of 0; ``recent``: earlier events in its windows."""
+    e = feat.temporal_features(events, recent)
 
     def have(name: str, default):
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in events.columns else default
@@ -51,20 +51,36 @@ def ingest_batch(events: DataFrame, window: int = rules.HST_WINDOW) -> DataFrame
     ``events`` are correlated events; ``dst_port`` is optional. Events without a tenant
     are not scored.
     """
+    return ingest_after(events, None, window)[0]
+
+
+def ingest_after(events: DataFrame, state: detector.State | None, window: int = rules.HST_WINDOW,
+                 lateness_us: int = 0) -> tuple[DataFrame, detector.State]:
+    """``ingest_batch`` of a batch that comes after ``state`` (None: the first), and the state after it.
+
+    Batches in a row score as one joint batch, if no event is older than those before it
+    (``lateness_us``: by how much it may be, for the windows). Score frames are joined with each
+    other first, the events once.
+    """
+    state = detector.empty(events.sparkSession) if state is None else state
     known = cut_lineage(events.where(F.coalesce("client_id", F.lit("")) != ""))
-    dens = hst.half_space_trees(event_features(known), window).select(
-        "event_id", "river_score", "river_warmup", "is_anomaly", "learned")
+    narrow = event_features(known, state.recent).select(
+        *hst.KEYS, "event_id", "ts_us", "danger_score", "severity_score", *[c for c in rules.FEATURES if c != "severity_score"])
+    narrow = narrow.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in rules.FEATURES if c != "severity_score"})
+    dens, sequenced = hst.half_space_trees_after(narrow, state, window)
+    scores = dens.select("event_id", "river_score", "river_warmup", "is_anomaly", "learned")
     if "dst_port" in known.columns:
-        scans = sweep.port_scan_score(known.where("src_ip is not null and dst_port is not null")
-                                      .select("event_id", "ts_us", "client_id", "src_ip", "dst_port"),
-                                      ["client_id", "src_ip"])
-        known = known.join(scans.select("event_id", "nmap_score", "is_scan", "unique_ports", "rate_per_min"), "event_id", "left")
-        known = known.withColumns({"nmap_score": F.coalesce("nmap_score", F.lit(0.0)), "is_scan": F.coalesce("is_scan", F.lit(False))})
+        columns = ["event_id", "ts_us", "client_id", "src_ip", "dst_port"]
+        tried = known.select(*columns, F.lit(False).alias("_old")).unionByName(state.recent.select(*columns, F.lit(True).alias("_old")))
+        scans = sweep.port_scan_score(tried.where("src_ip is not null and dst_port is not null"), ["client_id", "src_ip"]).where("not _old")
+        scores = scores.join(scans.select("event_id", "nmap_score", "is_scan", "unique_ports", "rate_per_min"), "event_id", "left")
+        scores = scores.withColumns({"nmap_score": F.coalesce("nmap_score", F.lit(0.0)), "is_scan": F.coalesce("is_scan", F.lit(False))})
+        e = known.join(scores, "event_id")
     else:
-        known = known.withColumns({"nmap_score": F.lit(0.0), "is_scan": F.lit(False), "dst_port": F.lit(None).cast("int")})
-    e = known.join(dens, "event_id").withColumn(
-        "combined_score", t.combined_score("river_score", "nmap_score", "src_ip", "dst_port"))
-    return filters.route(filters.escalation(e))
+        e = known.join(scores, "event_id").withColumns(
+            {"nmap_score": F.lit(0.0), "is_scan": F.lit(False), "dst_port": F.lit(None).cast("int")})
+    e = e.withColumn("combined_score", t.combined_score("river_score", "nmap_score", "src_ip", "dst_port"))
+    return filters.route(filters.escalation(e)), detector.grown(state, known, sequenced, window, lateness_us)
 
 
 def escalate_batch(events: DataFrame, assets: DataFrame, history: DataFrame, model: train.Trained | None = None,
