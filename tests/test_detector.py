@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from vedette.operators import detector, sweep
 from vedette.plans import pipeline
+from vedette.streaming import jobs
+
+from test_streaming import files
 
 US = 1_000_000
 
@@ -54,3 +57,17 @@ def test_a_broken_state_is_passed_over(spark, tmp_path):
     assert detector.load(spark, path, 3).total.first()[0] == 7
     both = detector.merged(detector.load(spark, path, 3), detector.load(spark, path, 3))
     assert both.total.first()[0] == 14
+
+
+def test_stream_routes_as_the_batch_does(spark, tmp_path):
+    e = events(spark, 900)
+    e = e.withColumn("asset_id", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("asset_id"))).persist()  # half of all rows
+    job = jobs.Ingest(str(tmp_path / "job"), window=100)
+    job.start(files(e, tmp_path / "in", 3)).awaitTermination()
+    assert len(list((tmp_path / "job" / "out").glob("batch=*"))) == 3
+    got = job.results(spark)
+    joint = pipeline.ingest_batch(e, window=100)
+    assert answers(got) == answers(joint)
+    flags = ["event_id", "learned", "is_scan", "unique_ports", "rate_per_min"]
+    assert got.select(*flags).exceptAll(joint.select(*flags)).count() == 0
+    assert sorted(p.name for p in (tmp_path / "job" / "state").glob("[0-9]*")) == ["1", "2"]

@@ -88,15 +88,29 @@ def test_density_parts_and_warmup(spark, monkeypatch):
     assert out.where("not learned").count() == len([i for i in range(2600) if i % 13 == 0])
 
 
-def test_large_keys_draw_candidates_by_hash(spark):
-    df = planted(spark)
-    rows = iforest.candidates(df, ["k"], "id", trees=4, sample=16, seed=1)
-    big = rows.where("k = 'big'")
-    assert big.where("_tree is null").count() == 0 and 250 < big.count() <= 541
-    assert big.groupBy("id").count().where("count > 1").count() == 0
-    model = iforest.fit(df, ["k"], "id", COLS, trees=4, sample=16, seed=1)
-    assert model.groupBy("k").count().where("count <> 4").count() == 0
-    assert model.agg(F.max("sample")).first()[0] == 16
+def test_one_sampling_rule_for_all_sizes(spark):
+    sizes = {"one": 1, "few": 20, "mid": 256, "more": 5_000, "most": 60_000}
+    df = spark.range(sum(sizes.values())).select(
+        F.expr("CASE " + " ".join(f"WHEN id < {sum(list(sizes.values())[:i + 1])} THEN '{k}'" for i, k in enumerate(sizes)) + " END").alias("k"),
+        "id", F.rand(1).alias("x"), F.rand(2).alias("y")).persist()
+    rows = iforest.candidates(df, ["k"], "id", trees=30, sample=16, seed=1)
+    drawn = rows.select("k", "id", F.explode(F.arrays_zip("_trees", "_places")).alias("d")).select("k", "id", "d._trees", "d._places")
+    got = {}
+    for r in drawn.collect():
+        got.setdefault((r["k"], r["_trees"]), []).append((r["_places"], r["id"]))
+    hashes = {}
+    for r in df.select("k", "id", F.xxhash64("id", F.lit(1)).alias("h")).collect():
+        hashes.setdefault(r["k"], []).append((r["id"], r["h"]))
+    for k, pairs in hashes.items():
+        ids = np.array([i for i, _ in pairs])
+        place = iforest.places(np.array([h for _, h in pairs]), 30)
+        for t in range(30):
+            best = ids[np.argsort(place[:, t])[:16]].tolist()
+            assert [i for _, i in sorted(got[k, t])[:16]] == best
+            assert len(got[k, t]) <= 170  # 96 expected
+    model = iforest.fit(df, ["k"], "id", COLS, trees=30, sample=16, seed=1)
+    per = {r["k"]: (r["n"], r["s"]) for r in model.groupBy("k").agg(F.count("*").alias("n"), F.max("sample").alias("s")).collect()}
+    assert per == {k: (30, min(n, 16)) for k, n in sizes.items()}
 
 
 def test_one_external_actor_turns_the_batch(spark):

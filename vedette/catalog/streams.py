@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import sweep
 from ..session import shared_folder
 from ..sources.views import stream_view
 from ..streaming import density, jobs
@@ -79,6 +80,22 @@ def _(v):
     return jobs.run_to_folder(density.stream_hst(hst_input(_stream(v, "sec_events"))), "density")
 
 
+@query("stream_ingest", "", None)
+def _(v):
+    events = sweep.correlate(v.sec_events).withColumn("dst_port", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 1000).cast("int")))
+    base = os.path.join(shared_folder(v.spark), f"ingest-{uuid.uuid4().hex}")
+    cut = events.agg(F.percentile_approx("ts_us", 0.6)).scalar()  # two files, two micro-batches
+    parts = events.withColumn("part", (F.col("ts_us") > cut).cast("int")).persist()
+    for part in (0, 1):
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in/{part}")
+    parts.unpersist()
+    stream = (v.spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", len(v.spark.read.parquet(f"{base}/in/0").inputFiles())).parquet(f"{base}/in"))
+    job = jobs.Ingest(f"{base}/job", window=100)
+    job.start(stream).awaitTermination()
+    return job.results(v.spark).select("event_id", "client_id", "river_score", "river_warmup", "is_anomaly", "nmap_score", "combined_score", "via", "route")
+
+
 @query("stream_port_scan", "port_events", """
 SELECT event_id, CASE WHEN n >= 5 THEN n ELSE 0 END AS rate_per_min FROM (SELECT event_id, CAST(count(*) OVER (PARTITION BY src_ip ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS n FROM port_events)""")
 def _(v):

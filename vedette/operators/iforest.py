@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
@@ -79,53 +80,63 @@ def _typed(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def places(row_hash: np.ndarray, trees: int) -> np.ndarray:
+    """Place in [0, 1) of every row in the draw of every tree: (rows, trees)."""
+    own = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (_mixed(row_hash.view(np.uint64)[:, None] ^ own) >> np.uint64(11)) * 2.0**-53
+
+
 def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
     """Rows from which the trees of each (key, block of trees) draw their samples.
 
-    A key of up to trees * (2 * sample + 64) rows sends all its rows to each block (to one
-    block when it is tiny). A larger key hashes each row once: the hash decides whether
-    the row is a candidate and for which tree, about 2 * sample per tree. Either way a
-    group is bounded and nothing is multiplied by the number of trees.
+    A tree's sample is the ``sample`` rows of its key with the smallest places. That many lie
+    under (2 * sample + 64) / rows but for a chance below 1e-9, so only rows with a place
+    under it leave their task, once for each block of trees that may take them: whatever the
+    key's size, about trees * (2 * sample + 64) rows at most. ``_trees`` and ``_places`` say for which.
     """
-    most = trees * (2 * sample + 64)
-    blocks = -(-trees // BLOCK)
-    n = F.col("_rows")
     sizes = small_side(features.groupBy(*keys).agg(F.count("*").alias("_rows")))
-    u = F.xxhash64(as_col(row_id), F.lit(seed)).cast("double") / F.lit(float(2**64)) + F.lit(0.5)
-    tree = F.when(n > most, F.floor(F.col("_u") * n / F.lit(float(most)) * trees).cast("int"))
-    where = (
-        F.when(n <= 4096, F.array(F.lit(-1)))
-        .when(n <= most, F.sequence(F.lit(0), F.lit(blocks - 1)))
-        .otherwise(F.array(F.floor(tree / BLOCK).cast("int")))
-    )
-    return (
-        features.join(sizes, list(keys)).withColumn("_u", u)
-        .where((n <= most) | (F.col("_u") * n < F.lit(float(most))))
-        .withColumns({"_tree": tree, "_block": F.explode(where)}).drop("_rows")
-    )
+
+    @F.arrow_udf("array<struct<block:int,trees:array<int>,places:array<double>>>")
+    def drawn(row_hash: pa.Array, rows: pa.Array) -> pa.Array:
+        place = places(row_hash.to_numpy(zero_copy_only=False), trees)
+        at, tree = np.nonzero(place < (2 * sample + 64) / rows.to_numpy(zero_copy_only=False)[:, None])
+        block = tree // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, int)
+        cuts = pa.array(np.append(first, len(at)), pa.int32())
+        entry = pa.StructArray.from_arrays(
+            [pa.array(block[first], pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(tree, pa.int32())),
+             pa.ListArray.from_arrays(cuts, pa.array(place[at, tree]))], ["block", "trees", "places"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(at[first], np.arange(len(place) + 1)), pa.int32()), entry)
+
+    found = features.join(sizes, list(keys)).withColumn("_draws", drawn(F.xxhash64(as_col(row_id), F.lit(seed)), F.col("_rows")))
+    return found.withColumn("_draw", F.explode("_draws")).select(
+        *features.columns, F.col("_draw.block").alias("_block"), F.col("_draw.trees").alias("_trees"), F.col("_draw.places").alias("_places"))
 
 
 def fit(features: DataFrame, keys: Sequence[str], row_id: str, columns: Sequence[str] = rules.FEATURES,
         trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """Trees table: one row per (key, tree) with node arrays."""
+    """Trees table: one row per (key, tree) with node arrays. The sampling rule is one for keys of any size."""
     keys, columns = list(keys), list(columns)
     rows = candidates(features.select(*keys, row_id, *columns), keys, row_id, trees, sample, seed)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_u", row_id], kind="stable")
-        x, block = pdf[columns].to_numpy(dtype=float), int(pdf["_block"].iloc[0])
-        shared = pdf["_tree"].isna().to_numpy()
-        own = pdf["_tree"].fillna(-1).to_numpy(dtype=int)
-        wanted = range(trees) if block < 0 else range(block * BLOCK, min(trees, (block + 1) * BLOCK))
+        pdf = pdf.sort_values(row_id, kind="stable")
+        x = pdf[columns].to_numpy(dtype=float)
+        at = np.repeat(np.arange(len(pdf)), pdf["_trees"].str.len().to_numpy())
+        tree, place = np.concatenate(pdf["_trees"].to_list()), np.concatenate(pdf["_places"].to_list())
+        order = np.lexsort((place, tree))
+        at, tree = at[order], tree[order]
         out = []
-        for tree in wanted:
-            rng = np.random.default_rng(seed * 100_003 + tree)
-            if shared.all():
-                picked = x if len(x) <= sample else x[rng.choice(len(x), sample, replace=False)]
-            else:
-                picked = x[own == tree][:sample]
-            if len(picked):
-                out.append([pdf[k].iloc[0] for k in keys] + [tree, len(picked), *grow(picked, rng)])
+        for t in np.unique(tree).tolist():
+            i = int(np.searchsorted(tree, t))
+            picked = x[at[i:min(i + sample, int(np.searchsorted(tree, t, side="right")))]]
+            out.append([pdf[k].iloc[0] for k in keys] + [t, len(picked), *grow(picked, np.random.default_rng(seed * 100_003 + t))])
         return pd.DataFrame(out, columns=[*keys, "tree", "sample", "feature", "threshold", "left", "right", "rows"])
 
     schema = (_typed(features, keys) + ", tree int, sample int, feature array<int>, threshold array<double>, "

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.numeric import exact_avg
-from ..operators import filters, incidents as inc, joins, sweep
+from .. import rules
+from ..operators import detector, filters, incidents as inc, joins, sweep
+from ..plans import pipeline
 from ..plans.normalize import normalize_events
 from ..session import drop_folder, newest_number, shared_folder
 
@@ -185,3 +187,34 @@ class IncidentStore:
         now_open = spark.read.parquet(f"{self.folder}/open/{newest_number(spark, f'{self.folder}/open')}")
         closed = spark.read.schema(now_open.schema).parquet(f"{self.folder}/closed").select(*now_open.columns)
         return closed.unionByName(now_open)
+
+
+class Ingest:
+    """Density, port scan, flags, escalation and route on a stream of correlated events.
+
+    Each micro-batch is scored after the state that the one before it left (see
+    ``detector``) with the batch operators, which cut a hot asset into blocks and time chunks,
+    so no key lives in one task. Output and state are named by batch: one that runs again
+    after a failure starts from the same state and overwrites what it left. Events are taken in
+    order of their batches; within ``lateness_us`` an older one still finds its windows.
+    """
+
+    def __init__(self, folder: str, window: int = rules.HST_WINDOW, lateness_us: int = 0):
+        self.folder, self.window, self.lateness_us = folder, window, lateness_us
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        state = detector.load(spark, f"{self.folder}/state", batch_id)
+        out, state = pipeline.ingest_after(batch, state, self.window, self.lateness_us)
+        out.write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch_id}")
+        detector.save(state, f"{self.folder}/state", batch_id)
+        drop_folder(spark, f"{self.folder}/state/{batch_id - 2}")
+        batch.unpersist()
+
+    def start(self, stream: DataFrame) -> StreamingQuery:
+        return (stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.folder}/checkpoint")
+                .trigger(availableNow=True).start())
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/out").drop("batch")
