@@ -284,3 +284,17 @@ def test_leaks_take_no_clean_row_of_their_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = decontam.without_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect() if item not in (r["text"] or ""))
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"{k}w{rng.randrange(10 ** 6)}" for _ in range(100)) for k in "abc"]
+    rows = [(1, f"{texts[0]} {passage}"), (2, f"{texts[1]} {passage}"), (2, " ".join(f"u{i}" for i in range(300))), (2, "two words"),
+            (2, None), (3, f"{passage} {texts[2]}"), (3, f"{passage} {texts[2]}")]
+    docs = spark.createDataFrame([(i, t, 1, [2], "k") for i, t in rows], "doc_id long, text string, d int, asked array<int>, _own string")
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "runs"]
+    got = sorted((r["doc_id"], " ".join((r["text"] or "").split())) for r in out.collect())
+    left = [f"{texts[0]} {passage}", texts[1], rows[2][1], "two words", "", texts[2], texts[2]]
+    assert got == sorted((i, t) for (i, _), t in zip(rows, left, strict=True))

@@ -189,7 +189,8 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
     is found, whatever other texts hold of it; order is by id, then by position, so a text
     can repeat itself.
     """
-    found = docs.select(F.col(doc).alias("doc"), F.inline(_links_of(whole_text(text), line, window)))
+    docs, doc, text = docs.select(F.col(doc).alias("doc"), whole_text(text).alias("text")), "doc", "text"
+    found = docs.select("doc", F.inline(_links_of(F.col("text"), line, window)))
     with stored(found) as every:
         # most links occur once: numbers alone tell which do not, then the first of the others
         often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
@@ -280,16 +281,21 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", runs:
     """Every row, its text without later repeated runs; adds ``runs``, the word spans deleted.
 
     A text that is repeated as a whole becomes empty; its row stays. Rows without an id are
-    left as they are and compared with nothing, null texts stay null; rows that share an id
-    count as one text. An existing column ``runs`` is replaced, all others are kept.
+    left as they are and compared with nothing, null texts stay null; rows that share id and
+    text count as one text, rows that share only the id as texts of their own, in the order of
+    a hash. An existing column ``runs`` is replaced, all others are kept.
     """
     docs = docs.drop(runs)
     known = docs.where(F.col(doc).isNotNull())
-    found = repeated_runs(known, doc, text, **options)
-    key = free_name(docs, "_doc")
+    own, text_hash = free_name(docs, "_own"), F.xxhash64(whole_text(text))
+    texts = known.groupBy(doc).agg(F.min(text_hash).alias("first"), F.max(text_hash).alias("last"))
+    plain = texts.where("first != last").isEmpty()  # then the id alone names a text
+    known = known.withColumn(own, F.col(doc) if plain else F.struct(F.col(doc).alias("id"), text_hash.alias("hash")))
+    found = repeated_runs(known, own, text, **options)
+    key = free_name(known, "_doc")
     found = found.withColumnsRenamed({"doc": key, "runs": runs})
     kind = found.schema[runs].dataType
-    cleaned = known.join(found, known[doc] == found[key], "left").drop(key)
+    cleaned = known.join(found, known[own] == found[key], "left").drop(key, own)
     cleaned = cleaned.withColumn(text, F.when(F.col(runs).isNull(), F.col(text)).otherwise(
         without_runs(F.col(text), F.col(runs)))).withColumn(runs, F.coalesce(runs, F.array().cast(kind)))
     return cleaned.unionByName(docs.where(F.col(doc).isNull()).withColumn(runs, F.array().cast(kind)))
