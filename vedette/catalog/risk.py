@@ -324,7 +324,13 @@ def _(v):
     return inventory.inventory_rejects(_cast(v)).select("row_number", "reason")
 
 
-@query("map_inventory_columns", "messy_assets", None)
+#: "Nombre del Activo" is no known alias, and aliases match as a whole.
+_MAPPED = {"hostname": "Nombre del equipo", "ip_address": "Dirección IP", "valor_activo": "Valor",
+           "valor_confidencialidad": "Confidencialidad", "contiene_pii": "PII", "clasificacion_criticidad": "Clasificación"}
+
+
+@query("map_inventory_columns", "messy_assets", " UNION ALL ".join(
+    f"""SELECT '{field}' AS field, count("{c}") AS filled, '{c}' AS source_column FROM messy_assets""" for field, c in _MAPPED.items()))
 def _(v):
     mapping = inventory.map_inventory_columns(v.messy_assets.drop("id"))
     counts = v.messy_assets.agg(*[F.count(F.col(f"`{c}`")).alias(f) for f, c in mapping.items()])
