@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import jsontree as j
 from ..operators import audit, discovery
-from ..session import widen
+from ..session import cut_lineage, widen
 from ..sources import raw as raw_sources
 from .registry import query
 
@@ -151,10 +151,15 @@ def _(v):
     return discovery.discover_event_column(discovery.profile_paths(_flat(v)))
 
 
-@query("vectorise_columns", "raw_logs", None)
+@query("vectorise_columns", "raw_logs", f"""
+WITH {_FLAT}, cells AS (SELECT event_id, CAST('0x' || substr(md5(path), 1, 15) AS BIGINT) AS feature,
+  CASE WHEN number_share = 1 THEN CAST(value AS DOUBLE) ELSE (CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % 1000)::DOUBLE END AS value
+  FROM kv JOIN profile USING (path) WHERE value IS NOT NULL)
+SELECT * FROM cells WHERE value != 0""")
 def _(v):
-    flat = _flat(v)
-    return flat.select("event_id", *discovery.numeric_vector(F.col("fields"), ["val", "dst_port", "eventName", "host"], ["val", "dst_port"]))
+    flat = cut_lineage(_flat(v))
+    vectors = discovery.sparse_vector(flat, discovery.profile_paths(flat), "event_id")
+    return vectors.select("event_id", F.inline("vector"))
 
 
 @query("json_quality", "raw_logs", """

@@ -233,7 +233,7 @@ def _(v):
 
 @query("explain_asset", "", None)
 def _(v):
-    prepared, _, _ = forensic.prepare(widen(v.raw_logs))
+    prepared = forensic.prepare(widen(v.raw_logs))
     return forensic.explain_assets(prepared.withColumn("is_anomaly", F.col("danger_score") >= 0.5))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions.text import google_asset
-from ..session import small_side
+from ..session import cut_lineage, small_side
 
 
 def resolve_google_asset(events: DataFrame, batch: Sequence[str], actor: str, parameter: str) -> DataFrame:
@@ -74,14 +74,46 @@ def discover_event_column(profile: DataFrame) -> DataFrame:
     return listed.agg(F.min_by("path", F.struct("_place", "path")).alias("event_column"))
 
 
-def numeric_vector(fields, paths: Sequence[str], numeric: Sequence[str]) -> list:
-    """One number per path: numbers as they are, texts hashed to 0..999, missing 0."""
-    out = []
-    for p in paths:
-        v = F.try_element_at(fields, F.lit(p))
-        n = v.try_cast("double") if p in numeric else F.pmod(F.xxhash64(v), F.lit(1000)).cast("double")
-        out.append(F.coalesce(F.when(v.isNotNull(), n), F.lit(0.0)).alias(f"v_{p}"))
-    return out
+LISTED = 1000
+LARGEST = 1e300  # keeps the span between two values finite
+
+
+def feature_id(path) -> Column:
+    """60 bits of the md5 of a path."""
+    return F.conv(F.substr(F.md5(path), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+
+
+def _cell(value, as_number) -> Column:
+    """Numbers as they are (NaN 0, infinite ones cut), other texts hashed to 0..999."""
+    number = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.nanvl(value.try_cast("double"), F.lit(0.0))))
+    code = F.conv(F.substr(F.md5(value), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % 1000
+    return F.when(as_number, number).otherwise(code.cast("double"))
+
+
+def sparse_vector(flat: DataFrame, profile: DataFrame, row_id: str, fields: str = "fields", leave_out: str | None = None,
+                  out: str = "vector", listed: int = LISTED) -> DataFrame:
+    """Adds ``out``, the cells of all paths as (feature, value) sorted by feature; cells of 0 and nulls are left out.
+
+    A path is a number where all its values are; of other paths every value is hashed. Only
+    paths with both kinds need a lookup: up to ``listed`` of them are named in the plan and no
+    row moves, more are joined to the cells. The result is the same, for any number of paths.
+    """
+    mixed = cut_lineage(profile.where("number_share > 0 AND number_share < 1").select("path"))
+    names = [r["path"] for r in mixed.limit(listed + 1).collect()]
+    entry = lambda path, value, number: F.struct(feature_id(path).alias("feature"), _cell(value, number).alias("value"))
+    filled = lambda e: e["value"].isNotNull() & (F.lit(True) if leave_out is None else e["key"] != leave_out)
+    is_number = lambda v: v.try_cast("double").isNotNull()
+    cells = F.filter(F.map_entries(fields), filled)
+    if len(names) <= listed:
+        vector = F.transform(cells, lambda e: entry(e["key"], e["value"], is_number(e["value"]) & ~e["key"].isin(names)))
+        return flat.withColumn(out, F.array_sort(F.filter(vector, lambda e: e["value"] != 0.0)))
+    long = flat.select(F.col(row_id).alias("_row"), F.inline(cells).alias("path", "value"))
+    marked = long.join(mixed.withColumn("_mixed", F.lit(True)), "path", "left")
+    vectors = marked.select("_row", entry(F.col("path"), F.col("value"), is_number(F.col("value")) & F.col("_mixed").isNull()).alias("e"))
+    vectors = vectors.where(F.col("e.value") != 0.0).groupBy("_row").agg(F.array_sort(F.collect_list("e")).alias(out))
+    none = F.array().cast(vectors.schema[out].dataType)
+    joined = flat.join(vectors, F.col(row_id) == F.col("_row"), "left").drop("_row")
+    return joined.withColumn(out, F.coalesce(out, none))
 
 
 def extract_entities(leaves) -> dict:

@@ -59,6 +59,47 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[list, list, list, lis
     return feature, threshold, left, right, rows
 
 
+def grow_sparse(index: Sequence[np.ndarray], value: Sequence[np.ndarray], rng: np.random.Generator) -> tuple[list, list, list, list, list]:
+    """``grow`` on sparse rows, where features without an entry are 0; nodes name feature ids."""
+    size = [len(i) for i in index]
+    f = np.concatenate([np.zeros(0, np.int64), *index]).astype(np.int64)
+    row, v = np.repeat(np.arange(len(size)), size), np.concatenate([np.zeros(0), *value])
+    order = np.argsort(f, kind="stable")
+    limit = int(np.ceil(np.log2(max(len(size), 2))))
+    feature, threshold, left, right, rows = [], [], [], [], []
+
+    def node(members: np.ndarray, f: np.ndarray, row: np.ndarray, v: np.ndarray, depth: int) -> int:
+        at = len(feature)
+        for column, start in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (rows, len(members))):
+            column.append(start)
+        if depth >= limit or len(members) <= 1 or not len(f):
+            return at
+        first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        end = np.append(first[1:], len(f))
+        low, high = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
+        absent = end - first < len(members)
+        low, high = np.where(absent, np.minimum(low, 0.0), low), np.where(absent, np.maximum(high, 0.0), high)
+        splittable = np.flatnonzero(high > low)
+        if not len(splittable):
+            return at
+        chosen = int(splittable[rng.integers(len(splittable))])
+        cut = rng.uniform(low[chosen], high[chosen])
+        x = np.zeros(len(size))
+        x[row[first[chosen]:end[chosen]]] = v[first[chosen]:end[chosen]]
+        goes_left = x <= cut
+        here = goes_left[members]
+        if here.all() or not here.any():
+            return at
+        feature[at], threshold[at] = int(f[first[chosen]]), float(cut)
+        own = goes_left[row]
+        left[at] = node(members[here], f[own], row[own], v[own], depth + 1)
+        right[at] = node(members[~here], f[~own], row[~own], v[~own], depth + 1)
+        return at
+
+    node(np.arange(len(size)), f[order], row[order], v[order], 0)
+    return feature, threshold, left, right, rows
+
+
 def path_lengths(x: np.ndarray, tree) -> np.ndarray:
     """Path length of every row in one tree."""
     feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
@@ -92,7 +133,8 @@ def places(row_hash: np.ndarray, trees: int) -> np.ndarray:
     return (_mixed(row_hash.view(np.uint64)[:, None] ^ own) >> np.uint64(11)) * 2.0**-53
 
 
-def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int, sample: int, seed: int) -> DataFrame:
+def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int, sample: int, seed: int,
+               block_trees: int = BLOCK) -> DataFrame:
     """Rows from which the trees of each (key, block of trees) draw their samples.
 
     A tree's sample is the ``sample`` rows of its key with the smallest places. That many lie
@@ -106,7 +148,7 @@ def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int
     def drawn(row_hash: pa.Array, rows: pa.Array) -> pa.Array:
         place = places(row_hash.to_numpy(zero_copy_only=False), trees)
         at, tree = np.nonzero(place < (2 * sample + 64) / rows.to_numpy(zero_copy_only=False)[:, None])
-        block = tree // BLOCK
+        block = tree // block_trees
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.zeros(0, int)
         cuts = pa.array(np.append(first, len(at)), pa.int32())
         entry = pa.StructArray.from_arrays(
@@ -119,15 +161,15 @@ def candidates(features: DataFrame, keys: Sequence[str], row_id: str, trees: int
         *features.columns, F.col("_draw.block").alias("_block"), F.col("_draw.trees").alias("_trees"), F.col("_draw.places").alias("_places"))
 
 
-def fit(features: DataFrame, keys: Sequence[str], row_id: str, columns: Sequence[str] = rules.FEATURES,
-        trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """Trees table: one row per (key, tree) with node arrays. The sampling rule is one for keys of any size."""
-    keys, columns = list(keys), list(columns)
-    rows = candidates(features.select(*keys, row_id, *columns), keys, row_id, trees, sample, seed)
+def _fitted(features: DataFrame, keys: Sequence[str], row_id: str, grower, kind: str, trees: int, sample: int, seed: int,
+            block_trees: int = BLOCK) -> DataFrame:
+    """Trees table of ``features``; ``grower(pdf)`` gives what grows a tree from row numbers of ``pdf``."""
+    keys = list(keys)
+    rows = candidates(features, keys, row_id, trees, sample, seed, block_trees)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row_id, kind="stable")
-        x = pdf[columns].to_numpy(dtype=float)
+        grown = grower(pdf)
         at = np.repeat(np.arange(len(pdf)), pdf["_trees"].str.len().to_numpy())
         tree, place = np.concatenate(pdf["_trees"].to_list()), np.concatenate(pdf["_places"].to_list())
         order = np.lexsort((place, tree))
@@ -135,15 +177,45 @@ def fit(features: DataFrame, keys: Sequence[str], row_id: str, columns: Sequence
         out = []
         for t in np.unique(tree).tolist():
             i = int(np.searchsorted(tree, t))
-            picked = x[at[i:min(i + sample, int(np.searchsorted(tree, t, side="right")))]]
-            out.append([pdf[k].iloc[0] for k in keys] + [t, len(picked), *grow(picked, np.random.default_rng(seed * 100_003 + t))])
+            picked = at[i:min(i + sample, int(np.searchsorted(tree, t, side="right")))]
+            out.append([pdf[k].iloc[0] for k in keys] + [t, len(picked), *grown(picked, np.random.default_rng(seed * 100_003 + t))])
         return pd.DataFrame(out, columns=[*keys, "tree", "sample", "feature", "threshold", "left", "right", "rows"])
 
-    schema = (_typed(features, keys) + ", tree int, sample int, feature array<int>, threshold array<double>, "
+    schema = (_typed(features, keys) + f", tree int, sample int, feature array<{kind}>, threshold array<double>, "
               "left array<int>, right array<int>, rows array<int>")
     return spread(rows, *keys, "_block").groupBy(*keys, "_block").applyInPandas(build, schema)
 
 
+def fit(features: DataFrame, keys: Sequence[str], row_id: str, columns: Sequence[str] = rules.FEATURES,
+        trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """Trees table: one row per (key, tree) with node arrays. The sampling rule is one for keys of any size."""
+    columns = list(columns)
+
+    def grower(pdf: pd.DataFrame):
+        x = pdf[columns].to_numpy(dtype=float)
+        return lambda picked, rng: grow(x[picked], rng)
+
+    return _fitted(features.select(*keys, row_id, *columns), keys, row_id, grower, "int", trees, sample, seed)
+
+
+def fit_sparse(features: DataFrame, keys: Sequence[str], row_id: str, vector: str = "vector",
+               trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """``fit`` on sparse rows: ``vector`` holds (feature, value) by feature, what it leaves out is 0.
+
+    No feature is a column, so their number is not limited; a task holds the candidates of
+    five trees of a key.
+    """
+    def grower(pdf: pd.DataFrame):
+        index, value = pdf["_index"].to_numpy(), pdf["_value"].to_numpy()
+        return lambda picked, rng: grow_sparse(index[picked], value[picked], rng)
+
+    return _fitted(_as_arrays(features, keys, row_id, vector), keys, row_id, grower, "bigint", trees, sample, seed, block_trees=5)
+
+
+def _as_arrays(features: DataFrame, keys: Sequence[str], row_id: str, vector: str) -> DataFrame:
+    return features.select(*keys, row_id, F.col(f"{vector}.feature").alias("_index"), F.col(f"{vector}.value").alias("_value"))
+
+
 def packed(model: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key with its trees (100 trees of at most 511 nodes)."""
     return model.groupBy(*keys).agg(F.array_sort(F.collect_list(
@@ -151,10 +223,11 @@ def packed(model: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def with_model(features: DataFrame, model: DataFrame, keys: Sequence[str], row_id: str, apply, schema: str,
-               group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Runs ``apply(pdf, trees) -> pdf`` on groups of about ``group_rows`` rows of one key."""
+               group_rows: int = GROUP_ROWS, weight: Column | None = None) -> DataFrame:
+    """Runs ``apply(pdf, trees) -> pdf`` on groups of about ``group_rows`` rows (or of that ``weight``) of one key."""
     keys = list(keys)
-    sizes = small_side(features.groupBy(*keys).agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_groups")))
+    size = F.count("*") if weight is None else F.sum(weight)
+    sizes = small_side(features.groupBy(*keys).agg(F.ceil(size / group_rows).cast("int").alias("_groups")))
     left = features.join(sizes, keys).withColumn("_group", F.pmod(F.xxhash64(row_id), F.col("_groups")).cast("int"))
     right = (packed(model, keys).join(sizes, keys)
              .withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups"))
@@ -190,6 +263,43 @@ def raw_scores(features: DataFrame, model: DataFrame, keys: Sequence[str], row_i
     return with_model(features.select(*keys, row_id, *columns), model, keys, row_id, run, schema)
 
 
+def sparse_isolation(index: Sequence[np.ndarray], value: Sequence[np.ndarray], trees, cells: int = 4_000_000) -> np.ndarray:
+    """``isolation_score`` of sparse rows; only features that a tree asks for are laid out, ``cells`` at a time."""
+    used = np.unique(np.concatenate([np.asarray(t["feature"], np.int64) for t in trees]))
+    used = used[used >= 0]
+    names = ("sample", "threshold", "left", "right", "rows")
+    local = []
+    for t in trees:
+        f = np.asarray(t["feature"], np.int64)
+        local.append({**{n: t[n] for n in names}, "feature": np.where(f >= 0, np.searchsorted(used, f), -1)})
+    step, out = max(1, cells // max(len(used), 1)), np.zeros(len(index))
+    for a in range(0, len(index), step):
+        part, numbers = index[a:a + step], value[a:a + step]
+        x = np.zeros((len(part), max(len(used), 1)))
+        row = np.repeat(np.arange(len(part)), [len(i) for i in part])
+        f, v = np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64), np.concatenate([np.zeros(0), *numbers])
+        at = np.searchsorted(used, f)
+        asked = at < len(used)
+        asked[asked] = used[at[asked]] == f[asked]
+        x[row[asked], at[asked]] = v[asked]
+        out[a:a + step] = isolation_score(x, local)
+    return out
+
+
+def sparse_scores(features: DataFrame, model: DataFrame, keys: Sequence[str], row_id: str, vector: str = "vector") -> DataFrame:
+    """(key, row id, isolation) for every row with a ``vector`` of (feature, value); groups are cut by entries as well as rows."""
+    keys = list(keys)
+
+    def run(rows: pd.DataFrame, trees: list) -> pd.DataFrame:
+        known = trees and len(rows)
+        s = sparse_isolation(rows["_index"].to_numpy(), rows["_value"].to_numpy(), trees) if known else np.full(len(rows), 0.5)
+        return rows[[*keys, row_id]].assign(isolation=s)
+
+    schema = _typed(features, [*keys, row_id]) + ", isolation double"
+    weight = F.lit(1) + F.size("_index") / 32
+    return with_model(_as_arrays(features, keys, row_id, vector), model, keys, row_id, run, schema, weight=weight)
+
+
 def quantile_per_key(values: DataFrame, keys: Sequence[str], value: str, q: str, bins: int = 4096) -> DataFrame:
     """Exact interpolated quantile per key of values in [0, 1]; ``q`` is a column constant per key.
 

@@ -13,32 +13,28 @@ from ..operators.ranking import first_per_key
 from ..operators.risk import sandbox_asset_score
 from ..session import cut_lineage, small_side
 
-MAX_PATHS = 5000
 ANOMALY_AT = 0.5  # isolation above one half, the forest's automatic contamination
 
 
-def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tuple[DataFrame, list[str], list[str]]:
-    """Flat fields, target asset, danger scores; and the paths that become model features.
+def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> DataFrame:
+    """Flat fields, target asset, danger scores, and ``vector``: the cells of all paths but the asset's.
 
-    Only the column profile (one row per path, a few dozen) comes to the driver: it decides
-    the plan. The rows stay distributed.
+    The driver learns the names of four columns and of the paths that hold numbers and other
+    texts (up to a limit, see ``sparse_vector``); logs may have any number of paths.
     """
     flat = cut_lineage(logs.select(row_id, F.col(raw), flatten_json(raw).alias("fields")).where("fields is not null"))
     profile = cut_lineage(discovery.profile_paths(flat))
     asset = discovery.discover_asset_column(profile).first()["asset_column"]
     event = discovery.discover_event_column(profile).first()["event_column"]
     time = discovery.discover_time_column(profile).first()
-    if profile.count() > MAX_PATHS:
-        raise ValueError(f"more than {MAX_PATHS} distinct fields: the logs use data as field names")
-    kinds = profile.select("path", (F.col("number_share") == 1.0).alias("numeric")).orderBy("path").collect()
-    numeric = [r["path"] for r in kinds if r["numeric"]]
 
     def field(path: str | None) -> Column:
         return F.try_element_at("fields", F.lit(path)) if path else F.lit(None).cast("string")
 
     scored = flat.withColumn("actor", field(asset))
     if asset == "actor_email":
-        parameter = next((r["path"] for r in kinds if "parameters" in r["path"].lower() and "value" in r["path"].lower()), None)
+        lowered = F.lower("path")
+        parameter = profile.where(lowered.contains("parameters") & lowered.contains("value")).agg(F.min("path").alias("path")).first()["path"]
         scored = scored.withColumn("parameter", field(parameter))
         scored = discovery.resolve_google_asset(scored, [], "actor", "parameter").drop("parameter")
     else:
@@ -51,24 +47,23 @@ def prepare(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> tupl
         "danger_score": t.danger_score(field(event)) if event else F.lit(rules.DANGER_DEFAULT),
         "iot_danger": F.when(field("topic").isNotNull(), t.sensor_danger(F.coalesce(field("topic"), F.lit("")), F.coalesce(value, F.lit(0.0)))),
     }).drop("actor")
-    return scored, [r["path"] for r in kinds if r["path"] != asset], numeric
+    return discovery.sparse_vector(scored, profile, row_id, leave_out=asset)
 
 
-def flag_anomalies(prepared: DataFrame, paths: list[str], numeric: list[str], row_id: str = "event_id") -> DataFrame:
+def flag_anomalies(prepared: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Forest per asset with forced anomalies; assets with fewer than two rows are left out."""
-    columns = [f"v_{p}" for p in paths]
     keys = ["target_asset"]
-    x = prepared.select(row_id, *keys, F.col("danger_score").alias("danger"), F.coalesce("iot_danger", F.lit(0.0)).alias("iot"),
-                        sandbox_asset_score("target_asset").alias("asset_value"),
-                        *discovery.numeric_vector(F.col("fields"), paths, numeric))
+    own = [F.col("danger_score"), F.coalesce("iot_danger", F.lit(0.0)), sandbox_asset_score("target_asset")]
+    own = F.array(*[F.struct(F.lit(i).cast("bigint").alias("feature"), F.coalesce(c, F.lit(0.0)).cast("double").alias("value"))
+                    for i, c in enumerate(own)])
+    x = prepared.select(row_id, *keys, F.concat(own, "vector").alias("vector"))
     sizes = small_side(x.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n"))
     x = cut_lineage(x.join(sizes, keys, "left_semi"))
-    names = ["danger", "iot", "asset_value", *columns]
-    model = cut_lineage(iforest.fit(x, keys, row_id, names))
-    scores = iforest.raw_scores(x, model, keys, row_id, names)
+    model = cut_lineage(iforest.fit_sparse(x, keys, row_id))
+    scores = iforest.sparse_scores(x, model, keys, row_id)
     forced = (F.coalesce("danger_score", F.lit(0.0)) >= rules.FORCED_DANGER) | (
         F.coalesce("iot_danger", F.lit(0.0)) >= rules.FORCED_SENSOR_DANGER)
-    return prepared.join(scores.select(row_id, "isolation"), row_id).withColumn(
+    return prepared.drop("vector").join(scores.select(row_id, "isolation"), row_id).withColumn(
         "is_anomaly", forced | (F.col("isolation") > ANOMALY_AT))
 
 
@@ -134,8 +129,7 @@ def explain_assets(flagged: DataFrame, row_id: str = "event_id") -> DataFrame:
 
 def forensic_scan(logs: DataFrame, raw: str = "raw", row_id: str = "event_id") -> dict[str, DataFrame]:
     """All result frames of one scan."""
-    prepared, paths, numeric = prepare(logs, raw, row_id)
-    flagged = cut_lineage(flag_anomalies(prepared, paths, numeric, row_id))
+    flagged = cut_lineage(flag_anomalies(prepare(logs, raw, row_id), row_id))
     money = asset_money(flagged)
     return {"flagged": flagged, "assets": money.join(explain_assets(flagged, row_id), "target_asset", "left"),
             "report": health(logs, money), "top_threats": top_threats(money)}
