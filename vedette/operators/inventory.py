@@ -117,15 +117,16 @@ def cast_inventory(df: DataFrame, mapping: Mapping[str, str], defaults: Mapping[
         for f, test in sensitivity_flags(F.col(f"`{label}`")).items():
             out[f] = F.when(test, F.lit(True)).otherwise(out.get(f, F.lit(None).cast("boolean")))
     name = out.get("nombre_activo", F.lit(None).cast("string"))
-    kept = [c for c in ("row_number",) if c in df.columns]
+    kept = [c for c in ("row_number", "source_file") if c in df.columns]
     return df.select(*kept, *[x.alias(f) for f, x in out.items()], name.isNull().alias("rejected"))
 
 
 def inventory_rejects(cast: DataFrame) -> DataFrame:
-    """(row, reason, data) of the rows without a name."""
-    data = [c for c in cast.columns if c not in ("rejected", "row_number")]
+    """(row, reason, data) of the rows without a name, and their file if the table has ``source_file``."""
+    place = [c for c in ("source_file", "row_number") if c in cast.columns]
+    data = [c for c in cast.columns if c not in ("rejected", *place)]
     return cast.where("rejected").select(
-        "row_number", F.lit("nombre_activo es obligatorio").alias("reason"), F.to_json(F.struct(*data)).alias("data"))
+        *place, F.lit("nombre_activo es obligatorio").alias("reason"), F.to_json(F.struct(*data)).alias("data"))
 
 
 def criticality_ok(c: str | Column) -> Column:
