@@ -19,6 +19,7 @@ from the later text; the first occurrence stays.
 from __future__ import annotations
 
 import re
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -191,10 +192,18 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
     """
     docs, doc, text = docs.select(F.col(doc).alias("doc"), whole_text(text).alias("text")), "doc", "text"
     found = docs.select("doc", F.inline(_links_of(F.col("text"), line, window)))
-    with stored(found) as every:
-        # most links occur once: numbers alone tell which do not, then the first of the others
-        often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
-        again = cut_lineage(every.join(often, "key").select("key", "doc", "start", "end", "fdoc"))
+    with ExitStack() as late, ExitStack() as early:
+        with stored(found) as every:
+            # most links occur once: numbers alone tell which do not, then the first of the others
+            often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
+            again = early.enter_context(stored(every.join(often, "key").select("key", "doc", "start", "end", "fdoc")))
+        marked = late.enter_context(stored(_marked(again, window)))
+        early.close()
+        return _runs(docs, marked, doc, text, window, least)
+
+
+def _marked(again: DataFrame, window: int) -> DataFrame:
+    """The occurrences of all links that repeat: which are later ones, and what lies beyond them."""
     firsts = again.where("doc = fdoc").groupBy("key").agg(F.min("start").alias("fstart"))
     order = Window.partitionBy("doc").orderBy("start", "end")
     here = F.struct(((F.col("doc") != F.col("fdoc")) | (F.col("start") != F.col("fstart"))).alias("later"), "key",
@@ -214,10 +223,8 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
             inner = outer
         return out
 
-    marked = again.join(firsts, "key").withColumn("here", here).select(
+    return again.join(firsts, "key").withColumn("here", here).select(
         "doc", "key", "start", "end", F.col("here.later").alias("later"), alike(-1).alias("before"), alike(1).alias("after"))
-    with stored(marked) as marked:
-        return _runs(docs, marked, doc, text, window, least)
 
 
 def _runs(docs: DataFrame, marked: DataFrame, doc: str, text: str, window: int, least: int) -> DataFrame:
@@ -228,8 +235,14 @@ def _runs(docs: DataFrame, marked: DataFrame, doc: str, text: str, window: int,
         F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     chained = chained.withColumn("chain", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("doc", "chain")
-    chained = cut_lineage(chained.select("doc", "chain", "key", "start", "end", F.min("start").over(whole).alias("first"),
-                                         F.max("end").over(whole).alias("last")))
+    chained = chained.select("doc", "chain", "key", "start", "end", F.min("start").over(whole).alias("first"),
+                             F.max("end").over(whole).alias("last"))
+    with stored(chained) as chained:
+        return _extended(docs, chained, marked, doc, text, window, least)
+
+
+def _extended(docs: DataFrame, chained: DataFrame, marked: DataFrame, doc: str, text: str, window: int, least: int) -> DataFrame:
+    """Chains with the words beyond their ends that an earlier text has as well, as runs per text."""
     # where a run can end less than ``window`` words beyond a link, and the occurrences of such links
     before, after = F.lit(-1).alias("side"), F.lit(1).alias("side")
     edges = (chained.where(F.col("start") - F.col("first") < window).select("doc", "chain", before, F.col("start").alias("at"), "key")
