@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import whole_text
+from .common import only_memory, whole_text
 from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceTable, read_model
 
 #: Entries of a worker's memory, of which it has two in turn, and length of texts that it keeps.
@@ -206,6 +206,7 @@ _ready: dict[tuple[type, bytes], object] = {}
 
 def _of(kind: type, model: bytes):
     """Built once per worker process."""
+    only_memory("bpe", _ready.clear)
     if (kind, model) not in _ready:
         _ready[kind, model] = kind(read_model(model))
     return _ready[kind, model]

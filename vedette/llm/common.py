@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,6 +39,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+_memories: dict[str, Callable[[], object]] = {}
+
+
+def only_memory(owner: str, forget: Callable[[], object]) -> None:
+    """Called in a worker by an operator that remembers words: what other operators remember there goes.
+
+    Workers are reused from stage to stage and would keep the memories of all of them.
+    """
+    for name in [n for n in _memories if n != owner]:
+        _memories.pop(name)()
+    _memories[owner] = forget
+
+
 @contextmanager
 def stored(df: DataFrame):
     """The rows written to the shared folder and read again; the files go when the block ends."""

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import whole_text
+from .common import only_memory, whole_text
 
 MEMORY = 100_000
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -111,6 +111,7 @@ class Threshold:
 
 
 def _points(text: pa.Array, doc_id: pa.Array, words: int):
+    only_memory("jaccard", _hashes.clear)
     sets = [shingles(t.as_py() or "", words) for t in text]
     return pa.record_batch({
         "doc_id": doc_id, "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),

@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import free_name, stored, whole_text
+from .common import free_name, only_memory, stored, whole_text
 
 LINE, WINDOW, LEAST = 10, 20, 50
+PLACES = 20_000
 WORD = re.compile(r"\S+")
 MEMORY = 100_000
 BASE = 0x9E3779B97F4A7C15
@@ -96,6 +97,7 @@ def _links_of(column: Column, line: int, window: int) -> Column:
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array) -> pa.Array:
+        only_memory("lines", _hashes.clear)
         offsets, parts = [0], []
         for t in texts:
             part = links(t.as_py() or "", line, window)
@@ -111,53 +113,66 @@ def _links_of(column: Column, line: int, window: int) -> Column:
 
 
 def _context(reach: int):
-    """Per place (side, at, key): hashes of the key with the next 1, 2, .. ``reach`` words before (-1) or after (1) it.
+    """Per place (side, at, key) asked of a text: hashes of the key with the next 1, 2, .. ``reach`` words before (-1) or after (1) it.
 
-    Of places that are no ``edge`` and have the same key and words beyond them in a text, the first is returned.
+    Of places that are no ``edge`` and have the same key and words beyond them in a text, the
+    first is returned; places without a word beyond them are not. Rows leave as soon as
+    ``PLACES`` are there, so a batch of texts never holds the hashes of all its places at once.
     """
-    kind = ArrayType(StructType([StructField("side", IntegerType()), StructField("at", IntegerType()),
-                                 StructField("beyond", ArrayType(LongType()))]))
-
-    @F.arrow_udf(kind)
-    def found(texts: pa.Array, asked: pa.Array) -> pa.Array:
-        offsets, sides, ats, sizes, parts = [0], [], [], [], [np.zeros(0, np.uint64)]
-        for text, places in zip(texts, asked, strict=True):
-            places = places.as_py() or []
-            offsets.append(offsets[-1] + len(places))
-            if not places:
-                continue
-            words = word_hashes(text.as_py() or "")
-            side, at, key = (np.array([p[c] for p in places], np.int64) for c in ("side", "at", "key"))
-            step = np.arange(reach)
-            where = np.where(side[:, None] > 0, at[:, None] + step, at[:, None] - 1 - step)
-            inside = (where >= 0) & (where < len(words))
-            near = words[np.clip(where, 0, len(words) - 1)] if len(words) else np.zeros(where.shape, np.uint64)
-            h = key.view(np.uint64) ^ side.view(np.uint64)
-            out = np.zeros(where.shape, np.uint64)
-            for k in range(reach):
-                h = (h ^ (h >> np.uint64(31))) * MIX + near[:, k]
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(BASE)
-                out[:, k] = h
-            size = inside.sum(axis=1)
-            edge = np.array([p["edge"] for p in places])
-            other = np.flatnonzero((size == reach) & ~edge)
-            other = other[np.argsort(at[other])]
-            keep = (size < reach) | edge
-            keep[other[np.unique(out[other, -1], return_index=True)[1]]] = True
-            offsets[-1] = offsets[-2] + int(keep.sum())
-            sides.append(side[keep])
-            ats.append(at[keep])
-            sizes.append(size[keep])
-            parts.append(out[keep][inside[keep]])
-        side, at, size = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32) for x in (sides, ats, sizes))
-        beyond = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)),
-                                          pa.array(np.concatenate(parts).view(np.int64)))
-        rows = pa.StructArray.from_arrays([pa.array(side), pa.array(at), beyond], ["side", "at", "beyond"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+    def found(batches):
+        only_memory("lines", _hashes.clear)
+        for batch in batches:
+            asked = batch["asked"]
+            ends, places = asked.offsets.to_numpy(), asked.values
+            sides, ats, keys = (places.field(c).to_numpy() for c in ("side", "at", "key"))
+            edges = places.field("edge").to_numpy(zero_copy_only=False)
+            waiting, n = [], 0
+            for row, text in enumerate(batch["text"]):
+                here = slice(ends[row], ends[row + 1])
+                words = word_hashes(text.as_py() or "")
+                part = _beyond(words, sides[here].astype(np.int64), ats[here].astype(np.int64), keys[here], edges[here], reach)
+                waiting.append((np.full(len(part[0]), row), *part))
+                n += len(part[0])
+                if n >= PLACES:
+                    yield _places(batch["d"], waiting)
+                    waiting, n = [], 0
+            if n:
+                yield _places(batch["d"], waiting)
 
     return found
 
 
+def _beyond(words: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray, edge: np.ndarray, reach: int):
+    """(side, at, number of hashes, hashes one after the other) of the places of one text that are returned."""
+    step = np.arange(reach)
+    where = np.where(side[:, None] > 0, at[:, None] + step, at[:, None] - 1 - step)
+    inside = (where >= 0) & (where < len(words))
+    near = words[np.clip(where, 0, len(words) - 1)] if len(words) else np.zeros(where.shape, np.uint64)
+    h = key.view(np.uint64) ^ side.view(np.uint64)
+    out = np.zeros(where.shape, np.uint64)
+    for k in range(reach):
+        h = (h ^ (h >> np.uint64(31))) * MIX + near[:, k]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(BASE)
+        out[:, k] = h
+    size = inside.sum(axis=1)
+    other = np.flatnonzero((size == reach) & ~edge)
+    other = other[np.argsort(at[other], kind="stable")]
+    keep = (size < reach) | edge
+    keep[other[np.unique(out[other, -1], return_index=True)[1]]] = True
+    keep &= size > 0
+    return side[keep], at[keep], size[keep], out[keep][inside[keep]]
+
+
+def _places(ids: pa.Array, parts: list) -> pa.RecordBatch:
+    row, side, at, size, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    hashes = hashes.view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(row)), pa.array(side.astype(np.int32)), pa.array(at.astype(np.int32)),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes)), pa.array(hashes[ends[:-1]])],
+        ["d", "side", "at", "beyond", "h"])
+
+
 def _furthest(batches):
     """Per place, how many words beyond it an earlier one has as well; rows come sorted by first hash, then text and place."""
     group, seen, last, waiting = None, set(), None, []
@@ -256,10 +271,9 @@ def _extended(docs: DataFrame, chained: DataFrame, marked: DataFrame, doc: str,
                          .select("p.doc", "side", "p.at", "key")).withColumn("edge", F.lit(False))
     places = places.union(edges.select("doc", "side", "at", "key", F.lit(True)))
     asked = places.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("side", "at", "key", "edge")).alias("asked"))
-    around = (docs.join(asked, docs[doc] == asked["d"])
-              .select("d", F.inline(_context(window)(whole_text(text), F.col("asked")))).where(F.size("beyond") > 0)
-              .withColumn("h", F.col("beyond")[0]))
     id_type = docs.schema[doc].dataType.simpleString()
+    around = (docs.join(asked, docs[doc] == asked["d"]).select("d", whole_text(text).alias("text"), "asked")
+              .mapInArrow(_context(window), f"d {id_type}, side int, at int, beyond array<bigint>, h bigint"))
     longer = cut_lineage(around.repartition("h").sortWithinPartitions("h", "d", "at")
                          .mapInArrow(_furthest, f"doc {id_type}, side int, at int, more int").where("more > 0"))
     further = (edges.join(longer, ["doc", "side", "at"]).groupBy("doc", "chain")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import free_name, whole_text
+from .common import free_name, only_memory, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -150,12 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doc: str = "d
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known, self.before = model, {}, {}
+        self.own = {f: f for f in model.weights}  # words remember the model's strings, not copies of them
 
     def word(self, word: str) -> tuple[int, ...]:
         """Features of a word that have a weight; remembered, what was not used for long forgotten."""
         found = self.before.get(word)
         if found is None:
-            found = tuple(f for f in word_features(word) if f in self.model.weights)
+            found = tuple(self.own[f] for f in word_features(word) if f in self.own)
         if len(self.known) >= MEMORY:
             self.before, self.known = self.known, {}
         self.known[word] = found
@@ -200,6 +201,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str =
 
     @F.arrow_udf(kind)
     def scored(texts: pa.Array) -> pa.Array:
+        only_memory("toxicity", _ready.clear)
         if key not in _ready:
             _ready.clear()
             _ready[key] = Scorer(model)
