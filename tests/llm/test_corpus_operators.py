@@ -298,3 +298,39 @@ def test_rows_that_share_an_id_keep_their_own_words(spark):
     got = sorted((r["doc_id"], " ".join((r["text"] or "").split())) for r in out.collect())
     left = [f"{texts[0]} {passage}", texts[1], rows[2][1], "two words", "", texts[2], texts[2]]
     assert got == sorted((i, t) for (i, _), t in zip(rows, left, strict=True))
+
+
+def earlier_words(texts, length):
+    """Per text, the words that stand in a run of ``length`` words which an earlier text or place has as well."""
+    seen, out = set(), []
+    for words in texts:
+        covered = set()
+        for i in range(len(words) - length + 1):
+            gram = tuple(words[i:i + length])
+            if gram in seen:
+                covered.update(range(i, i + length))
+            seen.add(gram)
+        out.append(covered)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_runs_against_all_grams(spark, seed):
+    r = random.Random(seed)
+    pool = [[f"p{seed}_{k}_{i}" for i in range(r.randint(30, 160))] for k in range(12)]
+    texts = []
+    for d in range(60):
+        words = []
+        for _ in range(r.randint(0, 4)):
+            words += [f"w{r.randint(0, 400)}" for _ in range(r.randint(0, 90))]
+            p = r.choice(pool)
+            a = r.randint(0, len(p) // 3)
+            words += p[a:r.randint(a, len(p))]
+        texts.append(words)
+    texts[50] = texts[10] * 2  # repeats another text and itself
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(5)
+    found = {row["doc"]: {w for s in row["runs"] for w in range(s["start"], s["end"])} for row in lines.repeated_runs(df).collect()}
+    must, may = earlier_words(texts, lines.LEAST), earlier_words(texts, lines.LINE)
+    assert sum(map(len, must)) > 1000
+    for i in range(len(texts)):
+        assert must[i] <= found.get(i, set()) <= may[i]
