@@ -18,19 +18,27 @@ def rawavg(c):
     return f"(CAST(sum(CAST({c} AS DECIMAL(26,6))) AS DOUBLE) / nullif(count({c}), 0))"
 
 
-@query("stats_summary", "incidents", f"""
+def _summary(days):
+    return f"""
 SELECT client_id, count(*) AS total_alerts, count(*) FILTER (anomaly_score >= 0.8) AS critical_alerts,
   count(*) FILTER (anomaly_score >= 0.5 AND anomaly_score < 0.8) AS medium_alerts,
   {SUM2} AS ale_impact, coalesce({avg6('anomaly_score')}, 0) AS avg_confidence
-FROM incidents WHERE created_us >= {NOW} - 24 * 3600000000 * 30 GROUP BY client_id""")
+FROM incidents WHERE created_us >= {NOW} - 24 * 3600000000 * {days} GROUP BY client_id"""
+
+
+@query("stats_summary", "incidents", _summary(30))
 def _(v):
     return d.stats_summary(v.incidents, hours=24 * 30)
 
 
-@query("attack_trends", "incidents", f"""
+def _trends(days):
+    return f"""
 SELECT client_id, created_us // 3600000000 * 3600000000 AS hour_us, count(*) AS incidents,
   CASE WHEN {rawavg('anomaly_score')} >= 0.8 THEN 'high' WHEN {rawavg('anomaly_score')} >= 0.5 THEN 'medium' ELSE 'low' END AS risk_level
-FROM incidents WHERE created_us >= {NOW} - 365 * {DAY} GROUP BY 1, 2""")
+FROM incidents WHERE created_us >= {NOW} - {days} * {DAY} GROUP BY 1, 2"""
+
+
+@query("attack_trends", "incidents", _trends(365))
 def _(v):
     return d.attack_trends(v.incidents, days=365)
 
@@ -52,29 +60,34 @@ def _(v):
     return d.top_entities(v.incidents, "asset_id")
 
 
-_PROFILES = f"""
+def _profiles(days):
+    return f"""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY client_id ORDER BY machines_targeted DESC, total_financial_risk DESC NULLS LAST, attacker_ip) AS INT) AS position FROM (
   SELECT client_id, src_ip AS attacker_ip, count(DISTINCT asset_id) AS machines_targeted, count(*) AS total_incidents, {SUM2} AS total_financial_risk,
    min(first_seen_us) AS campaign_start_us, max(last_seen_us) AS campaign_last_seen_us,
    bool_or(last_seen_us >= {NOW} - 600000000) AS campaign_active, bool_or(lateral_movement_detected) AS lateral_movement_confirmed
-  FROM incidents WHERE src_ip IS NOT NULL AND src_ip <> '0.0.0.0' AND created_us >= {NOW} - 30 * {DAY} GROUP BY 1, 2)) WHERE position <= 20"""
+  FROM incidents WHERE src_ip IS NOT NULL AND src_ip <> '0.0.0.0' AND created_us >= {NOW} - {days} * {DAY} GROUP BY 1, 2)) WHERE position <= 20"""
 
 
-@query("attacker_correlation", "incidents", _PROFILES)
+@query("attacker_correlation", "incidents", _profiles(30))
 def _(v):
     return d.attacker_profiles(v.incidents, days=30)
 
 
-@query("attacker_timelines", "incidents", f"""
-WITH top AS ({_PROFILES})
+def _timelines(days):
+    return f"""
+WITH top AS ({_profiles(days)})
 SELECT i.client_id, i.src_ip AS attacker_ip, id, asset_id, victim_ip, pattern, event_type, event_count, ale, first_seen_us, last_seen_us,
   last_seen_us >= {NOW} - 600000000 AS still_active
-FROM incidents i WHERE created_us >= {NOW} - 30 * {DAY} AND EXISTS (SELECT 1 FROM top t WHERE t.client_id = i.client_id AND t.attacker_ip = i.src_ip)""")
+FROM incidents i WHERE created_us >= {NOW} - {days} * {DAY} AND EXISTS (SELECT 1 FROM top t WHERE t.client_id = i.client_id AND t.attacker_ip = i.src_ip)"""
+
+
+@query("attacker_timelines", "incidents", _timelines(30))
 def _(v):
     return d.attacker_timelines(v.incidents, days=30)
 
 
-@query("executive_metrics", "incidents", f"""
+_EXECUTIVE = f"""
 SELECT client_id, count(*) FILTER (anomaly_score >= 0.85) AS critical_count,
   count(*) FILTER (anomaly_score >= 0.65 AND anomaly_score < 0.85) AS high_count,
   count(*) FILTER (anomaly_score >= 0.40 AND anomaly_score < 0.65) AS medium_count,
@@ -85,19 +98,25 @@ SELECT client_id, count(*) FILTER (anomaly_score >= 0.85) AS critical_count,
   floor({rawavg('((reviewed_us - created_us) / 60000000.0::DOUBLE)')} * 10 + 0.5::DOUBLE) / 10 AS avg_mttr_minutes,
   count(DISTINCT src_ip) FILTER (created_us >= {NOW} - 7 * {DAY}) AS unique_attackers_7d,
   count(DISTINCT asset_id) FILTER (created_us >= {NOW} - 7 * {DAY}) AS assets_affected_7d
-FROM incidents WHERE created_us >= {NOW} - 30 * {DAY} GROUP BY client_id""")
+FROM incidents WHERE created_us >= {NOW} - 30 * {DAY} GROUP BY client_id"""
+
+
+@query("executive_metrics", "incidents", _EXECUTIVE)
 def _(v):
     return d.executive_metrics(v.incidents)
 
 
-@query("risk_by_asset", "incidents", f"""
+_BY_ASSET = f"""
 SELECT client_id, asset_id, clasificacion_criticidad, count(*) AS total_incidents, {SUM2} AS total_ale,
   coalesce(max(valor_activo_snapshot), 0) AS asset_value, max(peak_anomaly_score) AS max_risk_score,
   CAST(sum(event_count) AS BIGINT) AS total_raw_events, max(last_seen_us) AS last_attack_us,
   bool_or(last_seen_us >= {NOW} - 600000000) AS under_attack_now,
   string_agg(DISTINCT pattern, ',' ORDER BY pattern) AS patterns, count(DISTINCT src_ip) AS unique_attackers,
   bool_or(lateral_movement_detected) AS lateral_movement
-FROM incidents WHERE created_us >= {NOW} - 30 * {DAY} GROUP BY ALL""")
+FROM incidents WHERE created_us >= {NOW} - 30 * {DAY} GROUP BY ALL"""
+
+
+@query("risk_by_asset", "incidents", _BY_ASSET)
 def _(v):
     return d.risk_by_asset(v.incidents).withColumn("patterns", F.array_join("patterns", ","))
 
@@ -112,13 +131,62 @@ def _(v):
     return d.risk_summary(v.incidents)
 
 
-@query("latest_explanation", "incidents", """
+_LATEST = """
 SELECT client_id, id, created_us, explanation FROM (
-  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY created_us DESC, id DESC) AS rn FROM incidents WHERE explanation IS NOT NULL) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY created_us DESC, id DESC) AS rn FROM incidents WHERE explanation IS NOT NULL) WHERE rn = 1"""
+
+
+@query("latest_explanation", "incidents", _LATEST)
 def _(v):
     return d.latest_explanation(v.incidents)
 
 
+#: Per frame of the dashboard: SQL, columns that name a row beside the tenant, texts, other measures.
+_FRAMES = {
+    "summary": (_summary(7), [], [], ["total_alerts", "critical_alerts", "medium_alerts", "ale_impact", "avg_confidence"]),
+    "trends": (_trends(7), ["hour_us"], ["risk_level"], ["incidents"]),
+    "top_attackers": (_top("src_ip"), ["position"], ["entity"], ["incidents"]),
+    "top_assets": (_top("asset_id"), ["position"], ["entity"], ["incidents"]),
+    "latest_explanation": (_LATEST, [], ["explanation"], ["id", "created_us"]),
+    "attacker_profiles": (_profiles(7), ["position"], ["attacker_ip"], [
+        "machines_targeted", "total_incidents", "total_financial_risk", "campaign_start_us", "campaign_last_seen_us",
+        "campaign_active", "lateral_movement_confirmed"]),
+    "attacker_timelines": (_timelines(7), ["id"], ["attacker_ip", "asset_id", "victim_ip", "pattern", "event_type"], [
+        "event_count", "ale", "first_seen_us", "last_seen_us", "still_active"]),
+    "executive_metrics": (_EXECUTIVE, [], [], [
+        "critical_count", "high_count", "medium_count", "low_count", "total_active_financial_risk", "high_alerts_unattended_24h",
+        "avg_mttd_minutes", "avg_mttr_minutes", "unique_attackers_7d", "assets_affected_7d"]),
+    "risk_by_asset": (_BY_ASSET, ["asset_id", "clasificacion_criticidad"], ["patterns"], [
+        "total_incidents", "total_ale", "asset_value", "max_risk_score", "total_raw_events", "last_attack_us", "under_attack_now",
+        "unique_attackers", "lateral_movement"]),
+}
+
+
+def _dashboard_sql():
+    """Every value of the nine frames: one row per frame, row and column."""
+    parts = []
+    for frame, (sql, names, texts, measures) in _FRAMES.items():
+        name = " || '/' || ".join(["''", *[f"CAST({c} AS VARCHAR)" for c in names]])
+        values = ", ".join([*[f"('{c}', {c}, NULL)" for c in texts], *[f"('{c}', NULL, CAST({c} AS DOUBLE))" for c in measures]])
+        parts.append(f"SELECT '{frame}' AS frame, client_id, {name} AS name, m.measure, CAST(m.label AS VARCHAR) AS label, "
+                     f"CAST(m.value AS DOUBLE) AS value FROM ({sql}) AS f, LATERAL (VALUES {values}) AS m(measure, label, value)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("dashboard", "incidents", _dashboard_sql())
+def _(v):
+    frames, out = d.dashboard(v.incidents), None
+    frames["risk_by_asset"] = frames["risk_by_asset"].withColumn("patterns", F.array_join("patterns", ","))
+    for frame, (_, names, texts, measures) in _FRAMES.items():
+        values = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("label"), F.lit(None).cast("double").alias("value")) for c in texts]
+        values += [F.struct(F.lit(c).alias("measure"), F.lit(None).cast("string").alias("label"), F.col(c).cast("double").alias("value"))
+                   for c in measures]
+        name = F.concat(*[x for c in names for x in (F.lit("/"), F.col(c).cast("string"))]) if names else F.lit("")
+        rows = frames[frame].select(F.lit(frame).alias("frame"), "client_id", name.alias("name"), F.inline(F.array(*values)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 _DERIVED = f"""coalesce(last_seen_us, {NOW}) AS x, last_seen_us >= {NOW} - 600000000 AS attack_still_active,
   floor((coalesce(last_seen_us, {NOW}) - first_seen_us) / 60000000.0::DOUBLE * 10 + 0.5::DOUBLE) / 10 AS attack_duration_minutes"""
 

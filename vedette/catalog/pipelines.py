@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import dashboards, features, incidents, sweep
+from ..operators import features, incidents, sweep
 from ..session import shared_folder
 from ..sources.raw import read_inventory
 from ..session import widen
@@ -73,25 +73,6 @@ def _(v):
                   F.count("Valor").alias("valued"))
 
 
-@query("dashboard", "incidents", """
-WITH d AS (SELECT *, (SELECT max(created_us) FROM incidents) AS now FROM incidents)
-SELECT 'summary' AS frame, count(DISTINCT client_id) AS rows FROM d WHERE created_us >= now - 7 * 86400000000 UNION ALL
-SELECT 'trends', count(DISTINCT (client_id, created_us // 3600000000)) FROM d WHERE created_us >= now - 7 * 86400000000 UNION ALL
-SELECT 'top_attackers', count(*) FROM (SELECT client_id, src_ip, row_number() OVER (PARTITION BY client_id) AS p FROM d WHERE src_ip IS NOT NULL GROUP BY 1, 2) WHERE p <= 5 UNION ALL
-SELECT 'top_assets', count(*) FROM (SELECT client_id, asset_id, row_number() OVER (PARTITION BY client_id) AS p FROM d GROUP BY 1, 2) WHERE p <= 5 UNION ALL
-SELECT 'latest_explanation', count(DISTINCT client_id) FROM d WHERE explanation IS NOT NULL UNION ALL
-SELECT 'executive_metrics', count(DISTINCT client_id) FROM d WHERE created_us >= now - 30 * 86400000000 UNION ALL
-SELECT 'risk_by_asset', count(DISTINCT (client_id, asset_id, clasificacion_criticidad)) FROM d WHERE created_us >= now - 30 * 86400000000""")
-def _(v):
-    frames = dashboards.dashboard(v.incidents)
-    names = ["summary", "trends", "top_attackers", "top_assets", "latest_explanation", "executive_metrics", "risk_by_asset"]
-    counts = [frames[n].agg(F.lit(n).alias("frame"), F.count("*").alias("rows")) for n in names]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
 @query("retention", "incidents", "SELECT id, created_us FROM incidents WHERE created_us >= (SELECT max(created_us) FROM incidents) - 90 * 86400000000")
 def _(v):
     return store.retention(v.incidents, v.incidents.agg(F.max("created_us")).scalar(), 90, "created_us").select("id", "created_us")
