@@ -102,3 +102,48 @@ def test_feature_store(spark, tmp_path):
     store.sink_features(df, path)
     assert spark.read.parquet(path).count() == 50
     assert store.scan_features(spark.read.parquet(path), "c0", 10 * US, 2000 * US).where("asset_value <> 0.5 or client_id <> 'c0'").count() == 0
+
+
+def test_ticks_close_the_windows_of_an_idle_source(spark, tmp_path):
+    rows = incident_rows()
+    df = spark.createDataFrame(rows, INC)
+    newest = max(r["ts_us"] for r in rows)
+    for name, job in (("trend", jobs.trend), ("sessions", jobs.sessions)):
+        clock = jobs.Clock(str(tmp_path / name / "clock"))
+        source = files(df, tmp_path / name / "in")
+        open_ = jobs.run_to_folder(job(source), name)  # without a clock the last windows stay open
+        out = jobs.run_to_folder(job(source, clock=clock), name, clock=clock, until_us=newest + 2 * 86_400 * US)
+        if name == "trend":
+            want = df.groupBy("client_id", (F.col("ts_us") - F.col("ts_us") % (3600 * US)).alias("hour_us")).agg(F.count("*").alias("incidents"))
+            got = out.select(want.columns)
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert out.count() > open_.count()
+        assert out.agg(F.sum("incidents" if name == "trend" else "event_count")).first()[0] == len(rows)
+
+
+def test_a_tick_makes_older_events_late(spark, tmp_path):
+    schema = "ts_us long, client_id string, anomaly_score double"
+    at = 1_700_000_000 * US // (3600 * US) * (3600 * US)
+    clock, folder = jobs.Clock(str(tmp_path / "clock")), str(tmp_path / "in")
+
+    def events(*times):
+        spark.createDataFrame([(at + t * US, "a", 0.9) for t in times], schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(folder)
+        (jobs.trend(stream, clock=clock).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+         .trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination())
+        return sorted((r["hour_us"] - at, r["incidents"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    events(10, 20)
+    assert run() == []
+    clock.tick(spark, at + 3900 * US)  # the delay of six minutes is not over yet
+    assert run() == []
+    events(30)
+    assert run() == []
+    clock.tick(spark, at + 3960 * US)
+    assert run() == [(0, 3)]
+    events(40, 3700)  # the first is late, the second opens the next hour
+    assert run() == [(0, 3)]
+    clock.tick(spark, at + 9000 * US)
+    assert run() == [(0, 3), (3600 * US, 1)]

@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.numeric import DAY_US
 from ..operators import sweep
 from ..session import shared_folder
 from ..sources.views import stream_view
@@ -20,6 +21,13 @@ def _stream(v, name):
     return stream_view(v.spark, v.sf_dir, name)
 
 
+def _closed(v, job, name):
+    """The windows of a stream job, those too that only a tick a day after the newest event closes."""
+    clock = jobs.Clock(os.path.join(shared_folder(v.spark), f"clock-{uuid.uuid4().hex}"))
+    until = v.burst_events.agg(F.max("ts_us")).first()[0] + DAY_US
+    return jobs.run_to_folder(job(_stream(v, "burst_events"), clock=clock), name, clock=clock, until_us=until)
+
+
 @query("stream_normalize_filter", "raw_logs", """
 SELECT client_id, CASE WHEN severity_score < 0.05 THEN 'low_severity' ELSE 'approved' END AS reason, count(*) AS events FROM (
  SELECT client_id, floor(severity_score * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS severity_score FROM raw_logs) GROUP BY 1, 2""")
@@ -33,16 +41,15 @@ def _(v):
 @query("stream_trend", "burst_events", f"""
 SELECT client_id, ts_us // 3600000000 * 3600000000 AS hour_us, count(*) AS incidents,
  CASE WHEN CAST(sum(CAST(anomaly_score AS DECIMAL(26,6))) AS DOUBLE) / count(*) >= 0.8 THEN 'high' WHEN CAST(sum(CAST(anomaly_score AS DECIMAL(26,6))) AS DOUBLE) / count(*) >= 0.5 THEN 'medium' ELSE 'low' END AS risk_level
-FROM burst_events GROUP BY 1, 2 HAVING ts_us // 3600000000 * 3600000000 + 3600000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM burst_events) - 360000000""".replace("HAVING ts_us // 3600000000 * 3600000000 +", "HAVING any_value(ts_us // 3600000000 * 3600000000) +"))
+FROM burst_events GROUP BY 1, 2""")
 def _(v):
-    return jobs.run_to_folder(jobs.trend(_stream(v, "burst_events")), "trend")
+    return _closed(v, jobs.trend, "trend")
 
 
 @query("stream_incidents", "burst_events", f"""
-SELECT client_id, asset_id, src_ip, pattern, event_count, first_seen_us, last_seen_us, peak_anomaly_score, anomaly_score FROM ({_sessions(False).replace('WITH g AS', 'WITH g AS', 1)})
-WHERE last_seen_us + {_GAP} <= (SELECT max(ts_us) // 1000 * 1000 FROM burst_events) - 360000000""")
+SELECT client_id, asset_id, src_ip, pattern, event_count, first_seen_us, last_seen_us, peak_anomaly_score, anomaly_score FROM ({_sessions(False)})""")
 def _(v):
-    return jobs.run_to_folder(jobs.sessions(_stream(v, "burst_events")), "sessions")
+    return _closed(v, jobs.sessions, "sessions")
 
 
 @query("stream_incident_store", "burst_events decisions", _sessions(True))

@@ -75,6 +75,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.mkdirs(at)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     files, at = _folder(spark, path)
     return [f.getPath().getName() for f in files.listStatus(at)]

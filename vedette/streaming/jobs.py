@@ -18,15 +18,47 @@ from .. import rules
 from ..operators import detector, filters, incidents as inc, joins, sweep
 from ..plans import pipeline
 from ..plans.normalize import normalize_events
-from ..session import drop_folder, newest_number, shared_folder
+from ..session import drop_folder, make_folder, newest_number, shared_folder
 
 DELAY = "6 minutes"
+#: Before any event, in the years that timestamps reach.
+NEVER_US = -(2**55)
 
 
 def event_time(stream: DataFrame, ts: str = "ts_us", delay: str = DELAY) -> DataFrame:
     return stream.withColumn("ts", F.timestamp_micros(ts)).withWatermark("ts", delay)
 
 
+class Clock:
+    """Control rows that move the watermark of a stream whose source is idle, so that its last windows close.
+
+    ``joined`` puts the control rows of a folder beside the events, before the watermark;
+    ``tick`` writes one: no event older than its time less the stream's delay is awaited any
+    more. A scheduler ticks while the source is quiet; late events are dropped as usual. The
+    rows take part in the watermark only and leave right after it.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def joined(self, stream: DataFrame, ts: str = "ts_us", delay: str = DELAY) -> DataFrame:
+        """The events with their watermark, moved by ticks as well; for use in place of ``event_time``."""
+        spark = stream.sparkSession
+        make_folder(spark, self.folder)
+        ticks = spark.readStream.schema("tick_us long").parquet(self.folder).select(
+            F.col("tick_us").alias(ts), F.lit(True).alias("_tick"))
+        # a batch without ticks, or with nothing else, must have the column types of every other one: all nullable
+        events = stream.withColumns({ts: F.when(F.col(ts) > NEVER_US, F.col(ts)), "_tick": F.lit(False)})
+        both = event_time(events.unionByName(ticks, allowMissingColumns=True), ts, delay)
+        # names the event time, or the optimizer would drop the ticks before the watermark sees them
+        never = F.timestamp_micros(F.lit(NEVER_US))
+        both = both.where(~F.col("_tick") | (F.col("ts") < never))
+        return both.select(*[F.when(F.col("ts") > never, F.col(c)).alias(c) for c in stream.columns if c != "ts"], "ts")
+
+    def tick(self, spark: SparkSession, until_us: int) -> None:
+        spark.range(1).select(F.lit(until_us).alias("tick_us")).coalesce(1).write.mode("append").parquet(self.folder)
+
+
 def normalize_filter(stream: DataFrame, **columns) -> DataFrame:
     """Stateless: canonical events with ``passed``, ``reason``."""
     return filters.siem_noise_filter(normalize_events(stream, **columns))
@@ -45,26 +77,30 @@ def write_routes(stream: DataFrame, target: str, checkpoint: str, split: str = "
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def trend(stream: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Count and risk level per tenant and hour (append: an hour appears once it is closed)."""
+def _timed(stream: DataFrame, clock: Clock | None) -> DataFrame:
+    return event_time(stream) if clock is None else clock.joined(stream)
+
+
+def trend(stream: DataFrame, width: str = "1 hour", clock: Clock | None = None) -> DataFrame:
+    """Count and risk level per tenant and hour (append: an hour appears once it is closed, by a later event or a tick)."""
     mean = exact_avg("anomaly_score")
     return (
-        event_time(stream).groupBy("client_id", F.window("ts", width).alias("w"))
+        _timed(stream, clock).groupBy("client_id", F.window("ts", width).alias("w"))
         .agg(F.count("*").alias("incidents"),
              F.when(mean >= 0.8, "high").when(mean >= 0.5, "medium").otherwise("low").alias("risk_level"))
         .select("client_id", F.unix_micros("w.start").alias("hour_us"), "incidents", "risk_level")
     )
 
 
-def sessions(stream: DataFrame, gaps=None) -> DataFrame:
-    """Incidents as session windows with the gap of their pattern (append: once closed).
+def sessions(stream: DataFrame, gaps=None, clock: Clock | None = None) -> DataFrame:
+    """Incidents as session windows with the gap of their pattern (append: once closed, by a later event or a tick).
 
     A reviewed incident is not closed here; the store merge applies decisions.
     """
     gap = F.concat(inc.gap_minutes("pattern", gaps).cast("string"), F.lit(" minutes"))
     at = F.struct("ts_us", "event_id")
     return (
-        event_time(stream).groupBy(*inc.KEY, F.session_window("ts", gap).alias("w"))
+        _timed(stream, clock).groupBy(*inc.KEY, F.session_window("ts", gap).alias("w"))
         .agg(F.count("*").alias("event_count"), F.min("ts_us").alias("first_seen_us"), F.max("ts_us").alias("last_seen_us"),
              F.max("anomaly_score").alias("peak_anomaly_score"), F.max_by("anomaly_score", at).alias("anomaly_score"))
         .drop("w")
@@ -83,13 +119,24 @@ def enrich(stream: DataFrame, assets: DataFrame, intel: DataFrame) -> DataFrame:
     return joins.match_asset(joins.threat_intel_enrich(stream, intel), assets, hostname="asset_id")
 
 
-def run_to_folder(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is available now into Parquet and returns that as a table."""
+def run_to_folder(stream: DataFrame, name: str, mode: str = "append", clock: Clock | None = None,
+                  until_us: int | None = None) -> DataFrame:
+    """Runs a stream over what is available now into Parquet and returns that as a table.
+
+    With a clock, the source counts as idle after that: a tick to ``until_us`` is written and
+    the query goes on from its checkpoint, so that windows up to there close as well.
+    """
     spark = stream.sparkSession
     base = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start(f"{base}/out"))
-    q.awaitTermination()
+
+    def run() -> None:
+        (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start(f"{base}/out").awaitTermination())
+
+    run()
+    if clock is not None:
+        clock.tick(spark, until_us)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
