@@ -8,8 +8,18 @@ hashing: an item-sized window of a text is a candidate if it agrees with the ite
 sampled places of at least one of several tables, whose number follows from the recall asked
 for. Candidates are verified by exact edit distance.
 
-Windows are taken where a text holds a run of characters of an item unchanged (16 for items of
-64 characters or more): the window is the stretch on which the item would lie.
+Windows are taken wherever an item within the wanted edits may lie, none is left out:
+
+* ``k`` edits over ``k // 2 + 1`` pieces leave some piece at most one edit, so one half of this
+  piece unchanged. Places of a text that hold such a half are looked up, and the other half beside
+  it is compared with at most one edit.
+* The pieces are leaves of a binary tree. A part of ``m`` of ``p`` pieces with at most ``k * m / p``
+  edits has a child with at most its share, so some path from the whole item to a leaf keeps to it
+  in every part. Places are followed from the leaf up this path, part by part, by exact edit
+  distance on parts of up to 64 characters.
+
+What is left are item-sized windows. Those that agree in a table are verified first; those that the
+tables leave out are verified by the same exact distance, up to the best distance found.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, Str
 from .common import free_name, hex_digest, whole_text
 
 #: Characters of items that one scan of the documents looks for.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 STEPS, BITS, WALKS = 3, 3, 8
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -40,25 +50,52 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def seed_length(n: int) -> int:
-    return 16 if n >= 64 else 8 if n >= 24 else min(n, 4)
+#: Characters of texts, seed hits and parts that are looked at in one go; classes of characters in the parts' tables.
+PLACES, HITS, CHECKED, CLASSES, MARGIN = 1 << 16, 1 << 18, 1 << 12, 64, 1_024
+ONE = np.uint64(1)
+EACH_BYTE = np.uint64(0x0101010101010101)
+#: Masks of the first bytes of a number, by how many.
+LOW_BYTES = np.array([(1 << 8 * j) - 1 for j in range(9)], np.uint64)
 
 
-def _runs(codes: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the ``q`` characters that start at each place; ``q`` is a power of two or below four."""
-    if len(codes) < q:
-        return np.zeros(0, np.uint64)
-    h = (codes.astype(np.uint64) + np.uint64(1)) * MIX
-    if q & (q - 1):
-        out = h[:len(h) - q + 1].copy()
-        for k in range(1, q):
-            out = out * MULTIPLIER + h[k:len(h) - q + 1 + k]
-        return out
-    size = 1
-    while size < q:  # doubling: the hash of 2n characters from two of n
-        h = h[:-size] * (MULTIPLIER + np.uint64(2 * size)) + (h[size:] ^ (h[size:] >> np.uint64(31)))
-        size *= 2
-    return h * MIX
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """A byte for each character: equal characters have equal bytes."""
+    return ((codes.astype(np.uint64) + ONE) * MULTIPLIER >> np.uint64(56)).astype(np.uint8)
+
+
+def _packed(classes: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.concatenate([classes, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8")[:, 0]
+
+
+def _one_edit(word: np.ndarray, mask: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether bytes ``here`` (``after``: from one place on) are ``word`` under ``mask`` but for one edit."""
+    differ = (here ^ word) & mask
+    bits = differ | (differ >> np.uint64(4))
+    bits |= bits >> np.uint64(2)
+    bits |= bits >> ONE
+    bits &= EACH_BYTE
+    first = bits & (~bits + ONE)  # the lowest bit of the first byte that differs
+    behind = ~(first - ONE)  # from this byte on
+    near = (differ & ~((first << np.uint64(8)) - ONE)) == 0
+    near |= ((after ^ word) & mask & behind) == 0
+    near |= ((here ^ (word >> np.uint64(8))) & (mask >> np.uint64(8)) & behind) == 0
+    return near
+
+
+def _gathered(found, least: int):
+    """The tuples of arrays put together until they hold this many rows; none is empty."""
+    held, rows = [], 0
+    for arrays in found:
+        if len(arrays[0]):
+            held.append(arrays)
+            rows += len(arrays[0])
+        if rows >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, rows = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def tables_for(recall: float, agreement: float, bits: int) -> int:
@@ -124,17 +161,51 @@ class Items:
     tables: int
 
     def __post_init__(self):
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.maps: dict[int, np.ndarray] = {}
+        self.most = np.array([int(self.share * len(t)) for t in self.texts], np.int64)
+        self.always: list[int] = []  # items too short for halves
+        halves: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        parts: list[tuple[int, int, int, int]] = []  # (parent, edits, length, shift): the parts of items above the leaves
+        starts: list[int] = []
+        tables: list[np.ndarray] = []
         for i, t in enumerate(self.texts):
-            q = seed_length(len(t))
-            table = self.seeds.setdefault(q, defaultdict(list))
-            for o, h in enumerate(_runs(_codes(t), q).tolist()):
-                table[h].append((i, o))
-        for q, table in self.seeds.items():
-            found = np.zeros(1 << 22, bool)
-            found[np.array(list(table), dtype=np.uint64) >> np.uint64(42)] = True
-            self.maps[q] = found
+            n, k = len(t), int(self.most[i])
+            p = k // 2 + 1
+            cut = [n * x // p for x in range(p + 1)]
+            if min(b - a for a, b in zip(cut, cut[1:])) < 2:
+                self.always.append(i)
+                continue
+            classes = _classes(_codes(t))
+            ahead, back = _packed(classes), _packed(classes[::-1])
+            stack = [(0, p, -1)]
+            while stack:
+                x, y, above = stack.pop()
+                a, b = cut[x], cut[y]
+                if y - x > 1:
+                    if b - a <= 64:
+                        parts.append((above, k * (y - x) // p, b - a, b - a - 1))
+                        starts.append(a)
+                        table = np.zeros(CLASSES, np.uint64)
+                        np.bitwise_or.at(table, classes[a:b] % CLASSES, ONE << np.arange(b - a, dtype=np.uint64))
+                        tables.append(table)
+                        above = len(parts) - 1
+                    middle = (x + y) // 2
+                    stack += [(x, middle, above), (middle, y, above)]
+                    continue
+                m = a + (b - a) // 2
+                halves[min(m - a, 8), 0].append((ahead[a], i, a, m - a, ahead[m], b - m, above))
+                halves[min(b - m, 8), 1].append((ahead[m], i, m, 0, back[n - m], m - a, above))
+        self.parts = np.array(parts, np.int64).reshape(-1, 4)
+        self.starts, self.tables_of = np.array(starts, np.int64), np.array(tables, np.uint64).reshape(-1, CLASSES)
+        self.halves = {}
+        for (h, left), rows in halves.items():
+            key, item, at, length, word, other, above = (np.array(x, np.uint64 if j in (0, 4) else np.int64)
+                                                         for j, x in enumerate(zip(*rows, strict=True)))
+            key, mask = key & LOW_BYTES[h], LOW_BYTES[np.minimum(other, 8)]
+            order = np.argsort(key, kind="stable")
+            key, first, times = np.unique(key[order], return_index=True, return_counts=True)
+            there = np.zeros(1 << 20, bool)
+            there[key * MULTIPLIER >> np.uint64(44)] = True
+            self.halves[h, left] = (there, key, first, times, *(x[order] for x in (item, at, length, word, mask, above)))
 
     def places(self, n: int) -> list[np.ndarray]:
         """Sampled places per walk for items of length ``n``: tables times bits."""
@@ -146,15 +217,73 @@ class Items:
             out.append((h >> np.uint64(20)).astype(np.int64) % max(1, 2 * n - n // 4))
         return out
 
-    def windows(self, text: str) -> set[tuple[int, int]]:
-        """(item, start) where the item would lie, to a grid of eight characters."""
-        out = set()
-        codes = _codes(text)
-        for q, table in self.seeds.items():
-            runs = _runs(codes, q)
-            for at in np.flatnonzero(self.maps[q][runs >> np.uint64(42)]).tolist():
-                for i, o in table.get(int(runs[at]), ()):
-                    out.add((i, (at - o) // 8 * 8))
+    def _seeded(self, classes: np.ndarray):
+        """(place, item, place in the item, part) of halves whose piece has at most one edit, some at a time."""
+        longest = max((int(x[6].max()) for x in self.halves.values()), default=0)
+        for begin in range(0, len(classes), PLACES):
+            early = max(0, begin - 16)
+            some = classes[early:begin + PLACES + longest + 16]
+            ahead, back = _packed(some), _packed(some[::-1])
+            count = min(PLACES, len(classes) - begin)
+            for (h, left), (there, key, first, times, item, at, length, word, mask, above) in self.halves.items():
+                read = ahead[begin - early:begin - early + count] & LOW_BYTES[h]
+                place = np.flatnonzero(there[read * MULTIPLIER >> np.uint64(44)])
+                read = read[place]
+                of = np.minimum(np.searchsorted(key, read), len(key) - 1)
+                held = key[of] == read
+                place, of = place[held] + begin - early, of[held]
+                portion = np.cumsum(times[of]) // HITS
+                for b in range(int(portion[-1]) + 1 if len(portion) else 0):
+                    mine = of[portion == b]
+                    n = times[mine]
+                    e = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    x = np.repeat(place[portion == b], n)
+                    words, y = (back, len(some) - x) if left else (ahead, x + length[e])
+                    near = _one_edit(word[e], mask[e], words[np.minimum(y, len(some))], words[np.minimum(y + 1, len(some))])
+                    e = e[near]
+                    yield x[near] + early, item[e], at[e], above[e]
+
+    def _holds(self, classes: np.ndarray, place: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Whether each part lies within its edits about ``place``, where its item would start (Myers, many at once).
+
+        ``classes`` has a margin before and behind.
+        """
+        _, edits, length, shift = self.parts[part].T
+        begin, steps = place + self.starts[part] - edits + MARGIN, length + 2 * edits
+        plus, minus = np.full(len(part), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(part), np.uint64)
+        score, top = length.copy(), shift.astype(np.uint64)
+        best, row = score.copy(), part * CLASSES
+        table = self.tables_of.ravel()
+        for j in range(int(steps.max(initial=0))):
+            eq = table[row + classes[begin + j]]
+            xh = (((eq & plus) + plus) ^ plus) | eq
+            ph, mh = minus | ~(xh | plus), plus & xh
+            score += ((ph >> top) & ONE).astype(np.int64) - ((mh >> top) & ONE).astype(np.int64)
+            ph, mh, xv = ph << ONE, mh << ONE, eq | minus
+            plus, minus = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+        return best <= edits
+
+    def windows(self, texts: list[str]) -> list[set[tuple[int, int]]]:
+        """Per text: (item, start) where the item would lie, to a grid of eight characters."""
+        out: list[set[tuple[int, int]]] = [set() for _ in texts]
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        classes = _classes(_codes("\0".join(texts)))
+        padded = np.pad(classes % np.uint8(CLASSES), MARGIN)
+        for place, item, at, part in _gathered(self._seeded(classes), HITS // 8):
+            text = np.searchsorted(first, place, side="right") - 1
+            start, item, part, text = np.unique(np.stack([place - at, item, part, text]), axis=1)
+            while len(start) and (part >= 0).any():
+                kept = part < 0
+                asked = np.flatnonzero(~kept)
+                asked = asked[np.argsort(self.parts[part[asked], 2], kind="stable")]  # as many steps each
+                for a in range(0, len(asked), CHECKED):
+                    some = asked[a:a + CHECKED]
+                    kept[some] = self._holds(padded, start[some], part[some])
+                start, item, part, text = start[kept], item[kept], part[kept], text[kept]
+                part = np.where(part >= 0, self.parts[part, 0], -1)
+            for d, i, a in zip(text.tolist(), item.tolist(), ((start - first[text]) // 8 * 8).tolist(), strict=True):
+                out[d].add((i, a))
         return out
 
     def candidates(self, found: list[tuple[int, int, str]]) -> list[bool]:
@@ -182,33 +311,43 @@ class Items:
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Per text: (item, end of the passage in the plain text, edit distance), the best of each item."""
-        found, owner = [], []
-        for d, text in enumerate(texts):
-            text = plain(text)
-            for i, start in sorted(self.windows(text)):
-                n = len(self.texts[i])
-                # the grid puts the start up to seven characters early
-                found.append((i, start, text[max(0, start):max(0, start) + n + 8]))
-                owner.append((d, text))
+        texts = [plain(t) for t in texts]
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        exact = [self.texts[i] in window for i, _, window in found]
-        hashed = iter(self.candidates([f for f, e in zip(found, exact, strict=True) if not e]))
-        for (i, start, window), (d, text), same in zip(found, owner, exact, strict=True):
-            hit = next(hashed) if not same else True
-            if not hit:
-                continue
-            n = len(self.texts[i])
-            most = int(self.share * n)
-            a = max(0, start - most)
-            if same:
-                match = (0, text.index(self.texts[i], max(0, start)) + n)
-            else:
-                near = distance_within(self.texts[i], text[a:max(0, start) + n + 8 + most], most)
-                match = near and (near[0], a + near[1])
-            if match and (i not in out[d] or match < out[d][i]):
-                out[d][i] = match
+        found, owner = [], []
+        for d, (text, windows) in enumerate(zip(texts, self.windows(texts), strict=True)):
+            for i in {*self.always, *(i for i, _ in windows)}:
+                at = text.find(self.texts[i])
+                if at >= 0:
+                    out[d][i] = (0, at + len(self.texts[i]))
+                elif i in self.always:
+                    self._verify(out[d], i, text, 0, len(text))
+            for i, start in sorted(windows):
+                if i not in out[d] and self.most[i]:
+                    # the grid puts the start up to seven characters early
+                    found.append((i, start, text[max(0, start):max(0, start) + len(self.texts[i]) + 8]))
+                    owner.append(d)
+        agree = [hit for a in range(0, len(found), 4_096) for hit in self.candidates(found[a:a + 4_096])]
+        for wanted in (True, False):  # those that the tables leave out come last
+            spans: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
+            for (i, start, _), d, hit in zip(found, owner, agree, strict=True):
+                if hit == wanted:
+                    n, most = len(self.texts[i]), int(self.most[i])
+                    a, b, held = max(0, start - most), start + n + 8 + most, spans[d, i]
+                    if held and a <= held[-1][1]:
+                        held[-1][1] = b
+                    else:
+                        held.append([a, b])
+            for (d, i), held in spans.items():
+                for a, b in held:
+                    self._verify(out[d], i, texts[d], a, b)
         return [[(i, end, dist) for i, (dist, end) in sorted(x.items())] for x in out]
 
+    def _verify(self, best: dict[int, tuple[int, int]], i: int, text: str, a: int, b: int) -> None:
+        """Keeps the least (distance, end) of the item in this stretch of the text, if it is within its edits."""
+        near = distance_within(self.texts[i], text[a:b], best[i][0] if i in best else int(self.most[i]))
+        if near and (i not in best or (near[0], a + near[1]) < best[i]):
+            best[i] = (near[0], a + near[1])
+
 
 def _scanned(docs: DataFrame, items: Items, doc: str, text: str, id_type: DataType) -> DataFrame:
     kind = ArrayType(StructType([StructField("item_no", IntegerType()), StructField("end", IntegerType()),
@@ -235,7 +374,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "t
 
     Texts are compared in lower case with single spaces. A text holds an item if some part
     of it is within ``share`` of the item's length in edit distance; ``end`` is where the best
-    part ends. Items are taken in batches of eight million characters, one scan of the
+    part ends. Items are taken in batches of two million characters, one scan of the
     documents each, so any number of items can be looked for. Empty and null items are in
     no text, null and empty texts hold nothing, repeated rows are reported alike, repeated
     items (same id and text) once.
