@@ -40,3 +40,11 @@ def test_toxic_rows_go(spark, tmp_path):
     assert any(0.3 <= s < 0.5 for _, s in called.values())
     assert kept == {i for i, (p, _) in called.items() if not p}
     assert all((i in kept) == (i % 2 == 0) for i in range(400))
+
+
+def test_a_passage_with_edits_all_over_leaves_the_corpus(spark, tmp_path):
+    item = " ".join(f"rain{k} seldom falls" for k in range(9))
+    spread = "".join("#" if j % 5 == 4 else c for j, c in enumerate(item))  # no six characters in a row survive
+    spark.createDataFrame([(4, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"before it {spread} and behind"), (2, "nothing of it"), (3, f"as it is: {item}")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()] == [2]
