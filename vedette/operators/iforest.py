@@ -22,6 +22,7 @@ SAMPLE = 256
 TREES = 100
 GROUP_ROWS = 50_000
 BLOCK = 25  # trees fitted by one group
+SHAP_ROWS = 10_000  # rows explained with one set of leaf tables
 
 
 def mean_path(n) -> np.ndarray:
@@ -417,7 +418,43 @@ def _leaf_games(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley(x: np.ndarray, trees, n_features: int) -> np.ndarray:
+def _tree_games(tree, n_features: int):
+    """(thresholds and bits per feature, first table row of each leaf, tables) of one tree.
+
+    A feature's thresholds part its values into ranges; ``bits`` says for each range (and last for
+    no number) and leaf which condition of the leaf is met. Row ``first + bits`` of the tables
+    holds the leaf's values by feature.
+    """
+    by_size: dict[int, list] = {}
+    for value, path in _leaves(tree):
+        if path:
+            by_size.setdefault(len(path), []).append((value, path))
+    leaves = [path for m in sorted(by_size) for _, path in by_size[m]]
+    first, tables, rows = [], [np.zeros((0, n_features))], 0
+    for m in sorted(by_size):
+        games = _leaf_games(np.array([v for v, _ in by_size[m]]), np.array([[p[2] for p in path.values()] for _, path in by_size[m]]))
+        wide = np.zeros((*games.shape[:2], n_features))
+        for k, (_, path) in enumerate(by_size[m]):
+            wide[k][:, list(path)] = games[k]
+        first += [rows + k * 2**m for k in range(len(games))]
+        tables.append(wide.reshape(-1, n_features))
+        rows += len(games) * 2**m
+    kind = np.uint8 if max(by_size, default=0) <= 8 else np.int64
+    feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"], dtype=float)
+    ranges = []
+    for f in np.unique(feature[feature >= 0]).tolist():
+        cuts = np.unique(threshold[feature == f])
+        bits = np.zeros((len(cuts) + 2, len(leaves)), kind)
+        for k, path in enumerate(leaves):
+            if f in path:
+                low, high, _ = path[f]
+                begin = int(np.searchsorted(cuts, low)) + 1 if low > -np.inf else 0
+                bits[begin:int(np.searchsorted(cuts, high)) + 1, k] = 1 << list(path).index(f)
+        ranges.append((f, cuts, bits))
+    return ranges, np.array(first, np.int64), np.concatenate(tables)
+
+
+def shapley(x: np.ndarray, trees, n_features: int, step: int = 512) -> np.ndarray:
     """Path-dependent Shapley values of the mean path length (Lundberg et al. 2018).
 
     A leaf has at most eight path conditions, so its values are tabulated per subset of
@@ -425,18 +462,16 @@ def shapley(x: np.ndarray, trees, n_features: int) -> np.ndarray:
     """
     phi = np.zeros((len(x), n_features))
     for tree in trees:
-        by_size: dict[int, list] = {}
-        for value, path in _leaves(tree):
-            by_size.setdefault(len(path), []).append((value, path))
-        for m, leaves in by_size.items():
-            if not m:
-                continue
-            tables = _leaf_games(np.array([v for v, _ in leaves]), np.array([[p[2] for p in path.values()] for _, path in leaves]))
-            for (_, path), table in zip(leaves, tables):
-                code = np.zeros(len(x), dtype=np.int64)
-                for i, (f, (low, high, _)) in enumerate(path.items()):
-                    code |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << i
-                phi[:, list(path)] += table[code]
+        ranges, first, tables = _tree_games(tree, n_features)
+        if not len(first):
+            continue
+        for a in range(0, len(x), step):
+            part = x[a:a + step]
+            met = np.zeros((len(part), len(first)), ranges[0][2].dtype)
+            for f, cuts, bits in ranges:
+                at = np.where(np.isnan(part[:, f]), len(cuts) + 1, np.searchsorted(cuts, part[:, f]))
+                met |= bits[at]
+            phi[a:a + step] += tables.take(met + first, axis=0).sum(axis=1)
     return phi / len(trees)
 
 
@@ -460,7 +495,7 @@ def shap_attribution(features: DataFrame, model: DataFrame, keys: Sequence[str],
         return out
 
     schema = _typed(features, [*keys, row_id]) + ", " + ", ".join(f"{c} double" for c in columns) + ", base double, mean_path double"
-    return with_model(features.select(*keys, row_id, *columns), model, keys, row_id, run, schema, group_rows=2000)
+    return with_model(features.select(*keys, row_id, *columns), model, keys, row_id, run, schema, group_rows=SHAP_ROWS)
 
 
 def attribution_fallback(severity: str | Column, delta: str | Column) -> dict[str, Column]:
