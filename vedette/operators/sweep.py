@@ -56,6 +56,15 @@ def live_rows(df: DataFrame, keep: Sequence[str], ts: str, width_us: int, inclus
     )
 
 
+#: Window tasks per shuffle partition of the session.
+FINE = 8
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by (key, chunk), in many small tasks: a task sorts all its rows, wide ones too."""
+    return rows.repartition(FINE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, CHUNK)
+
+
 def so_far(*keys: str) -> Window:
     """Running frame that includes rows of the same time."""
     return (Window.partitionBy(*keys, CHUNK).orderBy(AT)
@@ -90,7 +99,7 @@ def activity(df: DataFrame, keys: Sequence[str], ts: str, tie: str, width_us: in
     rows = live_rows(tied, [*keys, "_tie"], ts, width_us, chunk_us=size)
     border = df.groupBy(*keys, div_us(F.col(ts), size).alias(CHUNK)).agg(F.max(ts).alias(AT)).select(
         *keys, (F.col(CHUNK) + 1).alias(CHUNK), AT, F.lit(0).cast("bigint").alias(SIGN), F.lit(False).alias(EVENT))
-    rows = rows.unionByName(border, allowMissingColumns=True).repartition(*keys, CHUNK)
+    rows = dealt(rows.unionByName(border, allowMissingColumns=True), *keys)
     past = (Window.partitionBy(*keys, CHUNK).orderBy(AT, F.col("_tie").asc_nulls_first())
             .rowsBetween(Window.unboundedPreceding, -1))
     seen = F.last(F.when(F.col(SIGN) >= 0, F.col(AT)), ignorenulls=True).over(past)
@@ -120,7 +129,7 @@ def correlate(events: DataFrame, client: str = "client_id", window_s: int = rule
     """
     flagged = events.withColumns(auth_flags("event_type")).withColumn(IP, address_key("src_ip", "ts_us"))
     keep = [client, IP, "asset_id", "event_id", "is_failure", "is_success", "is_blocked"]
-    rows = live_rows(flagged, keep, "ts_us", window_s * US, inclusive=True).repartition(client, IP, CHUNK)
+    rows = dealt(live_rows(flagged, keep, "ts_us", window_s * US, inclusive=True), client, IP)
     sign = F.col(SIGN)
     fail, succ = sign * F.col("is_failure").cast("bigint"), sign * F.col("is_success").cast("bigint")
     here, run = so_far(client, IP, "asset_id"), step_by_step(client, IP, "asset_id")
@@ -187,7 +196,7 @@ def port_scan_score(events: DataFrame, keys: Sequence[str] = ("src_ip",), window
     reports how its term changes, so the sum runs along.
     """
     keys = list(keys)
-    rows = live_rows(events, [*keys, "dst_port"], "ts_us", window_s * US).repartition(*keys, CHUNK)
+    rows = dealt(live_rows(events, [*keys, "dst_port"], "ts_us", window_s * US), *keys)
     sign = F.col(SIGN)
     rows = rows.withColumn("_c", F.sum(sign).over(step_by_step(*keys, "dst_port")))
     after, before = F.col("_c"), F.col("_c") - sign
@@ -225,7 +234,7 @@ def lateral_movement_history(events: DataFrame, window_s: int = 300, min_severit
     hit = F.lower("event_type").rlike("ssh.*success").cast("bigint")
     keep = ["client_id", IP, "asset_id", "_hit"]
     rows = live_rows(events.withColumns({"_hit": hit, IP: address_key("src_ip", "ts_us")}), keep, "ts_us", window_s * US, delay_us=1)
-    rows = rows.repartition("client_id", IP, CHUNK)
+    rows = dealt(rows, "client_id", IP)
     change = F.col(SIGN) * F.col("_hit")
     rows = rows.withColumns({
         "_own": F.sum(change).over(so_far("client_id", IP, "asset_id")),
