@@ -68,6 +68,59 @@ def test_density_flags_empty_space():
     assert np.all((0 <= s) & (s <= 1)) and s[-1] > s[:50].max()
 
 
+def walked(x, learned, window):
+    """Scores by masses of all nodes, row by row."""
+    feature, cut = hst.splits()
+    trees, height = feature.shape[0], rules.HST_HEIGHT
+
+    def path(row, t):
+        at = 0
+        yield at
+        for _ in range(height):
+            at = 2 * at + 1 + bool(row[feature[t, at]] >= cut[t, at])
+            yield at
+
+    masses = [{} for _ in range(trees)]
+    for row in learned:
+        for t in range(trees):
+            for at in path(row, t):
+                masses[t][at] = masses[t].get(at, 0) + 1
+    out = []
+    for row in x:
+        total = 0.0
+        for t in range(trees):
+            for depth, at in enumerate(path(row, t)):
+                total += masses[t].get(at, 0) * 2**depth
+                if masses[t].get(at, 0) < 0.1 * window:
+                    break
+        out.append(1.0 - total / (trees * window * float(2 ** (height + 1) - 1)))
+    return np.array(out)
+
+
+def test_density_of_several_blocks_at_once():
+    """Each block as by itself, also blocks without learned rows, with equal rows and with values that are no number."""
+    rng = np.random.default_rng(3)
+    n = len(rules.FEATURES)
+    x, learned = rng.random((60, n)), rng.random((90, n))
+    of, learned_of = rng.integers(0, 5, 60), rng.choice([0, 1, 2, 4], 90)
+    x[of == 1], learned[learned_of == 1], learned[learned_of == 4, 3], x[7, 2], learned[5, 0] = 0.5, 0.5, 0.25, np.nan, np.nan
+    got = hst.density(x, learned, 20, of=of, learned_of=learned_of)
+    for b in range(5):
+        assert got[of == b].tolist() == walked(x[of == b], learned[learned_of == b], 20).tolist()
+        assert got[of == b].tolist() == hst.density(x[of == b], learned[learned_of == b], 20).tolist()
+    assert len(set(got.tolist())) > 20
+
+
+def test_small_blocks_share_a_group(spark, monkeypatch):
+    from vedette.operators.features import temporal_features
+    e = temporal_features(hst_events(spark, 900))
+    together = hst.half_space_trees(e, 20)
+    rows = sorted(map(tuple, together.select("event_id", "raw_score").collect()))
+    monkeypatch.setattr(hst, "SPAN_ROWS", 20)
+    assert rows == sorted(map(tuple, hst.half_space_trees(e, 20).select("event_id", "raw_score").collect()))
+    assert len(rows) == 900 and sum(r > 0 for _, r in rows) > 500
+
+
 def hst_events(spark, n=2600):
     rng = np.random.default_rng(2)
     rows = [("c", "hot" if i % 10 else "cold", i, int(i * 700_000), float(rng.random()), 0.5, float(rng.random()), float(rng.random()),

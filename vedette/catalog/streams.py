@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.numeric import DAY_US
 from ..operators import sweep
-from ..session import shared_folder
+from ..session import shared_folder, widen
 from ..sources.views import stream_view
 from ..streaming import density, jobs
 from .joins import shared_hashes
@@ -89,9 +89,9 @@ def _(v):
 
 @query("stream_ingest", "", None)
 def _(v):
-    events = sweep.correlate(v.sec_events).withColumn("dst_port", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 1000).cast("int")))
+    events = sweep.correlate(widen(v.sec_events)).withColumn("dst_port", F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 1000).cast("int")))
     base = os.path.join(shared_folder(v.spark), f"ingest-{uuid.uuid4().hex}")
-    cut = events.agg(F.percentile_approx("ts_us", 0.6)).scalar()  # two files, two micro-batches
+    cut = v.sec_events.agg(F.percentile_approx("ts_us", 0.6)).scalar()  # two files, two micro-batches
     parts = events.withColumn("part", (F.col("ts_us") > cut).cast("int")).persist()
     for part in (0, 1):
         parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in/{part}")

@@ -2,8 +2,8 @@
 
 The splits do not depend on data, so a leaf number is a pure function of a feature
 vector. An event is scored with the masses of the block of 2000 learned events before
-its own. Both blocks form one bounded group; a block swollen by events that are never
-learned is cut into parts, each with its copy of the learned block.
+its own. Both blocks form one bounded group, small blocks with their neighbours; a block swollen
+by events that are never learned is cut into parts, each with its copy of the learned block.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from .chunked import earlier_rows
 from .detector import State
 
 KEYS = ["client_id", "asset_id"]
-PART_ROWS = 4096
+#: Events of a block that are scored together, and learned rows of neighbouring blocks that share a group.
+PART_ROWS, SPAN_ROWS = 4096, 4096
 
 
 @lru_cache(maxsize=4)
@@ -55,39 +56,83 @@ def splits(trees: int = rules.HST_TREES, height: int = rules.HST_HEIGHT, n_featu
     return feature, cut
 
 
-def paths(x: np.ndarray, height: int = rules.HST_HEIGHT, trees: int = rules.HST_TREES) -> np.ndarray:
-    """Heap number of the node at every depth: (rows, trees, height + 1)."""
-    feature, cut = splits(trees, height, x.shape[1])
-    out = np.zeros((len(x), trees, height + 1), dtype=np.int32)
-    rows, tree = np.arange(len(x))[:, None], np.arange(trees)[None, :]
-    at = np.zeros((len(x), trees), dtype=np.int64)
-    for depth in range(height):
-        at = 2 * at + 1 + (x[rows, feature[tree, at]] >= cut[tree, at])
-        out[:, :, depth + 1] = at
-    return out
+def _bounds(rows: np.ndarray, of: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest value of each feature per block; blocks without rows lie beyond everything."""
+    low, high = np.full((blocks, rows.shape[1]), np.inf), np.full((blocks, rows.shape[1]), -np.inf)
+    if len(rows):
+        order = np.argsort(of, kind="stable")
+        there, first = np.unique(of[order], return_index=True)
+        low[there], high[there] = np.minimum.reduceat(rows[order], first), np.maximum.reduceat(rows[order], first)
+    return low, high
 
 
 def density(x: np.ndarray, learned: np.ndarray, window: int = rules.HST_WINDOW, height: int = rules.HST_HEIGHT,
-            trees: int = rules.HST_TREES) -> np.ndarray:
+            trees: int = rules.HST_TREES, of: np.ndarray | None = None, learned_of: np.ndarray | None = None) -> np.ndarray:
     """Anomaly 1 - mass score of each row, given the learned rows of the block before.
 
     The walk adds mass * 2**depth and stops below a tenth of the window; the sum is
-    normalised by its largest possible value.
+    normalised by its largest possible value. ``of`` and ``learned_of`` number the block of
+    each row, 0 if there is one only; each block has its own masses.
+
+    Only nodes that a walk reaches are made, level by level for all blocks and trees. At a node
+    whose cut lies beyond all rows of its block every walk turns the same way: it becomes its child.
+    The sums are whole numbers, so their order does not matter.
     """
-    nodes = 2 ** (height + 1) - 1
-    mass = np.zeros((trees, nodes), dtype=np.int32)
-    seen = paths(learned, height, trees)
-    for t in range(trees):
-        mass[t] = np.bincount(seen[:, t, :].ravel(), minlength=nodes)
-    total = np.zeros(len(x))
-    for start in range(0, len(x), 1024):
-        p = paths(x[start:start + 1024], height, trees)
-        alive = np.ones(p.shape[:2], dtype=bool)
-        for depth in range(height + 1):
-            m = mass[np.arange(trees)[None, :], p[:, :, depth]]
-            total[start:start + 1024] += np.where(alive, m * float(2**depth), 0.0).sum(axis=1)
-            alive &= m >= 0.1 * window
-    return 1.0 - total / (trees * window * float(2 ** (height + 1) - 1))
+    feature, cut = splits(trees, height, x.shape[1])
+    of = np.zeros(len(x), np.int64) if of is None else of
+    learned_of = np.zeros(len(learned), np.int64) if learned_of is None else learned_of
+    blocks = 1 + int(max(of.max(initial=0), learned_of.max(initial=0)))
+    low, high = _bounds(np.concatenate([x, learned]), np.concatenate([of, learned_of]), blocks)
+
+    # node: feature, cut, first child (-1: the walk ends here) and sum so far; a root per block and tree
+    mass = np.repeat(np.bincount(learned_of, minlength=blocks), trees).astype(float)
+    feature_of, cut_of, child, total = [], [], [], []
+    block, tree = np.divmod(np.arange(blocks * trees), trees)
+    at, sums, first = np.zeros(blocks * trees, np.int64), mass.copy(), 0
+    row = np.repeat(np.arange(len(learned)), trees)  # a walk per learned row and tree, and its node in this level
+    node = (learned_of[:, None] * trees + np.arange(trees)).ravel()
+    while len(at):
+        split, f, c = np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at))
+        open_ = np.flatnonzero(mass >= 0.1 * window)
+        depth = np.log2(at + 1).astype(np.int64)
+        open_ = open_[depth[open_] < height]
+        while len(open_):
+            ft, ct = feature[tree[open_], at[open_]], cut[tree[open_], at[open_]]
+            right, left = ct <= low[block[open_], ft], ct > high[block[open_], ft]
+            own = ~(right | left)
+            split[open_[own]], f[open_[own]], c[open_[own]] = True, ft[own], ct[own]
+            at[open_] = np.where(own, at[open_], 2 * at[open_] + 1 + right)
+            open_ = open_[~own]
+            depth[open_] += 1
+            sums[open_] += mass[open_] * 2.0 ** depth[open_]
+            open_ = open_[depth[open_] < height]
+        halved = np.flatnonzero(split)
+        child.append(np.where(split, first + len(at) + 2 * (np.cumsum(split) - 1), -1))
+        feature_of.append(f)
+        cut_of.append(c)
+        total.append(sums)
+        walks = np.flatnonzero(split[node])
+        row, node = row[walks], node[walks]
+        node = 2 * (np.cumsum(split) - 1)[node] + (learned[row, f[node]] >= c[node])
+        first += len(at)
+        mass = np.bincount(node, minlength=2 * len(halved)).astype(float)
+        at = np.repeat(2 * at[halved] + 1, 2)
+        at[1::2] += 1
+        block, tree = np.repeat(block[halved], 2), np.repeat(tree[halved], 2)
+        sums = np.repeat(sums[halved], 2) + mass * 2.0 ** np.repeat(depth[halved] + 1, 2)
+    feature_of, cut_of, child, total = (np.concatenate(a) if a else np.zeros(0) for a in (feature_of, cut_of, child, total))
+
+    out = np.zeros(len(x))
+    for start in range(0, len(x), 4096):
+        part = x[start:start + 4096]
+        row = np.repeat(np.arange(len(part)), trees)
+        node = (of[start:start + 4096, None] * trees + np.arange(trees)).ravel()
+        while len(row):
+            ended = child[node] < 0
+            out[start:start + 4096] += np.bincount(row[ended], total[node[ended]], len(part))
+            row, node = row[~ended], node[~ended]
+            node = child[node] + (part[row, feature_of[node]] >= cut_of[node])
+    return 1.0 - out / (trees * window * float(2 ** (height + 1) - 1))
 
 
 def sequence(events: DataFrame, chunk_us: int = HOUR_US, state: State | None = None) -> DataFrame:
@@ -149,16 +194,23 @@ def raw_density(sequenced: DataFrame, columns=rules.FEATURES, window: int = rule
 
     def run(events: pd.DataFrame, learned: pd.DataFrame) -> pd.DataFrame:
         out = events[[*KEYS, "event_id"]].copy()
+        out["raw_score"] = 0.0
         if len(learned) and len(events):
-            old = np.repeat(learned[mass_columns].to_numpy(dtype=float), learned["m__weight"].to_numpy(dtype=int), axis=0)
-            out["raw_score"] = density(events[columns].to_numpy(dtype=float), old, window)
-        else:
-            out["raw_score"] = 0.0
+            times = learned["m__weight"].to_numpy(dtype=int)
+            there, old_of = np.unique(learned["m_block"].to_numpy(dtype=np.int64), return_inverse=True)
+            block = events["block"].to_numpy(dtype=np.int64)
+            of = np.minimum(np.searchsorted(there, block), len(there) - 1)
+            told = there[of] == block
+            old, x = learned[mass_columns].to_numpy(dtype=float), events[columns].to_numpy(dtype=float)
+            out.loc[told, "raw_score"] = density(x[told], np.repeat(old, times, axis=0), window, of=of[told],
+                                                 learned_of=np.repeat(old_of, times))
         return out
 
-    on = [*KEYS, "block", "part"]
+    on = [*KEYS, "span", "part"]
     mass_columns = [f"m_{c}" for c in columns]
-    masses = masses.select(*[F.col(c).alias(f"m_{c}") for c in [*on, "_weight", *columns]])
+    span = F.floor(F.col("block") / max(1, SPAN_ROWS // window)).alias("span")
+    scored = scored.select("*", span)
+    masses = masses.select("*", span).select(*[F.col(c).alias(f"m_{c}") for c in [*on, "block", "_weight", *columns]])
     mass_on = [f"m_{k}" for k in on]
     scored, masses = spread(scored, *on), spread(masses, *mass_on)
     return scored.groupBy(*on).cogroup(masses.groupBy(*mass_on)).applyInPandas(run, schema)
