@@ -6,10 +6,17 @@ sequence that merging the whole text would give. So the encoder walks from left
 takes the longest match at each place, falls back to shorter ones while the new token does
 not agree with the one before, and steps back where none fits; a bit per position remembers
 the places from which no way was found, so each is tried once.
+
+Merging two tokens anew is not done symbol by symbol: each token was made by known merges, so
+which symbols stood at its ends, and between which scores, is known, and the two disagree if
+and only if a pair of such end symbols is a piece that is merged before either goes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import add
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -21,6 +28,7 @@ from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceTable, read_model
 
 #: Entries of a worker's memory, of which it has two in turn, and length of texts that it keeps.
 MEMORY, MEMORY_CHARS = 200_000, 48
+INFINITY = float("inf")
 
 
 class Encoder:
@@ -29,20 +37,35 @@ class Encoder:
             raise ValueError("the model is not of the merge type")
         self.table = table
         self.score = {p: table.scores[i] for p, i in table.words.items()}
-        self.valid = {p for p in self.score if self.merged(p) == [p]}
+        self.valid, self.made = set(), {}  # of valid pieces, the two parts merged last
+        for p in self.score:
+            parts = self.merged(p, 2)
+            if len(parts) <= 2:
+                self.valid.add(p)
+            if len(parts) == 2:
+                self.made[p] = (parts[0], parts[1])
+        # pieces whose scores do not tell their order: equal ones, and those not below their parts' scores
+        times = Counter(s for p, s in self.score.items() if len(p) > 1)
+        self.unordered = {p for p, s in self.score.items() if len(p) > 1 and times[s] > 1}
+        for p in sorted(self.made, key=len):
+            if any(x in self.unordered or x in self.made and self.score[x] <= self.score[p] for x in self.made[p]):
+                self.unordered.add(p)
         self.matches = ahocorasick.Automaton()
         for p in self.valid:
-            self.matches.add_word(p, len(p) - 1)
+            if len(p) > 1:
+                self.matches.add_word(p, len(p) - 1)
         self.matches.make_automaton()
+        self.ends: dict[str, list[tuple[str, float, float]] | None] = {}
+        self.starts: dict[str, list[tuple[str, float, float]] | None] = {}
         self.prefix: dict[str, str] = {}
         self.agreed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Merges a short text: the best-scored pair first, the leftmost of equal ones."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """Merges a short text, down to ``least`` parts: the best-scored pair first, the leftmost of equal ones."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
@@ -59,9 +82,42 @@ class Encoder:
         if found is None:
             if len(self.agreed) >= MEMORY:
                 self.agreed.clear()
-            found = self.agreed[pair] = self.merged(left + right) == [left, right]
+            found = self.agreed[pair] = self.stay_apart(left, right)
         return found
 
+    def spine(self, token: str, side: int) -> list[tuple[str, float, float]] | None:
+        """(symbol, score that made it, score that took it) of the symbols at one end of a token; None if scores do not order them."""
+        found, made, taken = [], self.made, -INFINITY
+        if token in self.unordered:
+            return None
+        while True:
+            born = self.score[token] if token in made else INFINITY
+            found.append((token, born, taken))
+            if token not in made:
+                return found
+            token, taken = made[token][side], born
+
+    def stay_apart(self, left: str, right: str) -> bool:
+        """Whether merging the joint text of two tokens gives these two.
+
+        Merges go by falling scores, on the left first where equal. A symbol at the end of
+        ``left`` and one at the start of ``right`` are merged if they stand there at the same
+        time and their piece comes before the merges that take them.
+        """
+        if left not in self.ends:
+            self.ends[left] = self.spine(left, 1)
+        if right not in self.starts:
+            self.starts[right] = self.spine(right, 0)
+        ends, starts, score = self.ends[left], self.starts[right], self.score
+        if ends is None or starts is None:
+            return self.merged(left + right) == [left, right]
+        for x, x_born, x_taken in ends:
+            for y, y_born, y_taken in starts:
+                s = score.get(x + y)
+                if s is not None and s > x_taken and s >= y_taken and x_born >= y_taken and y_born > x_taken:
+                    return x + y in self.unordered and self.merged(left + right) == [left, right]
+        return True
+
     def shorter(self, token: str) -> str:
         """Longest token that is a proper prefix; empty for a single character."""
         found = self.prefix.get(token)
@@ -73,11 +129,11 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         """Tokens of a text, as merging all of it would give them."""
         size = len(text)
+        if size == 1 or text in self.valid:
+            return [text]
         longest = [1] * size
         for end, back in self.matches.iter(text):  # ends ascend, so the longest comes last
             longest[end - back] = back + 1
-        if longest[0] == size:
-            return [text]
         failed = bytearray()
         agreed, prefix = self.agreed, self.prefix
         tokens: list[str] = []
@@ -128,12 +184,12 @@ class Encoder:
     def parts_ids(self, chunk: str) -> tuple[int, ...]:
         """As ``chunk_ids``, cut where no piece holds the two neighbouring characters."""
         pairs, start, out = self.table.pairs, 0, []
+        if pairs.issuperset(map(add, chunk, chunk[1:])):
+            return self.chunk_ids(chunk)
         for i in range(1, len(chunk)):
             if chunk[i - 1:i + 1] not in pairs:
                 out += self.recalled(chunk[start:i], self.chunk_ids)
                 start = i
-        if not start:
-            return self.chunk_ids(chunk)
         out += self.recalled(chunk[start:], self.chunk_ids)
         return tuple(out)
 

@@ -19,39 +19,30 @@ from the later text; the first occurrence stays.
 from __future__ import annotations
 
 import re
-from contextlib import ExitStack
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, IntegralType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
-from .common import free_name, only_memory, stored, whole_text
+from .common import free_name, stored, whole_text
 
 LINE, WINDOW, LEAST = 10, 20, 50
-PLACES = 20_000
+#: Words of several texts that are worked on at once, and places that leave together.
+WORDS, PLACES = 100_000, 20_000
 WORD = re.compile(r"\S+")
-MEMORY = 100_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-_hashes: dict[str, int] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def word_hashes(text: str) -> np.ndarray:
-    known = _hashes
-    if len(known) >= MEMORY:
-        known.clear()
-    out = []
-    for w in text.split():
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), np.uint64)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,46 +61,152 @@ def _spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: np.n
     return h ^ (h >> np.uint64(32))
 
 
-def links(text: str, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, end) of the spans between neighbouring selected lines."""
-    words = word_hashes(text)
-    n = len(words) - line + 1
-    if n < window + 1:
+def _lowest(values: np.ndarray, window: int) -> np.ndarray:
+    """Of each ``window`` neighbouring values, the place of the smallest, the last of equal ones."""
+    at, width = np.arange(len(values)), 1
+    while width < window:
+        step = min(width, window - width)
+        later = values[step:] <= values[:-step]
+        values, at = np.where(later, values[step:], values[:-step]), np.where(later, at[step:], at[:-step])
+        width += step
+    return at
+
+
+def _links(parts: list[np.ndarray], line: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, hash, first word, end) of the spans between neighbouring selected lines of each text, given its word hashes."""
+    sizes = np.array([len(x) for x in parts], np.int64)
+    ends = np.cumsum(sizes)
+    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if len(words) < line + window:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty
     power, inverse = _power(len(words) + 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:len(words)])])
-    at = np.arange(n)
-    grams = _spans(prefix, at, at + line, inverse)
-    chosen = []
-    for a in range(0, n - window + 1, 32_768):  # the last of equal minima
-        part = grams[a:a + 32_768 + window - 1][::-1]
-        low = np.argmin(np.lib.stride_tricks.sliding_window_view(part, window), axis=1)
-        chosen.append(a + len(part) - 1 - (np.arange(len(low)) + low))
-    picked = np.unique(np.concatenate(chosen))
-    start, end = picked[:-1], picked[1:] + line
-    return _spans(prefix, start, end, inverse).view(np.int64), start, end
-
-
-def _links_of(column: Column, line: int, window: int) -> Column:
-    kind = ArrayType(StructType([StructField("key", LongType()), StructField("start", IntegerType()),
-                                 StructField("end", IntegerType())]))
-
-    @F.arrow_udf(kind)
-    def found(texts: pa.Array) -> pa.Array:
-        only_memory("lines", _hashes.clear)
-        offsets, parts = [0], []
-        for t in texts:
-            part = links(t.as_py() or "", line, window)
-            offsets.append(offsets[-1] + len(part[0]))
-            parts.append(part)
-        keys, starts, ends = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        rows = pa.StructArray.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))],
-            ["key", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
-
-    return found(column)
+    at = np.arange(len(words) - line + 1)
+    low = _lowest(_spans(prefix, at, at + line, inverse), window)
+    whole = at[:len(low)] + (line + window - 1) <= np.repeat(ends, sizes)[:len(low)]  # within one text
+    picked = low[whole]
+    picked = picked[np.append(True, picked[1:] != picked[:-1])] if len(picked) else picked
+    text = np.searchsorted(ends, picked, side="right")
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    start, end, text = picked[pair], picked[pair + 1] + line, text[pair]
+    first = (ends - sizes)[text]
+    return text, _spans(prefix, start, end, inverse).view(np.int64), start - first, end - first
+
+
+def links(text: str, line: int = LINE, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, end) of the spans between neighbouring selected lines."""
+    return _links([word_hashes(text)], line, window)[1:]
+
+
+def _links_of(line: int, window: int):
+    """The links of every text, as rows (doc, key, start, end)."""
+    def found(batches):
+        for batch in batches:
+            parts, n, first = [], 0, 0
+            for row, text in enumerate(batch["text"]):
+                parts.append(word_hashes(text.as_py() or ""))
+                n += len(parts[-1])
+                if n < WORDS and row + 1 < len(batch):
+                    continue
+                of, key, start, end = _links(parts, line, window)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc"].take(pa.array(first + of)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))],
+                    ["doc", "key", "start", "end"])
+                parts, n, first = [], 0, row + 1
+
+    return found
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    if pa.types.is_struct(column.type):
+        return np.logical_or.reduce([_changes(x) for x in column.flatten()])
+    differ = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))), True)
+    return np.append(True, differ.to_numpy(zero_copy_only=False).astype(bool))[:len(column)]
+
+
+def _by_text(work):
+    """``work`` on tables of whole texts, of rows that come sorted by text; a text's rows may come in several batches."""
+    def done(batches):
+        waiting = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.flatnonzero(_changes(batch["doc"]))
+            if len(new) == 1 and waiting and waiting[-1]["doc"][-1] == batch["doc"][0]:
+                waiting.append(batch)
+                continue
+            last = int(new[-1])
+            whole = pa.Table.from_batches([*waiting, batch.slice(0, last)])
+            waiting = [batch.slice(last)]
+            if len(whole):
+                yield from work(whole.combine_chunks()).to_batches()
+        if waiting:
+            yield from work(pa.Table.from_batches(waiting).combine_chunks()).to_batches()
+
+    return done
+
+
+def _mixed(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX + value.astype(np.int64).view(np.uint64)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(BASE)
+
+
+def _mark(window: int):
+    """Of the occurrences of links, whole texts sorted by place: what lies beyond them, and the chains of later ones."""
+    def column(rows: pa.Table, name: str) -> np.ndarray:
+        return rows[name].combine_chunks().to_numpy(zero_copy_only=False)
+
+    def work(rows: pa.Table) -> pa.Table:
+        doc = rows["doc"].combine_chunks()
+        doc = doc.combine_chunks() if isinstance(doc, pa.ChunkedArray) else doc
+        text = np.cumsum(_changes(doc))
+        key, first_text, offset = (column(rows, c) for c in ("key", "first_text", "offset"))
+        start, end = column(rows, "start").astype(np.int64), column(rows, "end").astype(np.int64)
+        later = column(rows, "later").astype(bool)
+        n = len(text)
+
+        def alike(side: int) -> tuple[np.ndarray, np.ndarray]:
+            """Of a later link with ``window`` words beyond it in later links: what these are, 0 if they lie so around its first occurrence."""
+            out, known = np.zeros(n, np.int64), np.zeros(n, bool)
+            chained, as_first = later.copy(), np.ones(n, bool)
+            names = np.full(n, side % 3, np.uint64)
+            for i in range(1, 4):
+                outer = np.arange(n) + side * i
+                there = (outer >= 0) & (outer < n)
+                outer = np.clip(outer, 0, n - 1)
+                inner = np.clip(outer - side, 0, n - 1)
+                there &= text[outer] == text
+                reach = end[outer] - end if side > 0 else start - start[outer]
+                meet = start[outer] <= end[inner] if side > 0 else end[outer] >= start[inner]
+                chained &= there & later[outer] & meet
+                as_first &= (first_text[outer] == first_text) & (offset[outer] == offset)
+                names = _mixed(_mixed(names, key[outer]), start[outer] - start)
+                now = chained & (reach >= window) & ~known
+                out[now] = np.where(as_first, 0, names.view(np.int64) | 1)[now]
+                known |= now
+            return out, known
+
+        far = (max(int(end.max()), int(start.max())) + 2) if n else 1
+        places = np.flatnonzero(later)
+        low, high = start[places] + text[places] * far, end[places] + text[places] * far
+        reached = np.maximum.accumulate(high)
+        gap = np.append(True, low[1:] > reached[:-1])[:len(places)]
+        heads = np.flatnonzero(gap)
+        chain, first, last = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if len(places):
+            of = np.cumsum(gap) - 1
+            chain[places] = of + 1 - of[np.searchsorted(text[places], text[places])]
+            first[places] = start[places][heads][of]
+            last[places] = np.maximum.reduceat(end[places], heads)[of]
+        (before, b), (after, a) = alike(-1), alike(1)
+        return pa.table({
+            "doc": doc, "key": key, "start": start.astype(np.int32), "end": end.astype(np.int32),
+            "before": pa.array(before, mask=~b), "after": pa.array(after, mask=~a),
+            "chain": chain.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)})
+
+    return _by_text(work)
 
 
 def _context(reach: int):
@@ -120,33 +217,39 @@ def _context(reach: int):
     ``PLACES`` are there, so a batch of texts never holds the hashes of all its places at once.
     """
     def found(batches):
-        only_memory("lines", _hashes.clear)
         for batch in batches:
             asked = batch["asked"]
             ends, places = asked.offsets.to_numpy(), asked.values
             sides, ats, keys = (places.field(c).to_numpy() for c in ("side", "at", "key"))
             edges = places.field("edge").to_numpy(zero_copy_only=False)
-            waiting, n = [], 0
+            parts, n, first = [], 0, 0
             for row, text in enumerate(batch["text"]):
-                here = slice(ends[row], ends[row + 1])
-                words = word_hashes(text.as_py() or "")
-                part = _beyond(words, sides[here].astype(np.int64), ats[here].astype(np.int64), keys[here], edges[here], reach)
-                waiting.append((np.full(len(part[0]), row), *part))
-                n += len(part[0])
-                if n >= PLACES:
-                    yield _places(batch["d"], waiting)
-                    waiting, n = [], 0
-            if n:
-                yield _places(batch["d"], waiting)
+                parts.append(word_hashes(text.as_py() or ""))
+                n += len(parts[-1])
+                if n < WORDS and ends[row + 1] - ends[first] < PLACES and row + 1 < len(batch):
+                    continue
+                here = slice(ends[first], ends[row + 1])
+                high = np.array(list(accumulate(len(x) for x in parts)), np.int64)
+                low = high - np.array([len(x) for x in parts], np.int64)
+                of = np.repeat(np.arange(len(parts)), np.diff(ends[first:row + 2]))
+                out = _beyond(np.concatenate(parts), low[of], high[of], of, sides[here].astype(np.int64),
+                              ats[here].astype(np.int64), keys[here], edges[here], reach)
+                if len(out[0]):
+                    yield _places(batch["d"], out[0] + first, *out[1:])
+                parts, n, first = [], 0, row + 1
 
     return found
 
 
-def _beyond(words: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray, edge: np.ndarray, reach: int):
-    """(side, at, number of hashes, hashes one after the other) of the places of one text that are returned."""
+def _beyond(words: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray,
+            edge: np.ndarray, reach: int):
+    """(text, side, at, number of hashes, hashes one after the other) of the places that are returned.
+
+    Place ``at`` is counted from the first word ``low`` of its text ``of``, which ends before word ``high``.
+    """
     step = np.arange(reach)
-    where = np.where(side[:, None] > 0, at[:, None] + step, at[:, None] - 1 - step)
-    inside = (where >= 0) & (where < len(words))
+    where = (low + at)[:, None] + np.where(side[:, None] > 0, step, -1 - step)
+    inside = (where >= low[:, None]) & (where < high[:, None])
     near = words[np.clip(where, 0, len(words) - 1)] if len(words) else np.zeros(where.shape, np.uint64)
     h = key.view(np.uint64) ^ side.view(np.uint64)
     out = np.zeros(where.shape, np.uint64)
@@ -156,15 +259,15 @@ def _beyond(words: np.ndarray, side: np.ndarray, at: np.ndarray, key: np.ndarray
         out[:, k] = h
     size = inside.sum(axis=1)
     other = np.flatnonzero((size == reach) & ~edge)
-    other = other[np.argsort(at[other], kind="stable")]
+    other = other[np.lexsort((at[other], out[other, -1], of[other]))]
     keep = (size < reach) | edge
-    keep[other[np.unique(out[other, -1], return_index=True)[1]]] = True
+    new = (out[other[1:], -1] != out[other[:-1], -1]) | (of[other[1:]] != of[other[:-1]])
+    keep[other[np.append(True, new)[:len(other)]]] = True
     keep &= size > 0
-    return side[keep], at[keep], size[keep], out[keep][inside[keep]]
+    return of[keep], side[keep], at[keep], size[keep], out[keep][inside[keep]]
 
 
-def _places(ids: pa.Array, parts: list) -> pa.RecordBatch:
-    row, side, at, size, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _places(ids: pa.Array, row: np.ndarray, side: np.ndarray, at: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
     ends = np.append(0, np.cumsum(size)).astype(np.int32)
     hashes = hashes.view(np.int64)
     return pa.RecordBatch.from_arrays(
@@ -174,25 +277,50 @@ def _places(ids: pa.Array, parts: list) -> pa.RecordBatch:
 
 
 def _furthest(batches):
-    """Per place, how many words beyond it an earlier one has as well; rows come sorted by first hash, then text and place."""
+    """Per place, how many words beyond it an earlier one has as well; rows come sorted by first hash, then text and place.
+
+    Equal hashes have the same first hash, so within a batch the first place of each hash
+    tells; of the last first hash, the hashes of earlier batches are remembered.
+    """
     group, seen, last, waiting = None, set(), None, []
     for batch in batches:
+        if not len(batch):
+            continue
         more = np.zeros(len(batch), np.int32)
         first = batch["h"].to_numpy()
         new = np.append(True, first[1:] != first[:-1])
         rows = np.flatnonzero(~new | np.append(~new[1:], True) | (np.arange(len(first)) == 0))  # a hash by itself meets none
         part = batch.take(pa.array(rows))
-        for i, h, d, at, beyond in zip(rows.tolist(), *(part[c].to_pylist() for c in ("h", "d", "at", "beyond")), strict=True):
-            if h != group:
-                group, seen, last, waiting = h, set(), None, []
-            if (d, at) != last:  # rows of one place count once
+        first, at, ids, lists = first[rows], part["at"].to_numpy(), part["d"], part["beyond"]
+        ends, hashes = lists.offsets.to_numpy(), lists.values.to_numpy()
+        hashes, ends = hashes[ends[0]:ends[-1]], ends - ends[0]
+        sizes = np.diff(ends)
+        place = np.cumsum(_changes(ids) | np.append(True, (at[1:] != at[:-1]) | (first[1:] != first[:-1])))
+        mine = np.repeat(place, sizes)
+        _, once, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = mine[once][which] < mine  # rows of one place count once
+        if first[0] == group:  # goes on from the batch before
+            n = int(ends[np.searchsorted(first != group, True)])
+            same = int(ends[np.searchsorted(place > 1, True)]) if (ids[0].as_py(), int(at[0])) == last else 0
+            before = hashes[:n].tolist()
+            known[:same] |= np.fromiter((x in seen for x in before[:same]), bool, same)
+            if same < n or not same:
                 seen.update(waiting)
-                last, waiting = (d, at), []
-            k = 0
-            while k < len(beyond) and beyond[k] in seen:
-                k += 1
-            more[i] = k
-            waiting += beyond[k:]
+                waiting = []
+            known[same:n] |= np.fromiter((x in seen for x in before[same:]), bool, n - same)
+        else:
+            seen, waiting = set(), []
+        step = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
+        more[rows] = np.minimum.reduceat(np.where(known, np.repeat(sizes, sizes), step), ends[:-1])
+        if first[-1] != group:
+            group, seen, waiting = first[-1], set(), []
+        head, tail = int(ends[np.searchsorted(first == group, True)]), int(ends[np.searchsorted(place == place[-1], True)])
+        if tail > head:
+            seen.update(waiting)
+            waiting = []
+            seen.update(hashes[head:tail].tolist())
+        waiting = waiting + hashes[tail:].tolist()
+        last = (ids[-1].as_py(), int(at[-1]))
         yield pa.RecordBatch.from_arrays([batch["d"], batch["side"], batch["at"], pa.array(more)], ["doc", "side", "at", "more"])
 
 
@@ -205,74 +333,51 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
     is found, whatever other texts hold of it; order is by id, then by position, so a text
     can repeat itself.
     """
-    docs, doc, text = docs.select(F.col(doc).alias("doc"), whole_text(text).alias("text")), "doc", "text"
-    found = docs.select("doc", F.inline(_links_of(F.col("text"), line, window)))
-    with ExitStack() as late, ExitStack() as early:
-        with stored(found) as every:
-            # most links occur once: numbers alone tell which do not, then the first of the others
-            often = every.groupBy("key").agg(F.min("doc").alias("fdoc"), F.count("*").alias("n")).where("n > 1")
-            again = early.enter_context(stored(every.join(often, "key").select("key", "doc", "start", "end", "fdoc")))
-        marked = late.enter_context(stored(_marked(again, window)))
-        early.close()
-        return _runs(docs, marked, doc, text, window, least)
-
-
-def _marked(again: DataFrame, window: int) -> DataFrame:
-    """The occurrences of all links that repeat: which are later ones, and what lies beyond them."""
-    firsts = again.where("doc = fdoc").groupBy("key").agg(F.min("start").alias("fstart"))
-    order = Window.partitionBy("doc").orderBy("start", "end")
-    here = F.struct(((F.col("doc") != F.col("fdoc")) | (F.col("start") != F.col("fstart"))).alias("later"), "key",
-                    "fdoc", (F.col("fstart") - F.col("start")).alias("offset"), "start", "end")
-
-    def alike(side: int) -> Column:
-        """Of a later link with ``window`` words beyond it in later links: what these are, 0 if they lie so around its first occurrence."""
-        inner, chained, as_first, names, out = F.col("here"), F.col("here.later"), F.lit(True), [F.lit(side)], F.lit(None)
-        for i in range(1, 4):
-            outer = F.lead("here", i).over(order) if side > 0 else F.lag("here", i).over(order)
-            reach = outer["end"] - F.col("end") if side > 0 else F.col("start") - outer["start"]
-            meet = outer["start"] <= inner["end"] if side > 0 else outer["end"] >= inner["start"]
-            chained = chained & outer["later"] & meet
-            as_first = as_first & (outer["fdoc"] == F.col("fdoc")) & (outer["offset"] == F.col("here.offset"))
-            names = [*names, outer["key"], outer["start"] - F.col("start")]
-            out = F.coalesce(out, F.when(chained & (reach >= window), F.when(as_first, F.lit(0)).otherwise(F.xxhash64(*names))))
-            inner = outer
-        return out
-
-    return again.join(firsts, "key").withColumn("here", here).select(
-        "doc", "key", "start", "end", F.col("here.later").alias("later"), alike(-1).alias("before"), alike(1).alias("after"))
-
-
-def _runs(docs: DataFrame, marked: DataFrame, doc: str, text: str, window: int, least: int) -> DataFrame:
-    """The result of ``repeated_runs`` from the occurrences of all links that repeat."""
-    order = Window.partitionBy("doc").orderBy("start", "end")
-    later = marked.where("later").select("doc", "key", "start", "end")
-    chained = later.withColumn("gap", F.coalesce(
-        F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    chained = chained.withColumn("chain", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc", "chain")
-    chained = chained.select("doc", "chain", "key", "start", "end", F.min("start").over(whole).alias("first"),
-                             F.max("end").over(whole).alias("last"))
-    with stored(chained) as chained:
-        return _extended(docs, chained, marked, doc, text, window, least)
-
-
-def _extended(docs: DataFrame, chained: DataFrame, marked: DataFrame, doc: str, text: str, window: int, least: int) -> DataFrame:
+    docs = docs.select(F.col(doc).alias("doc"), whole_text(text).alias("text"))
+    id_field = StructField("doc", docs.schema["doc"].dataType)
+    place = [id_field, StructField("key", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())]
+    found = docs.mapInArrow(_links_of(line, window), StructType(place))
+    of_key, first = Window.partitionBy("key"), F.col("first")
+    again = (found.withColumns({"first": F.min(F.struct("doc", "start")).over(of_key), "n": F.count("*").over(of_key)}).where("n > 1")
+             .select("doc", "key", "start", "end", _number(first["doc"], id_field).alias("first_text"),
+                     ((F.col("doc") != first["doc"]) | (F.col("start") != first["start"])).alias("later"),
+                     (first["start"] - F.col("start")).alias("offset")))
+    marks = [StructField("before", LongType()), StructField("after", LongType()),
+             *(StructField(c, IntegerType()) for c in ("chain", "first", "last"))]
+    marked = again.repartition("doc").sortWithinPartitions("doc", "start", "end").mapInArrow(_mark(window), StructType(place + marks))
+    with stored(marked) as marked:
+        return _runs(docs, marked, window, least)
+
+
+def _number(column: Column, field: StructField) -> Column:
+    """Whole ids as they are, others by a hash."""
+    return column.cast("long") if isinstance(field.dataType, IntegralType) else F.xxhash64(column)
+
+
+def _runs(docs: DataFrame, marked: DataFrame, window: int, least: int) -> DataFrame:
     """Chains with the words beyond their ends that an earlier text has as well, as runs per text."""
     # where a run can end less than ``window`` words beyond a link, and the occurrences of such links
-    before, after = F.lit(-1).alias("side"), F.lit(1).alias("side")
-    edges = (chained.where(F.col("start") - F.col("first") < window).select("doc", "chain", before, F.col("start").alias("at"), "key")
-             .union(chained.where(F.col("last") - F.col("end") < window)
-                    .select("doc", "chain", after, F.col("end").alias("at"), "key")))
-    places = (marked.select("doc", "key", before, F.col("start").alias("at"), F.col("before").alias("alike"))
-              .union(marked.select("doc", "key", after, F.col("end").alias("at"), F.col("after").alias("alike")))
-              .where("alike IS NULL OR alike != 0").join(edges.select("key", "side").distinct(), ["key", "side"], "left_semi"))
-    alone = places.where("alike IS NULL").select("doc", "side", "at", "key")
-    places = alone.union(places.where("alike IS NOT NULL").groupBy("key", "side", "alike").agg(F.min(F.struct("doc", "at")).alias("p"))
-                         .select("p.doc", "side", "p.at", "key")).withColumn("edge", F.lit(False))
+    chained = marked.where("chain > 0")
+    sides = F.array(F.when(F.col("start") - F.col("first") < window, F.struct(F.lit(-1).alias("side"), F.col("start").alias("at"))),
+                    F.when(F.col("last") - F.col("end") < window, F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
+    edges = (chained.where((F.col("start") - F.col("first") < window) | (F.col("last") - F.col("end") < window))
+             .select("doc", "chain", "key", F.inline(F.filter(sides, F.isnotnull))).select("doc", "chain", "side", "at", "key"))
+    asked_for = edges.groupBy("key").agg(F.min("side").alias("least"), F.max("side").alias("most"))
+    both = F.array(F.when((F.col("least") < 0) & (F.col("before").isNull() | (F.col("before") != 0)),
+                          F.struct(F.lit(-1).alias("side"), F.col("start").alias("at"), F.col("before").alias("alike"))),
+                   F.when((F.col("most") > 0) & (F.col("after").isNull() | (F.col("after") != 0)),
+                          F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), F.col("after").alias("alike"))))
+    places = (marked.where("before IS NULL OR before != 0 OR after IS NULL OR after != 0")
+              .select("doc", "key", "start", "end", "before", "after").join(asked_for, "key")
+              .select("doc", "key", F.inline(F.filter(both, F.isnotnull))))
+    # places that are alike count as the first of them, the others each by itself
+    alone = F.when(F.col("alike").isNull(), F.struct("doc", "at"))
+    places = (places.groupBy("key", "side", "alike", alone.alias("alone")).agg(F.min(F.struct("doc", "at")).alias("p"))
+              .select("p.doc", "side", "p.at", "key", F.lit(False).alias("edge")))
     places = places.union(edges.select("doc", "side", "at", "key", F.lit(True)))
     asked = places.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("side", "at", "key", "edge")).alias("asked"))
-    id_type = docs.schema[doc].dataType.simpleString()
-    around = (docs.join(asked, docs[doc] == asked["d"]).select("d", whole_text(text).alias("text"), "asked")
+    id_type = docs.schema["doc"].dataType.simpleString()
+    around = (docs.join(asked, docs["doc"] == asked["d"]).select("d", "text", "asked")
               .mapInArrow(_context(window), f"d {id_type}, side int, at int, beyond array<bigint>, h bigint"))
     longer = cut_lineage(around.repartition("h").sortWithinPartitions("h", "d", "at")
                          .mapInArrow(_furthest, f"doc {id_type}, side int, at int, more int").where("more > 0"))
