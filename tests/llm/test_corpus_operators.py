@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +335,55 @@ def test_repeated_runs_against_all_grams(spark, seed):
     assert sum(map(len, must)) > 1000
     for i in range(len(texts)):
         assert must[i] <= found.get(i, set()) <= may[i]
+
+
+def test_links_of_texts_together_are_those_of_each():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c d", "é"], n)) for n in (0, 5, 29, 30, 31, 400, 1, 90)]
+    parts = [lines.word_hashes(t) for t in texts]
+    of, *together = lines._links(parts, lines.LINE, lines.WINDOW)
+    for i, part in enumerate(parts):
+        grams = [tuple(part[k:k + lines.LINE]) for k in range(len(part) - lines.LINE + 1)]
+        alone = lines._links([part], lines.LINE, lines.WINDOW)[1:]
+        assert all((x[of == i] == y).all() for x, y in zip(together, alone, strict=True))
+        assert (len(alone[0]) > 0) <= (len(grams) > lines.WINDOW)
+
+
+def test_shared_beginnings_over_batches_are_brute_force():
+    rng = np.random.default_rng(6)
+    rows = sorted((int(h), d, at) for h, d, at in rng.integers(0, 4, (60, 3)))
+    lists = {}
+    for h, d, at in rows:  # hashes stand for all that lies before them
+        words = [h, *rng.integers(0, 2, int(rng.integers(0, 4)))]
+        lists.setdefault((h, d, at), [hash(tuple(map(int, words[:k + 1]))) if k else h for k in range(len(words))])
+    want = [next((k for k, x in enumerate(lists[r]) if not any(x in lists[e] for e in lists if e[0] == r[0] and e < r)), len(lists[r])) for r in rows]
+    for size in (1, 2, 3, 7, 60):
+        batches = [pa.RecordBatch.from_pydict(
+            {"d": pa.array([r[1] for r in part]), "side": pa.array([1] * len(part), pa.int32()), "at": pa.array([r[2] for r in part], pa.int32()),
+             "beyond": pa.array([lists[r] for r in part], pa.list_(pa.int64())), "h": pa.array([r[0] for r in part])})
+            for part in (rows[k:k + size] for k in range(0, len(rows), size))]
+        assert [m for b in lines._furthest(batches) for m in b["more"].to_pylist()] == want
+
+
+def test_marks_do_not_depend_on_batches():
+    rng = np.random.default_rng(7)
+    rows = sorted((int(d), int(s), int(s) + 12, int(k), bool(f)) for d, s, k, f in zip(
+        rng.integers(0, 4, 80), rng.integers(0, 150, 80), rng.integers(0, 99, 80), rng.integers(0, 4, 80) > 0, strict=True))
+    whole = pa.RecordBatch.from_pydict(
+        {"doc": pa.array([r[0] for r in rows]), "key": pa.array([r[3] for r in rows]), "start": pa.array([r[1] for r in rows], pa.int32()),
+         "end": pa.array([r[2] for r in rows], pa.int32()), "first_text": pa.array([0] * 80, pa.int64()),
+         "later": pa.array([r[4] for r in rows]), "offset": pa.array([r[3] % 2 for r in rows], pa.int32())})
+    want = pa.Table.from_batches(lines._mark(20)([whole])).to_pylist()
+    for size in (1, 7, 33):
+        parts = [whole.slice(k, size) for k in range(0, 80, size)]
+        assert pa.Table.from_batches(lines._mark(20)(parts)).to_pylist() == want
+    chain, reached, n = {}, {}, {}
+    for r in want:
+        if r["chain"]:
+            d = r["doc"]
+            n[d] = n.get(d, 0) + (r["start"] > reached.get(d, -1))
+            reached[d] = max(reached.get(d, -1), r["end"])
+            assert r["chain"] == n[d]
+            chain.setdefault((d, n[d]), []).append(r)
+    for part in chain.values():
+        assert {(r["first"], r["last"]) for r in part} == {(min(r["start"] for r in part), max(r["end"] for r in part))}

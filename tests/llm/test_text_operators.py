@@ -262,3 +262,16 @@ def test_secret_query_finds_company_anywhere_in_a_block(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in QUERIES["op6_secret_scan"](spark, str(tmp_path)).collect()}
     assert got == {1: ["id", "key"], 2: ["key", "id"], 3: []}
+
+
+def test_tokens_agree_without_merging_them_anew(monkeypatch):
+    coder = bpe.Encoder(read_model(MODEL))
+    rng, pieces = random.Random(4), sorted(coder.valid)
+    short = [p for p in pieces if len(p) < 4 or len(set(p)) < 3]
+    pairs = [(rng.choice(pieces if i % 2 else short), rng.choice(pieces if i % 3 else short)) for i in range(4_000)]
+    want = [coder.merged(a + b) == [a, b] for a, b in pairs]
+    assert [coder.stay_apart(a, b) for a, b in pairs] == want and len(set(want)) == 2
+    monkeypatch.setattr(coder, "merged", None)
+    for (a, b), w in zip(pairs, want, strict=True):
+        if not coder.unordered & {a, b} and "▁▁" not in a + b:
+            assert coder.agree(a, b) == w
