@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -275,3 +276,25 @@ def test_tokens_agree_without_merging_them_anew(monkeypatch):
     for (a, b), w in zip(pairs, want, strict=True):
         if not coder.unordered & {a, b} and "▁▁" not in a + b:
             assert coder.agree(a, b) == w
+
+
+def test_many_texts_are_coded_as_each_by_itself():
+    coder, decoder, rng = bpe.Encoder(read_model(MODEL)), bpe._of(bpe.Decoder, MODEL), random.Random(5)
+    words = ["", " ", "▁", "a", "the", "é", "　漢字", "\n", "😀😀", "x" * 90, "token."]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    for some in (pa.array(texts), pa.array(["aside", *texts])[1:], pa.array([], pa.string()), pa.array([""])):
+        found = coder.lists(some)
+        assert found.to_pylist() == [LIBRARY.encode(t) for t in some.to_pylist()]
+        assert decoder.texts(found).to_pylist() == [LIBRARY.decode(x) for x in found.to_pylist()]
+    ids = [None if rng.random() < .1 else [rng.randrange(3, 300 if rng.random() < .5 else 32_000) for _ in range(rng.randrange(6))] for _ in range(300)]
+    for some in (ids, *([x] for x in ids)):
+        got = decoder.texts(pa.array(some, pa.list_(pa.int32()))).to_pylist()
+        assert got == [None if x is None else LIBRARY.decode(x) for x in some]
+
+
+def test_texts_are_encoded_once_for_ids_and_decoded_text(spark, tmp_path):
+    spark.createDataFrame([(1, "a text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["op1_sentencepiece"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("coded(coalesce(") == 1 and plan.count("ArrowEvalPython") == 1 and "texts(ids(" not in plan
+    rows = spark.createDataFrame([("a text",), (None,), ("",)], "text string")
+    assert bpe.encode_and_decode(rows, MODEL).collect() == bpe.decode(bpe.encode(rows, MODEL), MODEL).collect()

@@ -20,17 +20,55 @@ from operator import add
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import only_memory, whole_text
 from .pieces import BPE, BYTE, CONTROL, SPACE, UNKNOWN, PieceTable, read_model
 
 #: Entries of a worker's memory, of which it has two in turn, and length of texts that it keeps.
 MEMORY, MEMORY_CHARS = 200_000, 48
+#: Bytes of texts that are cut into chunks at once, characters of a chunk that is walked together with others, pairs of tokens kept at hand.
+TOGETHER, STEPS, PAIRS = 1 << 22, 64, 1 << 20
+CHARS, CODE = 0x110000, 21
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INFINITY = float("inf")
 
 
+class Slots:
+    """Whole numbers looked up by whole numbers, many at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, 3 + len(keys).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        at, self.most = self.slot(keys), 0
+        while len(keys):
+            self.most += 1
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]
+            keys, values, at = (np.delete(x, free) for x in (keys, values, at))
+            at = (at + 1) % len(self.keys)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * MULTIPLIER >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where there is none."""
+        at = self.slot(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], -1)
+        rest = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        for step in range(1, self.most):
+            there = (at[rest] + step) % len(self.keys)
+            held = self.keys[there]
+            out[rest] = np.where(held == keys[rest], self.values[there], -1)
+            rest = rest[(held != keys[rest]) & (held >= 0)]
+            if not len(rest):
+                break
+        return out
+
+
 class Encoder:
     def __init__(self, table: PieceTable):
         if table.model_type != BPE:
@@ -61,6 +99,119 @@ class Encoder:
         self.agreed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
+        self.number()
+
+    def number(self) -> None:
+        """Numbers for tokens, of pieces first and of all characters behind them, and their tables."""
+        table = self.table
+        self.names = sorted(p for p in self.valid if len(p) > 1)
+        self.base = base = len(self.names)
+        number = {p: i for i, p in enumerate(self.names)}
+        self.length, self.less = np.ones(base + CHARS, np.int16), np.full(base + CHARS, -1, np.int32)
+        self.one = np.full(base + CHARS, -1 if table.byte_fallback else table.unknown, np.int32)  # the id; -1: several bytes
+        if table.byte_fallback:
+            self.one[base:base + 128] = table.byte_ids[:128]
+        nodes, steps = {"": 0}, {}
+        for p, i in number.items():
+            shorter = self.shorter(p)
+            self.length[i], self.less[i] = len(p), number[shorter] if len(shorter) > 1 else base + ord(shorter)
+            for k, c in enumerate(p):
+                steps[nodes[p[:k]] << CODE | ord(c)] = nodes.setdefault(p[:k + 1], len(nodes))
+        for p, i in table.words.items():
+            if p in number or len(p) == 1:
+                self.one[number[p] if len(p) > 1 else base + ord(p)] = i
+        self.final = np.array([number.get(p, -1) for p in nodes], np.int32)
+        self.steps = Slots(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
+        self.pairs, self.apart = np.full(PAIRS, -1), np.zeros(PAIRS, bool)
+
+    def name(self, number: int) -> str:
+        return self.names[number] if number < self.base else chr(number - self.base)
+
+    def longest(self, codes: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The number of the longest token from each character on, which ends before ``stop``."""
+        out = (codes + self.base).astype(np.int32)
+        at, node, k = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        while len(at):
+            node = self.steps.find(node << CODE | codes[at + k])
+            k += 1
+            there = node >= 0
+            at, node = at[there], node[there]
+            final = self.final[node]
+            out[at[final >= 0]] = final[final >= 0]
+            inside = at + k < stop[at]
+            at, node = at[inside], node[inside]
+        return out
+
+    def agree_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``agree`` for many pairs of numbered tokens."""
+        pair = left.astype(np.int64) << CODE | right
+        slot = (pair.astype(np.uint64) * MULTIPLIER).view(np.int64) & (1 << 62) - 1
+        slot = (slot >> 30) % PAIRS
+        out, new = self.apart[slot], np.flatnonzero(self.pairs[slot] != pair)
+        if len(new):
+            asked, which = np.unique(pair[new], return_inverse=True)
+            some = np.array([self.agree(self.name(x >> CODE), self.name(x & (1 << CODE) - 1)) for x in asked.tolist()], bool)[which]
+            out[new] = some
+            self.pairs[slot[new]], self.apart[slot[new]] = pair[new], some
+        return out
+
+    def walk(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``split`` of many chunks in step: the numbers of their tokens one after the other, and how many each has."""
+        stop = np.cumsum(sizes)
+        first = stop - sizes
+        longest = np.append(self.longest(codes, np.repeat(stop, sizes)), -1)
+        made, failed, counts = np.zeros(len(codes) + 1, np.int32), np.zeros(len(codes) + 1, bool), np.zeros(len(sizes), np.int64)
+        chunk, at, top = np.arange(len(sizes)), first.copy(), first.copy()
+        last, token = np.full(len(sizes), -1, np.int32), longest[first]
+        while len(chunk):
+            end = at + self.length[token]
+            fits = ~failed[end]
+            asked = np.flatnonzero(fits & (last >= 0))
+            fits[asked] = self.agree_all(last[asked], token[asked])
+            made[top[fits]] = last[fits] = token[fits]
+            top += fits
+            at[fits] = end[fits]
+            token = np.where(fits, longest[at], self.less[token])
+            none = np.flatnonzero(~fits & (token < 0))
+            while len(none):  # no token fits here: mark the place and step back
+                if (top[none] == first[chunk[none]]).any():
+                    raise ValueError("no sequence of agreeing tokens")
+                failed[at[none]] = True
+                top[none] -= 1
+                undone = made[top[none]]
+                at[none] -= self.length[undone]
+                last[none] = np.where(top[none] > first[chunk[none]], made[top[none] - 1], -1)
+                token[none] = self.less[undone]
+                none = none[token[none] < 0]
+            going = at < stop[chunk]
+            if not going.all():
+                counts[chunk[~going]] = (top - first[chunk])[~going]
+                chunk, at, top, last, token = (x[going] for x in (chunk, at, top, last, token))
+        return made[_ranges(first, counts)], counts
+
+    def many_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks: all of them, and where those of each chunk begin and how many they are."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        short = sizes <= STEPS
+        codes = np.frombuffer("".join(c for c in chunks if len(c) <= STEPS).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        tokens, counts = self.walk(codes, sizes[short])
+        flat = self.one[tokens]
+        lost = flat < 0
+        if lost.any():
+            raw = [chr(x - self.base).encode("utf-8") for x in tokens[lost].tolist()]
+            long = np.ones(len(flat), np.int64)
+            long[lost] = np.fromiter(map(len, raw), np.int64, len(raw))
+            flat, lost = np.repeat(flat, long), np.repeat(lost, long)
+            flat[lost] = np.array(self.table.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+            ends = np.cumsum(counts)
+            long = np.append(0, np.cumsum(long))
+            counts = long[ends] - long[ends - counts]
+        others = [self.recalled(c, self.parts_ids) for c in chunks if len(c) > STEPS]
+        sizes[short], sizes[~short] = counts, [len(x) for x in others]
+        begin = np.zeros(len(chunks), np.int64)
+        begin[short] = np.cumsum(counts) - counts
+        begin[~short] = len(flat) + np.cumsum(sizes[~short]) - sizes[~short]
+        return np.append(flat, np.array([i for x in others for i in x], np.int32)), begin, sizes
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Merges a short text, down to ``least`` parts: the best-scored pair first, the leftmost of equal ones."""
@@ -181,6 +332,16 @@ class Encoder:
             out += self.known.get(chunk) or self.recalled(chunk, self.parts_ids)
         return out
 
+    def lists(self, texts: pa.Array) -> pa.ListArray:
+        """``ids`` of many texts; each distinct chunk is looked up once."""
+        if self.table.crossing:
+            found = [self.ids(t.as_py()) for t in texts]
+            return _lists(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.int32))
+        numbers, chunks, each = self.table.numbered_chunks(texts)
+        flat, begin, sizes = self.many_ids(chunks)
+        long = np.append(0, np.cumsum(sizes[numbers]))  # of every chunk, as it stands in the texts
+        return _lists(np.diff(long[np.append(0, np.cumsum(each))]), flat[_ranges(begin[numbers], sizes[numbers])])
+
     def parts_ids(self, chunk: str) -> tuple[int, ...]:
         """As ``chunk_ids``, cut where no piece holds the two neighbouring characters."""
         pairs, start, out = self.table.pairs, 0, []
@@ -203,6 +364,16 @@ class Encoder:
         return ids
 
 
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, .. of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+
+
 def _bytes_text(raw: bytearray) -> str:
     """UTF-8 text; each byte that is part of no character becomes U+FFFD."""
     try:
@@ -232,6 +403,21 @@ class Decoder:
             self.surface.append({CONTROL: "", BYTE: "", UNKNOWN: " ⁇ "}.get(kind, piece.replace(SPACE, " ")))
             if kind == BYTE:
                 self.byte[i] = int(piece[1:-1], 16)
+        raw = [bytes([self.byte[i]]) if i in self.byte else s.encode("utf-8") for i, s in enumerate(self.surface)]
+        self.raw, self.first = pa.array(raw, pa.binary()), pa.array([i not in self.byte for i in range(len(raw))])
+
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """``text`` of many lists, null for null: their bytes one after the other, where all of these are UTF-8."""
+        parts = pa.ListArray.from_arrays(ids.offsets, self.raw.take(ids.values), mask=ids.is_null() if ids.null_count else None)
+        try:
+            out = pc.binary_join(parts, b"").cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([self.text(x.values.to_pylist()) if x.is_valid else None for x in ids], pa.string())
+        if not self.dummy_prefix:
+            return out
+        first = pc.list_element(pc.if_else(pc.greater(pc.list_value_length(ids), 0), ids, pa.scalar([0], ids.type)), 0)
+        put = pc.and_(pc.starts_with(out, " "), self.first.take(first))
+        return pc.if_else(put, pc.utf8_slice_codeunits(out, 1), out)
 
     def text(self, ids: list[int]) -> str:
         byte, surface = self.byte, self.surface
@@ -268,6 +454,13 @@ def _of(kind: type, model: bytes):
     return _ready[kind, model]
 
 
+def _encoded(texts: pa.Array, model: bytes) -> pa.ListArray:
+    coder = _of(Encoder, model)
+    cut = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+    cut = np.append(np.flatnonzero(np.append(True, cut[1:] != cut[:-1])[:len(cut)]), len(cut))
+    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(coder.lists(texts[a:b]) for a, b in zip(cut, cut[1:]))])
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the token ids of each whole text as array<int>.
 
@@ -277,21 +470,22 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids") ->
     """
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        coder, offsets, flat = _of(Encoder, model), [0], []
-        parts = []
-        for t in texts:
-            found = coder.ids(t.as_py() or "")
-            offsets.append(offsets[-1] + len(found))
-            flat += found
-            if len(flat) > 1_000_000:
-                parts.append(np.array(flat, dtype=np.int32))
-                flat = []
-        parts.append(np.array(flat, dtype=np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+        return _encoded(texts, model)
 
     return df.withColumn(out, ids(whole_text(text)))
 
 
+def encode_and_decode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """As ``encode``, then ``decode``, in one function: two in a row would encode each text twice."""
+    @F.arrow_udf(StructType([StructField("ids", ArrayType(IntegerType())), StructField("text", StringType())]))
+    def coded(texts: pa.Array) -> pa.Array:
+        found = _encoded(texts, model)
+        return pa.StructArray.from_arrays([found, _of(Decoder, model).texts(found)], ["ids", "text"])
+
+    both = coded(whole_text(text))
+    return df.withColumns({ids: both["ids"], out: both["text"]})
+
+
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of token ids; null where the ids are null.
 
@@ -300,8 +494,6 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     """
     @F.arrow_udf(StringType())
     def texts(column: pa.Array) -> pa.Array:
-        coder = _of(Decoder, model)
-        return pa.array([None if not x.is_valid else coder.text(x.values.to_numpy(zero_copy_only=False).tolist())
-                         for x in column], pa.string())
+        return _of(Decoder, model).texts(column)
 
     return df.withColumn(out, texts(F.col(ids)))

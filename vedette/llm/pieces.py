@@ -6,6 +6,10 @@ import re
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 SPACE = "▁"
 #: Fixed values of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -83,6 +87,25 @@ class PieceTable:
             text = SPACE + text
         return [text] if self.crossing else _CHUNK.findall(text)
 
+    def numbered_chunks(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """``chunks`` of many texts, none null, if no piece is ``crossing``: numbers of all of them, the distinct ones, and how many each text has."""
+        texts = pc.replace_substring(texts, SPACE, " ")
+        if self.dummy_prefix:
+            texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        texts = texts.cast(pa.string())
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:ends[-1]]
+        space = data == 32
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        starts[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts[:ends[0]] = False
+        at = np.flatnonzero(starts)
+        spans = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, ends[-1]).astype(np.int32)), pa.py_buffer(data))
+        spans = spans.dictionary_encode()
+        return (spans.indices.to_numpy(), [c.replace(" ", SPACE) for c in spans.dictionary.to_pylist()],
+                np.diff(np.searchsorted(at, ends)))
+
 
 def read_model(data: bytes) -> PieceTable:
     """Piece table of the model file's bytes.
