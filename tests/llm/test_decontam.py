@@ -64,3 +64,30 @@ def test_evenly_spread_edits_leave_no_long_run(spark):
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert [(x["doc_id"], x["item_id"], x["distance"]) for x in decontam.leaks(docs, bench).collect()] == [(1, 9, cut // 5)]
     assert sorted(x["doc_id"] for x in decontam.without_leaks(docs, bench).collect()) == [2, 3]
+
+
+def test_pieces_with_one_edit_are_found_and_few_halves_are_compared(monkeypatch):
+    rng = random.Random(6)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(96))
+    compared, one_edit = [0], decontam._one_edit
+
+    def counted(word, *rest):
+        compared[0] += len(word)
+        return one_edit(word, *rest)
+
+    monkeypatch.setattr(decontam, "_one_edit", counted)
+    for share in (0.05, 0.1, 0.2, 0.3):
+        items = decontam.Items([1], [item], share, 1)
+        pieces = int(items.most[0]) // 2 + 1
+        for p in range(pieces):
+            a, b = len(item) * p // pieces, len(item) * (p + 1) // pieces
+            for at in range(a, b):
+                for edited in (item[a:at] + "#" + item[at + 1:b], item[a:at] + "#" + item[at:b], item[a:at] + item[at + 1:b]):
+                    text = "~" * 30 + edited + "~" * 30
+                    seeds = [x for found in items._seeded(decontam._classes(decontam._codes(text))) for x in (found[0] - found[2]).tolist()]
+                    assert any(abs(x - (30 - a)) <= 1 for x in seeds), (share, p, at, edited)
+    items = decontam.Items(list(range(60)), [prose(rng, 20) for _ in range(60)], 0.2, 1)
+    text, compared[0] = prose(rng, 5_000), 0
+    for _ in items._seeded(decontam._classes(decontam._codes(text))):
+        pass
+    assert 0 < compared[0] < 2 * len(text)

@@ -51,7 +51,7 @@ def _codes(text: str) -> np.ndarray:
 
 
 #: Characters of texts, seed hits and parts that are looked at in one go; classes of characters in the parts' tables.
-PLACES, HITS, CHECKED, CLASSES, MARGIN = 1 << 16, 1 << 18, 1 << 12, 64, 1_024
+PLACES, HITS, CHECKED, CLASSES, MARGIN = 1 << 18, 1 << 18, 1 << 12, 64, 1_024
 ONE = np.uint64(1)
 EACH_BYTE = np.uint64(0x0101010101010101)
 #: Masks of the first bytes of a number, by how many.
@@ -151,6 +151,43 @@ def distance_within(item: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+class _Marks:
+    """Whether a mixed number may be among those given, by its first bits."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.shift = np.uint64(64 - min(20, 5 + len(numbers).bit_length()))
+        self.there = np.zeros(1 << 64 - int(self.shift), bool)
+        self.there[numbers >> self.shift] = True
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.there.take((asked >> self.shift).view(np.int64), mode="clip"))
+
+
+class _Seeds:
+    """Entries by a number of each."""
+
+    def __init__(self, numbers: np.ndarray):
+        numbers = numbers * MIX
+        self.order = np.argsort(numbers, kind="stable")
+        self.numbers, self.first, self.times = np.unique(numbers[self.order], return_index=True, return_counts=True)
+        self.there = _Marks(numbers)
+
+    def found(self, asked: np.ndarray):
+        """(place in ``asked``, entry of this number), some at a time."""
+        asked = asked * MIX
+        place = self.there.places(asked)
+        asked = asked[place]
+        of = np.minimum(np.searchsorted(self.numbers, asked), len(self.numbers) - 1)
+        held = self.numbers[of] == asked
+        place, of = place[held], of[held]
+        portion = np.cumsum(self.times[of]) // HITS
+        for b in range(int(portion[-1]) + 1 if len(portion) else 0):
+            mine = of[portion == b]
+            n = self.times[mine]
+            e = np.repeat(self.first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(place[portion == b], n), self.order[e]
+
+
 @dataclass
 class Items:
     """Items of one batch, their seeds, and the sampled places of their embeddings."""
@@ -163,7 +200,7 @@ class Items:
     def __post_init__(self):
         self.most = np.array([int(self.share * len(t)) for t in self.texts], np.int64)
         self.always: list[int] = []  # items too short for halves
-        halves: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        halves: dict[tuple[int, int, int], list[tuple]] = defaultdict(list)
         parts: list[tuple[int, int, int, int]] = []  # (parent, edits, length, shift): the parts of items above the leaves
         starts: list[int] = []
         tables: list[np.ndarray] = []
@@ -192,20 +229,21 @@ class Items:
                     stack += [(x, middle, above), (middle, y, above)]
                     continue
                 m = a + (b - a) // 2
-                halves[min(m - a, 8), 0].append((ahead[a], i, a, m - a, ahead[m], b - m, above))
-                halves[min(b - m, 8), 1].append((ahead[m], i, m, 0, back[n - m], m - a, above))
+                h, o = min(m - a, 8), min(b - m, 8)  # of a half at most eight characters, those next to the other half
+                halves[h, 0, o].append((ahead[m - h], i, m - h, ahead[m], above))
+                halves[o, 1, h].append((ahead[m], i, m, back[n - m], above))
         self.parts = np.array(parts, np.int64).reshape(-1, 4)
         self.starts, self.tables_of = np.array(starts, np.int64), np.array(tables, np.uint64).reshape(-1, CLASSES)
         self.halves = {}
-        for (h, left), rows in halves.items():
-            key, item, at, length, word, other, above = (np.array(x, np.uint64 if j in (0, 4) else np.int64)
-                                                         for j, x in enumerate(zip(*rows, strict=True)))
-            key, mask = key & LOW_BYTES[h], LOW_BYTES[np.minimum(other, 8)]
-            order = np.argsort(key, kind="stable")
-            key, first, times = np.unique(key[order], return_index=True, return_counts=True)
-            there = np.zeros(1 << 20, bool)
-            there[key * MULTIPLIER >> np.uint64(44)] = True
-            self.halves[h, left] = (there, key, first, times, *(x[order] for x in (item, at, length, word, mask, above)))
+        for (h, left, o), rows in sorted(halves.items()):
+            key, item, at, word, above = (np.array(x, np.uint64 if j in (0, 3) else np.int64) for j, x in enumerate(zip(*rows, strict=True)))
+            key, word = (key & LOW_BYTES[h]) * MULTIPLIER, word & LOW_BYTES[o]
+            there = _Marks(key)
+            # an edit leaves the first characters of the other half as they are, or the rest, which it may move by one
+            front = _Seeds(key + (word & LOW_BYTES[o // 2]))
+            rest = _Seeds(key + (word >> np.uint64(8 * (o // 2))))
+            looks = [(0, o // 2, front)] + [(o // 2 + by, o - o // 2, rest) for by in (-1, 0, 1) if o > 1]
+            self.halves[h, left, o] = (there, looks, item, at, word, above)
 
     def places(self, n: int) -> list[np.ndarray]:
         """Sampled places per walk for items of length ``n``: tables times bits."""
@@ -219,29 +257,26 @@ class Items:
 
     def _seeded(self, classes: np.ndarray):
         """(place, item, place in the item, part) of halves whose piece has at most one edit, some at a time."""
-        longest = max((int(x[6].max()) for x in self.halves.values()), default=0)
         for begin in range(0, len(classes), PLACES):
             early = max(0, begin - 16)
-            some = classes[early:begin + PLACES + longest + 16]
+            some = classes[early:begin + PLACES + 32]
             ahead, back = _packed(some), _packed(some[::-1])
             count = min(PLACES, len(classes) - begin)
-            for (h, left), (there, key, first, times, item, at, length, word, mask, above) in self.halves.items():
-                read = ahead[begin - early:begin - early + count] & LOW_BYTES[h]
-                place = np.flatnonzero(there[read * MULTIPLIER >> np.uint64(44)])
-                read = read[place]
-                of = np.minimum(np.searchsorted(key, read), len(key) - 1)
-                held = key[of] == read
-                place, of = place[held] + begin - early, of[held]
-                portion = np.cumsum(times[of]) // HITS
-                for b in range(int(portion[-1]) + 1 if len(portion) else 0):
-                    mine = of[portion == b]
-                    n = times[mine]
-                    e = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    x = np.repeat(place[portion == b], n)
-                    words, y = (back, len(some) - x) if left else (ahead, x + length[e])
-                    near = _one_edit(word[e], mask[e], words[np.minimum(y, len(some))], words[np.minimum(y + 1, len(some))])
-                    e = e[near]
-                    yield x[near] + early, item[e], at[e], above[e]
+            every, of = None, 0
+            for (h, left, o), (there, looks, item, at, word, above) in self.halves.items():
+                if h != of:
+                    every, of = (ahead[begin - early:begin - early + count] & LOW_BYTES[h]) * MULTIPLIER, h
+                place = there.places(every)
+                read = every[place]
+                place += begin - early
+                words, y = (back, len(some) - place) if left else (ahead, np.minimum(place + h, len(some)))
+                here = words[y]
+                for skip, width, seeds in looks:
+                    beside = here >> np.uint64(8 * skip) if skip + width <= 8 else words[np.minimum(y + skip, len(some))]
+                    for which, e in seeds.found(read + (beside & LOW_BYTES[width])):
+                        near = _one_edit(word[e], LOW_BYTES[o], here[which], words[np.minimum(y[which] + 1, len(some))])
+                        e, which = e[near], which[near]
+                        yield place[which] + early, item[e], at[e], above[e]
 
     def _holds(self, classes: np.ndarray, place: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Whether each part lies within its edits about ``place``, where its item would start (Myers, many at once).
