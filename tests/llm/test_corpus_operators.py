@@ -387,3 +387,32 @@ def test_marks_do_not_depend_on_batches():
             chain.setdefault((d, n[d]), []).append(r)
     for part in chain.values():
         assert {(r["first"], r["last"]) for r in part} == {(min(r["start"] for r in part), max(r["end"] for r in part))}
+
+
+def test_links_that_occur_again_over_any_batches():
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = sorted((rng.choice([-5, 0, 1, 2, 3, 9]) if rng.random() < .6 else rng.randrange(100), rng.randrange(4), rng.randrange(3)) for _ in range(rng.randrange(40)))
+        first = {}
+        for k, d, s in rows:
+            first.setdefault(k, (d, s))
+        times = Counter(k for k, _, _ in rows)
+        want = [(d, k, s, s + 10, first[k][0] + 7, (d, s) != first[k], first[k][1] - s) for k, d, s in rows if times[k] > 1]
+        batches, at = [], 0
+        while at < len(rows):
+            some = rows[at:at + rng.randrange(4)]
+            at += len(some)
+            key, doc, start = (pa.array([r[c] for r in some], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32())))
+            end, text = (pa.array([r[c] + n for r in some], t) for c, n, t in ((2, 10, pa.int32()), (1, 7, pa.int64())))
+            batches.append(pa.RecordBatch.from_arrays([doc, key, start, end, text], ["doc", "key", "start", "end", "text"]))
+        assert [tuple(r.values()) for b in lines._again(batches) for r in b.to_pylist()] == want
+
+
+def test_texts_move_packed(spark):
+    texts = ["", "é漢😀", None, "a b " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = docs.select("doc_id", lines._packed("text").alias("p")).orderBy("doc_id").toArrow()["p"].combine_chunks()
+    assert lines._unpacked(packed).to_pylist() == texts and len(packed[3].as_py()) < 1_000
+    assert [r["text"] for r in lines.dedup_lines(docs.withColumn("runs", F.lit(1))).orderBy("doc_id").collect()][:3] == texts[:3]
+    plan = lines.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "_packed(" in plan

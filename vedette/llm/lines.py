@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, IntegralType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, IntegralType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 from .common import free_name, stored, whole_text
@@ -126,6 +126,27 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.append(True, differ.to_numpy(zero_copy_only=False).astype(bool))[:len(column)]
 
 
+def _again(batches):
+    """Of links sorted by key, id and place, those whose key occurs again: with the text of its first occurrence, whether it is a later one, and how far before it lies."""
+    head, held = None, False  # the first row of the last key, and whether it waits for a second one
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if head is None else pa.concat_batches([head, batch])
+        key, start, doc = rows["key"].to_numpy(), rows["start"].to_numpy(), np.cumsum(_changes(rows["doc"]))
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        times = np.diff(np.append(heads, len(key)))
+        first, leaves = np.repeat(heads, times), np.repeat(times, times) > 1
+        gone = head is not None and not held
+        leaves[0] &= not gone
+        later = (doc != doc[first]) | (start != start[first])
+        out = pa.RecordBatch.from_arrays(
+            [*(rows[c] for c in ("doc", "key", "start", "end")), rows["text"].take(pa.array(first)), pa.array(later), pa.array(start[first] - start)],
+            ["doc", "key", "start", "end", "first_text", "later", "offset"])
+        yield out.filter(pa.array(leaves))
+        head, held = rows.slice(int(heads[-1]), 1), bool(times[-1] == 1 and not (gone and heads[-1] == 0))
+
+
 def _by_text(work):
     """``work`` on tables of whole texts, of rows that come sorted by text; a text's rows may come in several batches."""
     def done(batches):
@@ -223,7 +244,7 @@ def _context(reach: int):
             sides, ats, keys = (places.field(c).to_numpy() for c in ("side", "at", "key"))
             edges = places.field("edge").to_numpy(zero_copy_only=False)
             parts, n, first = [], 0, 0
-            for row, text in enumerate(batch["text"]):
+            for row, text in enumerate(_unpacked(batch["text"])):
                 parts.append(word_hashes(text.as_py() or ""))
                 n += len(parts[-1])
                 if n < WORDS and ends[row + 1] - ends[first] < PLACES and row + 1 < len(batch):
@@ -337,11 +358,9 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", line
     id_field = StructField("doc", docs.schema["doc"].dataType)
     place = [id_field, StructField("key", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())]
     found = docs.mapInArrow(_links_of(line, window), StructType(place))
-    of_key, first = Window.partitionBy("key"), F.col("first")
-    again = (found.withColumns({"first": F.min(F.struct("doc", "start")).over(of_key), "n": F.count("*").over(of_key)}).where("n > 1")
-             .select("doc", "key", "start", "end", _number(first["doc"], id_field).alias("first_text"),
-                     ((F.col("doc") != first["doc"]) | (F.col("start") != first["start"])).alias("later"),
-                     (first["start"] - F.col("start")).alias("offset")))
+    of_first = [StructField("first_text", LongType()), StructField("later", BooleanType()), StructField("offset", IntegerType())]
+    again = (found.select("*", _number(F.col("doc"), id_field).alias("text")).repartition("key").sortWithinPartitions("key", "doc", "start")
+             .mapInArrow(_again, StructType(place + of_first)))
     marks = [StructField("before", LongType()), StructField("after", LongType()),
              *(StructField(c, IntegerType()) for c in ("chain", "first", "last"))]
     marked = again.repartition("doc").sortWithinPartitions("doc", "start", "end").mapInArrow(_mark(window), StructType(place + marks))
@@ -377,7 +396,7 @@ def _runs(docs: DataFrame, marked: DataFrame, window: int, least: int) -> DataFr
     places = places.union(edges.select("doc", "side", "at", "key", F.lit(True)))
     asked = places.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("side", "at", "key", "edge")).alias("asked"))
     id_type = docs.schema["doc"].dataType.simpleString()
-    around = (docs.join(asked, docs["doc"] == asked["d"]).select("d", "text", "asked")
+    around = (docs.withColumn("text", _packed("text")).join(asked, docs["doc"] == asked["d"]).select("d", "text", "asked")
               .mapInArrow(_context(window), f"d {id_type}, side int, at int, beyond array<bigint>, h bigint"))
     longer = cut_lineage(around.repartition("h").sortWithinPartitions("h", "d", "at")
                          .mapInArrow(_furthest, f"doc {id_type}, side int, at int, more int").where("more > 0"))
@@ -391,13 +410,28 @@ def _runs(docs: DataFrame, marked: DataFrame, window: int, least: int) -> DataFr
             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")))
 
 
+@F.arrow_udf(BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts as they are moved: their length in four bytes, then zstd."""
+    codec = pa.Codec("zstd", compression_level=1)
+    raw = (t.as_buffer() for t in texts.cast(pa.binary()))
+    return pa.array([x if x is None else len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    raw = (p.as_buffer() for p in packed)
+    return pa.array([x if x is None else codec.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True) for x in raw], pa.binary()).cast(pa.string())
+
+
 @F.arrow_udf(StringType())
-def without_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    """Each text without the words of its runs (and the white space after them)."""
+def without_runs(packed: pa.Array, runs: pa.Array) -> pa.Array:
+    """Each packed text without the words of its runs (and the white space after them)."""
+    texts = _unpacked(packed)
     out = []
     for t, r in zip(texts, runs, strict=True):
         text, spans = t.as_py(), r.as_py()
-        if spans:
+        if spans and text is not None:
             starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
             kept, at = [], 0
             for s in spans:
@@ -427,7 +461,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", runs:
     key = free_name(known, "_doc")
     found = found.withColumnsRenamed({"doc": key, "runs": runs})
     kind = found.schema[runs].dataType
-    cleaned = known.join(found, known[own] == found[key], "left").drop(key, own)
-    cleaned = cleaned.withColumn(text, F.when(F.col(runs).isNull(), F.col(text)).otherwise(
-        without_runs(F.col(text), F.col(runs)))).withColumn(runs, F.coalesce(runs, F.array().cast(kind)))
+    packed = known.withColumn(text, _packed(F.col(text).cast("string")))
+    cleaned = packed.join(found, packed[own] == found[key], "left").drop(key, own)
+    cleaned = cleaned.withColumn(text, without_runs(F.col(text), F.col(runs))).withColumn(runs, F.coalesce(runs, F.array().cast(kind)))
     return cleaned.unionByName(docs.where(F.col(doc).isNull()).withColumn(runs, F.array().cast(kind)))
