@@ -198,6 +198,31 @@ def test_fingerprints_of_long_texts():
     assert fingerprints.likeness(fingerprints.fingerprint("ab" * 100_000), fingerprints.fingerprint("ab" * 100_000 + "c")) > 0.9
 
 
+def test_fingerprints_of_texts_that_end_just_behind_a_block(monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcdefghijklmnop ", k=k * fingerprints.BLOCK + more)) for k in (1, 2) for more in (0, 1, 14, 15, 16)]
+    found = [fingerprints.fingerprint(t) for t in texts]
+    monkeypatch.setattr(fingerprints, "BLOCK", 4 * fingerprints.BLOCK)
+    monkeypatch.setattr(fingerprints, "_tables", {})
+    assert found == [fingerprints.fingerprint(t) for t in texts]
+
+
+def test_next_rows_over_many_ranges_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 37)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 7)
+    r = random.Random(5)
+    data = [(r.choice([None, *range(-40, 200)]), f"t{r.randrange(50)}") for _ in range(600)]
+    found = fingerprints.with_next(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", ["text"], {"up": str.upper})
+    got = [tuple(x) for x in found.select("doc_id", "text", "up", "next_text", "next_up").collect()]
+    spark.conf.set(batch, before)
+    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = [(i, t, t.upper(), n, n.upper()) for (i, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert "Window" not in found._jdf.queryExecution().toString()  # would hold the texts of a range
+
+
 def test_fingerprint_documents(spark):
     data = [(5, "abcdefghi"), (9, "0123456789"), (2, ""), (7, None), (1, "zz"), (30, "x" * 100_000)]
     docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'x' AS fingerprint", "'x' AS next_text")

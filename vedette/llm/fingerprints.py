@@ -15,10 +15,14 @@ common spans.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import whole_text
 
@@ -26,6 +30,8 @@ from .common import whole_text
 FIRST, SECOND = (2_147_483_647, 1_103_515_245), (2_147_483_629, 69_621_007)
 SPAN, SMALLEST, STEPS = 16, 32, 32
 BLOCK = 65_536
+#: Ranges of ids hold about so many rows at most, and a task four of them.
+RANGE_ROWS = 5_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -108,7 +114,8 @@ def fingerprint(text: str) -> str:
         for at in wanted[(wanted > a) & (wanted <= a + size)].tolist():
             prefix[at] = (total + int(local[at - a]) * shift) % prime
         total = (total + int(local[size]) * shift) % prime
-        spans = (local[width:] + p - local[:len(local) - width]) * inverse[:len(local) - width] % p
+        starts = max(0, len(local) - width)  # none where a last block is shorter than a span
+        spans = (local[width:] + p - local[:starts]) * inverse[:starts] % p
         mixed = spans * MIX >> np.uint64(32)
         if len(mixed) > 4 * SMALLEST:
             mixed = mixed[mixed <= np.partition(mixed, 4 * SMALLEST)[4 * SMALLEST]] if len(np.unique(
@@ -173,49 +180,97 @@ def likenesses(left: pa.Array, right: pa.Array) -> pa.Array:
                      for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
 
-def _bounds(docs: DataFrame, key: str) -> list[int]:
-    """Ids that cut the table in about equal parts, four per shuffle partition."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bounds(docs: DataFrame, key: str, rows: int) -> list[int]:
+    """Ids that cut the table in about equal parts, four per shuffle partition and more where these hold many rows."""
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS)
     shares = [i / parts for i in range(1, parts)]
-    found = docs.select(F.percentile_approx(key, shares, 10 * parts)).first()[0]
+    found = docs.select(F.percentile_approx(key, shares, 10 * parts)).first()[0] if shares else None
     return sorted(set(found or []))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def _below(key: str, bounds: list[int]) -> Column:
+    """How many of the bounds an id exceeds: first among every so many bounds, then in the stretch found there."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    longs = "array<long>"
+    coarse = F.lit(bounds[step - 1::step]).cast(longs) if len(bounds) >= step else F.lit([]).cast(longs)
+    fine = F.lit([bounds[i:i + step] for i in range(0, len(bounds) + 1, step)]).cast("array<array<long>>")
+    above = F.size(F.filter(coarse, lambda b: b < F.col(key)))
+    return above * step + F.size(F.filter(F.element_at(fine, above + 1), lambda b: b < F.col(key)))
+
+
+def with_next(docs: DataFrame, key: str, carried: list[str], made: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
     """Adds ``next_<c>`` for each carried column: its value in the next row by descending ``key``.
 
     The last row's next is the first. Rows are dealt out by ranges of ``key`` and each range
     is walked in order, so the text of a row moves once; the range's follow-up, the first
     row of the next lower range, is dealt to it as well. The driver holds one id per range.
-    Repeated ids follow each other by the carried columns; null ids come last.
+    Repeated ids follow each other by the carried columns; null ids come last. ``made`` adds
+    columns computed once per row from the first carried one, and their ``next_``. A task holds
+    a batch of rows, whatever the size of its ranges.
     """
-    bounds = _bounds(docs, key)
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col(key))),
-                      F.lit(-1)) if bounds else F.when(F.col(key).isNull(), -1).otherwise(0)
-    tagged = docs.withColumn("_part", part)
+    rows = docs.count()
+    bounds = _bounds(docs, key, rows)
+    tagged = docs.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(_below(key, bounds)))
     tops = {r[0]: r[1] for r in tagged.groupBy("_part").agg(F.max(key)).collect()}
     order = [*carried, *[c for c in docs.columns if c not in (key, *carried)]]
     filled = sorted(tops, reverse=True)
-    return _linked(tagged, key, carried, order, filled, tops)
+    return _linked(tagged, key, carried, order, filled, tops, made or {}, rows)
 
 
-def _linked(tagged: DataFrame, key: str, carried: list[str], order: list[str], filled: list[int], tops: dict) -> DataFrame:
+def _linked(tagged: DataFrame, key: str, carried: list[str], order: list[str], filled: list[int], tops: dict,
+            made: dict[str, Callable[[str], str]], rows: int) -> DataFrame:
     # the first row of a range also follows the last row of the range above it
     goes = {p: filled[i - 1] for i, p in enumerate(filled)}
     ghosts = [(p, tops[p], goes[p]) for p in filled]
     spark = tagged.sparkSession
     firsts = spark.createDataFrame(ghosts, "_part long, _top long, _above long")
     firsts = F.broadcast(firsts)  # one row per range
-    rows = tagged.join(firsts, "_part")
+    joined = tagged.join(firsts, "_part")
     extra = F.when(F.col(key).eqNullSafe(F.col("_top")), F.array(
         F.struct(F.col("_part").alias("to"), F.lit(0).alias("ghost")),
         F.struct(F.col("_above").alias("to"), F.lit(1).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("_part").alias("to"), F.lit(0).alias("ghost"))))
-    dealt = rows.withColumn("_to", F.explode(extra)).select(
-        *[c for c in tagged.columns if c != "_part"], F.col("_to.to").alias("_to"), F.col("_to.ghost").alias("_ghost"))
-    walk = Window.partitionBy("_to").orderBy("_ghost", F.col(key).desc_nulls_last(), *order)
-    return (dealt.withColumns({f"next_{c}": F.lead(c).over(walk) for c in carried})
-            .where("_ghost = 0").drop("_to", "_ghost"))
+    names = [c for c in tagged.columns if c != "_part"]
+    dealt = joined.withColumn("_to", F.explode(extra)).select(*names, F.col("_to.to").alias("_to"), F.col("_to.ghost").alias("_ghost"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (4 * RANGE_ROWS))
+    walked = dealt.repartition(parts, "_to").sortWithinPartitions("_to", "_ghost", F.col(key).desc_nulls_last(), *order)
+    added = [*made, *[f"next_{c}" for c in (*carried, *made)]]
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = StructType([StructField(c, kinds[c]) for c in names] + [
+        StructField(c, kinds[c.removeprefix("next_")] if c.removeprefix("next_") in carried else StringType()) for c in added])
+    return walked.mapInArrow(_walk(names, carried, made), schema)
+
+
+def _walk(names: list[str], carried: list[str], made: dict[str, Callable[[str], str]]):
+    """Rows in order, each with what stands in the row after it; the last row of a batch waits for the next batch."""
+    def linked(rows: pa.Table, last: bool):
+        n = len(rows) - (not last)
+        after = rows.slice(1)
+        if last:
+            after = pa.concat_tables([after, rows.slice(0, 1)])  # no row follows the very last one, which is a ghost
+        own = rows.slice(0, n)
+        keep = pc.equal(own["_ghost"], pa.scalar(0, own["_ghost"].type))
+        out = [*own.select([*names, *made]).columns, *[after[c] for c in (*carried, *made)]]
+        for batch in pa.table(out, [*names, *made, *[f"next_{c}" for c in (*carried, *made)]]).filter(keep).to_batches():
+            yield batch
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([batch])
+            for c, make in made.items():
+                rows = rows.append_column(c, pa.array([make(t.as_py()) for t in batch[carried[0]]], pa.string()))
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            yield from linked(rows, False)
+            rest = rows.slice(len(rows) - 1)
+        if rest is not None:
+            yield from linked(rest, True)
+
+    return run
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -232,13 +287,10 @@ def fingerprint_documents(docs: DataFrame, doc: str = "doc_id", text: str = "tex
     each other by text; null ids come last. No rows give no rows.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    rows = with_next(rows, "doc_id", ["text"])
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text",
-                       edited_text(F.col("text"), F.col("next_text")).alias("edited_text"), "next_text")
-    printed = rows.withColumns({
-        "fingerprint": fingerprints("text"), "edited_fingerprint": fingerprints("edited_text"),
-        "next_fingerprint": fingerprints("next_text")})
-    return printed.withColumns({
-        "near_edited": likenesses("fingerprint", "edited_fingerprint"),
-        "near_next": likenesses("fingerprint", "next_fingerprint"),
-    }).drop("text", "next_text", "next_fingerprint")
+    rows = with_next(rows, "doc_id", ["text"], {"fingerprint": fingerprint})
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                       edited_text(F.col("text"), F.col("next_text")).alias("edited_text"), "fingerprint", "next_fingerprint")
+    return rows.withColumn("edited_fingerprint", fingerprints("edited_text")).select(
+        "doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint",
+        likenesses("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likenesses("fingerprint", "next_fingerprint").alias("near_next"))
