@@ -34,6 +34,21 @@ def test_attribution_is_that_of_all_subsets_in_any_portions():
             assert abs(got[row, f] - want) < 1e-9
 
 
+def test_attribution_looks_up_branches_not_leaves():
+    r = np.random.default_rng(4)
+    x = np.round(r.random((400, 9)), 2)
+    x[:, 3] = 0.5
+    trees = [dict(zip(NAMES, iforest.grow(x[r.choice(400, 256, replace=False)], np.random.default_rng(k)), strict=True)) for k in range(3)]
+    for tree in trees:
+        assert 4 * len(iforest._tree_games(tree, 9)[1]) < sum(f < 0 for f in tree["feature"])
+    for rows in (x, np.where(r.random(x.shape) < 0.1, np.nan, x)):
+        phi, base, whole = iforest.explained(rows, trees, 9, step=64)
+        alone = iforest.explained(rows, trees, 9, states=1)  # every leaf by itself
+        assert np.allclose(phi, alone[0], atol=1e-12) and abs(base - alone[1]) < 1e-12
+        assert np.allclose(whole, np.mean([iforest.path_lengths(rows, t) for t in trees], axis=0))
+    assert np.allclose(base + iforest.shapley(x, trees, 9).sum(axis=1), iforest.explained(x, trees, 9)[2])
+
+
 def test_window_tasks_are_small_and_keep_keys_together(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.range(4_000).selectExpr("id % 50 AS k", "id % 7 AS _chunk")

@@ -22,7 +22,8 @@ SAMPLE = 256
 TREES = 100
 GROUP_ROWS = 50_000
 BLOCK = 25  # trees fitted by one group
-SHAP_ROWS = 10_000  # rows explained with one set of leaf tables
+SHAP_ROWS = 200_000  # rows explained with one set of tables
+STATES = 4_096  # rows of a table at most
 
 
 def mean_path(n) -> np.ndarray:
@@ -372,23 +373,6 @@ def lateral_flag(pattern: str | Column, severity: str | Column) -> Column:
 
 # --- attribution ---
 
-def _leaves(tree) -> list:
-    """Per leaf: path length and {feature: (low, high, weight)} of its path."""
-    feature, threshold = tree["feature"], tree["threshold"]
-    left, right, rows = tree["left"], tree["right"], tree["rows"]
-    out, stack = [], [(0, 0, {})]
-    while stack:
-        n, depth, path = stack.pop()
-        if feature[n] < 0:
-            out.append((depth + float(mean_path(rows[n])), path))
-            continue
-        for child, is_left in ((left[n], True), (right[n], False)):
-            low, high, weight = path.get(feature[n], (-np.inf, np.inf, 1.0))
-            low, high = (low, min(high, threshold[n])) if is_left else (max(low, threshold[n]), high)
-            stack.append((child, depth + 1, {**path, feature[n]: (low, high, weight * rows[child] / rows[n])}))
-    return out
-
-
 def _leaf_games(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Shapley values of leaves with m path conditions, for every subset a row may meet.
 
@@ -418,61 +402,135 @@ def _leaf_games(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tree_games(tree, n_features: int):
-    """(thresholds and bits per feature, first table row of each leaf, tables) of one tree.
+def _branches(tree, paths: dict, missing: bool, states: int) -> list:
+    """Nodes whose branches part the leaves, each with the states that a row can have in it.
 
-    A feature's thresholds part its values into ranges; ``bits`` says for each range (and last for
-    no number) and leaf which condition of the leaf is met. Row ``first + bits`` of the tables
-    holds the leaf's values by feature.
+    A feature's state in a branch: outside the branch (if its path asks for the feature, or numbers
+    may be missing), or the range between the branch's own thresholds. A branch is taken whole while
+    its combinations of states are ``states`` at most, and otherwise its two halves are.
     """
-    by_size: dict[int, list] = {}
-    for value, path in _leaves(tree):
-        if path:
-            by_size.setdefault(len(path), []).append((value, path))
-    leaves = [path for m in sorted(by_size) for _, path in by_size[m]]
-    first, tables, rows = [], [np.zeros((0, n_features))], 0
-    for m in sorted(by_size):
-        games = _leaf_games(np.array([v for v, _ in by_size[m]]), np.array([[p[2] for p in path.values()] for _, path in by_size[m]]))
-        wide = np.zeros((*games.shape[:2], n_features))
-        for k, (_, path) in enumerate(by_size[m]):
-            wide[k][:, list(path)] = games[k]
-        first += [rows + k * 2**m for k in range(len(games))]
-        tables.append(wide.reshape(-1, n_features))
-        rows += len(games) * 2**m
-    kind = np.uint8 if max(by_size, default=0) <= 8 else np.int64
-    feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"], dtype=float)
-    ranges = []
-    for f in np.unique(feature[feature >= 0]).tolist():
-        cuts = np.unique(threshold[feature == f])
-        bits = np.zeros((len(cuts) + 2, len(leaves)), kind)
-        for k, path in enumerate(leaves):
-            if f in path:
-                low, high, _ = path[f]
-                begin = int(np.searchsorted(cuts, low)) + 1 if low > -np.inf else 0
-                bits[begin:int(np.searchsorted(cuts, high)) + 1, k] = 1 << list(path).index(f)
-        ranges.append((f, cuts, bits))
-    return ranges, np.array(first, np.int64), np.concatenate(tables)
-
-
-def shapley(x: np.ndarray, trees, n_features: int, step: int = 512) -> np.ndarray:
-    """Path-dependent Shapley values of the mean path length (Lundberg et al. 2018).
+    feature, threshold, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
+    cuts: dict[int, dict] = {}
+    for n in reversed(range(len(feature))):  # children come after their parent
+        own: dict[int, set] = {}
+        if feature[n] >= 0:
+            own = {f: set(c) for f, c in cuts[left[n]].items()}
+            for f, c in (*cuts[right[n]].items(), (feature[n], {threshold[n]})):
+                own[f] = own[f] | c if f in own else set(c)
+        cuts[n] = own
+    out, stack = [], [0]
+    while stack:
+        n = stack.pop()
+        kinds = [(f, np.array(sorted(cuts[n].get(f, ()))), missing or f in paths[n]) for f in sorted({*cuts[n], *paths[n]})]
+        if feature[n] < 0 or np.prod([len(c) + 1.0 + outside for _, c, outside in kinds]) <= states:
+            if kinds:
+                out.append((n, kinds))
+        else:
+            stack += [left[n], right[n]]
+    return out
 
-    A leaf has at most eight path conditions, so its values are tabulated per subset of
-    met conditions and every row just looks its subset up.
+
+def _tree_games(tree, n_features: int, missing: bool = False, states: int = STATES):
+    """(places per feature, first table row of each branch, tables, base) of one tree.
+
+    A feature's thresholds part its values into ranges; ``places`` says for each range (and last for
+    no number) and branch what it adds to the row of the branch's table. Rows of the tables hold the
+    sums over a branch's leaves of their values by feature, and last of the path length.
     """
-    phi = np.zeros((len(x), n_features))
+    feature, threshold = np.asarray(tree["feature"]), np.asarray(tree["threshold"], dtype=float)
+    left, right, rows = tree["left"], tree["right"], tree["rows"]
+    paths: dict[int, dict] = {0: {}}
+    by_size: dict[int, list] = {}
+    for n in range(len(feature)):
+        path = paths[n]
+        if feature[n] < 0:
+            by_size.setdefault(len(path), []).append(n)
+            continue
+        f = int(feature[n])
+        low, high, weight = path.get(f, (-np.inf, np.inf, 1.0))
+        paths[left[n]] = {**path, f: (low, min(high, threshold[n]), weight * rows[left[n]] / rows[n])}
+        paths[right[n]] = {**path, f: (max(low, threshold[n]), high, weight * rows[right[n]] / rows[n])}
+    depth = np.zeros(len(feature))
+    for n in np.flatnonzero(feature >= 0).tolist():
+        depth[[left[n], right[n]]] = depth[n] + 1
+    value = depth + mean_path(np.asarray(rows))
+    games, base = {}, 0.0
+    for m, leaves in by_size.items():
+        weights = np.array([[p[2] for p in paths[n].values()] for n in leaves]).reshape(len(leaves), m)
+        base += float((value[leaves] * weights.prod(axis=1)).sum())
+        if m:
+            for n, game in zip(leaves, _leaf_games(value[leaves], weights), strict=True):
+                games[n] = np.zeros((2**m, n_features + 1))
+                games[n][:, list(paths[n])] = game
+                games[n][-1, n_features] = value[n]
+
+    branches = _branches(tree, paths, missing, states)
+    used = {int(f): np.unique(threshold[feature == f]) for f in np.unique(feature[feature >= 0])}
+    places = {f: np.zeros((len(cuts) + 2, len(branches)), np.int32) for f, cuts in used.items()}
+    first, tables, at = [], [np.zeros((0, n_features + 1))], 0
+    for k, (top, kinds) in enumerate(branches):
+        shape = [len(c) + 1 + outside for _, c, outside in kinds]
+        strides = np.append(np.cumprod(shape[::-1])[::-1][1:], 1).astype(np.int64)
+        for (f, c, outside), stride in zip(kinds, strides.tolist(), strict=True):
+            low, high, _ = paths[top].get(f, (-np.inf, np.inf, 1.0))
+            begin = int(np.searchsorted(used[f], low)) + 1 if low > -np.inf else 0
+            end = int(np.searchsorted(used[f], high)) + 1 if high < np.inf else len(used[f]) + 1
+            ranges = np.arange(begin, end)
+            places[f][begin:end, k] = (outside + np.searchsorted(np.searchsorted(used[f], c), ranges)) * stride
+        table = np.zeros((int(np.prod(shape)), n_features + 1))
+        stack = [top]
+        while stack:
+            n = stack.pop()
+            if feature[n] >= 0:
+                stack += [left[n], right[n]]
+                continue
+            met, bit = np.zeros(1, np.int64), 0
+            for f, c, outside in kinds:
+                one = np.zeros(len(c) + 1 + outside, np.int64)
+                if f in paths[n]:
+                    low, high, _ = paths[n][f]
+                    one[outside + np.searchsorted(c, low, side="right"):outside + np.searchsorted(c, high) + 1] = 1 << list(paths[n]).index(f)
+                met = np.add.outer(met, one).ravel()
+            table += games[n].take(met, axis=0)
+        first.append(at)
+        tables.append(table)
+        at += len(table)
+    return [(f, cuts, places[f]) for f, cuts in used.items()], np.array(first, np.int32), np.concatenate(tables), base
+
+
+def explained(x: np.ndarray, trees, n_features: int, step: int = 2_048, states: int = STATES) -> tuple[np.ndarray, float, np.ndarray]:
+    """``shapley`` of each row, the mean path length that no feature is known for, and the mean path length of each row."""
+    phi, base = np.zeros((len(x), n_features + 1)), 0.0
+    missing = bool(np.isnan(x).any())
     for tree in trees:
-        ranges, first, tables = _tree_games(tree, n_features)
+        ranges, first, tables, alone = _tree_games(tree, n_features, missing, states)
+        base += alone
         if not len(first):
+            phi[:, n_features] += alone
             continue
         for a in range(0, len(x), step):
-            part = x[a:a + step]
-            met = np.zeros((len(part), len(first)), ranges[0][2].dtype)
-            for f, cuts, bits in ranges:
-                at = np.where(np.isnan(part[:, f]), len(cuts) + 1, np.searchsorted(cuts, part[:, f]))
-                met |= bits[at]
-            phi[a:a + step] += tables.take(met + first, axis=0).sum(axis=1)
-    return phi / len(trees)
+            part, out = x[a:a + step], phi[a:a + step]
+            row = np.repeat(first[:, None], len(part), axis=1)
+            for f, cuts, places in ranges:
+                at = np.searchsorted(cuts, part[:, f])
+                if missing:
+                    at[np.isnan(part[:, f])] = len(cuts) + 1
+                row += places.T.take(at, axis=1)
+            for r in row:
+                out += tables.take(r, axis=0)
+    n = max(len(trees), 1)
+    whole = np.mean([path_lengths(x, t) for t in trees], axis=0) if missing else phi[:, n_features] / n
+    return phi[:, :n_features] / n, base / n, whole
+
+
+def shapley(x: np.ndarray, trees, n_features: int, step: int = 2_048) -> np.ndarray:
+    """Path-dependent Shapley values of the mean path length (Lundberg et al. 2018).
+
+    A leaf has at most eight path conditions, so its values are tabulated per subset of
+    met conditions; the tables of the leaves of a branch are added up per combination of the
+    ranges that tell them apart, and every row just looks its combination up.
+    """
+    return explained(x, trees, n_features, step)[0]
 
 
 def shap_attribution(features: DataFrame, model: DataFrame, keys: Sequence[str], row_id: str,
@@ -487,11 +545,10 @@ def shap_attribution(features: DataFrame, model: DataFrame, keys: Sequence[str],
     def run(rows: pd.DataFrame, trees: list) -> pd.DataFrame:
         out = rows[[*keys, row_id]].copy()
         x = rows[columns].to_numpy(dtype=float)
-        phi = shapley(x, trees, len(columns)) if trees and len(rows) else np.zeros((len(rows), len(columns)))
+        phi, base, whole = explained(x, trees, len(columns)) if trees and len(rows) else (np.zeros((len(rows), len(columns))), 0.0, 0.0)
         for i, c in enumerate(columns):
             out[c] = phi[:, i]
-        out["base"] = np.mean([sum(v * np.prod([p[2] for p in path.values()]) for v, path in _leaves(t)) for t in trees]) if trees else 0.0
-        out["mean_path"] = np.mean([path_lengths(x, t) for t in trees], axis=0) if trees else 0.0
+        out["base"], out["mean_path"] = base, whole
         return out
 
     schema = _typed(features, [*keys, row_id]) + ", " + ", ".join(f"{c} double" for c in columns) + ", base double, mean_path double"
